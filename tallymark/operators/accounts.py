@@ -311,6 +311,13 @@ def account_cascade(text, model_account=None, raw_fields=None, low=None) -> Colu
 # --- reports -------------------------------------------------------------------------------
 
 
+def _tagged(hits: Column, value: str, **tags) -> Column:
+    """Array of hits as an array of structs with constant tags."""
+    return F.transform(
+        hits, lambda m: F.struct(*[F.lit(v).alias(k) for k, v in tags.items()], m.alias(value))
+    )
+
+
 def account_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Every account-like token with its class, duplicates kept."""
     upper = F.upper(text_col)
@@ -318,7 +325,7 @@ def account_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)
     for cls, pattern in K.FREQUENCY_PATTERNS:
         ok = is_valid_account if cls == "numeric" else (lambda m: _n_digits(m) >= 3)
         hits = F.filter(_all(upper, pattern, "U"), ok)
-        found.append(F.transform(hits, lambda m, c=cls: F.struct(F.lit(c).alias("class"), m.alias("token"))))
+        found.append(_tagged(hits, "token", **{"class": cls}))
     return docs.select(*key_cols, F.explode(F.concat(*found)).alias("_x")).select(
         *key_cols, "_x.class", "_x.token"
     )
@@ -349,14 +356,7 @@ def account_scan(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",))
                 hits = F.when(labelled, F.filter(hits, lambda m: F.length(m) >= 4)).otherwise(
                     F.array().cast("array<string>")
                 )
-            found.append(
-                F.transform(
-                    hits,
-                    lambda m, k=kind, n=i: F.struct(
-                        F.lit(k).alias("kind"), F.lit(n + 1).alias("pattern_no"), m.alias("number")
-                    ),
-                )
-            )
+            found.append(_tagged(hits, "number", kind=kind, pattern_no=i + 1))
     return lines.select(
         *key_cols, (F.col("_p") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("_x")
     ).select(*key_cols, "line_no", "_x.kind", "_x.pattern_no", "_x.number")

@@ -360,6 +360,20 @@ def trailers(fixed: DataFrame, key_cols=("file_id",), col: str = "bai2", convent
     return fixed.select(*key_cols, F.explode(F.concat(accounts, groups, whole)).alias("_x")).select(*key_cols, "_x.*")
 
 
+def _reason_stats(rank: int, reason: str) -> Column:
+    """First entry and number of entries a sanitising reason applies to, over column ``_e``."""
+
+    def applies(e):
+        return e["description_changed"] & F.array_contains(e["reasons"], reason)
+
+    return F.struct(
+        F.array_position(F.transform("_e", applies), True).alias("first_at"),
+        F.lit(rank).alias("rank"),
+        F.lit(reason).alias("reason"),
+        F.size(F.filter("_e", applies)).alias("n"),
+    )
+
+
 def audit(fixed: DataFrame, key_cols=("file_id",), col: str = "bai2") -> DataFrame:
     """What the repair changed, as counters per file and as the audit text."""
     b = F.col(col)
@@ -381,22 +395,7 @@ def audit(fixed: DataFrame, key_cols=("file_id",), col: str = "bai2") -> DataFra
         F.size(F.filter("_e", lambda e: e["amount_changed"])).alias("amounts_normalized"),
         F.size(F.filter("_e", lambda e: e["description_changed"])).alias("descriptions_sanitized"),
         F.size(F.filter("_a", lambda a: a["ending_balance_fixed"])).alias("ending_balances_fixed"),
-        F.array(
-            *[
-                F.struct(
-                    F.array_position(
-                        F.transform("_e", lambda e, r=r: e["description_changed"] & F.array_contains(e["reasons"], r)),
-                        True,
-                    ).alias("first_at"),
-                    F.lit(i).alias("rank"),
-                    F.lit(r).alias("reason"),
-                    F.size(
-                        F.filter("_e", lambda e, r=r: e["description_changed"] & F.array_contains(e["reasons"], r))
-                    ).alias("n"),
-                )
-                for i, r in enumerate(K.SANITIZE_REASONS)
-            ]
-        ).alias("_r"),
+        F.array(*[_reason_stats(i, r) for i, r in enumerate(K.SANITIZE_REASONS)]).alias("_r"),
     )
     seen = F.array_sort(F.filter("_r", lambda x: x["n"] > 0))
     reason_text = F.array_join(

@@ -69,41 +69,31 @@ def _extension(word: Column, n1: Column, n2: Column, n3: Column) -> Column:
 
 
 def _name_from_tokens(tokens: Column) -> Column:
-    """Fold over the first words of a line; the state is (words taken, words to skip, done)."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("words"), F.lit(0).alias("skip"), F.lit(False).alias("done")
-    )
+    """Fold over the first words of a line.
+
+    A name is a run of words from the start, so the state is only (words taken, done).
+    """
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def step(acc, i):
         w, n1, n2, n3 = [F.try_element_at(tokens, i + F.lit(k)) for k in range(4)]
         ext = _extension(w, n1, n2, n3)
-        taken = F.size(acc["words"]) + 1
-        # -2: an ending that closes the name only once six words are in it
-        ends = (ext == -1) | ((ext == -2) & (taken >= 6))
         extra = F.greatest(ext, F.lit(0))
-        added = F.concat(acc["words"], F.slice(tokens, i, extra + 1))
+        # -2: an ending that closes the name only once six words are in it
+        ends = (ext == -1) | ((ext == -2) & (i >= 6))
         after_place = (extra > 0) & (F.lower(n1) == "of")
-        halt = acc["done"] | ((acc["skip"] == 0) & ((F.size(acc["words"]) >= 10) | _stop(w)))
         return (
-            F.when(halt, F.struct(acc["words"].alias("words"), acc["skip"].alias("skip"), F.lit(True).alias("done")))
-            .when(
-                acc["skip"] > 0,
-                F.struct(
-                    acc["words"].alias("words"), (acc["skip"] - 1).alias("skip"), F.lit(False).alias("done")
-                ),
-            )
-            .otherwise(F.struct(added.alias("words"), extra.alias("skip"), (ends | after_place).alias("done")))
+            F.when(acc["done"] | (i <= acc["n"]), acc)
+            .when((acc["n"] >= 10) | _stop(w), F.struct(acc["n"].alias("n"), F.lit(True).alias("done")))
+            .otherwise(F.struct((i + extra).alias("n"), (ends | after_place).alias("done")))
         )
 
-    words = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["words"])
-    words = F.when(F.size(tokens) > 0, words)
-    name = F.array_join(words, " ")
-    ok = (
-        F.size(words).between(1, 10)
-        & F.length(name).between(3, 100)
-        & name.rlike(r"\p{L}")
-        & ~_stop(name)
+    taken = F.when(
+        F.size(tokens) > 0,
+        F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["n"]),
     )
+    name = F.array_join(F.slice(tokens, 1, taken), " ")
+    ok = taken.between(1, 10) & F.length(name).between(3, 100) & name.rlike(r"\p{L}") & ~_stop(name)
     return F.when(ok, name)
 
 
@@ -244,6 +234,19 @@ def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("do
     )
 
 
+def distinct_ignore_case(rows: DataFrame, key_cols, value: str, pos: str = "pos") -> DataFrame:
+    """Distinct values per key ignoring case, the first spelling kept.
+
+    An aggregate, so copies are folded before the shuffle and no key is sorted in one place.
+    """
+    first = F.min(F.struct(F.col(pos), F.col(value)))
+    return (
+        rows.groupBy(*key_cols, F.lower(value).alias("_low"))
+        .agg(first.alias("_f"))
+        .select(*key_cols, f"_f.{pos}", f"_f.{value}")
+    )
+
+
 def dedupe_ignore_case(values: Column) -> Column:
     """Distinct ignoring case, the first spelling kept, order kept."""
     low = F.transform(values, F.lower)
