@@ -14,6 +14,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound to a lambda variable.
+
+    An expression named twice is computed twice, and inside another lambda once per element;
+    bound this way it is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim every kind of whitespace from both ends."""
     return F.btrim(_col(c), F.lit(K.WHITESPACE))

@@ -18,6 +18,7 @@ from tallymark.functions.predicates import (
     is_valid_account,
     is_valid_account_strict,
     is_valid_routing,
+    let,
     strip,
 )
 
@@ -76,25 +77,30 @@ def _not_repeated(m: Column) -> Column:
 
 def _account_near_label(text: Column) -> Column:
     """Number on a labelled line or on one of the three lines after it; first label wins."""
-    lines = F.split(text, "\n")
 
     def six_plus(s, pattern):
-        m = F.regexp_extract(s, pattern, 1)
-        return F.when((m != "") & _not_repeated(m), m)
+        return let(F.regexp_extract(s, pattern, 1), lambda m: F.when((m != "") & _not_repeated(m), m))
 
-    def at_label(line, i):
-        low = F.lower(line)
-        rest = F
+    def rest_of(line):
+        out = F
         for p in K.ACCOUNT_LABEL_PATTERNS:
-            rest = rest.when(low.rlike(p), strip(F.regexp_replace(low, p, "")))
-        follow = [
-            six_plus(strip(F.try_element_at(lines, i + F.lit(2 + k))), r"^(\d{6,})(?:\s|$)") for k in range(3)
-        ]
-        return F.when(rest.isNotNull(), F.coalesce(six_plus(rest, r"(\d{6,})"), *follow))
+            out = out.when(line.rlike(p), strip(F.regexp_replace(line, p, "")))
+        return out
+
+    def search(lines):
+        def at_label(line, i):
+            follow = [
+                six_plus(strip(F.try_element_at(lines, i + F.lit(2 + k))), r"^(\d{6,})(?:\s|$)") for k in range(3)
+            ]
+            return let(
+                rest_of(F.lower(line)),
+                lambda rest: F.when(rest.isNotNull(), F.coalesce(six_plus(rest, r"(\d{6,})"), *follow)),
+            )
+
+        return _first(F.filter(F.transform(lines, at_label), lambda x: x.isNotNull()))
 
     has_label = F.lower(text).rlike("|".join(K.ACCOUNT_LABEL_PATTERNS))
-    hits = F.filter(F.transform(lines, at_label), lambda x: x.isNotNull())
-    return F.when(has_label, _first(hits))
+    return F.when(has_label, let(F.split(text, "\n"), search))
 
 
 def labeled_account(text, low=None) -> Column:
@@ -135,69 +141,78 @@ def _stars(digits: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("***"), digits))
 
 
+def _below_number(line: Column) -> Column:
+    hyphen = F.regexp_extract(line, r"^[^0-9]*([0-9]+-[0-9]+-[0-9]+|[0-9]+-[0-9]+)", 1)
+    run = F.regexp_extract(line, r"^[^0-9]*([0-9]+)", 1)
+    return F.when(hyphen != "", hyphen).when(F.length(run) >= 4, run)
+
+
+def _first_set(values: Column) -> Column:
+    return _first(F.filter(values, lambda x: x.isNotNull()))
+
+
 def account_from_lines(text) -> Column:
     """Header first (`ACCOUNT` alone, number below), then masks, endings and labels line by line."""
     t = _col(text)
-    lines = F.transform(F.split(t, "\n"), strip)
-    head = F.slice(lines, 1, 30)
     lone = r"(?i)^account$"
+    masked_run = r"(?i)[X*]{3,}(\d{2,})"
 
-    def under_lone_label(line, i):
-        below = F.try_element_at(head, i + F.lit(2))
-        return F.when(line.rlike(lone) & (below != ""), _leading_number(below, 4))
-
-    def on_line(line, i):
-        below = F.try_element_at(lines, i + F.lit(2))
-        labelled = line.rlike(r"(?i)(?U)\baccount\b") & ~line.rlike(lone)
-        tail = F.regexp_extract(line, r"(?i)(?U:\baccount\s*)[:\-\s#]*([0-9X*\-]+)", 1)
-        masked_tail = F.nullif(F.regexp_extract(tail, r"(?i)[X*]+(\d+)", 1), F.lit(""))
-        tail_digits = F.regexp_replace(tail, r"[^\d]", "")
-        same_line = (
-            F.when(tail.rlike(r"[xX*]"), masked_tail)
+    def from_tail(tail):
+        digits = F.regexp_replace(tail, r"[^\d]", "")
+        return (
+            F.when(tail.rlike(r"[xX*]"), F.nullif(F.regexp_extract(tail, r"(?i)[X*]+(\d+)", 1), F.lit("")))
             .when(tail.rlike(r"^[0-9]+-[0-9]+(?:-[0-9]+)?$"), tail)
-            .when(F.length(tail_digits) >= 4, tail_digits)
-        )
-        next_line = F.when(
-            below != "",
-            F.coalesce(
-                _stars(F.regexp_extract(below, r"(?i)[X*]{3,}(\d{2,})", 1)),
-                _below_number(below),
-            ),
-        )
-        return F.coalesce(
-            _stars(F.regexp_extract(line, r"(?i)[X*]{3,}(\d{2,})", 1)),
-            _stars(F.regexp_extract(line, r"(?i)(?U:\b)ending\s+(?:with\s*:?\s*\*+)?(\d{2,})", 1)),
-            F.when(labelled, F.coalesce(same_line, next_line)),
+            .when(F.length(digits) >= 4, digits)
         )
 
-    def _below_number(line):
-        hyphen = F.regexp_extract(line, r"^[^0-9]*([0-9]+-[0-9]+-[0-9]+|[0-9]+-[0-9]+)", 1)
-        run = F.regexp_extract(line, r"^[^0-9]*([0-9]+)", 1)
-        return F.when(hyphen != "", hyphen).when(F.length(run) >= 4, run)
+    def in_header(head):
+        def under_lone_label(line, i):
+            below = F.try_element_at(head, i + F.lit(2))
+            return F.when(line.rlike(lone) & (below != ""), _leading_number(below, 4))
+
+        return _first_set(F.transform(head, under_lone_label))
+
+    def anywhere(lines):
+        def on_line(line, i):
+            below = F.try_element_at(lines, i + F.lit(2))
+            tail = F.regexp_extract(line, r"(?i)(?U:\baccount\s*)[:\-\s#]*([0-9X*\-]+)", 1)
+            next_line = F.when(
+                below != "", F.coalesce(_stars(F.regexp_extract(below, masked_run, 1)), _below_number(below))
+            )
+            return F.coalesce(
+                _stars(F.regexp_extract(line, masked_run, 1)),
+                _stars(F.regexp_extract(line, r"(?i)(?U:\b)ending\s+(?:with\s*:?\s*\*+)?(\d{2,})", 1)),
+                F.when(
+                    line.rlike(r"(?i)(?U)\baccount\b") & ~line.rlike(lone),
+                    F.coalesce(let(tail, from_tail), next_line),
+                ),
+            )
+
+        return _first_set(F.transform(lines, on_line))
+
+    def search(lines):
+        return F.coalesce(let(F.slice(lines, 1, 30), in_header), anywhere(lines))
 
     any_hint = F.lower(t).rlike(r"account|ending|[x*]{3,}\d{2}")
-    first_of = lambda arr: _first(F.filter(arr, lambda x: x.isNotNull()))
-    return F.when(
-        any_hint,
-        F.coalesce(first_of(F.transform(head, under_lone_label)), first_of(F.transform(lines, on_line))),
-    )
+    return F.when(any_hint, let(F.transform(F.split(t, "\n"), strip), search))
 
 
 def account_after_label(text) -> Column:
     """Earlier form: first number after the word, else at the start of the next line."""
     t = _col(text)
-    lines = F.transform(F.split(t, "\n"), strip)
-
-    def on_line(line, i):
-        word = r"(?i)(?U:\b)account(?U:\b)"
-        after = F.regexp_extract(line, rf"{word}(.*)$", 1)
-        here = F.regexp_extract(after, r"^[^0-9]*(\d+)", 1)
-        below = F.regexp_extract(F.coalesce(F.try_element_at(lines, i + F.lit(2)), F.lit("")), r"^(\d+)", 1)
-        number = F.when(here != "", here).otherwise(below)
-        return F.when(line.rlike(word) & F.length(number).between(4, 20), number)
-
-    hits = F.filter(F.transform(lines, on_line), lambda x: x.isNotNull())
-    return F.when(F.lower(t).contains("account"), _first(hits))
+    word = r"(?i)(?U:\b)account(?U:\b)"
+
+    def search(lines):
+        def on_line(line, i):
+            after = F.regexp_extract(line, rf"{word}(.*)$", 1)
+            here = F.nullif(F.regexp_extract(after, r"^[^0-9]*(\d+)", 1), F.lit(""))
+            below = F.regexp_extract(F.coalesce(F.try_element_at(lines, i + F.lit(2)), F.lit("")), r"^(\d+)", 1)
+            number = F.coalesce(here, below)
+            return F.when(line.rlike(word), let(number, lambda n: F.when(F.length(n).between(4, 20), n)))
+
+        return _first_set(F.transform(lines, on_line))
+
+    return F.when(F.lower(t).contains("account"), let(F.transform(F.split(t, "\n"), strip), search))
 
 
 # --- whole-text regex cascades -----------------------------------------------------------

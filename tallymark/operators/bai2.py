@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed as K
-from tallymark.functions.predicates import is_yymmdd
+from tallymark.functions.predicates import is_yymmdd, let
 from tallymark.functions.scalars import int_cents, sanitize, sanitize_reasons
 from tallymark.operators.lines import record_fields
 
@@ -38,8 +38,7 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
     """Add the nested form of each file; null for a file without an 01 header."""
     text = F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n")
 
-    def entry(line):
-        f = record_fields(line)
+    def entry_of(f):
         return F.struct(
             _field(f, 1).alias("type_code"),
             _field(f, 2).alias("amount"),
@@ -48,11 +47,18 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             F.array_join(F.slice(f, 7, 100000), ",").alias("description_rest"),
         )
 
+    def entry(line):
+        return let(record_fields(line), entry_of)
+
     def account(piece):
-        head = record_fields(F.substring_index(piece, "\n", 1))
+        return let(
+            record_fields(F.substring_index(piece, "\n", 1)),
+            lambda head: let(_first_fields(piece, "49"), lambda trailer: account_of(piece, head, trailer)),
+        )
+
+    def account_of(piece, head, trailer):
         until_49 = F.split(piece, "(?dm)" + _record("49"), 2)[0]
         entries = F.filter(F.split(until_49, "\n"), lambda x: x.rlike(r"(?d)^16(?:,|/?$)"))
-        trailer = _first_fields(piece, "49")
         return F.struct(
             _field(head, 1).alias("account_number"),
             _field(head, 2).alias("currency"),
@@ -63,18 +69,23 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             F.when(trailer.isNotNull() & (F.size(trailer) > 2), _field(trailer, 2)).alias("trailer_count"),
         )
 
-    def group(piece):
-        head = record_fields(F.substring_index(piece, "\n", 1))
-        halves = F.split(piece, "(?dm)" + _record("98"), 2)
-        cuts = F.split(halves[0], "(?dm)" + _record("03"))
+    def account_pieces(halves):
         rest = F.try_element_at(halves, F.lit(2))
+
         # 98 closes the group, yet its last account stays open for entries behind it.
-        pieces = F.transform(
-            F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))),
-            lambda p, i: F.when(
-                (i == F.size(cuts) - 2) & rest.isNotNull(), F.concat(p, rest)
-            ).otherwise(p),
-        )
+        def with_rest(cuts):
+            return F.transform(
+                F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))),
+                lambda p, i: F.when((i == F.size(cuts) - 2) & rest.isNotNull(), F.concat(p, rest)).otherwise(p),
+            )
+
+        return let(F.split(F.get(halves, F.lit(0)), "(?dm)" + _record("03")), with_rest)
+
+    def group(piece):
+        return let(record_fields(F.substring_index(piece, "\n", 1)), lambda head: group_of(piece, head))
+
+    def group_of(piece, head):
+        pieces = let(F.split(piece, "(?dm)" + _record("98"), 2), account_pieces)
         trailer = _first_fields(piece, "98")
         return F.struct(
             _field(head, 1).alias("receiver_id"),
@@ -134,19 +145,24 @@ def fix(
     def raw_description(e):
         return e["description_field"] if legacy else e["description_rest"]
 
-    def entry(e, i):
-        cents = int_cents(e["amount"], legacy)
+    def entry_of(e, i, cents, clean):
         d = raw_description(e)
         return F.struct(
             e["type_code"].alias("type_code"),
             cents.alias("amount"),
             (cents != e["amount"]).alias("amount_changed"),
             F.lpad((i + 1).cast("string"), 5, "0").alias("ref_num"),
-            sanitize(d).alias("description"),
-            (sanitize(d) != d).alias("description_changed"),
+            clean.alias("description"),
+            (clean != d).alias("description_changed"),
             sanitize_reasons(d).alias("reasons"),
         )
 
+    def entry(e, i):
+        return let(
+            int_cents(e["amount"], legacy),
+            lambda cents: let(sanitize(raw_description(e)), lambda clean: entry_of(e, i, cents, clean)),
+        )
+
     def account(a):
         given = a["trailer_balance"]
         cents = int_cents(given, legacy)

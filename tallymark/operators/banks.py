@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed as K
-from tallymark.functions.predicates import any_contains, is_valid_bank_name, strip
+from tallymark.functions.predicates import any_contains, is_valid_bank_name, let, strip
 from tallymark.functions.scalars import filename_date, loose_date, slash_date, yymmdd
 
 LINE_STOPS = K.BANK_STOP_WORDS + K.BANK_LINE_STOP_WORDS
@@ -103,35 +103,36 @@ def bank_name_from_line(line) -> Column:
         _bare(_words(_col(line))),
         lambda w: ~w.rlike(r"^\p{Nd}+$") & ~w.isin(K.BANK_SYMBOL_TOKENS),
     )
-    return _name_from_tokens(F.slice(kept, 1, NAME_WINDOW))
+    return let(F.slice(kept, 1, NAME_WINDOW), _name_from_tokens)
 
 
 def bank_name_from_words(text) -> Column:
     """Fallback over the first ten words: up to a stop word or through the first ending."""
-    words = F.slice(_words(_col(text)), 1, 10)
-    bare = _bare(words)
-    numbered = F.coalesce(
-        F.btrim(F.try_element_at(words, F.lit(1)), F.lit(K.BANK_TOKEN_STRIP)).rlike(r"^\p{Nd}+$"), F.lit(False)
-    ) & (F.size(words) > 1)
-    run = F.slice(bare, F.when(numbered, 2).otherwise(1), 8)
-    low = F.transform(run, F.lower)
-    first_at = lambda flags: F.array_position(flags, True)
-    stop_at = first_at(F.transform(low, lambda w: w.isin(K.BANK_STOP_WORDS)))
-    end_at = first_at(F.transform(low, lambda w: w.isin(K.BANK_STRONG_ENDINGS)))
-    limit = F.least(
-        F.when(stop_at > 0, stop_at - 1),
-        F.when(end_at > 0, end_at),
-        F.size(run).cast("bigint"),
-    ).cast("int")
-    name = F.array_join(F.slice(run, 1, limit), " ")
-    ok = (
-        (F.size(bare) > F.when(numbered, 1).otherwise(0))
-        & (limit > 0)
-        & F.length(name).between(2, 80)
-        & name.rlike(r"\p{L}")
-        & ~F.lower(name).isin(K.BANK_STOP_WORDS)
-    )
-    return F.when(ok, name)
+
+    def first_at(words, names):
+        return F.array_position(F.transform(words, lambda w: F.lower(w).isin(names)), True)
+
+    def named(run):
+        stop_at, end_at = first_at(run, K.BANK_STOP_WORDS), first_at(run, K.BANK_STRONG_ENDINGS)
+        limit = F.least(
+            F.when(stop_at > 0, stop_at - 1), F.when(end_at > 0, end_at), F.size(run).cast("bigint")
+        ).cast("int")
+        return let(
+            F.array_join(F.slice(run, 1, limit), " "),
+            lambda name: F.when(
+                F.length(name).between(2, 80) & name.rlike(r"\p{L}") & ~F.lower(name).isin(K.BANK_STOP_WORDS), name
+            ),
+        )
+
+    def from_words(words):
+        numbered = F.coalesce(
+            F.btrim(F.try_element_at(words, F.lit(1)), F.lit(K.BANK_TOKEN_STRIP)).rlike(r"^\p{Nd}+$"), F.lit(False)
+        ) & (F.size(words) > 1)
+        return let(F.slice(_bare(words), F.when(numbered, 2).otherwise(1), 8), named)
+
+    # The first ten words end within a text's first ten runs of non-blanks.
+    opening = F.regexp_extract(_col(text), r"(?s)^[\s\xa0]*((?:[^\s\xa0]+[\s\xa0]*){0,10})", 1)
+    return let(F.slice(_words(opening), 1, 10), from_words)
 
 
 def bank_name(text) -> Column:
@@ -169,64 +170,70 @@ def _title(s: Column) -> Column:
     )
 
 
-# Words without which a pattern cannot match; a plain search that spares most texts the pattern.
-PATTERN_GUARDS = [
-    "bank|trust|credit union|fcu|savings|financial|association|corp|company|inc",
-    "bank",
-    "bank",
-    "national|state|federal|community|regional|local|first|second|third|citizens|farmers|merchants"
-    "|commercial|industrial",
-    r"n\.a\.|na|llc|ltd|limited",
-]
+_NAME_CHARS = r"[A-Za-z0-9\s&\.,\-']+"
+# Patterns that take any run of name characters around a keyword (by position). In a run such a
+# pattern matches at most once, from its first letter, so it is tried once per run and anchored:
+# searched freely it would rescan the run from every letter.
+_RUN_PATTERNS = {0, 3, 4}
 
 
-def _name_candidates(text: Column) -> Column:
-    """Valid names as an array of (later, neg_len, pos, name); the smallest one is the best."""
-    header = F.filter(F.slice(F.split(text, "\n"), 1, 10), lambda x: strip(x) != "")
+def _pattern_matches(text: Column, i: int) -> Column:
+    pattern = K.BANK_NAME_PATTERNS[i]
+    if i not in _RUN_PATTERNS:
+        return F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(_NAME_CHARS), F.lit(0))
+    hits = F.transform(runs, lambda r: F.regexp_extract(r, "(?i)^[^A-Za-z]*+" + pattern, 1))
+    return F.filter(hits, lambda x: x != "")
 
-    def by_pattern(t):
-        found = []
-        for i, p in enumerate(K.BANK_NAME_PATTERNS):
-            hits = F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(1))
-            if i < len(PATTERN_GUARDS):
-                hits = F.when(t.rlike("(?i)" + PATTERN_GUARDS[i]), hits).otherwise(
-                    F.array().cast("array<string>")
-                )
-            found.append(hits)
-        return F.flatten(F.array(*found))
-
-    def ranked(names, is_header):
-        return F.transform(
-            names,
-            lambda n, i: F.struct(
-                F.lit(not is_header).alias("later"), i.alias("pos"), clean_bank_name(n).alias("name")
-            ),
-        )
 
-    found = F.concat(
-        ranked(F.flatten(F.transform(header, by_pattern)), True), ranked(by_pattern(text), False)
-    )
-    return F.transform(
-        F.filter(found, lambda x: is_valid_bank_name(x["name"])),
-        lambda x: F.struct(
-            x["later"].alias("later"),
-            (-F.length(x["name"])).alias("neg_len"),
-            x["pos"].alias("pos"),
-            x["name"].alias("name"),
+def _name_candidates(text: Column, later: bool) -> Column:
+    """Valid names as an array of (later, neg_len, pos, name); the smallest one is the best."""
+    found = F.flatten(F.array(*[_pattern_matches(text, i) for i in range(len(K.BANK_NAME_PATTERNS))]))
+    return _ranked(found, later)
+
+
+def _ranked(found: Column, later: bool) -> Column:
+    ranked = F.transform(
+        found,
+        lambda n, i: let(
+            clean_bank_name(n),
+            lambda name: F.when(
+                is_valid_bank_name(name),
+                F.struct(
+                    F.lit(later).alias("later"),
+                    (-F.length(name)).alias("neg_len"),
+                    i.alias("pos"),
+                    name.alias("name"),
+                ),
+            ),
         ),
     )
+    return F.filter(ranked, lambda x: x.isNotNull())
+
+
+def _header_candidates(text: Column) -> Column:
+    header = F.filter(F.slice(F.split(text, "\n"), 1, 10), lambda x: strip(x) != "")
+    per_line = F.transform(
+        header,
+        lambda line: F.flatten(F.array(*[_pattern_matches(line, i) for i in range(len(K.BANK_NAME_PATTERNS))])),
+    )
+    return _ranked(F.flatten(per_line), False)
 
 
 def bank_name_candidates(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Valid names found by the generic patterns, in the header lines and in the whole text."""
-    return docs.select(*key_cols, F.explode(_name_candidates(F.col(text_col))).alias("_x")).select(
+    t = F.col(text_col)
+    found = F.concat(_header_candidates(t), _name_candidates(t, True))
+    return docs.select(*key_cols, F.explode(found).alias("_x")).select(
         *key_cols, (~F.col("_x.later")).alias("is_header"), "_x.pos", "_x.name"
     )
 
 
 def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Header names before others, the longest first, the earliest among equals."""
-    best = F.array_min(_name_candidates(F.col(text_col)))
+    t = F.col(text_col)
+    # The whole text is searched only for documents whose header gave nothing.
+    best = F.coalesce(F.array_min(_header_candidates(t)), F.array_min(_name_candidates(t, True)))
     return (
         docs.select(*key_cols, best.alias("_b"))
         .where(F.col("_b").isNotNull())
@@ -292,22 +299,27 @@ DATE_TOKEN = (
 
 def date_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Each date occurrence with its line, the lines around it and its normal form."""
-    lines = F.split(F.col(text_col), "\n")
-    hits = F.transform(
-        lines,
-        lambda line, i: F.transform(
-            F.regexp_extract_all(line, F.lit(r"(?<![\d/])" + DATE_TOKEN + r"(?![\d/])"), F.lit(1)),
-            lambda tok: F.struct(
-                (i + 1).alias("line_no"),
-                tok.alias("token"),
-                line.alias("line"),
-                F.when(i > 0, F.try_element_at(lines, i)).alias("prev_line"),
-                F.try_element_at(lines, i + 2).alias("next_line"),
-            ),
-        ),
-    )
+    token = r"(?<![\d/])" + DATE_TOKEN + r"(?![\d/])"
+
+    def search(lines):
+        return F.flatten(
+            F.transform(
+                lines,
+                lambda line, i: F.transform(
+                    F.regexp_extract_all(line, F.lit(token), F.lit(1)),
+                    lambda tok: F.struct(
+                        (i + 1).alias("line_no"),
+                        tok.alias("token"),
+                        line.alias("line"),
+                        F.when(i > 0, F.try_element_at(lines, i)).alias("prev_line"),
+                        F.try_element_at(lines, i + 2).alias("next_line"),
+                    ),
+                ),
+            )
+        )
+
     return (
-        docs.select(*key_cols, F.explode(F.flatten(hits)).alias("_x"))
+        docs.select(*key_cols, F.explode(let(F.split(F.col(text_col), "\n"), search)).alias("_x"))
         .select(*key_cols, "_x.*")
         .withColumn("normalized", loose_date("token"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed as K
-from tallymark.functions.predicates import any_contains, strip
+from tallymark.functions.predicates import any_contains, let, strip
 from tallymark.functions.scalars import amount_cents
 
 
@@ -109,18 +109,26 @@ def dense_text(text, own_names=()) -> Column:
     def is_balance(line):
         return ~is_txn(line) & any_contains(F.lower(line), K.DENSE_BALANCE_WORDS)
 
-    txn = F.filter(lines, is_txn)
-    balance = F.filter(lines, is_balance)
     edge = K.DENSE_EDGE_LINES
-    tail = F.slice(
-        balance,
-        F.greatest(F.size(balance) - F.lit(edge) + 1, F.lit(1)),
-        F.lit(edge),
-    )
-    focused = F.array_join(F.concat(F.slice(balance, 1, edge), txn, tail), "\n")
-    return F.when(F.length(t) <= K.DENSE_MIN_CHARS, t).otherwise(
-        F.when(F.length(focused) < F.length(t) * K.DENSE_KEEP_RATIO, focused).otherwise(t)
+
+    def focus(lines):
+        return let(
+            F.filter(lines, is_balance),
+            lambda balance: F.array_join(
+                F.concat(
+                    F.slice(balance, 1, edge),
+                    F.filter(lines, is_txn),
+                    F.slice(balance, F.greatest(F.size(balance) - F.lit(edge) + 1, F.lit(1)), F.lit(edge)),
+                ),
+                "\n",
+            ),
+        )
+
+    shorter = let(
+        let(lines, focus),
+        lambda f: F.when(F.length(f) < F.length(t) * K.DENSE_KEEP_RATIO, f).otherwise(t),
     )
+    return F.when(F.length(t) <= K.DENSE_MIN_CHARS, t).otherwise(shorter)
 
 
 def dense_documents(docs: DataFrame, text_col: str = "text", out: str = "dense") -> DataFrame:
