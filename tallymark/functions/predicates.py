@@ -92,17 +92,29 @@ def is_yymmdd(c) -> Column:
 
 
 def is_valid_bank_name(c) -> Column:
-    s = strip(c)
-    words = F.filter(F.split(s, r"[\s\xa0]+"), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    low = F.lower(s)
-    return (
-        F.when(F.coalesce(F.length(s), F.lit(0)) < 2, F.lit(False))
-        .when((F.length(s) > 100) | ~s.rlike(r"\p{L}"), F.lit(False))
-        .when(any_contains(low, K.BANK_NAME_KEYWORDS), ~any_contains(low, K.BANK_NAME_BAD_WORDS))
-        .when((F.size(words) >= 2) & (capital >= F.size(words) * 0.7), F.lit(True))
-        .otherwise((F.size(words) == 1) & (F.length(s) >= 4) & s.rlike(r"^\p{Lu}"))
-    )
+
+    def proper_name(s):
+        words = F.filter(F.split(s, r"[\s\xa0]+"), lambda w: w != "")
+        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return F.when((F.size(words) >= 2) & (capital >= F.size(words) * 0.7), F.lit(True)).otherwise(
+            (F.size(words) == 1) & (F.length(s) >= 4) & s.rlike(r"^\p{Lu}")
+        )
+
+    def check(s):
+        return (
+            F.when(F.coalesce(F.length(s), F.lit(0)) < 2, F.lit(False))
+            .when((F.length(s) > 100) | ~s.rlike(r"\p{L}"), F.lit(False))
+            .otherwise(
+                let(
+                    F.lower(s),
+                    lambda low: F.when(
+                        any_contains(low, K.BANK_NAME_KEYWORDS), ~any_contains(low, K.BANK_NAME_BAD_WORDS)
+                    ).otherwise(proper_name(s)),
+                )
+            )
+        )
+
+    return let(strip(c), check)
 
 
 def incoming_path(subject, url) -> Column:

@@ -150,9 +150,8 @@ def bank_name(text) -> Column:
 
 
 def clean_bank_name(c) -> Column:
-    s = F.array_join(_words(_col(c)), " ")
-    s = F.regexp_replace(s, r"[.,;:!?]+$", "")
-    s = _title(s)
+    s = strip(F.regexp_replace(_col(c), r"[\s\xa0]+", " "))
+    s = let(F.regexp_replace(s, r"[.,;:!?]+$", ""), _title)
     s = F.regexp_replace(s, r"\bAnd\b", "&")
     s = F.regexp_replace(s, r"\bFcu\b", "FCU")
     return F.regexp_replace(s, r"\bUsa\b", "USA")
@@ -161,13 +160,15 @@ def clean_bank_name(c) -> Column:
 def _title(s: Column) -> Column:
     """Capital after every non-letter, small letters elsewhere."""
     parts = F.regexp_extract_all(s, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
+    by_part = F.array_join(
         F.transform(
             parts,
             lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 10**6))),
         ),
         "",
     )
+    # Where letters follow only blanks and letters, the built-in does the same.
+    return F.when(s.rlike(r"[^\s\p{L}]\p{L}"), by_part).otherwise(F.initcap(s))
 
 
 _NAME_CHARS = r"[A-Za-z0-9\s&\.,\-']+"

@@ -101,23 +101,23 @@ def dense_text(text, own_names=()) -> Column:
     lines = F.split(t, "\n")
     words = K.DENSE_TXN_WORDS + [w.lower() for w in own_names]
 
-    def is_txn(line):
-        return any_contains(F.lower(line), words) | (
-            F.contains(line, F.lit("$")) & line.rlike(r"\p{Nd}")
-        )
+    def kind(low):
+        return F.when(
+            any_contains(low, words) | (F.contains(low, F.lit("$")) & low.rlike(r"\p{Nd}")), "txn"
+        ).when(any_contains(low, K.DENSE_BALANCE_WORDS), "balance")
 
-    def is_balance(line):
-        return ~is_txn(line) & any_contains(F.lower(line), K.DENSE_BALANCE_WORDS)
+    def of_kind(tagged, name):
+        return F.transform(F.filter(tagged, lambda x: x["kind"] == name), lambda x: x["line"])
 
     edge = K.DENSE_EDGE_LINES
 
-    def focus(lines):
+    def focus(tagged):
         return let(
-            F.filter(lines, is_balance),
+            of_kind(tagged, "balance"),
             lambda balance: F.array_join(
                 F.concat(
                     F.slice(balance, 1, edge),
-                    F.filter(lines, is_txn),
+                    of_kind(tagged, "txn"),
                     F.slice(balance, F.greatest(F.size(balance) - F.lit(edge) + 1, F.lit(1)), F.lit(edge)),
                 ),
                 "\n",
@@ -125,7 +125,9 @@ def dense_text(text, own_names=()) -> Column:
         )
 
     shorter = let(
-        let(lines, focus),
+        let(
+            F.transform(lines, lambda x: F.struct(let(F.lower(x), kind).alias("kind"), x.alias("line"))), focus
+        ),
         lambda f: F.when(F.length(f) < F.length(t) * K.DENSE_KEEP_RATIO, f).otherwise(t),
     )
     return F.when(F.length(t) <= K.DENSE_MIN_CHARS, t).otherwise(shorter)

@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts over all cores. Only a table read in fewer pieces than there are cores is moved; a
+    table of many files is already spread and keeps its plan without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def place(name: Column) -> Column:
     return F.translate(name, "_0123456789", " ABCDEFGHIJ")
 
@@ -256,7 +263,7 @@ def bai2_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def noisy_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents under a statement header in one of many printed forms."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     k = F.col("doc_id")
     acct = F.lpad((k * 37 + 1000003).cast("string"), 10, "0")
     last4 = _right(acct, 4)
