@@ -1 +1,116 @@
-"""Queries."""
+"""Streaming forms, run to the end of the available input, and the batch twin of the ingest."""
+
+from pyspark.sql import functions as F
+
+from tallymark.functions.predicates import error_code_from_message
+from tallymark.operators import error_files as E
+from tallymark.operators import statement_flow as X
+from tallymark.plans import oracle_views as V
+from tallymark.plans import sqltext as Q
+from tallymark.plans import workload as W
+from tallymark.plans.catalogue import query
+from tallymark.plans.match_queries import _MATCH
+from tallymark.plans.text_queries import _TXNS
+from tallymark.session import work_dir
+from tallymark.streaming import ingest as I
+
+# Header fields of the printed statements as they should be read; the match itself is the one
+# checked for ``match_account``, over these instead of the detected forms.
+_AC = V.acct12("account")
+_FIELDS = f"""detected AS (SELECT doc_id, 'First National Bank of NATION' AS bank_name,
+   CASE account % 5 WHEN 0 THEN {_AC} WHEN 1 THEN {_AC} WHEN 2 THEN 'XXXXXX' || right({_AC}, 4) WHEN 3 THEN 'XXXXXX' || right({_AC}, 4) END AS account
+   FROM (SELECT DISTINCT doc_id, account FROM ledger))"""
+_FLOW = (
+    _MATCH.replace(V.DETECTED, V.LEDGER + ",\n" + _FIELDS)
+    + f""", {_TXNS},
+  coded AS (SELECT res.doc_id, matched_ordinal, CASE WHEN account IS NULL THEN 'ERROR_NO_ACCOUNT' WHEN matched_ordinal IS NOT NULL THEN NULL
+     WHEN match_type = 'multiple_accounts_low_similarity' THEN 'ERROR_MULTIPLE_ACCOUNTS_LOW_SIMILARITY'
+     WHEN match_type = 'multiple_accounts_no_bank_name' THEN 'ERROR_MULTIPLE_ACCOUNTS_NO_BANK' ELSE 'ERROR_NO_ROUTING' END AS code FROM res),
+  body AS (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN section = 'debits' THEN -amount_cents ELSE amount_cents END) AS BIGINT) AS b,
+     string_agg('16,' || CASE WHEN txn_type = 'fee' THEN '475' WHEN section = 'credits' THEN '301' ELSE '451' END || ',' || CAST(amount_cents AS VARCHAR) || ',Z,' || lpad(CAST(k AS VARCHAR), 5, '0') || ',,' || {Q.sanitize('description')} || '/' || chr(10), '' ORDER BY k) AS lines
+     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, entry_no) AS k FROM txns) GROUP BY doc_id)
+  SELECT c.doc_id, code, CASE WHEN code IS NULL THEN 'OK' ELSE 'ERROR' END AS status, CASE WHEN code IS NULL THEN '' ELSE 'ERROR_' END || c.doc_id || '.bai' AS output_name,
+    CASE WHEN code IS NULL THEN '01,' || routing_number || ',WORKDAY,250630,0000,1,,,2/' || chr(10) || '02,WORKDAY,' || routing_number || ',1,250630,,USD,2/' || chr(10) || '03,' || account_number || ',USD,010,,,Z/' || chr(10)
+      || lines || '49,' || CAST(b AS VARCHAR) || ',' || CAST(n + 2 AS VARCHAR) || '/' || chr(10) || '98,' || CAST(b AS VARCHAR) || ',1,' || CAST(n + 4 AS VARCHAR) || '/' || chr(10) || '99,' || CAST(b AS VARCHAR) || ',1,' || CAST(n + 6 AS VARCHAR) || '/' || chr(10)
+    ELSE concat_ws(chr(10), '01,ERROR,WORKDAY,250630,0000,1,,,2/', '02,ERROR,000000000,1,250630,,USD,2/', '03,ERROR,USD,010,,,Z/', '88,999,' || code || ',,Z/', '49,0,3/', '98,0,1,5/', '99,0,1,7/') || chr(10) END AS records
+  FROM coded c JOIN body ON c.doc_id = body.doc_id LEFT JOIN registry r ON matched_ordinal = r.ordinal"""
+)
+
+
+def _records(files):
+    return files.select(
+        "doc_id", "code", "status", "output_name", F.regexp_extract("out_text", r"(?ms)^(01,.*)", 1).alias("records")
+    )
+
+
+@query("statement_to_bai2", _FLOW)
+def statement_to_bai2(spark, sf):
+    docs = W.statements(spark, sf).select("doc_id", "text")
+    return _records(X.to_files(docs, W.registry(spark, sf), W.DAY))
+
+
+@query("stream_ingest", _FLOW)
+def stream_ingest(spark, sf):
+    """The same work as a stream: new documents in, files out, one output folder per micro-batch."""
+    base = work_dir(spark, "ingest")
+    W.statements(spark, sf).select("doc_id", "text").write.parquet(f"{base}/in")
+    registry = W.registry(spark, sf)
+    docs = spark.readStream.schema("doc_id string, text string").parquet(f"{base}/in")
+    I.run_once(docs, lambda b: X.to_files(b, registry, W.DAY), f"{base}/out", f"{base}/state")
+    return _records(spark.read.parquet(f"{base}/out"))
+
+
+def _event_stream(spark, sf, derive, name):
+    """Derived event rows as a parquet folder and a stream over it."""
+    base = work_dir(spark, name)
+    rows = derive(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(f"{base}/in")
+    return base, spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+
+
+@query(
+    "stream_dedupe",
+    V.ctes("incoming")
+    + "SELECT DISTINCT 'incoming-bank-statements/' || split_part(url, '/', 6) AS path, etag AS \"eTag\" FROM incoming WHERE event_id % 5 <> 0",
+)
+def stream_dedupe(spark, sf):
+    base, events = _event_stream(spark, sf, W.incoming, "dedupe")
+    fresh = I.dedupe_events(I.incoming_events(events), in_flight="40 days")
+    I.append_once(fresh, f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("path", "eTag")
+
+
+_CALLS = "SELECT date_trunc('minute', ts) AS window_start, count(*) AS calls, count(*) >= 60 AS quota_exceeded FROM events GROUP BY 1"
+
+
+@query("agg_call_report", f"SELECT CAST(window_start AS VARCHAR) AS window_start, calls, quota_exceeded FROM ({_CALLS})")
+def agg_call_report(spark, sf):
+    e = W.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    r = I.call_report(e)
+    return r.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_call_report",
+    f"SELECT CAST(window_start AS VARCHAR) AS window_start, calls, quota_exceeded FROM ({_CALLS}) WHERE window_start + INTERVAL 1 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 5 MINUTE FROM events)",
+)
+def stream_call_report(spark, sf):
+    """Minutes the watermark has closed; the last ones stay open in the stream's state."""
+    base, calls = _event_stream(spark, sf, lambda s, d: W.table(s, d, "events").select("ts"), "calls")
+    I.append_once(I.call_report(calls), f"{base}/out", f"{base}/state")
+    out = spark.read.parquet(f"{base}/out")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_status_counts",
+    V.ctes("messages")
+    + f"""SELECT * FROM (SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, {Q.rules('lower(message)', E.K.ERROR_RULES)} AS code, count(*) AS files FROM messages
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2)""",
+)
+def stream_status_counts(spark, sf):
+    base, msgs = _event_stream(spark, sf, W.messages, "status")
+    coded = msgs.select("ts", error_code_from_message("message").alias("code"))
+    I.append_once(I.status_counts(coded), f"{base}/out", f"{base}/state")
+    out = spark.read.parquet(f"{base}/out")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -16,6 +16,7 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .option("wholetext", True)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
+        .option("ignoreMissingFiles", True)
         .load(path)
         .select(
             F.col("_metadata.file_path").alias("path"),

@@ -25,8 +25,7 @@ def read_incoming(
 ) -> DataFrame:
     """Whole-text stream of a folder. With ``archive`` finished files are moved there by Spark.
 
-    A file that is gone before it is read is skipped when the session sets
-    ``spark.sql.files.ignoreMissingFiles``.
+    A file that is gone before it is read is skipped, not an error.
     """
     reader = (
         spark.readStream.format("text")
@@ -34,6 +33,7 @@ def read_incoming(
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
+        .option("ignoreMissingFiles", True)
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
