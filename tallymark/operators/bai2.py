@@ -549,6 +549,12 @@ def code_mismatch(type_code, description) -> Column:
 # --- generation --------------------------------------------------------------------------------
 
 
+def type_code(is_fee: Column, is_deposit: Column) -> Column:
+    return (
+        F.when(is_fee, K.BAI2_CODE_FEE).when(is_deposit, K.BAI2_CODE_DEPOSIT).otherwise(K.BAI2_CODE_WITHDRAWAL)
+    )
+
+
 def from_transactions(
     txns: DataFrame,
     files: DataFrame,
@@ -563,11 +569,7 @@ def from_transactions(
     key with account_number, originator_id, file_date, file_time, ending_balance. A key is one
     statement; the caller bounds the transactions of a statement, the shuffle is on that key.
     """
-    code = (
-        F.when(F.col("is_fee"), K.BAI2_CODE_FEE)
-        .when(F.col("amount_cents") > 0, K.BAI2_CODE_DEPOSIT)
-        .otherwise(K.BAI2_CODE_WITHDRAWAL)
-    )
+    code = type_code(F.col("is_fee"), F.col("amount_cents") > 0)
     rows = txns.groupBy(*key_cols).agg(
         F.array_sort(
             F.collect_list(
@@ -589,35 +591,53 @@ def from_transactions(
             x["description"].alias("description"),
         ),
     )
+    nested = file_column(
+        entries,
+        *[F.col(c) for c in ("account_number", "originator_id", "file_date", "file_time")],
+        F.col("ending_balance").cast("string"),
+        receiver_id,
+    )
+    return files.join(rows, list(key_cols), "left").select(*key_cols, nested.alias(col))
+
+
+def file_column(
+    entries: Column,
+    account_number: Column,
+    originator_id: Column,
+    file_date: Column,
+    file_time: Column,
+    ending_balance: Column,
+    receiver_id: str = K.BAI2_RECEIVER,
+) -> Column:
+    """Nested form of a file with one group and one account."""
     account = F.struct(
-        F.col("account_number"),
+        account_number.alias("account_number"),
         F.lit("USD").alias("currency"),
         F.lit("010").alias("type_code"),
         F.lit("Z").alias("continuation"),
         entries.alias("entries"),
-        F.col("ending_balance").cast("string").alias("ending_balance"),
+        ending_balance.alias("ending_balance"),
     )
     group = F.struct(
         F.lit(receiver_id).alias("receiver_id"),
-        F.col("originator_id"),
+        originator_id.alias("originator_id"),
         F.lit("1").alias("sequence"),
-        F.col("file_date").alias("group_date"),
+        file_date.alias("group_date"),
         F.lit("USD").alias("currency"),
         F.lit("2").alias("record_length"),
         F.array(account).alias("accounts"),
     )
-    nested = F.struct(
+    return F.struct(
         F.struct(
-            F.col("originator_id"),
+            originator_id.alias("originator_id"),
             F.lit(receiver_id).alias("receiver_id"),
-            F.col("file_date"),
-            F.col("file_time"),
+            file_date.alias("file_date"),
+            file_time.alias("file_time"),
             F.lit("1").alias("file_sequence"),
             F.lit("2").alias("record_length"),
         ).alias("header"),
         F.array(group).alias("groups"),
     )
-    return files.join(rows, list(key_cols), "left").select(*key_cols, nested.alias(col))
 
 
 def _entry_rows_type(txns: DataFrame, order_cols) -> str:

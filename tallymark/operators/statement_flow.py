@@ -1,8 +1,7 @@
 """Statement to cash-management file: the whole way, for a batch or a micro-batch.
 
 Per document, in one projection: account, bank name, statement date. One join by lookup against
-the registry. Transactions are read in the row; only their grouping into files shuffles, on the
-document key, and a document is bounded by its own text.
+the registry. Transactions are read and the file is written in the row, so nothing is regrouped.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.predicates import let
+from tallymark.functions.scalars import sanitize
 from tallymark.operators import accounts as A
 from tallymark.operators import bai2 as B
 from tallymark.operators import banks as N
@@ -48,60 +49,74 @@ def resolve(headers: DataFrame, registry: DataFrame, as_of_date: str) -> DataFra
     return m.withColumn("code", code).withColumn("file_date", F.coalesce("file_date", F.lit(as_of_date)))
 
 
-def to_files(docs: DataFrame, registry: DataFrame, as_of_date: str, file_time: str = "0000") -> DataFrame:
-    """One output file per document: records for a resolved one, an error stand-in otherwise."""
-    resolved = resolve(read_header(docs), registry, as_of_date)
-    good = resolved.where(F.col("code").isNull())
-    txns = T.extract_transactions(good)
-    signed = txns.select(
-        "doc_id",
-        (F.col("section_no") * 1000000 + F.col("entry_no")).alias("line_order"),
-        F.when(F.col("section") == "debits", -F.col("amount_cents")).otherwise(F.col("amount_cents")).alias(
-            "amount_cents"
+def _resolved_file(file_time: str):
+    """File text of a resolved document from its transactions ``_t``."""
+    entries = F.transform(
+        "_t",
+        lambda x, i: F.struct(
+            B.type_code(x["txn_type"] == "fee", x["section"] == "credits").alias("type_code"),
+            x["amount_cents"].cast("string").alias("amount"),
+            F.lpad((i + 1).cast("string"), 5, "0").alias("ref_num"),
+            sanitize(x["description"]).alias("description"),
         ),
-        (F.col("txn_type") == "fee").alias("is_fee"),
-        "description",
     )
-    net = signed.groupBy("doc_id").agg(F.sum("amount_cents").alias("net"))
-    files = good.join(net, "doc_id", "left").select(
-        "doc_id",
-        F.col("matched_account").alias("account_number"),
-        F.col("matched_routing").alias("originator_id"),
-        "file_date",
-        F.lit(file_time).alias("file_time"),
-        F.coalesce("net", F.lit(0)).alias("ending_balance"),
+    net = F.aggregate(
+        F.transform(
+            "_t", lambda x: F.when(x["section"] == "debits", -x["amount_cents"]).otherwise(x["amount_cents"])
+        ),
+        F.lit(0).cast("bigint"),
+        lambda acc, x: acc + x,
     )
-    built = B.from_transactions(signed, files, key_cols=("doc_id",), order_cols=("line_order",))
-    ok = B.rebuild(built, out="out_text").select("doc_id", F.lit(None).cast("string").alias("code"), "out_text")
+    nested = B.file_column(
+        entries,
+        F.col("matched_account"),
+        F.col("matched_routing"),
+        F.col("file_date"),
+        F.lit(file_time),
+        net.cast("string"),
+    )
+    return let(nested, lambda b: F.concat(F.array_join(B.render_lines(b), "\n"), F.lit("\n")))
+
 
-    bad = resolved.where(F.col("code").isNotNull())
+def _error_file(as_of_date: str, file_time: str):
     message = (
         F.when(F.col("code") == "ERROR_NO_ACCOUNT", "No valid account number found on statement")
         .when(F.col("code") == "ERROR_NO_ROUTING", F.concat(F.lit("No routing number for account "), "account"))
         .otherwise(F.concat(F.lit("Several accounts end with "), "ending_digits"))
     )
+    found = F.array_compact(
+        F.array(
+            F.concat(F.lit("Extracted Account Number: "), "account"),
+            F.concat(F.lit("Extracted Bank Name: "), "bank_name"),
+            F.concat(F.lit("Match Type: "), "match_type"),
+            F.concat(F.lit("Number of Candidate Accounts: "), F.col("candidate_count").cast("string")),
+        )
+    )
     details = F.when(
         F.col("code") == "ERROR_NO_ACCOUNT",
         E.diagnostics(A.number_candidates("text"), F.col("bank_name"), F.size(F.split("text", "\n"))),
-    ).otherwise(
-        F.array_compact(
-            F.array(
-                F.concat(F.lit("Extracted Account Number: "), "account"),
-                F.concat(F.lit("Extracted Bank Name: "), "bank_name"),
-                F.concat(F.lit("Match Type: "), "match_type"),
-                F.concat(F.lit("Number of Candidate Accounts: "), F.col("candidate_count").cast("string")),
-            )
-        )
+    ).otherwise(found)
+    return E.error_file_text(
+        message,
+        F.col("doc_id").cast("string"),
+        F.col("file_date"),
+        F.lit(file_time),
+        F.lit(as_of_date),
+        code=F.col("code"),
+        details=details,
     )
-    errors = bad.select(
+
+
+def to_files(docs: DataFrame, registry: DataFrame, as_of_date: str, file_time: str = "0000") -> DataFrame:
+    """One output file per document: records for a resolved one, an error stand-in otherwise."""
+    resolved = resolve(read_header(docs), registry, as_of_date)
+    good = F.col("code").isNull()
+    staged = resolved.withColumn("_t", F.when(good, T.transactions_array("text")))
+    out = staged.select(
         "doc_id",
         "code",
-        E.error_file_text(
-            message, F.col("doc_id").cast("string"), F.col("file_date"), F.lit(file_time), F.lit(as_of_date),
-            code=F.col("code"), details=details,
-        ).alias("out_text"),
+        F.when(good, _resolved_file(file_time)).otherwise(_error_file(as_of_date, file_time)).alias("out_text"),
     )
-    both = ok.unionByName(errors)
-    return both.withColumn("status", E.file_status("out_text")).withColumn(
+    return out.withColumn("status", E.file_status("out_text")).withColumn(
         "output_name", E.output_name(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("out_text"))
     )

@@ -28,6 +28,61 @@ def _names(names) -> str:
     return "|".join(names)
 
 
+def transactions_array(text, reset_sections: bool = True) -> Column:
+    """Transactions of a text as an array of structs, in printed order."""
+    t = F.col(text) if isinstance(text, str) else text
+    heads = K.SECTION_TERMINATORS if reset_sections else K.SECTION_NAMES
+    cut_section = rf"(?dim)^(?=(?:{_names(heads)})$)"
+    cut_entry = rf"(?dim)^(?=(?:{K.TXN_DATE_LINE}|{_names(K.SECTION_TERMINATORS)})$)"
+    amount_line = rf"(?dm)^{K.TXN_AMOUNT_LINE}$"
+
+    def txn(section, entry_no, day, printed, description):
+        kind = (
+            F.when(any_contains(F.upper(description), K.FEE_MARKERS), "fee")
+            .when(section["name"] == "debits", "debit")
+            .otherwise("credit")
+        )
+        return F.struct(
+            section["name"].alias("section"),
+            section["no"].alias("section_no"),
+            entry_no.alias("entry_no"),
+            day.alias("txn_date"),
+            kind.alias("txn_type"),
+            printed.alias("amount"),
+            amount_cents(printed).alias("amount_cents"),
+            description.alias("description"),
+        )
+
+    def between(entry):
+        """Lines between the date and the first amount."""
+        inner = F.substring(F.get(F.split(entry, amount_line, 2), F.lit(0)), 6, 2**31 - 1)
+        return F.replace(F.btrim(inner, F.lit("\n")), F.lit("\n"), F.lit(" | "))
+
+    def entries(section):
+        def parse(entry, no):
+            return F.when(
+                entry.rlike(rf"(?d)^{K.TXN_DATE_LINE}\n"),
+                let(
+                    F.regexp_extract(entry, amount_line, 0),
+                    lambda printed: F.when(
+                        printed != "",
+                        let(between(entry), lambda d: txn(section, no, F.substring(entry, 1, 5), printed, d)),
+                    ),
+                ),
+            )
+
+        return F.filter(F.transform(F.split(section["body"], cut_entry), parse), lambda x: x.isNotNull())
+
+    sections = F.transform(
+        F.split(clean_lines(t), cut_section),
+        lambda body, no: F.struct(
+            no.alias("no"), F.lower(F.substring_index(body, "\n", 1)).alias("name"), body.alias("body")
+        ),
+    )
+    wanted = F.filter(sections, lambda x: x["name"].isin([n.lower() for n in K.SECTION_NAMES]))
+    return F.flatten(F.transform(wanted, entries))
+
+
 def extract_transactions(
     docs: DataFrame, text_col: str = "text", key_cols=("doc_id",), reset_sections: bool = True
 ) -> DataFrame:
@@ -36,49 +91,7 @@ def extract_transactions(
     ``reset_sections=True`` ends a section at DAILY BALANCES and the fee block, which keeps
     daily balances out of the credits; ``False`` lets the section run on, as older outputs do.
     """
-    keys = [F.col(k) for k in key_cols]
-    heads = K.SECTION_TERMINATORS if reset_sections else K.SECTION_NAMES
-    cut_section = rf"(?dim)^(?=(?:{_names(heads)})$)"
-    cut_entry = rf"(?dim)^(?=(?:{K.TXN_DATE_LINE}|{_names(K.SECTION_TERMINATORS)})$)"
-    amount_line = rf"(?dm)^{K.TXN_AMOUNT_LINE}$"
-
-    sections = docs.select(*keys, clean_lines(text_col).alias("_t")).select(
-        *keys, F.posexplode(F.split("_t", cut_section)).alias("section_no", "_s")
-    )
-    head = F.upper(F.substring_index("_s", "\n", 1))
-    sections = sections.select(*keys, "section_no", "_s", F.lower(head).alias("section")).where(
-        F.col("section").isin([n.lower() for n in K.SECTION_NAMES])
-    )
-    entries = sections.select(
-        *keys, "section_no", "section", F.posexplode(F.split("_s", cut_entry)).alias("entry_no", "_e")
-    ).where(F.col("_e").rlike(rf"(?d)^{K.TXN_DATE_LINE}\n"))
-    parsed = entries.select(
-        *keys,
-        "section",
-        "section_no",
-        "entry_no",
-        F.substring("_e", 1, 5).alias("txn_date"),
-        F.regexp_extract("_e", amount_line, 0).alias("amount"),
-        F.split("_e", amount_line, 2)[0].alias("_d"),
-    ).where(F.col("amount") != "")
-    described = parsed.withColumn(
-        "description",
-        F.replace(F.btrim(F.substring(F.col("_d"), 6, 2**31 - 1), F.lit("\n")), F.lit("\n"), F.lit(" | ")),
-    )
-    return described.select(
-        *keys,
-        "section",
-        "section_no",
-        "entry_no",
-        "txn_date",
-        F.when(any_contains(F.upper("description"), K.FEE_MARKERS), "fee")
-        .when(F.col("section") == "debits", "debit")
-        .otherwise("credit")
-        .alias("txn_type"),
-        "amount",
-        amount_cents("amount").alias("amount_cents"),
-        "description",
-    )
+    return docs.select(*key_cols, F.inline(transactions_array(text_col, reset_sections)))
 
 
 def section_totals(txns: DataFrame, key_cols=("doc_id",)) -> DataFrame:

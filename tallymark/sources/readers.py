@@ -153,7 +153,7 @@ def sniff_rows(files: DataFrame, text_col: str = "text", path_col: str = "path")
         .withColumn("_h", header)
         .select(path_col, F.col("_d").alias("delimiter"), "_h", F.posexplode("_lines").alias("row_no", "_l"))
         .where(F.col("row_no") > 0)
-        .select(path_col, "delimiter", "row_no", "_h", _cells(F.col("_l"), F.col("_d")).alias("_c"))
+        .select(path_col, "delimiter", "row_no", "_h", _cells(F.col("_l"), F.col("delimiter")).alias("_c"))
         .select(
             path_col,
             "delimiter",
