@@ -60,21 +60,45 @@ def _answer(docs: DataFrame, resolved: DataFrame, account: str, bank: str) -> Da
     return docs.join(resolved, cond, "left").drop("_acct", "_bank")
 
 
-def best_name_per_suffix(lookups: DataFrame, registry: DataFrame) -> DataFrame:
-    """For (suffix, bank name) lookups: the registry row with the most similar name."""
-    names = (
+def suffix_names(registry: DataFrame) -> DataFrame:
+    """Distinct bank names behind every suffix: first row, accounts, and the suffix's own total.
+
+    Accounts are counted per name before anything is gathered by suffix, so a suffix that most
+    accounts share brings its names together, not its accounts.
+    """
+    per_name = (
         suffix_rows(registry)
         .groupBy("suffix", "bank_name")
-        .agg(F.min(_row()).alias("hit"))
-        .select("suffix", "hit", norm_bank("bank_name").alias("_nr"))
+        .agg(F.min(_row()).alias("hit"), F.count("*").alias("accounts"))
+    )
+    totals = per_name.groupBy("suffix").agg(F.sum("accounts").alias("candidate_count"))
+    return per_name.join(totals, "suffix").select(
+        "suffix", "hit", "candidate_count", norm_bank("bank_name").alias("_nr")
+    )
+
+
+def suffix_hits(look: DataFrame, registry: DataFrame, compare: Column) -> DataFrame:
+    """Lookups with ``_key``: number of accounts with that ending, the first of them, and, where
+    ``compare`` holds and there are several, the one with the most similar bank name."""
+    cols = look.columns
+    staged = look.withColumn("_nd", norm_bank("_bank")).withColumn("_cmp", F.coalesce(compare, F.lit(False)))
+    joined = staged.join(suffix_names(registry), F.col("_key") == F.col("suffix"), "left")
+    want = F.col("_cmp") & (F.col("candidate_count") > 1)
+    joined = joined.withColumn("_want", F.coalesce(want, F.lit(False)))
+    # The worker function sees every row; rows without a question get two empty names.
+    ask = lambda c: F.when(F.col("_want"), F.col(c)).otherwise("")
+    scored = joined.withColumn("_sim", ratio(ask("_nd"), ask("_nr")))
+    best = F.max(
+        F.when(F.col("_want"), F.struct(F.col("_sim").alias("s"), (-F.col("hit.ordinal")).alias("o"), F.col("hit").alias("h")))
     )
-    pairs = lookups.select("suffix", "_bank", norm_bank("_bank").alias("_nd")).distinct().join(names, "suffix")
-    scored = pairs.select("suffix", "_bank", "hit", ratio("_nd", "_nr").alias("similarity"))
-    best = F.max(F.struct(F.col("similarity"), (-F.col("hit.ordinal")).alias("o"), F.col("hit")))
     return (
-        scored.groupBy("suffix", "_bank")
-        .agg(best.alias("_b"))
-        .select("suffix", "_bank", F.col("_b.similarity").alias("best_similarity"), F.col("_b.hit").alias("best_hit"))
+        scored.groupBy(*cols)
+        .agg(
+            F.max("candidate_count").alias("candidate_count"), F.min("hit").alias("first_hit"), best.alias("_b")
+        )
+        .select(
+            *cols, "candidate_count", "first_hit", F.col("_b.s").alias("best_similarity"), F.col("_b.h").alias("best_hit")
+        )
     )
 
 
@@ -115,7 +139,24 @@ def match_account(
     bank: str = "bank_name",
     threshold: float = K.SIM_DISAMBIGUATE,
 ) -> DataFrame:
-    """Resolve each statement's account.
+    """Resolve each statement's account; see :func:`resolve_lookups` for the rule."""
+    resolved = resolve_lookups(_lookups(docs, account, bank), registry, threshold)
+    return _answer(docs, resolved, account, bank)
+
+
+def lookups(docs: DataFrame, account: str = "account", bank: str = "bank_name") -> DataFrame:
+    """Distinct (account text, bank name) questions of a set of statements."""
+    return _lookups(docs, account, bank)
+
+
+def answer(docs: DataFrame, resolved: DataFrame, account: str = "account", bank: str = "bank_name") -> DataFrame:
+    return _answer(docs, resolved, account, bank)
+
+
+def resolve_lookups(
+    look: DataFrame, registry: DataFrame, threshold: float = K.SIM_DISAMBIGUATE
+) -> DataFrame:
+    """Answers for distinct lookups.
 
     ``XXXXXX1234`` and ``***34`` forms look for accounts with that ending: one hit stands, several
     are settled by the bank name when it is similar enough. Other forms take the first registry row
@@ -125,33 +166,22 @@ def match_account(
     is_partial = F.startswith("_acct", F.lit("XXXXXX")) & (F.length("_acct") == 10)
     is_masked = F.startswith("_acct", F.lit("***")) & (F.length(digits) >= 2)
     kind = F.when(is_partial, "partial").when(is_masked, "masked")
-    look = (
-        _lookups(docs, account, bank)
-        .withColumn("_kind", kind)
-        .withColumn(
-            "_key",
-            F.when(is_partial, F.expr("right(_acct, 4)")).when(is_masked | (F.length(digits) >= 3), digits),
-        )
+    look = look.withColumn("_kind", kind).withColumn(
+        "_key",
+        F.when(is_partial, F.expr("right(_acct, 4)")).when(is_masked | (F.length(digits) >= 3), digits),
     )
     registry = registry.withColumn("account_number", F.trim("account_number"))
-    by_suffix = suffix_index(registry)
     by_account = _first_by(registry, F.col("account_number"), "_k1", "_exact")
     by_zero = _first_by(registry, strip_zeros("account_number"), "_k2", "_zero").where(F.col("_k2") != "")
     plain = F.col("_kind").isNull()
+    named = F.coalesce(F.col("_bank"), F.lit("")) != ""
     look = (
-        look.join(by_suffix, F.col("_key") == F.col("suffix"), "left")
+        suffix_hits(look, registry, ~plain & named)
         .join(by_account, plain & (F.col("_acct") == F.col("_k1")), "left")
         .join(by_zero, plain & (strip_zeros("_acct") == F.col("_k2")), "left")
     )
     n = F.coalesce(F.col("candidate_count"), F.lit(0))
-    named = F.coalesce(F.col("_bank"), F.lit("")) != ""
-    ambiguous = F.col("_kind").isNotNull() & (n > 1)
-    best = best_name_per_suffix(
-        look.where(ambiguous & named).select(F.col("_key").alias("suffix"), "_bank"), registry
-    ).withColumnRenamed("suffix", "_s2").withColumnRenamed("_bank", "_b2")
-    look = look.join(
-        best, ambiguous & (F.col("_key") == F.col("_s2")) & (F.col("_bank") == F.col("_b2")), "left"
-    )
+    ambiguous = ~plain & (n > 1)
 
     def ranked(hit, rank, name):
         return F.when(
@@ -176,7 +206,7 @@ def match_account(
         .otherwise(F.coalesce(first["t"], F.lit("none")))
     )
     hit = F.when(single, F.col("first_hit")).when(settled, F.col("best_hit")).when(plain, first["h"])
-    resolved = look.select(
+    return look.select(
         "_acct",
         "_bank",
         match_type.alias("match_type"),
@@ -197,7 +227,6 @@ def match_account(
         F.col("_hit.bank_name").alias("matched_bank"),
         F.col("_hit.routing_number").alias("matched_routing"),
     )
-    return _answer(docs, resolved, account, bank)
 
 
 def match_status(matched: DataFrame) -> DataFrame:
@@ -283,18 +312,9 @@ def match_routing(
         .withColumn("_plain", F.trim(mask_digits("_acct")))
         .withColumn("_key", F.when(masked, mask_digits("_acct")).otherwise(account_digits("_acct")))
     )
-    by_suffix = suffix_index(registry)
     by_account = _first_by(registry, F.trim("account_number"), "_k1", "_exact")
-    look = look.join(by_suffix, F.col("_key") == F.col("suffix"), "left").join(
-        by_account, F.col("_plain") == F.col("_k1"), "left"
-    )
+    look = suffix_hits(look, registry, F.col("_masked")).join(by_account, F.col("_plain") == F.col("_k1"), "left")
     ambiguous = F.col("_masked") & (F.coalesce(F.col("candidate_count"), F.lit(0)) > 1)
-    best = best_name_per_suffix(
-        look.where(ambiguous).select(F.col("_key").alias("suffix"), "_bank"), registry
-    ).withColumnRenamed("suffix", "_s2").withColumnRenamed("_bank", "_b2")
-    look = look.join(
-        best, ambiguous & (F.col("_key") == F.col("_s2")) & (F.col("_bank") == F.col("_b2")), "left"
-    )
     by_name = ambiguous & (F.coalesce(F.col("best_similarity"), F.lit(0.0)) > threshold)
     stage = (
         F.when(by_name, "masked_best_name")
@@ -412,30 +432,18 @@ def match_account_first(
     docs: DataFrame, registry: DataFrame, account: str = "account", bank: str = "bank_name"
 ) -> DataFrame:
     """Equal account, else best ending of 4+ digits (name breaks ties), else bank name alone."""
-    look = _lookups(docs, account, bank).withColumn("_key", account_digits("_acct"))
+    digits = account_digits("_acct")
+    look = _lookups(docs, account, bank).withColumn("_key", F.when(F.length(digits) >= 4, digits))
     by_account = _first_by(registry, F.col("account_number"), "_k1", "_exact")
-    by_suffix = suffix_index(registry)
-    look = look.join(by_account, F.col("_acct") == F.col("_k1"), "left").join(
-        by_suffix, (F.length("_key") >= 4) & (F.col("_key") == F.col("suffix")), "left"
-    )
     named = F.coalesce(F.col("_bank"), F.lit("")) != ""
+    look = suffix_hits(look, registry, named).join(by_account, F.col("_acct") == F.col("_k1"), "left")
     open_ = F.col("_exact").isNull()
-    ambiguous = open_ & named & (F.coalesce(F.col("candidate_count"), F.lit(0)) > 1)
-    best = best_name_per_suffix(
-        look.where(ambiguous).select(F.col("_key").alias("suffix"), "_bank"), registry
-    ).withColumnRenamed("suffix", "_s2").withColumnRenamed("_bank", "_b2")
-    look = look.join(
-        best, ambiguous & (F.col("_key") == F.col("_s2")) & (F.col("_bank") == F.col("_b2")), "left"
-    )
-    by_name = match_name(
-        look.where(open_ & F.col("first_hit").isNull()).select(F.col("_bank").alias("_nb")).distinct(), registry, "_nb"
-    )
-    by_name = by_name.where(F.col("matched_ordinal").isNotNull()).select(
-        F.col("_nb"), F.col("matched_routing").alias("_name_routing"), F.col("matched_ordinal").alias("_name_ordinal")
-    )
-    look = look.join(
-        by_name, open_ & F.col("first_hit").isNull() & (F.col("_bank") == F.col("_nb")), "left"
+    names = docs.select(F.col(bank).alias("_nb")).distinct()
+    by_name = match_name(names, registry, "_nb").where(F.col("matched_ordinal").isNotNull())
+    by_name = by_name.select(
+        "_nb", F.col("matched_routing").alias("_name_routing"), F.col("matched_ordinal").alias("_name_ordinal")
     )
+    look = look.join(by_name, open_ & F.col("first_hit").isNull() & (F.col("_bank") == F.col("_nb")), "left")
     partial = F.coalesce(F.col("best_hit"), F.col("first_hit"))
     resolved = look.select(
         "_acct",

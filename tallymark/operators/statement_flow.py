@@ -17,6 +17,7 @@ from tallymark.operators import banks as N
 from tallymark.operators import error_files as E
 from tallymark.operators import match as M
 from tallymark.operators import transactions as T
+from tallymark.session import work_dir
 
 ERRORS = {
     "multiple_accounts_low_similarity": "ERROR_MULTIPLE_ACCOUNTS_LOW_SIMILARITY",
@@ -37,8 +38,16 @@ def read_header(docs: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame, registry: DataFrame, as_of_date: str) -> DataFrame:
-    """Header fields with the registry answer and the outcome code (null when all is well)."""
-    m = M.match_account(headers, registry)
+    """Header fields with the registry answer and the outcome code (null when all is well).
+
+    The distinct lookups are written to the work folder first. They are few and small, and from
+    there on the plan no longer carries the extraction twice through every join.
+    """
+    spark = headers.sparkSession
+    path = work_dir(spark, "lookups")
+    M.lookups(headers).write.parquet(path)
+    answers = M.resolve_lookups(spark.read.parquet(path), registry)
+    m = M.answer(headers, answers)
     code = (
         F.when(F.coalesce(F.col("account"), F.lit("")) == "", "ERROR_NO_ACCOUNT")
         .when(F.coalesce(F.col("account_valid"), F.lit(False)), F.lit(None).cast("string"))

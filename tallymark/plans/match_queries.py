@@ -270,14 +270,12 @@ def sort_similarity(spark, sf):
 )
 def topk_match(spark, sf):
     d, r = W.detected(spark, sf), W.registry(spark, sf)
-    partial = d.where(
-        (F.startswith("account", F.lit("XXXXXX")) & (F.length("account") == 10)) | F.startswith("account", F.lit("***"))
-    ).where(F.col("bank_name").isNotNull())
-    keyed = partial.select("doc_id", F.col("bank_name").alias("_bank"), account_digits("account").alias("suffix"))
-    several = M.suffix_index(r).where(F.col("candidate_count") > 1).select("suffix")
-    looked = keyed.join(several, "suffix", "left_semi")
-    best = M.best_name_per_suffix(looked.select("suffix", "_bank"), r)
-    return looked.join(best, ["suffix", "_bank"]).select(
+    masked = F.startswith("account", F.lit("XXXXXX")) & (F.length("account") == 10) | F.startswith("account", F.lit("***"))
+    keyed = d.where(masked & F.col("bank_name").isNotNull()).select(
+        "doc_id", F.col("bank_name").alias("_bank"), account_digits("account").alias("_key")
+    )
+    best = M.suffix_hits(keyed, r, F.lit(True)).where(F.col("best_hit").isNotNull())
+    return best.select(
         "doc_id", F.col("best_hit.ordinal").alias("ordinal"), F.round("best_similarity", 6).alias("similarity")
     )
 
