@@ -235,10 +235,10 @@ def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("do
     t = F.col(text_col)
     # The whole text is searched only for documents whose header gave nothing.
     best = F.coalesce(F.array_min(_header_candidates(t)), F.array_min(_name_candidates(t, True)))
-    return (
-        docs.select(*key_cols, best.alias("_b"))
-        .where(F.col("_b").isNotNull())
-        .select(*key_cols, F.col("_b.name").alias("bank_name"), (~F.col("_b.later")).alias("from_header"))
+    # As a generator's output: a filter on a plain column would be pushed down and search twice.
+    found = F.filter(F.array(best), lambda b: b.isNotNull())
+    return docs.select(*key_cols, F.inline(found)).select(
+        *key_cols, F.col("name").alias("bank_name"), (~F.col("later")).alias("from_header")
     )
 
 

@@ -466,8 +466,8 @@ _ALL_LINES = f"""raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM n
 )
 def ext_bank_name_line(spark, sf):
     rows = L.lines_table(W.noisy_docs(spark, sf))
-    named = rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), B.bank_name_from_line("line").alias("bank_name"))
-    return named.where(F.col("bank_name").isNotNull())
+    name = F.array_compact(F.array(B.bank_name_from_line("line")))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.explode(name).alias("bank_name"))
 
 
 _BS = Q.inlist(K.BANK_STOP_WORDS)

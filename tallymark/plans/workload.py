@@ -31,6 +31,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(value: Column) -> Column:
+    """A built text as a generator's output: filters on it stay above, so it is built one time."""
+    return F.explode(F.array(value))
+
+
 def place(name: Column) -> Column:
     return F.translate(name, "_0123456789", " ABCDEFGHIJ")
 
@@ -188,7 +193,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
         ),
         "\n",
     )
-    return g.select("doc_id", "account", text.alias("text"))
+    return g.select("doc_id", "account", once(text).alias("text"))
 
 
 def bai2_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +263,7 @@ def bai2_files(spark: SparkSession, sf: str) -> DataFrame:
         ),
         "\n",
     )
-    return g.select(F.col("doc_id").alias("file_id"), "account", text.alias("text"))
+    return g.select(F.col("doc_id").alias("file_id"), "account", once(text).alias("text"))
 
 
 def noisy_docs(spark: SparkSession, sf: str) -> DataFrame:
