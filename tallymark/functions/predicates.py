@@ -23,6 +23,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_over(values: Column, body) -> Column:
+    """First non-null ``body(value, index)``; later values are not looked at once one is found."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.size(values) - 1),
+        F.lit(None).cast("string"),
+        lambda acc, i: F.coalesce(acc, body(F.get(values, i), i)),
+    )
+
+
 def strip(c) -> Column:
     """Trim every kind of whitespace from both ends."""
     return F.btrim(_col(c), F.lit(K.WHITESPACE))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import fixed as K
 from tallymark.functions.predicates import (
     account_fields,
+    first_over,
     is_phone_like,
     is_valid_account,
     is_valid_account_strict,
@@ -97,7 +98,7 @@ def _account_near_label(text: Column) -> Column:
                 lambda rest: F.when(rest.isNotNull(), F.coalesce(six_plus(rest, r"(\d{6,})"), *follow)),
             )
 
-        return _first(F.filter(F.transform(lines, at_label), lambda x: x.isNotNull()))
+        return first_over(lines, at_label)
 
     has_label = F.lower(text).rlike("|".join(K.ACCOUNT_LABEL_PATTERNS))
     return F.when(has_label, let(F.split(text, "\n"), search))
@@ -147,10 +148,6 @@ def _below_number(line: Column) -> Column:
     return F.when(hyphen != "", hyphen).when(F.length(run) >= 4, run)
 
 
-def _first_set(values: Column) -> Column:
-    return _first(F.filter(values, lambda x: x.isNotNull()))
-
-
 def account_from_lines(text) -> Column:
     """Header first (`ACCOUNT` alone, number below), then masks, endings and labels line by line."""
     t = _col(text)
@@ -170,7 +167,7 @@ def account_from_lines(text) -> Column:
             below = F.try_element_at(head, i + F.lit(2))
             return F.when(line.rlike(lone) & (below != ""), _leading_number(below, 4))
 
-        return _first_set(F.transform(head, under_lone_label))
+        return first_over(head, under_lone_label)
 
     def anywhere(lines):
         def on_line(line, i):
@@ -188,7 +185,7 @@ def account_from_lines(text) -> Column:
                 ),
             )
 
-        return _first_set(F.transform(lines, on_line))
+        return first_over(lines, on_line)
 
     def search(lines):
         return F.coalesce(let(F.slice(lines, 1, 30), in_header), anywhere(lines))
@@ -210,7 +207,7 @@ def account_after_label(text) -> Column:
             number = F.coalesce(here, below)
             return F.when(line.rlike(word), let(number, lambda n: F.when(F.length(n).between(4, 20), n)))
 
-        return _first_set(F.transform(lines, on_line))
+        return first_over(lines, on_line)
 
     return F.when(F.lower(t).contains("account"), let(F.transform(F.split(t, "\n"), strip), search))
 

@@ -29,8 +29,11 @@ def _record(code: str) -> str:
 
 def _first_fields(text: Column, code: str, last: bool = False) -> Column:
     """Fields of the first (or last) record of a kind in a piece of text, null when absent."""
-    hits = F.regexp_extract_all(text, F.lit(rf"(?dm)^({code}(?:,.*|/?))$"), F.lit(1))
-    line = F.try_element_at(hits, F.lit(-1 if last else 1))
+    pattern = rf"(?dm)^({code}(?:,.*|/?))$"
+    if last:
+        line = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    else:
+        line = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     return F.when(line.isNotNull(), record_fields(line))
 
 

@@ -139,11 +139,14 @@ def bank_name(text) -> Column:
     """First of the first five lines that yields a name, else the opening words."""
     t = _col(text)
     head = F.filter(
-        F.transform(F.slice(F.split(t, "\n"), 1, 5), strip),
+        F.transform(F.split(F.substring_index(t, "\n", 5), "\n"), strip),
         lambda x: (F.length(x) >= 3) & ~any_contains(F.lower(x), K.BANK_HEADER_SKIP_WORDS),
     )
-    names = F.filter(F.transform(head, bank_name_from_line), lambda x: x.isNotNull())
-    return F.coalesce(F.try_element_at(names, F.lit(1)), bank_name_from_words(t))
+    # The fold leaves the lines behind the first name alone.
+    first = F.aggregate(
+        head, F.lit(None).cast("string"), lambda acc, line: F.coalesce(acc, bank_name_from_line(line))
+    )
+    return F.coalesce(first, bank_name_from_words(t))
 
 
 # --- pattern form ---------------------------------------------------------------------
@@ -213,7 +216,7 @@ def _ranked(found: Column, later: bool) -> Column:
 
 
 def _header_candidates(text: Column) -> Column:
-    header = F.filter(F.slice(F.split(text, "\n"), 1, 10), lambda x: strip(x) != "")
+    header = F.filter(F.split(F.substring_index(text, "\n", 10), "\n"), lambda x: strip(x) != "")
     per_line = F.transform(
         header,
         lambda line: F.flatten(F.array(*[_pattern_matches(line, i) for i in range(len(K.BANK_NAME_PATTERNS))])),

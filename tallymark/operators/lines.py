@@ -101,4 +101,6 @@ def numbered(rows: DataFrame, key_cols, order_cols, out: str = "ref_num") -> Dat
 
 
 def record_fields(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, "/$", ""), ",", -1)
+    """Fields of one record; the closing slash is not part of the last one."""
+    body = F.when(F.endswith(line, F.lit("/")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    return F.split(body, ",", -1)

@@ -743,5 +743,5 @@ def set_dedupe_ci(spark, sf):
 )
 def limit_preview(spark, sf):
     return W.table(spark, sf, "documents").select(
-        "doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, 20), "\n").alias("preview")
+        "doc_id", F.substring_index("text", "\n", 20).alias("preview")
     )
