@@ -41,6 +41,11 @@ def any_contains(c: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def one_of(c: Column, words) -> Column:
+    """Membership in a fixed word list (words without commas), as one native call."""
+    return F.find_in_set(c, F.lit(",".join(words))) > 0
+
+
 def _one_char_only(c: Column) -> Column:
     return F.length(F.replace(c, F.substring(c, 1, 1), F.lit(""))) == 0
 
@@ -49,7 +54,7 @@ def _plain_account_ok(s: Column) -> Column:
     clean = F.regexp_replace(s, "[-_ ]", "")
     return (
         (F.length(clean) >= 4)
-        & ~F.lower(clean).isin(K.ACCOUNT_STOP_WORDS)
+        & ~one_of(F.lower(clean), K.ACCOUNT_STOP_WORDS)
         & clean.rlike(r"^[\p{L}\p{N}]+$")
         & ~_one_char_only(clean)
     )
@@ -235,4 +240,4 @@ def content_class(content) -> Column:
 
 def account_fields(raw_fields) -> Column:
     """Only the map entries whose name says they hold an account number."""
-    return F.map_filter(_col(raw_fields), lambda k, v: F.lower(k).isin(K.ACCOUNT_FIELD_NAMES))
+    return F.map_filter(_col(raw_fields), lambda k, v: one_of(F.lower(k), K.ACCOUNT_FIELD_NAMES))

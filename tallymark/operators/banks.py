@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import fixed as K
-from tallymark.functions.predicates import any_contains, is_valid_bank_name, let, strip
+from tallymark.functions.predicates import any_contains, is_valid_bank_name, let, one_of, strip
 from tallymark.functions.scalars import filename_date, loose_date, slash_date, yymmdd
 
 LINE_STOPS = K.BANK_STOP_WORDS + K.BANK_LINE_STOP_WORDS
@@ -29,11 +29,11 @@ def _bare(words: Column) -> Column:
 
 
 def _strong(w: Column) -> Column:
-    return F.coalesce(F.lower(w), F.lit("")).isin(K.BANK_STRONG_ENDINGS)
+    return one_of(F.coalesce(F.lower(w), F.lit("")), K.BANK_STRONG_ENDINGS)
 
 
 def _stop(w: Column) -> Column:
-    return F.coalesce(F.lower(w), F.lit("")).isin(LINE_STOPS)
+    return one_of(F.coalesce(F.lower(w), F.lit("")), LINE_STOPS)
 
 
 def _capital(w: Column) -> Column:
@@ -50,7 +50,7 @@ def _extension(word: Column, n1: Column, n2: Column, n3: Column) -> Column:
     adjective = low.isin("national", "federal") & _strong(n1)
     place = (
         n2.isNotNull()
-        & l1.isin(K.BANK_CONNECTORS)
+        & one_of(l1, K.BANK_CONNECTORS)
         & _capital(n2)
         & (F.length(n2) >= 3)
         & ~_stop(n2)
@@ -63,7 +63,7 @@ def _extension(word: Column, n1: Column, n2: Column, n3: Column) -> Column:
         .when(place, F.when(long_place, 3).otherwise(2))
         .when(_strong(n1), F.when(low.isin("credit", "savings"), F.when(joined, 3).otherwise(1)).otherwise(0))
         .when(and_ending, F.when(_strong(n3), 3).otherwise(2))
-        .when(low.isin(K.BANK_FINAL_ENDINGS), -1)
+        .when(one_of(low, K.BANK_FINAL_ENDINGS), -1)
         .otherwise(F.lit(-2))
     )
 
@@ -101,7 +101,7 @@ def bank_name_from_line(line) -> Column:
     """Bank name at the start of one line."""
     kept = F.filter(
         _bare(_words(_col(line))),
-        lambda w: ~w.rlike(r"^\p{Nd}+$") & ~w.isin(K.BANK_SYMBOL_TOKENS),
+        lambda w: ~w.rlike(r"^\p{Nd}+$") & ~one_of(w, K.BANK_SYMBOL_TOKENS),
     )
     return let(F.slice(kept, 1, NAME_WINDOW), _name_from_tokens)
 
@@ -110,7 +110,7 @@ def bank_name_from_words(text) -> Column:
     """Fallback over the first ten words: up to a stop word or through the first ending."""
 
     def first_at(words, names):
-        return F.array_position(F.transform(words, lambda w: F.lower(w).isin(names)), True)
+        return F.array_position(F.transform(words, lambda w: one_of(F.lower(w), names)), True)
 
     def named(run):
         stop_at, end_at = first_at(run, K.BANK_STOP_WORDS), first_at(run, K.BANK_STRONG_ENDINGS)
@@ -120,7 +120,7 @@ def bank_name_from_words(text) -> Column:
         return let(
             F.array_join(F.slice(run, 1, limit), " "),
             lambda name: F.when(
-                F.length(name).between(2, 80) & name.rlike(r"\p{L}") & ~F.lower(name).isin(K.BANK_STOP_WORDS), name
+                F.length(name).between(2, 80) & name.rlike(r"\p{L}") & ~one_of(F.lower(name), K.BANK_STOP_WORDS), name
             ),
         )
 
