@@ -34,7 +34,7 @@ def _first_fields(text: Column, code: str, last: bool = False) -> Column:
         line = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
     else:
         line = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.when(line.isNotNull(), record_fields(line))
+    return let(line, lambda x: F.when(x.isNotNull(), record_fields(x)))
 
 
 def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFrame:
