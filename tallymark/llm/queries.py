@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import exact_dedup, packing
+from tallymark.llm import exact_dedup, language, near_dedup, packing, resampling
 from tallymark.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), model)
 
 
+@query("op6_importance_resampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "log_ratio", "key", "kept")
+
+
+@query("op7_ftrl_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.identify(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op8_tree_merge_dedup",
     """
@@ -46,3 +58,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op9_hyperminhash_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
