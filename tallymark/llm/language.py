@@ -221,7 +221,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return predict(docs, train(known.select("doc_id", "text", "lang"), **options))
 
 
-def accepted(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.35, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least``, with all columns."""
     found = identify(docs, **options)
     gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("row").alias("__row"))

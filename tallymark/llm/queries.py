@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import exact_dedup, language, near_dedup, packing, resampling
+from tallymark.llm import bpe_words, exact_dedup, language, near_dedup, packing, resampling
 from tallymark.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_distinct_word_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    rows = bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe_words.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op3_cost_balanced_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
