@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe_words, exact_dedup, language, near_dedup, packing, resampling
+from tallymark.llm import bpe_words, exact_dedup, language, licenses, near_dedup, packing, resampling
+from tallymark.llm.license_texts import BASE_PHRASES, TEMPLATES
 from tallymark.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_diagonal_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), BASE_PHRASES, TEMPLATES)
