@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe_words, exact_dedup, language, licenses, near_dedup, packing, resampling
+from tallymark.llm import bpe_words, exact_dedup, language, licenses, near_dedup, packing, resampling, url_filter
 from tallymark.llm.license_texts import BASE_PHRASES, TEMPLATES
 from tallymark.llm.shared import table, tokenizer_path
 
@@ -83,3 +83,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_diagonal_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), BASE_PHRASES, TEMPLATES)
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op2_url_markov_ratio")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
