@@ -33,8 +33,8 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.explode(F.array(text)).alias("text"),
-    ).select(
+        F.array(text).alias("texts"),
+    ).select("run", "row", "doc_id", F.explode("texts").alias("text")).select(
         "run",
         "row",
         "doc_id",
