@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe_words, exact_dedup, language, licenses, line_dedup, near_dedup, packing, resampling, url_filter
+from tallymark.llm import ann, bpe_words, exact_dedup, language, licenses, line_dedup, near_dedup, packing, resampling, url_filter
 from tallymark.llm.license_texts import BASE_PHRASES, TEMPLATES
 from tallymark.llm.shared import table, tokenizer_path
 
@@ -102,3 +102,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fuzzy_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op4_pruned_graph_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
