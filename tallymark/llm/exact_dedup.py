@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import lower_ascii, stored
+from tallymark.llm.shared import lower_ascii, stored, without_rows
 
 DIGEST = ["digest", "second", "n_bytes"]
 
@@ -75,5 +75,4 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = groups(docs).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, groups(docs).where(~F.col("kept")).select("row"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import chunks
+from tallymark.llm.shared import chunks, without_rows
 from tallymark.llm.spans import GAP, LETTER, _classes, code_points, mix
 
 CHUNK = 300_000
@@ -224,5 +224,4 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.35, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least``, with all columns."""
     found = identify(docs, **options)
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("row"))

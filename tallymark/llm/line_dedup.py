@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
 from tallymark.llm.native_grams import exploded, pieces
-from tallymark.llm.shared import lower_ascii, stored
+from tallymark.llm.shared import free_name, lower_ascii, stored
 
 K, BANDS, ROWS = 12, 10, 3
 BINS = BANDS * ROWS
@@ -163,12 +163,10 @@ def deduplicate_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def cleaned(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all columns and rows stay."""
-    removed = deduplicate_lines(docs, least).where(F.size("removed") > 0).select(
-        F.col("row").alias("__row"), F.col("removed").alias("__removed")
-    )
-    both = docs.withColumn("__row", F.monotonically_increasing_id()).join(removed, "__row", "left")
-    kept = F.filter(
-        F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("__removed", F.array().cast("array<int>")), i)
-    )
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.withColumn("text", text).drop("__row", "__removed")
+    row, gone = free_name(docs, "row"), free_name(docs, "removed")
+    removed = deduplicate_lines(docs, least).where(F.size("removed") > 0)
+    removed = removed.select(F.col("row").alias(row), F.col("removed").alias(gone))
+    both = docs.withColumn(row, F.monotonically_increasing_id()).join(removed, row, "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return both.withColumn("text", text).select(docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import chunks, stored
+from tallymark.llm.shared import chunks, stored, without_rows
 from tallymark.llm.spans import mix, span_hashes, utf8
 
 CHUNK = 400_000
@@ -173,5 +173,4 @@ def resample(
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns."""
-    gone = resample(docs, labels, **options).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, resample(docs, labels, **options).where(~F.col("kept")).select("row"))

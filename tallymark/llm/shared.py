@@ -59,6 +59,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             yield batch.slice(start), texts[start:]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose number (in reading order) is in ``gone``, a one-column table."""
+    row = free_name(docs, "row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone.toDF(row), row, "left_anti").drop(row)
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
