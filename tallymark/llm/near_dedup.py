@@ -12,9 +12,12 @@ ASCII white space); with fewer words, the whole sequence is the one shingle. Set
    of similarity 0.85 in all 36 bands is about one in a million.
 3. Candidates pass an estimate of the similarity, corrected for registers that agree by chance, with
    five standard errors of slack, and are then verified on the full sets of their texts.
-4. A band's bucket is first compared with its smallest class only, so a large group costs one pair
-   per member. Verified links are joined to components. Pairs of one bucket that are still in
-   different components are compared as well, all of them, so no link between components is lost.
+4. A band's bucket is first compared with one class only, so a large group costs one pair per
+   member. Verified links are joined to components; buckets that still hold several components take
+   another class in the next of ``STARS`` rounds. What then remains in different components is compared
+   in full, block by block: each task holds two blocks of ``BLOCK`` classes and returns at most the
+   links that join their components. Blocks of one component are left out. So no link between
+   components is lost, and no pairs of a group are written out.
 5. Components of all links by distributed union-find; every row gets the smallest identifier.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows
@@ -30,15 +33,17 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
-from tallymark.llm.shared import chunks, stored
+from tallymark.llm.shared import chunks, stored, without_rows
 from tallymark.llm.spans import mix, span_hashes, utf8
 
 REGISTERS, ROWS, MANTISSA = 256, 7, 10
 ROUNDS = 24
+STARS = 3
+BLOCK = 128
 CHUNK = 400_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -216,12 +221,17 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a binary, b binary")
 
 
+def class_texts(digests: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, text) of the asked classes, written once."""
+    rows = classes.select("digest", "row").join(digests, "digest")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    return stored(own.join(rows, "row").select("digest", "text"), "candidate-texts")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on the full sets of their texts."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    rows = classes.select("digest", "row").join(needed, "digest")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    texts = stored(own.join(rows, "row").select("digest", "text"), "candidate-texts")
+    texts = class_texts(needed, classes, docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,6 +250,72 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     )
 
 
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, digest, root) of the buckets that hold several components."""
+    labelled = members.join(roots.toDF("digest", "root"), "digest", "left").select(
+        "key", "digest", F.coalesce("root", "digest").alias("root")
+    )
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return labelled.join(mixed.select("key"), "key", "left_semi")
+
+
+def common_counts(hashes: np.ndarray, offsets: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of a block with each other."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    _, which, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = often[which] > 1
+    owner, which = owner[shared], which[shared]
+    _, which = np.unique(which, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    out = np.zeros((n, n), np.int64)
+    for first in range(0, int(which[-1]) + 1 if len(which) else 0, width):
+        part = slice(*np.searchsorted(which, [first, first + width]))
+        table = np.zeros((n, width), np.float32)
+        table[owner[part], which[part] - first] = 1
+        out += (table @ table.T).astype(np.int64)
+    return out
+
+
+def linked_in_blocks(still: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) that join components of one bucket, from all pairs of its blocks."""
+    order = Window.partitionBy("key").orderBy("root", "digest")
+    placed = still.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    placed = stored(placed, "open-blocks")
+    spans = placed.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    one, two = spans.toDF("key", "i", "lo_i", "hi_i"), spans.toDF("key", "j", "lo_j", "hi_j")
+    mixed = "i <= j and (lo_i != hi_i or lo_j != hi_j or lo_i != lo_j)"
+    tasks = one.join(two, "key").where(mixed)
+    rows = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    texts = class_texts(still.select("digest").distinct(), classes, docs)
+    rows = rows.join(placed, ["key", "block"]).join(texts, "digest").select("key", "i", "j", "digest", "root", "text")
+
+    def work(group: pa.Table) -> pa.Table:
+        digests, roots = group.column("digest").to_pylist(), group.column("root").to_pylist()
+        hashes, offsets = shingle_sets(group.column("text").to_pylist(), words)
+        both = common_counts(hashes, offsets)
+        sizes = np.diff(offsets)
+        union = sizes[:, None] + sizes[None] - both
+        label = {r: r for r in roots}
+
+        def top(r: bytes) -> bytes:
+            while label[r] != r:
+                r = label[r]
+            return r
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(np.triu(100 * both >= percent * union, 1))):
+            p, q = top(roots[x]), top(roots[y])
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                a.append(digests[x])
+                b.append(digests[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(work, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """Each row of ``docs``: row, doc_id, n_shingles, component_id, kept."""
     prints = stored(fingerprints(docs, words), "fingerprints")
@@ -264,20 +340,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     first = stored(estimated(stars.distinct(), classes, percent), "candidates")
     links = stored(verified(first, classes, docs, percent, words), "links")
     roots = components(links)
-
-    labelled = members.join(roots.toDF("digest", "root"), "digest", "left").select(
-        "key", "digest", F.coalesce("root", "digest").alias("root")
-    )
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "open-members")
-    x, y = still.toDF("key", "a", "root_a"), still.toDF("key", "b", "root_b")
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(estimated(across.join(first, ["a", "b"], "left_anti"), classes, percent), "candidates")
-    if not second.isEmpty():
-        more = stored(verified(second, classes, docs, percent, words), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    for turn in range(1, STARS):
+        still = stored(open_members(members, roots), "open-members")
+        if still.isEmpty():
+            break
+        hub = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest", "root")).alias("hub"))
+        stars = still.join(hub, "key").where(F.col("root") != F.col("hub.root")).select(
+            F.col("hub.digest").alias("a"), F.col("digest").alias("b")
+        )
+        near = stored(estimated(stars.distinct(), classes, percent), "candidates")
+        links = links.union(stored(verified(near, classes, docs, percent, words), "links"))
+        roots = components(links)
+    still = stored(open_members(members, roots), "open-members")
+    if not still.isEmpty():
+        links = links.union(stored(linked_in_blocks(still, classes, docs, percent, words), "links"))
+        roots = components(links)
 
     group = classes.join(roots.toDF("digest", "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = group.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("rows"))
@@ -293,5 +370,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
 
 def deduplicate(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all columns."""
-    gone = near_duplicates(docs, percent, words).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, near_duplicates(docs, percent, words).where(~F.col("kept")).select("row"))
