@@ -134,12 +134,12 @@ def is_valid_bank_name(c) -> Column:
 def incoming_path(subject, url) -> Column:
     """Path below the container taken from an event, null when the event is not for us."""
     parts = F.split(_col(subject), "/")
-    below = F.array_join(F.slice(parts, 7, 1000), "/")
+    below = F.array_join(F.slice(parts, F.lit(7), F.size(parts)), "/")
     url_parts = F.split(_col(url), "/")
     from_subject = F.when(
         (F.size(parts) >= 7) & F.contains(_col(subject), F.lit(K.INCOMING_FOLDER)), below
     )
-    from_url = F.array_join(F.slice(url_parts, 5, 1000), "/")
+    from_url = F.array_join(F.slice(url_parts, F.lit(5), F.size(url_parts)), "/")
     path = F.when(F.coalesce(_col(subject), F.lit("")) != "", from_subject).otherwise(from_url)
     return F.when(F.startswith(path, F.lit(K.INCOMING_FOLDER + "/")), path)
 
@@ -206,12 +206,13 @@ def volume_class(n) -> Column:
 
 
 def content_class(content) -> Column:
-    """Kind of a downloaded file from its first bytes (binary column)."""
+    """Kind of a downloaded file (binary column). JSON is judged by both ends of the whole value, the
+    delimiter of CSV by its first ``K.SNIFF_BYTES`` bytes."""
     b = _col(content)
     head = F.substring(b, 1, 1000)
-    text = F.decode(F.substring(b, 1, 2000), "ISO-8859-1")
+    text = F.decode(F.substring(b, 1, K.SNIFF_BYTES), "ISO-8859-1")
+    whole = strip(F.decode(b, "ISO-8859-1"))
     hex8 = F.hex(F.substring(b, 1, 8))
-    head_text = strip(F.decode(head, "ISO-8859-1"))
     per_line = lambda ch: (
         F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
     ) / (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))))
@@ -226,8 +227,8 @@ def content_class(content) -> Column:
         )
         .when(hex8 == "D0CF11E0A1B11AE1", "xls")
         .when(
-            (F.startswith(head_text, F.lit("{")) & F.endswith(strip(text), F.lit("}")))
-            | (F.startswith(head_text, F.lit("[")) & F.endswith(strip(text), F.lit("]"))),
+            (F.startswith(whole, F.lit("{")) & F.endswith(whole, F.lit("}")))
+            | (F.startswith(whole, F.lit("[")) & F.endswith(whole, F.lit("]"))),
             "json",
         )
         .when(ascii_head & has_line & (per_line(",") > 1), "csv_comma")

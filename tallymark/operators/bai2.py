@@ -47,7 +47,7 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             _field(f, 2).alias("amount"),
             _field(f, 4).alias("ref_num"),
             _field(f, 6).alias("description_field"),
-            F.array_join(F.slice(f, 7, 100000), ",").alias("description_rest"),
+            F.array_join(F.slice(f, F.lit(7), F.size(f)), ",").alias("description_rest"),
         )
 
     def entry(line):

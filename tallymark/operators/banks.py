@@ -166,7 +166,7 @@ def _title(s: Column) -> Column:
     by_part = F.array_join(
         F.transform(
             parts,
-            lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 10**6))),
+            lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p)))),
         ),
         "",
     )

@@ -133,9 +133,9 @@ def output_name(name, text) -> Column:
     return F.concat(F.when(file_status(text) == "ERROR", "ERROR_").otherwise(""), stem, F.lit(".bai"))
 
 
-def diagnostics(candidates: Column, bank: Column, n_lines: Column) -> Column:
-    """Report lines of a statement whose account is missing; lists up to ten candidates."""
-    shown = F.slice(candidates, 1, 10)
+def diagnostics(candidates: Column, bank: Column, n_lines: Column, most: int | None = None) -> Column:
+    """Report lines of a statement whose account is missing; lists all candidates, or ``most`` of them."""
+    shown = candidates if most is None else F.slice(candidates, 1, most)
     return F.array(
         F.concat(F.lit("Bank Names Found: "), F.coalesce(bank, F.lit("Unknown"))),
         F.concat(

@@ -271,7 +271,7 @@ def fn_similarity(spark, sf):
     return pairs.distinct().withColumn("similarity", F.round(ratio("detected", "registered"), 6))
 
 
-_RAW = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), '/') WHEN 1 THEN text ELSE substr(text, 1, 200) END"
+_RAW = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), '/') WHEN 1 THEN text ELSE replace(text, ' ', chr(9)) END"
 _CHANGED = f"{Q.sanitize(_RAW)} <> {_RAW}"
 
 
@@ -285,7 +285,7 @@ _CHANGED = f"{Q.sanitize(_RAW)} <> {_RAW}"
 def fn_sanitize(spark, sf):
     k = F.col("doc_id") % 3
     raw = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("/"))).when(k == 1, F.col("text")).otherwise(
-        F.substring("text", 1, 200)
+        F.replace("text", F.lit(" "), F.lit("\t"))
     )
     d = W.table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
     return d.select(

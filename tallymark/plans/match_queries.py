@@ -255,13 +255,10 @@ def rank_similarity(spark, sf):
     return _ranked(spark, sf)
 
 
-@query("sort_similarity", _RANK + ", CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS INTEGER) AS place FROM s QUALIFY place <= 25")
+@query("sort_similarity", _RANK + " FROM s ORDER BY score DESC, ordinal")
 def sort_similarity(spark, sf):
-    from pyspark.sql import Window
-
-    # Only the 25 rows of the report reach the single-partition numbering.
-    top = _ranked(spark, sf).limit(25)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "ordinal")))
+    """The whole ranking, range-partitioned by the sort."""
+    return _ranked(spark, sf).orderBy(F.desc("score"), "ordinal")
 
 
 @query(
@@ -337,15 +334,24 @@ def flt_keyword(spark, sf):
     )
 
 
+_ORDER_COLUMNS = [
+    ("o_orderkey", "bigint"),
+    ("o_custkey", "bigint"),
+    ("o_orderstatus", "string"),
+    ("o_totalprice", "double"),
+    ("o_orderdate", "timestamp_ntz"),
+    ("o_orderpriority", "string"),
+]
+
+
 @query(
     "agg_profile",
     "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
-        + (f"round(avg({c}), 4)" if t != "string" else "CAST(NULL AS DOUBLE)")
+        + (f"round(avg({c}), 4)" if t in ("bigint", "double") else "CAST(NULL AS DOUBLE)")
         + " AS mean FROM orders"
-        for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))
+        for c, t in _ORDER_COLUMNS
     ) + ")",
 )
 def agg_profile(spark, sf):
-    o = W.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return G.profile(o).withColumn("mean", F.round("mean", 4))
+    return G.profile(W.table(spark, sf, "orders")).withColumn("mean", F.round("mean", 4))

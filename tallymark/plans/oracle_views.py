@@ -1,6 +1,6 @@
 """The workload views as DuckDB common table expressions, for checking results."""
 
-from tallymark.plans.workload import SHEET
+from tallymark.plans.workload import PAGE
 
 PLACE = "translate({0}, '_0123456789', ' ABCDEFGHIJ')"
 MONEY = "format('{{:,.2f}}', CAST({0} / 100.0 AS DOUBLE))"
@@ -46,7 +46,8 @@ DETECTED = f"""detected AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 LEDGER = f"""ledger AS (
-  SELECT 'S' || CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey // {SHEET} AS VARCHAR) AS doc_id,
+  SELECT concat_ws('-', 'S' || o_custkey, year(o_orderdate) // 10,
+      o_orderkey % ((count(*) OVER (PARTITION BY o_custkey, year(o_orderdate) // 10) + {PAGE} - 1) // {PAGE})) AS doc_id,
     o_custkey AS account, o_orderkey AS txn_id, CAST(o_orderdate AS DATE) AS txn_date,
     CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
     CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents,

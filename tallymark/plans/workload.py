@@ -4,9 +4,9 @@ The tables hold orders, customers, suppliers and free texts, not statements. The
 the shapes the operators expect: suppliers become the registry, orders the ledger, ledgers the
 printed statements and BAI2 files (with faults), documents the noisy texts.
 
-A statement is an account and a sheet, a range of ``SHEET`` transaction numbers. An account that
-holds a third of all orders is thereby spread over many statements, none of which can have more
-than ``SHEET`` lines: grouping by statement is bounded, whatever the skew.
+A statement is an account, a calendar decade and a page. Accounts with more than ``PAGE`` transactions
+in a decade, counted first, are dealt to numbered pages, so an account that holds a third of all
+orders is spread over many statements and grouping by statement is bounded, whatever the skew.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import money_text
 
-SHEET = 65536
+PAGE = 20000
 DAY = "250701"
 
 
@@ -24,13 +24,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Texts over all cores. Only a table read in fewer pieces than there are cores is moved; a
-    table of many files is already spread and keeps its plan without an exchange."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(value: Column) -> Column:
     """A built text as a generator's output: filters on it stay above, so it is built one time."""
     return F.explode(F.array(value))
@@ -112,10 +105,13 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     debit = F.col("o_orderstatus") == "F"
+    o = o.withColumn("decade", F.expr("year(o_orderdate) div 10"))
+    hot = o.groupBy(F.col("o_custkey").alias("hot_key"), F.col("decade").alias("hot_decade")).count()
+    hot = hot.where(F.col("count") > PAGE).withColumn("pages", F.ceil(F.col("count") / PAGE))
+    o = o.join(hot, (F.col("o_custkey") == F.col("hot_key")) & (F.col("decade") == F.col("hot_decade")), "left")
+    page = F.coalesce(F.col("o_orderkey") % F.col("pages"), F.lit(0))
     return o.select(
-        F.concat(
-            F.lit("S"), F.col("o_custkey").cast("string"), F.lit("-"), F.expr(f"o_orderkey div {SHEET}").cast("string")
-        ).alias("doc_id"),
+        F.concat_ws("-", F.concat(F.lit("S"), F.col("o_custkey")), F.col("decade"), page).alias("doc_id"),
         F.col("o_custkey").alias("account"),
         F.col("o_orderkey").alias("txn_id"),
         F.to_date("o_orderdate").alias("txn_date"),
@@ -268,7 +264,7 @@ def bai2_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def noisy_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents under a statement header in one of many printed forms."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     acct = F.lpad((k * 37 + 1000003).cast("string"), 10, "0")
     last4 = _right(acct, 4)

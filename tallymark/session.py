@@ -20,6 +20,7 @@ def build_session(cores: int | str = "*", name: str = "tallymark") -> SparkSessi
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("TALLYMARK_SHARED") or tempfile.mkdtemp(prefix="tallymark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,8 +28,11 @@ def build_session(cores: int | str = "*", name: str = "tallymark") -> SparkSessi
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """New folder below the shared checkpoint folder. A session of one machine may go without the
+    setting; on a cluster, where executors don't see each other's disks, it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallymark-")
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymark.functions import fixed as K
 from tallymark.functions.predicates import incoming_path
@@ -72,6 +73,27 @@ def append_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def updates_once(stream: DataFrame, out: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run a windowed count over what is there and return every window, also those that the watermark
+    hasn't closed: each micro-batch writes the windows it changed, the last word on each window counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(stream.columns)
+
+
 def dedupe_events(events: DataFrame, in_flight: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Drop an event whose (path, eTag) is still in flight; a later replay passes again."""
     return events.withWatermark(ts, in_flight).dropDuplicatesWithinWatermark(["path", "eTag"])

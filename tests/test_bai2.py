@@ -151,3 +151,10 @@ def test_error_file(spark):
 def test_routing_and_fence(column):
     assert column(E.file_status("s"), ["03,ERROR,USD", "x ERROR_NO_ACCOUNT", "03,1"]) == ["ERROR", "ERROR", "OK"]
     assert column(E.strip_fence("s"), ["```\nsay\n01,a/\n98,\n99,0/\n```", "01,x/"]) == ["01,a/\n98,\n99,0/", "01,x/"]
+
+
+def test_long_description_is_kept_whole(spark):
+    tail = ",".join(f"d{i}" for i in range(100_050))
+    text = f"01,A,B,250630,1200,1,,,2/\n02,B,A,1,250630,,USD,2/\n03,1,USD,010,,,Z/\n16,301,1,Z,1,,{tail}/\n49,1,1/\n98,0,0,0/\n99,0,0,0/"
+    e = B.entries_view(B.parse(spark.createDataFrame([("l", text)], "file_id string, text string"))).collect()
+    assert [r.description_rest for r in e] == [tail]

@@ -66,10 +66,11 @@ def test_content_class(spark):
     values = [
         b"<!DOCTYPE html>", b"PK\x03\x04....xl/workbook", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b' {"a": 1}\n', b"a,b,c\nd,e,f\n",
         b"a;b;c\nd;e;f\n", b"a\tb\tc\nd\te\tf\n", b"plain\n", b"caf\xe9",
+        b"\n{" + b'"k": 1,\n' * 2000 + b'"z": 2}', b"{" + b"a,b,c\n" * 2000,
     ]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, b binary")
     got = [r[0] for r in df.orderBy("i").select(P.content_class("b")).collect()]
-    assert got == ["html", "xlsx", "xls", "json", "csv_comma", "csv_semicolon", "csv_tab", "text", "unknown"]
+    assert got == ["html", "xlsx", "xls", "json", "csv_comma", "csv_semicolon", "csv_tab", "text", "unknown", "json", "csv_comma"]
 
 
 def test_json_orients(spark, tmp_path):
@@ -96,3 +97,11 @@ def test_contract(spark):
     assert [r.parse_status for r in p.orderBy("i").collect()] == ["complete", "recovered", "failed"]
     t = {r.i: (r.amount_cents, r.description) for r in C.statement_transactions(p, ("i",)).collect()}
     assert t == {0: (-525, 'a [b] " c'), 1: (150, "x")}
+
+
+def test_long_paths_keep_all_parts(spark):
+    tail = "/".join(f"p{i}" for i in range(1500))
+    subject = "/blobServices/default/containers/data/blobs/incoming-bank-statements/" + tail
+    url = "https://store.example.com/data/incoming-bank-statements/" + tail
+    df = spark.createDataFrame([(0, subject, ""), (1, "", url)], "i int, s string, u string")
+    assert {r[0] for r in df.select(P.incoming_path("s", "u")).collect()} == {"incoming-bank-statements/" + tail}
