@@ -22,6 +22,7 @@ from tallymark.functions.predicates import (
     let,
     strip,
 )
+from tallymark.operators.lines import counted
 
 
 def _col(c) -> Column:
@@ -330,23 +331,25 @@ def _tagged(hits: Column, value: str, **tags) -> Column:
     )
 
 
-def account_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    """Every account-like token with its class, duplicates kept."""
+def account_token_array(text_col: str = "text") -> Column:
+    """Every account-like token of a text with its class, duplicates kept."""
     upper = F.upper(text_col)
     found = []
     for cls, pattern in K.FREQUENCY_PATTERNS:
         ok = is_valid_account if cls == "numeric" else (lambda m: _n_digits(m) >= 3)
         hits = F.filter(_all(upper, pattern, "U"), ok)
         found.append(_tagged(hits, "token", **{"class": cls}))
-    return docs.select(*key_cols, F.explode(F.concat(*found)).alias("_x")).select(
-        *key_cols, "_x.class", "_x.token"
-    )
+    return F.concat(*found)
+
+
+def account_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """Every account-like token as a row."""
+    return docs.select(*key_cols, F.inline(account_token_array(text_col)))
 
 
 def account_frequency(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    return account_tokens(docs, text_col, key_cols).groupBy(*key_cols, "class", "token").agg(
-        F.count("*").alias("n")
-    )
+    """How often each token occurs in its document, counted in the row."""
+    return docs.select(*key_cols, F.inline(counted(account_token_array(text_col), "_t"))).select(*key_cols, "_t.*", "n")
 
 
 def number_candidates(text) -> Column:
@@ -354,24 +357,45 @@ def number_candidates(text) -> Column:
     return F.filter(_all(_col(text), r"\b(\d{4,})\b", "U"), lambda m: F.length(m) >= 6)
 
 
-def account_scan(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    """Line report: number, pattern and line number for labelled lines and partial forms."""
-    lines = docs.select(
-        *key_cols, F.posexplode(F.split(F.lower(text_col), "\n")).alias("_p", "_l")
-    ).where(F.col("_l").rlike(r"account|acct|ending|last\s+four|xxxx|\*{4}"))
-    labelled = F.col("_l").rlike("account|acct|ending")
+def _with(tags: list[Column], name: str):
+    return lambda m: F.struct(*tags, m.alias(name))
+
+
+def _line_hits(line: Column, place: Column) -> Column:
+    """All hits of one lower-cased line."""
+    labelled = line.rlike("account|acct|ending")
     found = []
     for kind, patterns in (("labelled", K.SCAN_PATTERNS), ("partial", K.SCAN_PARTIAL_PATTERNS)):
         for i, p in enumerate(patterns):
-            hits = _all(strip("_l"), p, "")
+            hits = _all(strip(line), p, "")
             if kind == "labelled":
                 hits = F.when(labelled, F.filter(hits, lambda m: F.length(m) >= 4)).otherwise(
                     F.array().cast("array<string>")
                 )
-            found.append(_tagged(hits, "number", kind=kind, pattern_no=i + 1))
-    return lines.select(
-        *key_cols, (F.col("_p") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("_x")
-    ).select(*key_cols, "line_no", "_x.kind", "_x.pattern_no", "_x.number")
+            tags = [F.lit(kind).alias("kind"), F.lit(i + 1).alias("pattern_no"), place.alias("line_no")]
+            found.append(F.transform(hits, _with(tags, "number")))
+    return F.concat(*found)
+
+
+def account_scan_array(text_col: str = "text") -> Column:
+    """Hits (kind, pattern_no, line_no, number) on labelled lines and partial forms."""
+    marked = F.transform(F.split(F.lower(text_col), "\n"), lambda x, i: F.struct(i.alias("p"), x.alias("l")))
+    near = F.filter(marked, lambda e: e["l"].rlike(r"account|acct|ending|last\s+four|xxxx|\*{4}"))
+    return F.flatten(F.transform(near, lambda e: _line_hits(e["l"], e["p"] + 1)))
+
+
+def account_scan(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """Line report: number, pattern and line number."""
+    return docs.select(*key_cols, F.inline(account_scan_array(text_col))).select(
+        *key_cols, "line_no", "kind", "pattern_no", "number"
+    )
+
+
+def first_scanned(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """The number of the first hit by kind, pattern, line and value, chosen in the row."""
+    first = F.array_min(account_scan_array(text_col))
+    found = F.filter(F.array(first), lambda b: b.isNotNull())
+    return docs.select(*key_cols, F.inline(found)).select(*key_cols, "number")
 
 
 def routing_from_text(text, low=None) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import fixed as K
 from tallymark.functions.predicates import is_yymmdd, let
 from tallymark.functions.scalars import int_cents, sanitize, sanitize_reasons
-from tallymark.operators.lines import record_fields
+from tallymark.operators.lines import counted, record_fields
 
 
 def _field(fields: Column, i: int, default: str = "") -> Column:
@@ -470,11 +470,10 @@ def audit(fixed: DataFrame, key_cols=("file_id",), col: str = "bai2") -> DataFra
 
 
 def record_types(files: DataFrame, key_cols=("file_id",), text_col: str = "text") -> DataFrame:
-    """Records by type code. Counted inside the row's lines first, then combined."""
-    lines = files.select(
-        *key_cols, F.explode(F.split(F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n"), "\n")).alias("_l")
-    ).where(F.trim("_l") != "")
-    return lines.groupBy(*key_cols, F.substring_index("_l", ",", 1).alias("rec")).agg(F.count("*").alias("n"))
+    """Records by type code, counted in the row."""
+    lines = F.split(F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n"), "\n")
+    codes = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.substring_index(x, ",", 1))
+    return files.select(*key_cols, F.inline(counted(codes, "rec")))
 
 
 def violations(parsed: DataFrame, key_cols=("file_id",), text_col: str = "text", col: str = "bai2",

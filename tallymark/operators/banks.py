@@ -245,16 +245,17 @@ def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("do
     )
 
 
-def distinct_ignore_case(rows: DataFrame, key_cols, value: str, pos: str = "pos") -> DataFrame:
-    """Distinct values per key ignoring case, the first spelling kept.
-
-    An aggregate, so copies are folded before the shuffle and no key is sorted in one place.
-    """
-    first = F.min(F.struct(F.col(pos), F.col(value)))
-    return (
-        rows.groupBy(*key_cols, F.lower(value).alias("_low"))
-        .agg(first.alias("_f"))
-        .select(*key_cols, f"_f.{pos}", f"_f.{value}")
+def distinct_ignore_case(values: Column, name: str) -> Column:
+    """Array of (pos, name): the distinct values ignoring case, the first spelling kept. In the row."""
+    folded = F.array_sort(
+        F.transform(values, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("pos"), x.alias("x")))
+    )
+    return let(
+        folded,
+        lambda s: F.transform(
+            F.filter(s, lambda e, i: (i == 0) | ~F.get(s, i - 1)["low"].eqNullSafe(e["low"])),
+            lambda e: F.struct(e["pos"].alias("pos"), e["x"].alias(name)),
+        ),
     )
 
 
@@ -301,8 +302,8 @@ DATE_TOKEN = (
 )
 
 
-def date_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    """Each date occurrence with its line, the lines around it and its normal form."""
+def date_token_array(text_col: str = "text") -> Column:
+    """Each date occurrence of a text with its line and the lines around it."""
     token = r"(?<![\d/])" + DATE_TOKEN + r"(?![\d/])"
 
     def search(lines):
@@ -322,19 +323,29 @@ def date_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -
             )
         )
 
+    return let(F.split(F.col(text_col), "\n"), search)
+
+
+def date_tokens(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """Each date occurrence as a row, with its normal form."""
     return (
-        docs.select(*key_cols, F.explode(let(F.split(F.col(text_col), "\n"), search)).alias("_x"))
+        docs.select(*key_cols, F.explode(date_token_array(text_col)).alias("_x"))
         .select(*key_cols, "_x.*")
         .withColumn("normalized", loose_date("token"))
     )
 
 
-def date_summary(tokens: DataFrame, key_cols=("doc_id",)) -> DataFrame:
-    """Distinct tokens, dates and years per document (bounded by the document's own length)."""
-    return tokens.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_set("token")).alias("raw_date_tokens"),
-        F.sort_array(F.collect_set("normalized")).alias("normalized_dates"),
-        F.sort_array(F.collect_set(F.year("normalized"))).alias("years_detected"),
-        F.min("normalized").alias("period_start"),
-        F.max("normalized").alias("period_end"),
+def date_summary(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
+    """Distinct tokens, dates and years of every document that has any, found in its row."""
+    tokens = F.array_distinct(F.col("_t.token"))
+    found = docs.select(*key_cols, date_token_array(text_col).alias("_t")).where(F.size("_t") > 0)
+    found = found.select(*key_cols, F.sort_array(tokens).alias("raw_date_tokens"))
+    dates = F.sort_array(F.array_distinct(F.array_compact(F.transform("raw_date_tokens", loose_date))))
+    return found.withColumn("normalized_dates", dates).select(
+        *key_cols,
+        "raw_date_tokens",
+        "normalized_dates",
+        F.sort_array(F.array_distinct(F.transform("normalized_dates", F.year))).alias("years_detected"),
+        F.array_min("normalized_dates").alias("period_start"),
+        F.array_max("normalized_dates").alias("period_end"),
     )

@@ -187,8 +187,7 @@ def agg_record_types(spark, sf):
       SELECT file_id, pos, rec, CASE WHEN rec = '02' OR coalesce(g, -1) >= 0 THEN n02 END AS group_no, CASE WHEN opens OR (coalesce(acc, -1) >= 0 AND rec IN ('16', '49')) THEN n03 END AS account_no FROM c""",
 )
 def win_hierarchy(spark, sf):
-    rows = L.lines_table(W.bai2_files(spark, sf), key_cols=("file_id",)).where(F.trim("line") != "")
-    return L.with_hierarchy(rows.select("file_id", "pos", F.substring_index("line", ",", 1).alias("rec")))
+    return L.with_hierarchy(L.record_arrays(W.bai2_files(spark, sf)))
 
 
 @query(

@@ -630,7 +630,7 @@ def fn_date_tokens(spark, sf):
       CAST(min(normalized) AS VARCHAR) AS period_start, CAST(max(normalized) AS VARCHAR) AS period_end FROM toks GROUP BY doc_id""",
 )
 def fn_date_summary(spark, sf):
-    s = B.date_summary(B.date_tokens(W.noisy_docs(spark, sf)))
+    s = B.date_summary(W.noisy_docs(spark, sf))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c)
     return s.select(
         "doc_id", join("raw_date_tokens"), join("normalized_dates"), join("years_detected"),
@@ -646,7 +646,7 @@ _STMT_LINES = V.ctes("statements", extra=_SL)
 
 
 def _statement_lines(spark, sf):
-    return L.lines_table(W.statements(spark, sf), clean=True)
+    return L.line_arrays(W.statements(spark, sf), clean=True)
 
 
 @query(
@@ -656,7 +656,7 @@ def _statement_lines(spark, sf):
        OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM sl""",
 )
 def win_section(spark, sf):
-    return L.with_section(_statement_lines(spark, sf))
+    return L.explode_lines(L.with_section(_statement_lines(spark, sf)))
 
 
 @query(
@@ -666,7 +666,7 @@ def win_section(spark, sf):
        OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS segment FROM sl""",
 )
 def win_segment(spark, sf):
-    return L.with_segment(_statement_lines(spark, sf))
+    return L.explode_lines(L.with_segment(_statement_lines(spark, sf)))
 
 
 @query(
@@ -675,7 +675,7 @@ def win_segment(spark, sf):
     + "SELECT doc_id, pos, line, lead(line, 1) OVER w AS next_1, lead(line, 2) OVER w AS next_2, lead(line, 3) OVER w AS next_3 FROM sl WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
 )
 def win_lookahead(spark, sf):
-    return L.with_next_lines(_statement_lines(spark, sf))
+    return L.explode_lines(L.with_next_lines(_statement_lines(spark, sf)))
 
 
 @query(
@@ -687,7 +687,7 @@ def win_lookahead(spark, sf):
       SELECT * FROM r WHERE from_top <= 10 OR from_end <= 10""",
 )
 def win_head_tail(spark, sf):
-    return L.edge_balance_lines(L.lines_table(W.noisy_docs(spark, sf)))
+    return L.edge_balance_lines(L.line_arrays(W.noisy_docs(spark, sf)))
 
 
 @query(
@@ -699,9 +699,7 @@ def win_head_tail(spark, sf):
       SELECT doc_id, number FROM (SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY kind, pattern_no, line_no, number) AS r FROM hits) WHERE r = 1""",
 )
 def win_first_by_priority(spark, sf):
-    hits = A.account_scan(W.noisy_docs(spark, sf))
-    order = [F.col(c) for c in ("kind", "pattern_no", "line_no", "number")]
-    return L.first_by_priority(hits, "number", order)
+    return A.first_scanned(W.noisy_docs(spark, sf))
 
 
 @query(
@@ -733,8 +731,8 @@ def topk_longest(spark, sf):
     "FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE r = 1",
 )
 def set_dedupe_ci(spark, sf):
-    rows = L.lines_table(W.table(spark, sf, "documents"))
-    return B.distinct_ignore_case(rows, ["doc_id"], "line")
+    kept = B.distinct_ignore_case(F.split("text", "\n"), "line")
+    return W.table(spark, sf, "documents").select("doc_id", F.inline(kept))
 
 
 @query(

@@ -64,7 +64,7 @@ def test_totals(texts):
 def test_windows_over_lines_agree_with_the_row_form(texts):
     from tallymark.operators import lines as L
 
-    table = L.with_segment(L.with_section(L.lines_table(texts(STATEMENT), clean=True)))
+    table = L.explode_lines(L.with_segment(L.with_section(L.line_arrays(texts(STATEMENT), clean=True))))
     # In the window form a segment is a transaction when it starts with a date and has an amount.
     seg = (
         table.groupBy("segment", "section")
