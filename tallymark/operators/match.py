@@ -61,44 +61,39 @@ def _answer(docs: DataFrame, resolved: DataFrame, account: str, bank: str) -> Da
 
 
 def suffix_names(registry: DataFrame) -> DataFrame:
-    """Distinct bank names behind every suffix: first row, accounts, and the suffix's own total.
+    """Distinct normal bank names behind every suffix, with the first account of each.
 
-    Accounts are counted per name before anything is gathered by suffix, so a suffix that most
+    Accounts are folded per name before anything is gathered by suffix, so a suffix that most
     accounts share brings its names together, not its accounts.
     """
-    per_name = (
-        suffix_rows(registry)
-        .groupBy("suffix", "bank_name")
-        .agg(F.min(_row()).alias("hit"), F.count("*").alias("accounts"))
-    )
-    totals = per_name.groupBy("suffix").agg(F.sum("accounts").alias("candidate_count"))
-    return per_name.join(totals, "suffix").select(
-        "suffix", "hit", "candidate_count", norm_bank("bank_name").alias("_nr")
-    )
+    return suffix_rows(registry).groupBy("suffix", norm_bank("bank_name").alias("_nr")).agg(F.min(_row()).alias("hit"))
+
+
+def best_names(open_lookups: DataFrame, registry: DataFrame) -> DataFrame:
+    """Most similar bank name behind each open lookup (_key, _nd); the first account settles ties.
+    Each pair of names is compared once, however many lookups and endings ask for it."""
+    pairs = open_lookups.join(suffix_names(registry), F.col("_key") == F.col("suffix"))
+    names = pairs.select("_nd", "_nr").distinct().withColumn("_sim", ratio("_nd", "_nr"))
+    scored = pairs.join(names.toDF("_n1", "_n2", "_sim"), (F.col("_nd") == F.col("_n1")) & (F.col("_nr") == F.col("_n2")))
+    best = F.max(F.struct(F.col("_sim").alias("s"), (-F.col("hit.ordinal")).alias("o"), F.col("hit").alias("h")))
+    return scored.groupBy("_key", "_nd").agg(best.alias("_b"))
 
 
 def suffix_hits(look: DataFrame, registry: DataFrame, compare: Column) -> DataFrame:
     """Lookups with ``_key``: number of accounts with that ending, the first of them, and, where
-    ``compare`` holds and there are several, the one with the most similar bank name."""
+    ``compare`` holds and there are several, the one with the most similar bank name.
+
+    The ending itself is an N:1 join for every lookup; only lookups that several accounts answer and
+    that bring a name go on to the names, as distinct (ending, name) questions."""
     cols = look.columns
-    staged = look.withColumn("_nd", norm_bank("_bank")).withColumn("_cmp", F.coalesce(compare, F.lit(False)))
-    joined = staged.join(suffix_names(registry), F.col("_key") == F.col("suffix"), "left")
-    want = F.col("_cmp") & (F.col("candidate_count") > 1)
-    joined = joined.withColumn("_want", F.coalesce(want, F.lit(False)))
-    # The worker function sees every row; rows without a question get two empty names.
-    ask = lambda c: F.when(F.col("_want"), F.col(c)).otherwise("")
-    scored = joined.withColumn("_sim", ratio(ask("_nd"), ask("_nr")))
-    best = F.max(
-        F.when(F.col("_want"), F.struct(F.col("_sim").alias("s"), (-F.col("hit.ordinal")).alias("o"), F.col("hit").alias("h")))
-    )
-    return (
-        scored.groupBy(*cols)
-        .agg(
-            F.max("candidate_count").alias("candidate_count"), F.min("hit").alias("first_hit"), best.alias("_b")
-        )
-        .select(
-            *cols, "candidate_count", "first_hit", F.col("_b.s").alias("best_similarity"), F.col("_b.h").alias("best_hit")
-        )
+    first = look.join(suffix_index(registry), F.col("_key") == F.col("suffix"), "left").drop("suffix")
+    wanted = F.coalesce(compare, F.lit(False)) & (F.col("candidate_count") > 1)
+    first = first.withColumn("_nd", F.when(F.coalesce(wanted, F.lit(False)), F.coalesce(norm_bank("_bank"), F.lit(""))))
+    open_lookups = first.where(F.col("_nd").isNotNull()).select("_key", "_nd").distinct()
+    best = best_names(open_lookups, registry).toDF("_bk", "_bn", "_b")
+    both = first.join(best, (F.col("_key") == F.col("_bk")) & (F.col("_nd") == F.col("_bn")), "left")
+    return both.select(
+        *cols, "candidate_count", "first_hit", F.col("_b.s").alias("best_similarity"), F.col("_b.h").alias("best_hit")
     )
 
 
@@ -241,51 +236,56 @@ def match_status(matched: DataFrame) -> DataFrame:
     )
 
 
-def candidate_rows(matched: DataFrame, registry: DataFrame, key_cols=("doc_id",), bank: str = "bank_name") -> DataFrame:
-    """The registry accounts behind every unresolved ambiguous statement, one per row."""
-    open_ones = matched.where(
-        F.col("match_type").isin("multiple_accounts_low_similarity", "multiple_accounts_no_bank_name")
-    ).select(*key_cols, F.col("ending_digits").alias("suffix"), F.col(bank).alias("_bank"))
-    rows = suffix_rows(registry.withColumn("account_number", F.trim("account_number")))
+AMBIGUOUS = ("multiple_accounts_low_similarity", "multiple_accounts_no_bank_name")
+
+
+def open_questions(matched: DataFrame, bank: str = "bank_name") -> DataFrame:
+    """Different (ending_digits, detected_bank) of the unresolved ambiguous statements, and how many ask."""
     return (
-        open_ones.join(rows, "suffix")
-        .withColumn(
-            "similarity",
-            F.when(
-                F.coalesce(F.col("_bank"), F.lit("")) != "", ratio(norm_bank("_bank"), norm_bank("bank_name"))
-            ).otherwise(0.0),
-        )
-        .select(
-            *key_cols,
-            F.col("ordinal"),
-            F.col("account_number").alias("account"),
-            F.col("bank_name").alias("bank"),
-            F.col("routing_number").alias("routing"),
-            "similarity",
-        )
+        matched.where(F.col("match_type").isin(*AMBIGUOUS))
+        .groupBy("ending_digits", F.coalesce(F.col(bank), F.lit("")).alias("detected_bank"))
+        .agg(F.count("*").alias("statements"))
+    )
+
+
+def _name_scores(pairs: DataFrame) -> DataFrame:
+    """(detected_bank, bank_name, similarity) of the different pairs of names, each compared once."""
+    sim = F.when(F.col("detected_bank") != "", ratio(norm_bank("detected_bank"), norm_bank("bank_name"))).otherwise(0.0)
+    return pairs.select("detected_bank", "bank_name").distinct().withColumn("similarity", sim)
+
+
+def candidate_rows(matched: DataFrame, registry: DataFrame, bank: str = "bank_name") -> DataFrame:
+    """The registry accounts behind every open question, one row per question and account.
+
+    Statements with the same ending and bank share their rows: the list of one statement is a join on
+    (ending_digits, bank name), so rows grow with questions and accounts, not with statements."""
+    rows = suffix_rows(registry.withColumn("account_number", F.trim("account_number")))
+    pairs = open_questions(matched, bank).join(rows.withColumnRenamed("suffix", "ending_digits"), "ending_digits")
+    return pairs.join(_name_scores(pairs), ["detected_bank", "bank_name"]).select(
+        "ending_digits",
+        "detected_bank",
+        F.col("ordinal"),
+        F.col("account_number").alias("account"),
+        F.col("bank_name").alias("bank"),
+        F.col("routing_number").alias("routing"),
+        "similarity",
     )
 
 
 def candidate_details(matched: DataFrame, registry: DataFrame, bank: str = "bank_name") -> DataFrame:
-    """Per ambiguous lookup (ending digits, bank name): how many accounts and the best similarity."""
-    open_ones = matched.where(
-        F.col("match_type").isin("multiple_accounts_low_similarity", "multiple_accounts_no_bank_name")
-    ).select(F.col("ending_digits").alias("suffix"), F.coalesce(F.col(bank), F.lit("")).alias("_bank"))
-    lookups = open_ones.groupBy("suffix", "_bank").agg(F.count("*").alias("statements"))
+    """Per open question: how many accounts and the best similarity."""
     rows = suffix_rows(registry.withColumn("account_number", F.trim("account_number")))
-    names = rows.groupBy("suffix", "bank_name").agg(F.count("*").alias("accounts"))
-    pairs = lookups.join(names, "suffix")
-    sim = F.when(F.col("_bank") != "", ratio(norm_bank("_bank"), norm_bank("bank_name"))).otherwise(0.0)
+    names = rows.groupBy(F.col("suffix").alias("ending_digits"), "bank_name").agg(F.count("*").alias("accounts"))
+    pairs = open_questions(matched, bank).join(names, "ending_digits")
     return (
-        pairs.withColumn("similarity", sim)
-        .groupBy("suffix", F.col("_bank").alias("detected_bank"))
+        pairs.join(_name_scores(pairs), ["detected_bank", "bank_name"])
+        .groupBy("ending_digits", "detected_bank")
         .agg(
             F.first("statements").alias("statements"),
             F.sum("accounts").alias("candidate_count"),
             F.count("*").alias("candidate_banks"),
             F.max("similarity").alias("best_similarity"),
         )
-        .withColumnRenamed("suffix", "ending_digits")
     )
 
 

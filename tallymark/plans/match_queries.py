@@ -112,10 +112,10 @@ def match_status(spark, sf):
 @query(
     "match_candidates",
     _MATCH
-    + f""", o AS (SELECT doc_id, ending_digits, bank_name FROM res WHERE starts_with(match_type, 'multiple')),
-      c AS (SELECT o.doc_id, o.bank_name, r.ordinal, r.account_number AS account, r.bank_name AS bank, r.routing_number AS routing FROM o JOIN registry r ON ends_with(r.account_number, ending_digits))
-      SELECT doc_id, ordinal, account, bank, routing, CASE WHEN bank_name IS NULL THEN 0.0 ELSE round(CAST(sim AS DOUBLE), 6) END AS similarity
-      FROM c LEFT JOIN sims ON a = {Q.norm_bank('bank_name')} AND b = {Q.norm_bank('bank')} AND bank_name IS NOT NULL""",
+    + f""", o AS (SELECT DISTINCT ending_digits, coalesce(bank_name, '') AS detected_bank FROM res WHERE starts_with(match_type, 'multiple')),
+      c AS (SELECT o.*, r.ordinal, r.account_number AS account, r.bank_name AS bank, r.routing_number AS routing FROM o JOIN registry r ON ends_with(r.account_number, ending_digits))
+      SELECT ending_digits, detected_bank, ordinal, account, bank, routing, CASE WHEN detected_bank = '' THEN 0.0 ELSE round(CAST(sim AS DOUBLE), 6) END AS similarity
+      FROM c LEFT JOIN sims ON a = {Q.norm_bank('detected_bank')} AND b = {Q.norm_bank('bank')} AND detected_bank <> ''""",
 )
 def match_candidates(spark, sf):
     r = W.registry(spark, sf)
@@ -271,7 +271,9 @@ def topk_match(spark, sf):
     keyed = d.where(masked & F.col("bank_name").isNotNull()).select(
         "doc_id", F.col("bank_name").alias("_bank"), account_digits("account").alias("_key")
     )
-    best = M.suffix_hits(keyed, r, F.lit(True)).where(F.col("best_hit").isNotNull())
+    look = keyed.select("_bank", "_key").distinct()
+    found = M.suffix_hits(look, r, F.lit(True)).where(F.col("best_hit").isNotNull())
+    best = keyed.join(found, ["_bank", "_key"]).where(F.col("best_hit").isNotNull())
     return best.select(
         "doc_id", F.col("best_hit.ordinal").alias("ordinal"), F.round("best_similarity", 6).alias("similarity")
     )
