@@ -37,16 +37,21 @@ def read_header(docs: DataFrame) -> DataFrame:
     )
 
 
+def stored_headers(docs: DataFrame) -> DataFrame:
+    """:func:`read_header` written to the shared folder and read back: what follows needs the fields
+    twice (as lookups and per document), and the texts are searched only once."""
+    headers = read_header(docs)
+    path = work_dir(docs.sparkSession, "headers")
+    headers.write.parquet(path)
+    return docs.sparkSession.read.schema(headers.schema).parquet(path)
+
+
 def resolve(headers: DataFrame, registry: DataFrame, as_of_date: str) -> DataFrame:
     """Header fields with the registry answer and the outcome code (null when all is well).
 
-    The distinct lookups are written to the work folder first. They are few and small, and from
-    there on the plan no longer carries the extraction twice through every join.
+    Only the distinct lookups go through the registry; one join brings the answers back.
     """
-    spark = headers.sparkSession
-    path = work_dir(spark, "lookups")
-    M.lookups(headers).write.parquet(path)
-    answers = M.resolve_lookups(spark.read.parquet(path), registry)
+    answers = M.resolve_lookups(M.lookups(headers), registry)
     m = M.answer(headers, answers)
     code = (
         F.when(F.coalesce(F.col("account"), F.lit("")) == "", "ERROR_NO_ACCOUNT")
@@ -116,9 +121,10 @@ def _error_file(as_of_date: str, file_time: str):
     )
 
 
-def to_files(docs: DataFrame, registry: DataFrame, as_of_date: str, file_time: str = "0000") -> DataFrame:
-    """One output file per document: records for a resolved one, an error stand-in otherwise."""
-    resolved = resolve(read_header(docs), registry, as_of_date)
+def to_files(headers: DataFrame, registry: DataFrame, as_of_date: str, file_time: str = "0000") -> DataFrame:
+    """One output file per document of :func:`stored_headers`: records for a resolved one, an error
+    stand-in otherwise."""
+    resolved = resolve(headers, registry, as_of_date)
     good = F.col("code").isNull()
     staged = resolved.withColumn("_t", F.when(good, T.transactions_array("text")))
     out = staged.select(

@@ -13,6 +13,7 @@ from tallymark.plans.catalogue import query
 from tallymark.session import work_dir
 from tallymark.sources import readers as R
 from tallymark.sources import sinks as Z
+from tallymark.streaming import ingest as I
 
 
 @query(
@@ -167,16 +168,22 @@ def src_json_any(spark, sf):
     return R.json_rows(c.select("c_custkey", text.alias("text")), keys=("c_custkey",))
 
 
+FILE_ROWS = 5000
+
+
 def _foldered(spark, sf):
+    """A folder per nation with files of at most ``FILE_ROWS`` rows, so a whole text stays small."""
     path = work_dir(spark, "catalog")
     c = W.table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name")
-    c.repartition("c_nationkey").write.partitionBy("c_nationkey").option("header", True).csv(path)
+    c.repartition("c_nationkey").write.partitionBy("c_nationkey").option("header", True).option(
+        "maxRecordsPerFile", FILE_ROWS
+    ).csv(path)
     return path
 
 
 @query(
     "src_catalog",
-    "SELECT 'c_nationkey=' || CAST(c_nationkey AS VARCHAR) AS folder, 1 AS files, true AS has_bytes FROM customer GROUP BY c_nationkey",
+    f"SELECT 'c_nationkey=' || CAST(c_nationkey AS VARCHAR) AS folder, CAST(ceil(count(*) / {FILE_ROWS}.0) AS BIGINT) AS files, true AS has_bytes FROM customer GROUP BY c_nationkey",
 )
 def src_catalog(spark, sf):
     files = R.catalog(spark, _foldered(spark, sf), glob="*.csv")
@@ -188,12 +195,14 @@ def src_catalog(spark, sf):
     "SELECT c_nationkey, count(*) AS rows FROM customer GROUP BY c_nationkey",
 )
 def src_incoming(spark, sf):
-    """Whole texts of a folder with their path; the lines of each text are its table's rows."""
-    t = R.read_texts(spark, _foldered(spark, sf), glob="*.csv")
+    """Whole texts of a folder as a stream of several micro-batches, with their path; the lines of each
+    text are its table's rows."""
+    base = work_dir(spark, "incoming")
+    stream = I.read_incoming(spark, _foldered(spark, sf), glob="*.csv", max_files=10)
     rows = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")) - 1
-    return t.select(
-        F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey"), rows.alias("r")
-    ).groupBy("c_nationkey").agg(F.sum("r").alias("rows"))
+    key = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey")
+    I.run_once(stream, lambda b: b.select(key, rows.alias("r")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("c_nationkey").agg(F.sum("r").alias("rows"))
 
 
 @query(
@@ -252,8 +261,10 @@ def src_prompt_marker(spark, sf):
 @query(
     "sink_json_orient",
     """SELECT 'records' AS orient, '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '"}' AS value FROM customer
-       UNION ALL SELECT 'values', '["' || CAST(c_custkey AS VARCHAR) || '","' || c_name || '"]' FROM customer
-       UNION ALL SELECT 'split', '["' || CAST(c_custkey AS VARCHAR) || '","' || c_name || '"]' FROM customer
+       UNION ALL SELECT 'values', '[' || CAST(c_custkey AS VARCHAR) || ',"' || c_name || '"]' FROM customer
+       UNION ALL SELECT 'split', '{"index":' || CAST(c_custkey AS VARCHAR) || ',"data":["' || c_name || '"]}' FROM customer
+       UNION ALL SELECT 'split-header', '{"columns": ["c_name"]}'
+       UNION ALL SELECT 'table-header', '{"schema": {"fields": [{"name": "c_custkey", "type": "bigint"}, {"name": "c_name", "type": "string"}]}}'
        UNION ALL SELECT 'table', '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '"}' FROM customer
        UNION ALL SELECT 'index', '{"' || CAST(c_custkey AS VARCHAR) || '":{"c_name":"' || c_name || '"}}' FROM customer""",
 )
@@ -262,9 +273,10 @@ def sink_json_orient(spark, sf):
     out = None
     for orient in Z.ORIENTS:
         path = work_dir(spark, f"orient-{orient}")
-        Z.write_json(c, path, orient, ordinal="c_custkey" if orient == "index" else None)
-        part = spark.read.text(path).select(F.lit(orient).alias("orient"), "value")
-        out = part if out is None else out.union(part)
+        Z.write_json(c, path, orient, ordinal="c_custkey" if orient in ("index", "split") else None)
+        for kind in ("", "-header") if orient in ("split", "table") else ("",):
+            part = spark.read.text(path + kind).select(F.lit(orient + kind).alias("orient"), "value")
+            out = part if out is None else out.union(part)
     return out
 
 

@@ -12,6 +12,7 @@ from tallymark.plans.catalogue import query
 from tallymark.plans.match_queries import _MATCH
 from tallymark.plans.text_queries import _TXNS
 from tallymark.session import work_dir
+from tallymark.sources import readers as R
 from tallymark.streaming import ingest as I
 
 # Header fields of the printed statements as they should be read; the match itself is the one
@@ -46,20 +47,42 @@ def _records(files):
 @query("statement_to_bai2", _FLOW)
 def statement_to_bai2(spark, sf):
     docs = W.statements(spark, sf).select("doc_id", "text")
-    return _records(X.to_files(docs, W.registry(spark, sf), W.DAY))
+    return _records(X.to_files(X.stored_headers(docs), W.registry(spark, sf), W.DAY))
 
 
 @query("stream_ingest", _FLOW)
 def stream_ingest(spark, sf):
-    """The same work as a stream: new documents in, files out, one output folder per micro-batch."""
+    """The same work as a stream of several micro-batches: files of documents in, output files out, one
+    folder per micro-batch, which a replay overwrites."""
     base = work_dir(spark, "ingest")
-    W.statements(spark, sf).select("doc_id", "text").write.parquet(f"{base}/in")
+    W.statements(spark, sf).select("doc_id", "text").repartition(6, "doc_id").write.parquet(f"{base}/in")
     registry = W.registry(spark, sf)
-    docs = spark.readStream.schema("doc_id string, text string").parquet(f"{base}/in")
-    I.run_once(docs, lambda b: X.to_files(b, registry, W.DAY), f"{base}/out", f"{base}/state")
+    docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    work = lambda b: X.to_files(X.stored_headers(b), registry, W.DAY)
+    I.run_once(docs, work, f"{base}/out", f"{base}/state")
     return _records(spark.read.parquet(f"{base}/out"))
 
 
+@query(
+    "stream_missing_input",
+    "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0",
+)
+def stream_missing_input(spark, sf):
+    """A file that is gone between its event and its reading is skipped; the others are read."""
+    base = work_dir(spark, "missing")
+    n = W.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    n.repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{base}/in")
+    found = R.read_texts(spark, f"{base}/in", glob="*.txt")  # lists the files now
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for key in range(0, 25, 5):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{base}/in/n_nationkey={key}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return found.select(
+        F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"),
+        F.rtrim("text", F.lit("\n")).alias("n_name"),
+    )
+
+
 def _event_stream(spark, sf, derive, name):
     """Derived event rows as a parquet folder and a stream over it."""
     base = work_dir(spark, name)

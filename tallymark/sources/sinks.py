@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,22 @@ ORIENTS = ("records", "values", "index", "split", "table")
 
 
 def json_column(df: DataFrame, orient: str = "records", ordinal: str | None = None) -> DataFrame:
-    """One JSON text per row in the given orientation.
+    """One JSON text per row in the given orientation; values keep their JSON types.
 
-    ``split`` and ``table`` are the rows part; their header comes from :func:`json_header`, so no
-    orientation has to pass the whole table through one place.
+    ``split`` and ``table`` are the rows part; :func:`write_json` writes their header (columns or
+    schema) beside them, so no orientation has to pass the whole table through one place. With an
+    ``ordinal`` a row of ``split`` also carries its index.
     """
     cols = [c for c in df.columns if c != ordinal]
     row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    values = F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in cols]), {"ignoreNullFields": "false"})
+    # The JSON of one value is that of a one-field object without its frame {"v": }.
+    objects = [F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}) for c in cols]
+    plain = [F.substring(o, F.lit(6), F.length(o) - 6) for o in objects]
+    values = F.concat(F.lit("["), F.concat_ws(",", *plain), F.lit("]"))
     if orient in ("records", "table"):
         text = F.to_json(row, {"ignoreNullFields": "false"})
+    elif orient == "split" and ordinal:
+        text = F.concat(F.lit('{"index":'), F.col(ordinal).cast("string"), F.lit(',"data":'), values, F.lit("}"))
     elif orient in ("values", "split"):
         text = values
     elif orient == "index":
@@ -37,8 +45,12 @@ def json_header(df: DataFrame, orient: str = "split", ordinal: str | None = None
 
 
 def write_json(df: DataFrame, path: str, orient: str = "records", ordinal: str | None = None) -> None:
+    """Rows below ``path``; columns or schema of ``split`` and ``table`` below ``path``-header."""
     out = json_column(df, orient, ordinal).select("value")
     out.write.mode("overwrite").text(path)
+    if orient in ("split", "table"):
+        header = json.dumps(json_header(df, orient, ordinal))
+        df.sparkSession.createDataFrame([(header,)], "value string").write.mode("overwrite").text(f"{path}-header")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -58,6 +70,7 @@ def write_bai2_text(lines: DataFrame, path: str) -> None:
 
 
 def archive_copy(df: DataFrame, path: str) -> None:
-    """Copy of processed inputs; removal of the source is left to the stream's cleanSource option."""
-    df.write.mode("append").parquet(path)
+    """Copy of processed inputs. A replay overwrites its own copy; removal of the source is left to the
+    stream's cleanSource option."""
+    df.write.mode("overwrite").parquet(path)
 

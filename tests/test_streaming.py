@@ -23,7 +23,7 @@ def test_files_of_a_folder(spark, tmp_path):
     (src / "a.txt").write_text(GOOD)
     (src / "b.txt").write_text(NONE)
     reg = registry(spark)
-    work = lambda b: X.to_files(b.select(F.col("file_id").alias("doc_id"), "text"), reg, "250701")
+    work = lambda b: X.to_files(X.stored_headers(b.select(F.col("file_id").alias("doc_id"), "text")), reg, "250701")
 
     def run():
         stream = I.read_incoming(spark, str(src), "*.txt")
@@ -44,9 +44,9 @@ def test_batch_equals_stream(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     reg = registry(spark)
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-    I.run_once(stream, lambda b: X.to_files(b, reg, "250701"), str(tmp_path / "out"), str(tmp_path / "state"))
+    I.run_once(stream, lambda b: X.to_files(X.stored_headers(b), reg, "250701"), str(tmp_path / "out"), str(tmp_path / "state"))
     key = lambda df: sorted((r.doc_id, r.status, r.out_text) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(X.to_files(docs, reg, "250701"))
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(X.to_files(X.stored_headers(docs), reg, "250701"))
 
 
 def test_missing_input_is_skipped(spark, tmp_path):
