@@ -4,6 +4,7 @@ BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights r
 
 #: (label, statement). Longer statements follow the public license texts.
 TEMPLATES = [
+    ("reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("mit", "Released under the MIT License."),
     ("mit", "This software is licensed under the MIT License."),

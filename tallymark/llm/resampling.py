@@ -97,9 +97,10 @@ def mean_ratios(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "row long, doc_id long, log_ratio double")
 
 
-def separating_level(scores: DataFrame) -> float | None:
-    """The level between good and bad rows of (log_ratio, quality) with the fewest errors per class;
-    of equal levels the middle of the widest gap. None without both kinds."""
+def separating_level(scores: DataFrame, lose: float) -> float | None:
+    """The level between good and bad rows of (log_ratio, quality) with the fewest errors per class (of
+    equal levels the middle of the widest gap), but never one that loses more than the share ``lose`` of
+    the good rows. None without both kinds."""
     bin_of = F.floor((F.least(F.greatest("log_ratio", F.lit(-SPREAD)), F.lit(SPREAD)) + SPREAD) / (2 * SPREAD) * BINS)
     rows = scores.groupBy(bin_of.cast("int").alias("bin"), "quality").count().collect()
     hist = np.zeros((2, BINS + 2))
@@ -109,7 +110,7 @@ def separating_level(scores: DataFrame) -> float | None:
         return None
     lost = np.cumsum(hist[1]) / hist[1].sum()
     passed = 1 - np.cumsum(hist[0]) / hist[0].sum()
-    wrong = np.round(lost + passed, 9)
+    wrong = np.where(lost <= lose, np.round(lost + passed, 9), 2.0)
     best = np.flatnonzero(wrong == wrong.min())
     runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
     widest = max(runs, key=len)
@@ -140,6 +141,7 @@ def resample(
     buckets: int = 10_000,
     sharpness: float = 200.0,
     label_limit: int = 200_000,
+    lose: float = 0.001,
     seed: int = 7,
 ) -> DataFrame:
     """Each row of ``docs``: row, doc_id, log_ratio, key (log weight and noise), kept."""
@@ -163,7 +165,7 @@ def resample(
         ratio = np.zeros(buckets)
     scores = stored(mean_ratios(own, ratio), "ratios")
     held = known.where(~F.col("fit")).select(F.col("label_id").alias("doc_id"), "quality")
-    level = separating_level(scores.join(F.broadcast(held), "doc_id"))
+    level = separating_level(scores.join(F.broadcast(held), "doc_id"), lose)
     noise = -F.log(-F.log((draw("row", "doc_id") * (1 - 2e-12)) + 1e-12))
     keyed = scores.withColumn("key", F.col("log_ratio") * sharpness + noise)
     total, k = scores.agg(F.count("*"), F.count_if(F.col("log_ratio") >= (level if level is not None else -1e9))).first()
