@@ -283,22 +283,33 @@ def _error_texts(spark, sf):
 _RULES = Q.rules("lower(message)", E.K.ERROR_RULES)
 
 
+def _guidance_sql() -> str:
+    def block(what, checks):
+        steps = [f"# {i}. {c}" for i, c in enumerate(checks, 1)]
+        lines = [f"# PROBLEM: {what}", "#", "# WHAT TO CHECK:", *steps]
+        return "concat_ws(chr(10), " + ", ".join(f"'{x}'" for x in lines) + ")"
+
+    plain = [k for k in E.GUIDANCE if k not in ("ERROR_AI", "OTHER")]
+    cases = " ".join(f"WHEN code = '{k}' THEN {block(*E.GUIDANCE[k])}" for k in plain)
+    ai = f"WHEN regexp_matches(code, '^ERROR_(AI|OPENAI)') THEN {block(*E.GUIDANCE['ERROR_AI'])}"
+    return f"CASE {cases} {ai} ELSE {block(*E.GUIDANCE['OTHER'])} END"
+
+
+_GUIDANCE_SQL = _guidance_sql()
+
+
 @query(
     "bai2_error_file",
     V.ctes("messages")
     + f""", m AS (SELECT event_id, message, {_RULES} AS code FROM messages)
-      SELECT event_id, code, '# ' || message AS happened, 'ERROR' AS status, concat_ws(chr(10), '01,ERROR,WORKDAY,250630,1200,1,,,2/', '02,ERROR,000000000,1,250630,,USD,2/', '03,ERROR,USD,010,,,Z/',
-       '88,999,' || code || ',,Z/', '49,0,3/', '98,0,1,5/', '99,0,1,7/') AS records FROM m""",
+      SELECT event_id, 'ERROR' AS status, concat_ws(chr(10), '{E.RULER}', '# ERROR BAI2 FILE - PROCESSING FAILED', '{E.RULER}', '# File: file' || event_id || '.pdf',
+       '# Date: 2025-07-01 00:00:00', '# Error Code: ' || code, '#', '# WHAT HAPPENED:', '# ' || message, '#', {_GUIDANCE_SQL}, '#', '# TECHNICAL DETAILS:', '# No diagnostic data available',
+       '#', '{E.RULER}', '', '01,ERROR,WORKDAY,250630,1200,1,,,2/', '02,ERROR,000000000,1,250630,,USD,2/', '03,ERROR,USD,010,,,Z/',
+       '88,999,' || code || ',,Z/', '49,0,3/', '98,0,1,5/', '99,0,1,7/', '') AS text FROM m""",
 )
 def bai2_error_file(spark, sf):
-    t = _error_texts(spark, sf)
-    return t.select(
-        "event_id",
-        F.regexp_extract("text", r"(?m)^# Error Code: (.*)$", 1).alias("code"),
-        F.regexp_extract("text", r"(?m)^# WHAT HAPPENED:\n(.*)$", 1).alias("happened"),
-        E.file_status("text").alias("status"),
-        F.btrim(F.regexp_extract("text", r"(?ms)^(01,.*)", 1), F.lit("\n")).alias("records"),
-    )
+    """Whole error files, every line of them."""
+    return _error_texts(spark, sf).select("event_id", E.file_status("text").alias("status"), "text")
 
 
 @query(
@@ -331,7 +342,7 @@ def fn_strip_fence(spark, sf):
 @query(
     "error_diagnostics",
     V.ctes("noisy")
-    + """, c AS (SELECT doc_id, text, list_filter(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])([0-9]{4,})(?:$|[^\\p{L}\\p{N}_])', 1), lambda m: length(m) >= 6)[1:10] AS c FROM noisy)
+    + """, c AS (SELECT doc_id, text, list_filter(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])([0-9]{4,})(?:$|[^\\p{L}\\p{N}_])', 1), lambda m: length(m) >= 6) AS c FROM noisy)
       SELECT doc_id, 'Account Numbers Found: ' || CASE WHEN len(c) > 0 THEN array_to_string(c, ', ') ELSE 'None' END AS found,
         'OCR Text Lines: ' || CAST(len(string_split(text, chr(10))) AS VARCHAR) || ' lines extracted' AS lines FROM c""",
 )
