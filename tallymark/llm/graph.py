@@ -13,10 +13,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         around = edges.union(edges.select(F.col("low").alias("high"), F.col("high").alias("low"))).toDF("node", "other")
         least = around.groupBy("node").agg(F.min("other").alias("least"))
-        out = around.join(least.where(F.col("least") < F.col("node")).unionByName(
-            least.where(F.col("least") >= F.col("node")).select("node", F.col("node").alias("least"))
-        ), "node").where(F.col("other") > F.col("node"))
-        return out.select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
+        out = around.where(F.col("other") > F.col("node")).join(least, "node")
+        return out.select(F.col("other").alias("high"), F.least("least", "node").alias("low")).distinct()
     least = edges.groupBy("high").agg(F.min("low").alias("least"))
     out = edges.join(least, "high")
     links = out.where(F.col("low") > F.col("least")).select(F.col("low").alias("high"), F.col("least").alias("low"))

@@ -42,7 +42,7 @@ from tallymark.llm.spans import mix, span_hashes, utf8
 
 REGISTERS, ROWS, MANTISSA = 256, 7, 10
 ROUNDS = 24
-STARS = 3
+STARS = 2
 BLOCK = 128
 CHUNK = 400_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
