@@ -20,6 +20,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,21 +28,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tallymark.llm.bpe import Encoder, ranks_of, token_bytes
 from tallymark.llm.shared import chunks, part_count
 from tallymark.llm.spans import code_points, pre_tokens, ragged, span_hashes
 
 CHUNK = 400_000
-BLOCK = 6_000_000
-BLOCKS = "block long, bucket int, words binary, places binary, doc_ids array<long>, counts binary, numbers binary, mark long"
-WORD_IDS = "block long, places binary, counts binary, ids binary, mark long"
+ROWS = 500
+BLOCK = 4_000_000
+BLOCKS = "block long, bucket int, words binary, buckets binary, doc_ids array<long>, counts binary, numbers binary, mark long"
+WORD_IDS = "block long, bucket int, counts binary, ids binary, mark long"
 
 
-def _packed(x: np.ndarray | bytes) -> bytes:
-    raw = x if isinstance(x, bytes) else x.tobytes()
+def _packed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -49,6 +48,20 @@ def _raw(x: bytes) -> bytes:
     return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
+def _packed_ints(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the largest needs, all first bytes before all second ones."""
+    most = int(x.max()) if len(x) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + _packed(planes.tobytes())
+
+
+def _ints(x: bytes) -> np.ndarray:
+    width = x[0]
+    planes = np.frombuffer(_raw(x[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def _encoder(rank_file: bytes) -> Encoder:
     return Encoder(ranks_of(rank_file))
@@ -85,16 +98,17 @@ class _Block:
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order))
         mark = zlib.crc32(distinct.tobytes())
+        bucket = ((distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[order]
         if want == "documents":
             yield {
                 "block": block,
                 "doc_ids": self.doc_ids,
-                "counts": _packed(np.concatenate(self.counts).astype(np.int64)),
-                "numbers": _packed(number[which]),
+                "counts": _packed_ints(np.concatenate(self.counts)),
+                "numbers": _packed_ints(number[which]),
+                "buckets": _packed_ints(bucket),
                 "mark": mark,
             }
             return
-        bucket = ((distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[order]
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         sorted_hashes = distinct[order]
@@ -102,13 +116,11 @@ class _Block:
             places = by_bucket[cuts[b] : cuts[b + 1]]
             if len(places):
                 words = [self.words[h].encode("utf-8", "surrogatepass") for h in sorted_hashes[places].tolist()]
-                sizes = np.fromiter(map(len, words), np.uint32, len(words))
                 yield {
                     "block": block,
                     "bucket": b,
                     "words": _packed(b"".join(words)),
-                    "counts": _packed(sizes),
-                    "places": _packed(places.astype(np.uint32)),
+                    "counts": _packed_ints(np.fromiter(map(len, words), np.int64, len(words))),
                     "mark": mark,
                 }
 
@@ -120,7 +132,7 @@ def blocks(docs: DataFrame, want: str, buckets: int, block_chars: int = BLOCK) -
             ("block", pa.int64()),
             ("bucket", pa.int32()),
             ("words", pa.binary()),
-            ("places", pa.binary()),
+            ("buckets", pa.binary()),
             ("doc_ids", pa.list_(pa.int64())),
             ("counts", pa.binary()),
             ("numbers", pa.binary()),
@@ -161,7 +173,7 @@ def encode_words(words: DataFrame, rank_file: bytes, buckets: int) -> DataFrame:
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
                 text = _raw(row["words"])
-                ends = np.cumsum(np.frombuffer(_raw(row["counts"]), np.uint32)).tolist()
+                ends = np.cumsum(_ints(row["counts"])).tolist()
                 ids, counts, start = [], [], 0
                 for end in ends:
                     word = text[start:end]
@@ -174,36 +186,36 @@ def encode_words(words: DataFrame, rank_file: bytes, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["block"]]),
-                        pa.array([row["places"]], pa.binary()),
-                        pa.array([_packed(np.array(counts, np.uint32))], pa.binary()),
-                        pa.array([_packed(np.array(ids, np.uint32))], pa.binary()),
+                        pa.array([row["bucket"]], pa.int32()),
+                        pa.array([_packed_ints(np.array(counts, np.int64))], pa.binary()),
+                        pa.array([_packed_ints(np.array(ids, np.int64))], pa.binary()),
                         pa.array([row["mark"]]),
                     ],
-                    names=["block", "places", "counts", "ids", "mark"],
+                    names=["block", "bucket", "counts", "ids", "mark"],
                 )
 
-    rows = words.select("block", "bucket", "words", "counts", "places", "mark")
+    rows = words.select("block", "bucket", "words", "counts", "mark")
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, WORD_IDS)
 
 
 def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     doc_ids, counts_out, ids_out = [], [], []
     for row in docs.to_pylist():
-        parts = [w for w in words.to_pylist()]
+        parts = sorted(words.to_pylist(), key=lambda w: w["bucket"])
         if any(w["mark"] != row["mark"] for w in parts):
             raise ValueError("the documents were read in another order; store them before encoding")
         doc_ids += row["doc_ids"]
-        per_doc = np.frombuffer(_raw(row["counts"]), np.int64)
+        per_doc = _ints(row["counts"])
         if not parts:
             counts_out.append(np.zeros(len(per_doc), np.int64))
             continue
-        places = np.concatenate([np.frombuffer(_raw(w["places"]), np.uint32) for w in parts])
-        counts = np.concatenate([np.frombuffer(_raw(w["counts"]), np.uint32) for w in parts]).astype(np.int64)
-        flat = np.concatenate([np.frombuffer(_raw(w["ids"]), np.uint32) for w in parts])
-        order = np.argsort(places)
-        numbers = np.frombuffer(_raw(row["numbers"]), np.uint32)
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        values, offsets = ragged(flat, offsets, order)[0], np.concatenate([[0], np.cumsum(counts[order])])
+        # Words came by bucket, in the order of their numbers.
+        order = np.argsort(np.argsort(_ints(row["buckets"]), kind="stable"), kind="stable")
+        counts = np.concatenate([_ints(w["counts"]) for w in parts])
+        flat = np.concatenate([_ints(w["ids"]) for w in parts])
+        values = ragged(flat, np.concatenate([[0], np.cumsum(counts)]), order)[0]
+        offsets = np.concatenate([[0], np.cumsum(counts[order])])
+        numbers = _ints(row["numbers"])
         ids, sizes = ragged(values, offsets, numbers)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.concatenate([[0], np.cumsum(per_doc)])
@@ -218,36 +230,60 @@ def _reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, rank_file: bytes, buckets: int | None = None, block_chars: int = BLOCK) -> DataFrame:
     """(doc_id, ids) of each row of ``docs``."""
     buckets = buckets or 2 * part_count(docs.sparkSession)
-    left = blocks(docs, "documents", buckets, block_chars).select("block", "doc_ids", "counts", "numbers", "mark")
+    left = blocks(docs, "documents", buckets, block_chars).select("block", "doc_ids", "counts", "numbers", "buckets", "mark")
     right = encode_words(blocks(docs, "words", buckets, block_chars), rank_file, buckets)
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
         _reassemble, "doc_id long, ids array<int>"
     )
 
 
+def _decoded(lists: pa.ListArray, table: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """Bytes of each list of ids by the token-byte table."""
+    letters, offsets = table
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    values, sizes = ragged(letters, offsets, lists.values.to_numpy()[edge[0] : edge[-1]])
+    ends = np.concatenate([[0], np.cumsum(sizes)])[edge - edge[0]].tolist()
+    raw = values.tobytes()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
     """``encoded`` (doc_id, ids) with the column ``decoded``, the bytes of the ids."""
     shipped = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_of(rank_file)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, offsets = shipped.value
         for batch in batches:
-            lists = batch.column("ids")
-            edge = lists.offsets.to_numpy().astype(np.int64)
-            values, sizes = ragged(letters, offsets, lists.values.to_numpy()[edge[0] : edge[-1]])
-            ends = np.concatenate([[0], np.cumsum(sizes)])[edge - edge[0]]
-            raw = values.tobytes()
-            decoded = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]
-            )
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                decoded = pa.array(_decoded(part.column("ids"), shipped.value), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, decoded binary")
 
 
-@F.pandas_udf(StringType())
-def ids_sha256(ids):
-    """Hex digest of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+def digests(encoded: DataFrame, rank_file: bytes) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded`` (doc_id, ids): ids as little-endian
+    unsigned 32-bit integers, and the bytes they decode to, which stay in the task."""
+    shipped = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_of(rank_file)))
+    digest = lambda x: hashlib.sha256(x).hexdigest()
 
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part.column("ids")
+                edge = lists.offsets.to_numpy().tolist()
+                ids = lists.values.to_numpy().astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([b - a for a, b in zip(edge, edge[1:])], pa.int64()),
+                        pa.array([digest(ids[a:b].tobytes()) for a, b in zip(edge, edge[1:])], pa.string()),
+                        pa.array([digest(x) for x in _decoded(lists, shipped.value)], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return encoded.select("doc_id", "ids").mapInArrow(
+        work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

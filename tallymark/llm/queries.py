@@ -29,13 +29,7 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    rows = bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents"), ranks), ranks)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe_words.ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe_words.digests(bpe_words.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
 @query("op3_cost_balanced_packing")
@@ -74,7 +68,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@query("op9_hyperminhash_dedup")
+@query(
+    "op9_hyperminhash_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, sh FROM (
+        SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.doc_id),
+    c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+    SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +49,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
     """Slices of Arrow batches with about ``limit`` characters each (one row at least), with their
     texts; null is the empty text. Bounds what a task holds, whatever the length of the rows."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, limit]):
+            if i > start and (size + n > limit or i == len(sizes)):
+                part = batch.slice(start, i - start)
+                yield part, [t or "" for t in part.column(text).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if texts:
-            yield batch.slice(start), texts[start:]
+            size += n
 
 
 def free_name(df: DataFrame, name: str) -> str:
