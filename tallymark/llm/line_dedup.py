@@ -3,14 +3,17 @@
 1. Lines (split at line feeds, trimmed, A-Z lower-cased; blank ones stay out) are counted exactly first.
    A line that occurs in a third of all documents is one row from here on; its number is that of
    its first occurrence in reading order.
-2. The shingles of ``K`` characters of each different line are exploded where the line is, hashed, and
-   the smallest hash of each of ``BINS`` bins kept. An empty bin takes the next one's value, so short
-   lines have full signatures. Grouping needs no further shuffle.
-3. Bands of ``ROWS`` bins: with 10 bands of 3, a pair of similarity 0.8 shares a band with chance
-   0.999. Lines that share a band are paired with their neighbour in the band only, one pair each.
-4. Each pair's Jaccard similarity is computed exactly on the full shingle sets; pairs of at least
-   ``least`` are links, and links become components by distributed union-find. Bands whose lines
-   are still in different components then compare all their pairs across components.
+2. The shingles of ``K`` characters that start where ``STARTS`` says (at words, after each "k", anywhere in
+   scripts without case; a choice by content, so like lines choose alike) are hashed in the line's row
+   and sorted. The smallest of each of 32 bins, among the ``SMALLEST`` smallest hashes, are its
+   signature; an empty bin takes the next one's, so short lines have full signatures. No shuffle.
+3. Bands of ``ROWS`` bins: with 8 bands of 4, a pair of similarity 0.85 shares a band with chance
+   0.997 (0.985 at 0.8). Lines that share a band are paired with their neighbour in the band only, one pair each.
+4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (five standard errors below what
+   similarity 0.8 gives) are dropped; for the others the Jaccard similarity is computed exactly on
+   the full shingle sets (every position); pairs of at least ``least`` are links, and links become
+   components by distributed union-find. Bands whose lines are still in different components then
+   compare all their pairs across components, in the same way.
 5. In each component the first occurrence stays; all others are removed.
 
 Only DataFrame expressions are used; nothing but numbers per round reaches the driver.
@@ -26,11 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
-from tallymark.llm.native_grams import exploded, pieces
+from tallymark.llm.native_grams import pieces
 from tallymark.llm.shared import free_name, lower_ascii, stored
 
-K, BANDS, ROWS = 12, 10, 3
-BINS = BANDS * ROWS
+K, BANDS, ROWS, SMALLEST, AGREE = 12, 8, 4, 128, 15
+#: Where shingles of the signature start: not after a letter, but after "k" or a letter without case.
+STARTS = r"(?<![\p{L}&&[^\p{Lo}k]])"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -53,51 +57,74 @@ def _marks(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("mark"), F.xxhash64(F.lit(1), line).alias("mark2")]
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shingles(line: Column, of) -> Column:
+    """``of`` each shingle of a line, in order; a shorter line is one shingle."""
+    return F.flatten(
+        F.transform(
+            pieces(line, K, 64),
+            lambda part: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - (K - 1))),
+                lambda i: of(F.substring(part, i, F.lit(K))),
+            ),
+        )
+    )
+
+
+def _bin(x: Column) -> Column:
+    return F.shiftright(x, 58)
+
+
+def minima(line: Column) -> Column:
+    """The smallest hash of each of 32 bins among a line's ``SMALLEST`` smallest hashes, as bin (upper
+    bits) and value, by bin; empty bins take the next one's."""
+    each = F.regexp_extract_all(line, F.lit(f"(?s){STARTS}(?=(.{{{K}}}))"), F.lit(1))
+    hashes = F.transform(F.when(F.length(line) < K, F.array(line)).otherwise(each), lambda x: F.xxhash64(x))
+    smallest = F.slice(F.sort_array(hashes), 1, SMALLEST)
+    value = lambda h: F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 6)
+    keyed = F.sort_array(
+        F.transform(smallest, lambda h: F.shiftleft(h.bitwiseAND(F.lit(31)), 58).bitwiseOR(value(h)))
+    )
+    least = _bound(keyed, lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
+
+    def filled(m):
+        gap = lambda a, b: (_bin(a) - b).cast("int")
+        ahead = F.transform(m, lambda x, j: F.array_repeat(x, gap(x, F.coalesce(_bin(F.get(m, j - 1)), F.lit(-1)))))
+        wrapped = F.array_repeat(F.get(m, F.lit(0)), F.lit(31) - _bin(F.get(m, F.size(m) - 1)).cast("int"))
+        return F.when(F.size(m) == 32, m).otherwise(F.concat(F.flatten(ahead), wrapped))
+
+    return _bound(least, filled)
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(occurrence, n, line, bands) of each different line, written once."""
     distinct = lines.where("line != ''").groupBy("line").agg(
         F.min("occurrence").alias("occurrence"), F.count("*").alias("n")
     )
-    shingles = exploded(distinct, "line", K, "shingle").withColumn("h", F.xxhash64("shingle"))
-    bin_of = F.expr(f"pmod(h, {BINS})")
-    least = [F.min(F.when(bin_of == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
-    mins = shingles.groupBy("line", "occurrence", "n").agg(*least)
-    filled = F.array(*[F.col(f"m{j}") for j in range(BINS)])
-    step = 1
-    while step < BINS:
-        filled = _bound(
-            filled, lambda a, s=step: F.transform(a, lambda x, i: F.coalesce(x, F.get(a, (i + s) % BINS)))
-        )
-        step *= 2
-    bands = F.array(
-        *[
-            F.xxhash64(F.lit(b), *[F.get(F.col("filled"), F.lit(b * ROWS + r)) for r in range(ROWS)])
-            for b in range(BANDS)
-        ]
+    bands = lambda m: F.array(
+        *[F.xxhash64(F.lit(b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
     )
-    full = F.expr(" AND ".join(f"m{j} IS NOT NULL" for j in range(BINS)))
-    as_is = F.array(*[F.col(f"m{j}") for j in range(BINS)])
-    out = mins.select("occurrence", "n", "line", F.when(full, as_is).otherwise(filled).alias("filled"))
-    return stored(out.select("occurrence", "n", "line", bands.alias("bands")), "line-signatures", "zstd")
+    low = lambda m: F.transform(m, lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint"))
+    both = F.array(F.struct(minima(F.col("line")).alias("m")))
+    out = distinct.select("occurrence", "n", "line", F.explode(both).alias("both"))
+    out = out.select("occurrence", "n", "line", bands(F.col("both.m")).alias("bands"), low(F.col("both.m")).alias("low"))
+    return stored(out, "line-signatures", "zstd")
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def agreeing(a: str, b: str) -> Column:
+    """Whether two signatures (their low bits) agree often enough to be worth a comparison."""
+    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)
+    return F.size(same) >= AGREE
 
 
-def _shingle_set(line: Column) -> Column:
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                pieces(line, K, 64),
-                lambda part: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - (K - 1))),
-                    lambda i: F.substring(part, i, F.lit(K)),
-                ),
-            )
-        )
-    )
+def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree."""
+    one, two = known.select("occurrence", "low").toDF("a", "low_a"), known.select("occurrence", "low").toDF("b", "low_b")
+    return pairs.join(one, "a").join(two, "b").where(agreeing("low_a", "low_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -105,7 +132,7 @@ def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("occurrence")).distinct()
     sets = lines.join(needed, "occurrence").select("occurrence", "line")
     both = pairs.join(sets.toDF("a", "line_a"), "a").join(sets.toDF("b", "line_b"), "b")
-    both = both.select("a", "b", _shingle_set(F.col("line_a")).alias("x"), _shingle_set(F.col("line_b")).alias("y"))
+    both = both.select("a", "b", F.array_distinct(_shingles(F.col("line_a"), lambda x: x)).alias("x"), F.array_distinct(_shingles(F.col("line_b"), lambda x: x)).alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -119,7 +146,7 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     linked = keys.select("key", "occurrence", F.lag("occurrence").over(bucket).alias("before"))
     chain = stored(linked.where("before is not null"), "line-candidates")
     pairs = chain.select(F.col("before").alias("a"), F.col("occurrence").alias("b")).distinct()
-    first = stored(pairs, "line-pairs")
+    first = stored(likely(pairs, known), "line-pairs")
     links = stored(verified(first, known, least), "line-links")
     roots = components(links)
 
@@ -129,8 +156,9 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     )
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "line-open")
-    x, y = still.toDF("key", "a", "root_a"), still.toDF("key", "b", "root_b")
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")))
+    still = still.join(known.select("occurrence", "low"), "occurrence").select("key", "occurrence", "root", "low")
+    x, y = still.toDF("key", "a", "root_a", "low_a"), still.toDF("key", "b", "root_b", "low_b")
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & agreeing("low_a", "low_b"))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = stored(across.join(first, ["a", "b"], "left_anti"), "line-pairs")
     if not second.isEmpty():
