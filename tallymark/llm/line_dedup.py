@@ -5,8 +5,8 @@
    its first occurrence in reading order.
 2. The shingles of ``K`` characters that start where ``STARTS`` says (at words, after each "k", anywhere in
    scripts without case; a choice by content, so like lines choose alike) are hashed in the line's row
-   and sorted. The smallest of each of 32 bins, among the ``SMALLEST`` smallest hashes, are its
-   signature; an empty bin takes the next one's, so short lines have full signatures. No shuffle.
+   and sorted. The smallest hash of each of 32 bins is its signature, whatever the number of shingles and
+   of their repeats; an empty bin takes the next one's, so short lines have full signatures. No shuffle.
 3. Bands of ``ROWS`` bins: with 8 bands of 4, a pair of similarity 0.85 shares a band with chance
    0.997 (0.985 at 0.8). Lines that share a band are paired with their neighbour in the band only, one pair each.
 4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (five standard errors below what
@@ -32,7 +32,7 @@ from tallymark.llm.graph import components
 from tallymark.llm.native_grams import pieces
 from tallymark.llm.shared import free_name, lower_ascii, stored
 
-K, BANDS, ROWS, SMALLEST, AGREE = 12, 8, 4, 128, 15
+K, BANDS, ROWS, AGREE = 12, 8, 4, 15
 #: Where shingles of the signature start: not after a letter, but after "k" or a letter without case.
 STARTS = r"(?<![\p{L}&&[^\p{Lo}k]])"
 
@@ -80,15 +80,11 @@ def _bin(x: Column) -> Column:
 
 
 def minima(line: Column) -> Column:
-    """The smallest hash of each of 32 bins among a line's ``SMALLEST`` smallest hashes, as bin (upper
-    bits) and value, by bin; empty bins take the next one's."""
+    """The smallest hash of each of 32 bins among all of a line's hashes, as bin (upper bits) and value,
+    by bin; repeats change nothing; empty bins take the next one's."""
     each = F.regexp_extract_all(line, F.lit(f"(?s){STARTS}(?=(.{{{K}}}))"), F.lit(1))
-    hashes = F.transform(F.when(F.length(line) < K, F.array(line)).otherwise(each), lambda x: F.xxhash64(x))
-    smallest = F.slice(F.sort_array(hashes), 1, SMALLEST)
-    value = lambda h: F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 6)
-    keyed = F.sort_array(
-        F.transform(smallest, lambda h: F.shiftleft(h.bitwiseAND(F.lit(31)), 58).bitwiseOR(value(h)))
-    )
+    shingles = F.when(F.length(line) < K, F.array(line)).otherwise(each)
+    keyed = F.sort_array(F.transform(shingles, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1)))
     least = _bound(keyed, lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
 
     def filled(m):

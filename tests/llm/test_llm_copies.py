@@ -143,3 +143,18 @@ def test_fuzzy_lines_of_one_family(spark):
     rows = list(enumerate(texts))
     got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert {r.doc_id: list(r.removed) for r in got} == dict(enumerate(lines_brute(rows)))
+
+
+def removed_lines(spark, rows):
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    return {r.doc_id: list(r.removed) for r in got}
+
+
+def test_fuzzy_lines_of_repeated_phrases(spark):
+    rows = []
+    for i in range(4):
+        phrases = [prose(100 + 3 * i + j, 4) for j in range(3)]
+        rows += [(2 * i + j, " ".join(f"{p} " * n for p in phrases)) for j, n in enumerate((300, 40))]
+    want = dict(enumerate(lines_brute(rows)))
+    assert sum(map(len, want.values())) == 4
+    assert removed_lines(spark, rows) == want
