@@ -3,14 +3,14 @@
 1. Lines (split at line feeds, trimmed, A-Z lower-cased; blank ones stay out) are counted exactly first.
    A line that occurs in a third of all documents is one row from here on; its number is that of
    its first occurrence in reading order.
-2. The shingles of ``K`` characters that start where ``STARTS`` says (at words, after each "k", anywhere in
-   scripts without case; a choice by content, so like lines choose alike) are hashed in the line's row
-   and sorted. The smallest hash of each of 32 bins is its signature, whatever the number of shingles and
+2. The shingles of ``K`` characters at every position, those that step 4 compares, are hashed in the line's
+   row and sorted. The smallest hash of each of 32 bins is its signature, whatever the number of shingles and
    of their repeats; an empty bin takes the next one's, so short lines have full signatures. No shuffle.
 3. Bands of ``ROWS`` bins: with 8 bands of 4, a pair of similarity 0.85 shares a band with chance
    0.997 (0.985 at 0.8). Lines that share a band are paired with their neighbour in the band only, one pair each.
-4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (five standard errors below what
-   similarity 0.8 gives) are dropped; for the others the Jaccard similarity is computed exactly on
+4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (for lines of many shingles five standard
+   errors below what similarity 0.8 gives; less for lines of a few shingles, whose bins repeat each other: the
+   README has measured misses) are dropped; for the others the Jaccard similarity is computed exactly on
    the full shingle sets (every position); pairs of at least ``least`` are links, and links become
    components by distributed union-find. Bands whose lines are still in different components then
    compare all their pairs across components, in the same way.
@@ -33,8 +33,6 @@ from tallymark.llm.native_grams import pieces
 from tallymark.llm.shared import free_name, lower_ascii, stored
 
 K, BANDS, ROWS, AGREE = 12, 8, 4, 15
-#: Where shingles of the signature start: not after a letter, but after "k" or a letter without case.
-STARTS = r"(?<![\p{L}&&[^\p{Lo}k]])"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -82,9 +80,7 @@ def _bin(x: Column) -> Column:
 def minima(line: Column) -> Column:
     """The smallest hash of each of 32 bins among all of a line's hashes, as bin (upper bits) and value,
     by bin; repeats change nothing; empty bins take the next one's."""
-    each = F.regexp_extract_all(line, F.lit(f"(?s){STARTS}(?=(.{{{K}}}))"), F.lit(1))
-    shingles = F.when(F.length(line) < K, F.array(line)).otherwise(each)
-    keyed = F.sort_array(F.transform(shingles, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1)))
+    keyed = F.sort_array(_shingles(line, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1)))
     least = _bound(keyed, lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
 
     def filled(m):

@@ -1,6 +1,7 @@
 """Exact copies, near copies, lines and components against plain versions."""
 
 import hashlib
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -158,3 +159,13 @@ def test_fuzzy_lines_of_repeated_phrases(spark):
     want = dict(enumerate(lines_brute(rows)))
     assert sum(map(len, want.values())) == 4
     assert removed_lines(spark, rows) == want
+
+
+def test_fuzzy_lines_of_long_letter_runs(spark):
+    rows = []
+    for i in range(4):
+        run = "".join(random.Random(i).choices("acgt", k=600))
+        rows += [(3 * i, run), (3 * i + 1, "x" + run), (3 * i + 2, run[:5] + "x" + run[6:])]
+    want = dict(enumerate(lines_brute(rows)))
+    assert sum(map(len, want.values())) == 8
+    assert removed_lines(spark, rows) == want
