@@ -11,7 +11,8 @@ from tallymark.llm.word_ids import WordIds
 @lru_cache(maxsize=2)
 def tokenizer_ids(tokenizer_json: str) -> WordIds:
     """Ids of a byte-level vocabulary by the tokenizers library, without special tokens. Pre-tokens
-    are made by the caller, so each goes straight to the tokenizer's model."""
+    are made by the caller, so each goes straight to the tokenizer's model; literals of added tokens are
+    ordinary text, as in the library with ``encode_special_tokens``."""
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(tokenizer_json).model
