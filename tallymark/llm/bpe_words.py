@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from tallymark.llm.bpe import Encoder, ranks_of, token_bytes
 from tallymark.llm.shared import chunks, part_count
-from tallymark.llm.spans import code_points, pre_tokens, ragged, span_hashes
+from tallymark.llm.spans import code_points, distinct_spans, pre_tokens, ragged
 
 CHUNK = 400_000
 ROWS = 500
@@ -71,8 +71,9 @@ class _Block:
     """Documents as word numbers, and the words."""
 
     def __init__(self):
-        self.hashes: list[np.ndarray] = []
-        self.words: dict[int, str] = {}
+        self.words: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.numbers: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
         self.counts: list[np.ndarray] = []
         self.size = 0
@@ -80,21 +81,21 @@ class _Block:
     def add(self, doc_ids: list, texts: list[str]) -> None:
         joined, units, text_starts = code_points(texts)
         starts, ends = pre_tokens(units, text_starts)
-        hashes = span_hashes(units, starts, ends)
-        distinct, first = np.unique(hashes, return_index=True)
-        words = self.words
-        for h, a, b in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist()):
-            if h not in words:
-                words[h] = joined[a:b]
-        self.hashes.append(hashes)
+        hashes, first, which = distinct_spans(units, starts, ends)
+        words, own = self.words, np.empty(len(first), np.int64)
+        for i, (h, a, b) in enumerate(zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist())):
+            n = own[i] = words.setdefault(joined[a:b], len(words))
+            if n == len(self.hashes):
+                self.hashes.append(h)
+        self.numbers.append(own[which])
         self.doc_ids += doc_ids
         self.counts.append(np.diff(np.searchsorted(starts, text_starts)))
         self.size += len(units)
 
     def rows(self, block: int, buckets: int, want: str) -> Iterator[dict]:
-        hashes = np.concatenate(self.hashes)
-        distinct, which, often = np.unique(hashes, return_inverse=True, return_counts=True)
-        order = np.lexsort((distinct, -often))
+        which = np.concatenate(self.numbers)
+        distinct = np.array(self.hashes, np.uint64)
+        order = np.lexsort((distinct, -np.bincount(which, minlength=len(distinct))))
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order))
         mark = zlib.crc32(distinct.tobytes())
@@ -111,11 +112,11 @@ class _Block:
             return
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        sorted_hashes = distinct[order]
+        texts = list(self.words)
         for b in range(buckets):
             places = by_bucket[cuts[b] : cuts[b + 1]]
             if len(places):
-                words = [self.words[h].encode("utf-8", "surrogatepass") for h in sorted_hashes[places].tolist()]
+                words = [texts[n].encode("utf-8", "surrogatepass") for n in order[places].tolist()]
                 yield {
                     "block": block,
                     "bucket": b,

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import ann, bpe_words, exact_dedup, language, licenses, line_dedup, near_dedup, packing, resampling, url_filter
+from tallymark.llm import (
+    ann,
+    bpe_words,
+    exact_dedup,
+    language,
+    licenses,
+    line_dedup,
+    near_dedup,
+    packing,
+    repeated_spans,
+    resampling,
+    turn_repair,
+    url_filter,
+    vector_codes,
+)
 from tallymark.llm.license_texts import BASE_PHRASES, TEMPLATES
 from tallymark.llm.shared import table, tokenizer_path
 
@@ -119,3 +133,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pruned_graph_neighbours")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_adaptive_bound_codes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_seed_and_extend_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (
+      SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+    ), r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM r) GROUP BY doc_id),
+    kept AS (
+      SELECT d.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+        CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS k
+      FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+    )
+    SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_generalised_lr_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))

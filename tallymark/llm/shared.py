@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,51 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder and read back, and its folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+    return written(df, name, compression)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def joined_by_count(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str, hot: int = 1000) -> DataFrame:
+    """``rows`` joined (inner) with ``keyed``, which has one row a key and how many of ``rows`` hold it.
+    A key with more than one in ``hot`` of the rows counted is broadcast (there are fewer than ``hot`` of
+    them); all others are hash-joined, so no task gets more than its share of one key."""
+    on = [key] if isinstance(key, str) else key
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    frequent = F.broadcast(keyed.where(F.col(count) * hot > total))
+    rest = keyed.where(F.col(count) * hot <= total)
+    return rows.join(frequent, on).unionByName(
+        rows.join(frequent.select(*on), on, "left_anti").join(rest, on)
+    )
+
+
+def fixed_binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a table of numbers as a column of binaries."""
+    size = rows.shape[1] * rows.itemsize if rows.ndim == 2 else 0
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)
+    data = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def fixed_rows(column: pa.Array, kind: type) -> np.ndarray:
+    """A column of binaries of one length as a table of numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return data.reshape(len(column), -1).view(kind) if len(column) else np.zeros((0, 0), kind)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -12,7 +12,9 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0xD6E8FEB86659FD93
+_PRIME = (1 << 31) - 1
+_BASES = (1_299_709_821, 774_236_053, 2_038_074_743, 911_382_323)
+LONG = 256
 SPACE, LETTER, NUMBER, OTHER, GAP = range(5)
 
 
@@ -25,23 +27,83 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    n = 1 << bits
+def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
+    for factor in (base, pow(base, -1, _PRIME)):
+        p = np.ones(1 << bits, np.uint64)
+        for b in range(bits):
+            p[1 << b : 2 << b] = _folded(p[: 1 << b] * np.uint64(pow(factor, 1 << b, _PRIME)))
+        out.append(p)
     return out[0], out[1]
 
 
-def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of units[start:end], from prefix sums of a polynomial."""
-    power, inverse = _powers(max(16, int(len(units)).bit_length()))
-    sums = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * power[: len(units)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+@cache
+def _buffers() -> list[np.ndarray]:
+    return [np.zeros((3, 1 << 19), np.uint64)]
+
+
+def _scratch(n: int) -> np.ndarray:
+    """Working rows of ``n`` numbers, reused from call to call; long ones are not kept."""
+    kept = _buffers()
+    return kept[0][:, :n] if n <= kept[0].shape[1] else np.zeros((3, n), np.uint64)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo 2**31 - 1."""
+    prime, bits = np.uint64(_PRIME), np.uint64(31)
+    x = (x & prime) + (x >> bits)
+    x = (x & prime) + (x >> bits)
+    return np.where(x >= prime, x - prime, x)
+
+
+def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of units[start:end] (units below 2**21). ``lane`` picks one of two independent hashes.
+
+    Short spans: two polynomials modulo a prime, each with a base of its own, from prefix sums. Two
+    different spans of up to ``LONG`` units share both values for at most LONG**2 of the 2**62 pairs of
+    bases; a modulus of 2**64, which no base makes safe, is avoided. Longer spans: xxh3 of their units.
+    """
+    n, prime, bits = len(units), np.uint64(_PRIME), np.uint64(31)
+    out = np.zeros(len(starts), np.uint64)
+    work = _scratch(n + 1)
+    own, term, high = work[0, :n], work[1, 1:], work[2, :n]
+    own[:] = units
+    own += np.uint64(1)
+    for k, base in enumerate(_BASES[2 * lane : 2 * lane + 2]):
+        power, inverse = _powers(max(16, int(n).bit_length()), base)
+        np.multiply(own, power[:n], out=term)
+        np.right_shift(term, bits, out=high)
+        np.bitwise_and(term, prime, out=term)
+        np.add(term, high, out=term)
+        sums = work[1]
+        sums[0] = 0
+        np.cumsum(sums, out=sums)
+        value = _folded(_folded(sums[ends] - sums[starts]) * inverse[starts])
+        out |= value << np.uint64(31 * k)
+    out = mix(out ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+    wide = np.flatnonzero(ends - starts > LONG)
+    if len(wide):
+        import xxhash
+
+        out[wide] = [
+            xxhash.xxh3_64_intdigest(units[a:b].tobytes(), seed=lane)
+            for a, b in zip(starts[wide].tolist(), ends[wide].tolist())
+        ]
+    return out
+
+
+def distinct_spans(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first place of every different span, and which of them each span is. Spans are told
+    apart by both lanes (128 bits)."""
+    hashes, checks = (span_hashes(units, starts, ends, lane) for lane in (0, 1))
+    distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = checks != checks[first][which]
+    if not odd.any():
+        return distinct, first, which
+    pairs = np.stack([hashes, checks], 1)
+    pairs, first, which = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
+    return pairs[:, 0], first, which.ravel()
 
 
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Token ids of whole texts with a bounded cache of words, for use inside tasks.
 
 Texts are cut into pre-tokens with numpy; only words that the cache lacks go to the tokenizer, as
-words, once per batch. The cache is a table of fixed size that a later word may overwrite.
+words, once per batch. The cache is a table of fixed size that a later word may overwrite. Words are
+told apart by two hashes (128 bits).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tallymark.llm.spans import code_points, pre_tokens, ragged, span_hashes
+from tallymark.llm.spans import code_points, distinct_spans, pre_tokens, ragged, span_hashes
 
 WIDTH = 8
 
@@ -18,7 +19,7 @@ WIDTH = 8
 class WordIds:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], bits: int = 20):
         self.encode, self.mask = encode, np.uint64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
+        self.keys, self.checks = np.zeros((2, 1 << bits), np.uint64)
         self.counts = np.zeros(1 << bits, np.int8)
         self.ids = np.zeros((1 << bits) * WIDTH, np.uint16)
 
@@ -26,11 +27,11 @@ class WordIds:
         """All ids of the texts, joined, and the number of ids of each text."""
         joined, units, text_starts = code_points(texts)
         starts, ends = pre_tokens(units, text_starts)
-        hashes = span_hashes(units, starts, ends)
+        hashes, checks = (span_hashes(units, starts, ends, lane) for lane in (0, 1))
         slots = (hashes & self.mask).astype(np.int64)
-        known = (self.keys[slots] == hashes) & (self.counts[slots] > 0)
+        known = (self.keys[slots] == hashes) & (self.checks[slots] == checks) & (self.counts[slots] > 0)
         missing = np.flatnonzero(~known)
-        _, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        _, first, which = distinct_spans(units, starts[missing], ends[missing])
         place = missing[first]
         fresh = self.encode([joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist())])
         lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
@@ -53,7 +54,8 @@ class WordIds:
         slot = (hashes[place[small]] & self.mask).astype(np.int64)
         _, last = np.unique(slot, return_index=True)
         slot, small = slot[last], small[last]
-        self.keys[slot], self.counts[slot] = hashes[place[small]], lengths[small]
+        self.keys[slot], self.checks[slot] = hashes[place[small]], checks[place[small]]
+        self.counts[slot] = lengths[small]
         values, sizes = ragged(flat, offsets, small)
         at = np.repeat(slot * WIDTH, sizes) + np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.ids[at] = values
