@@ -60,10 +60,14 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     keys = np.concatenate(
         [text[: len(v)][ok] * FEATURES + (v[ok] % np.uint64(FEATURES)).astype(np.int64) for v, ok in grams]
     )
-    counts = np.bincount(keys, minlength=len(texts) * FEATURES)
-    used = np.flatnonzero(counts)
+    if len(texts) * FEATURES <= 4 * len(keys):
+        counts = np.bincount(keys, minlength=len(texts) * FEATURES)
+        used = np.flatnonzero(counts)
+        counts = counts[used]
+    else:  # many short texts: only what occurs
+        used, counts = np.unique(keys, return_counts=True)
     has_letter = np.bincount(np.searchsorted(text_starts, np.flatnonzero(letter), side="right") - 1, minlength=len(texts))
-    return used // FEATURES, used % FEATURES, counts[used], has_letter > 0
+    return used // FEATURES, used % FEATURES, counts, has_letter > 0
 
 
 def tf_idf(text: np.ndarray, counts: np.ndarray, idf: np.ndarray, n_texts: int) -> np.ndarray:

@@ -1,15 +1,15 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set holds its distinct shingles of ``words`` words (A-Z lower-cased, words split at
-ASCII white space); with fewer words, the whole sequence is the one shingle. Sets are compared as
-64-bit shingle hashes.
+ASCII white space); with fewer words, the whole sequence is the one shingle. Shingles are hashed
+twice (128 bits) where links are confirmed and where few of them make a set, else once.
 
 1. One pass over the texts: digest of the set, its size, and ``REGISTERS`` registers. A shingle falls
    into a bucket; the bucket keeps its smallest hash as a count of leading zeros and the next ten
    bits. Buckets that stay empty are filled by further rounds with fresh hashes, so small sets have
    full sketches too. Equal sets are one class from here on, however many copies there are.
-2. Bands of ``ROWS`` registers: classes with an equal band are candidates. The chance to miss a pair
-   of similarity 0.85 in all 36 bands is about one in a million.
+2. Bands of as many registers as miss a pair at the threshold in at most one of 100,000 cases (seven at
+   0.85, about one in a million; six at 0.80, about three): classes with an equal band are candidates.
 3. Candidates pass an estimate of the similarity, corrected for registers that agree by chance, with
    five standard errors of slack, and are then verified on the full sets of their texts.
 4. A band's bucket is first compared with one class only, so a large group costs one pair per
@@ -40,7 +40,9 @@ from tallymark.llm.graph import components
 from tallymark.llm.shared import chunks, stored, without_rows
 from tallymark.llm.spans import mix, span_hashes, utf8
 
-REGISTERS, ROWS, MANTISSA = 256, 7, 10
+REGISTERS, MANTISSA = 256, 10
+MISS = 1e-5
+FEW = 8
 ROUNDS = 24
 STARS = 2
 BLOCK = 128
@@ -57,8 +59,9 @@ def _byte_table() -> tuple[np.ndarray, np.ndarray]:
     return lower, space
 
 
-def shingle_sets(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted within it, joined; and their offsets."""
+def shingle_sets(texts: list[str], words: int = 5, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted within it, joined; and their offsets. ``lane`` picks one
+    of two independent hashes of words."""
     lower, space = _byte_table()
     units, text_starts = utf8(texts)
     blank = space[units]
@@ -66,7 +69,7 @@ def shingle_sets(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarr
     before[1:] = blank[:-1]
     starts = np.flatnonzero(~blank & before)
     ends = np.flatnonzero(blank & ~before)
-    w = span_hashes(lower[units], starts, ends)
+    w = span_hashes(lower[units], starts, ends, lane)
     doc = np.searchsorted(text_starts, starts, side="right") - 1
     counts = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(counts) - counts
@@ -150,6 +153,28 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
     return (float((a == b).mean()) - by_chance) / (1 - by_chance)
 
 
+def reaches(texts: list[str], percent: int, words: int) -> bool:
+    """Do the full sets of two texts reach the threshold? Counted by both lanes: a shingle is 128 bits."""
+    for lane in (0, 1):
+        hashes, offsets = shingle_sets(texts, words, lane)
+        size = int(offsets[-1])
+        both = size - len(np.unique(hashes))
+        if 100 * both < percent * (size - both):
+            return False
+    return True
+
+
+def set_digests(texts: list[str], hashes: np.ndarray, offsets: np.ndarray, words: int) -> list[bytes | None]:
+    """A digest of each set (null: empty). Sets of few shingles are told apart by both lanes."""
+    few = np.flatnonzero((np.diff(offsets) > 0) & (np.diff(offsets) <= FEW))
+    other, at = shingle_sets([texts[i] for i in few], words, lane=1)
+    more = {int(i): other[a:b].tobytes() for i, a, b in zip(few, at[:-1], at[1:])}
+    return [
+        hashlib.blake2b(hashes[a:b].tobytes() + more.get(i, b""), digest_size=16).digest() if b > a else None
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    ]
+
+
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     """(row, doc_id, digest, n_shingles, registers) of each row; digest and registers null for an empty set."""
 
@@ -158,10 +183,7 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
             hashes, offsets = shingle_sets(texts, words)
             rows = sketches(hashes, offsets)
             sizes = np.diff(offsets)
-            digests = [
-                hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None
-                for a, b in zip(offsets[:-1], offsets[1:])
-            ]
+            digests = set_digests(texts, hashes, offsets, words)
             registers = [r.tobytes() if n else None for r, n in zip(rows, sizes)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,18 +202,26 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return own.mapInArrow(work, "row long, doc_id long, digest binary, n_shingles long, registers binary")
 
 
-def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, digest): a row per class and band."""
-    bands = REGISTERS // ROWS
+def band_rows(percent: int) -> int:
+    """The most registers a band may have for a pair at the threshold to be missed by all bands with a
+    chance of at most ``MISS``."""
+    level = percent / 100
+    fits = [r for r in range(1, 33) if (1 - level**r) ** (REGISTERS // r) <= MISS]
+    return max(fits, default=1)
+
+
+def band_keys(classes: DataFrame, size: int) -> DataFrame:
+    """(key, digest): a row per class and band of ``size`` registers."""
+    bands = REGISTERS // size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        odd = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
         base = mix(np.arange(1000, 1000 + bands, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16)
-            rows = rows.reshape(-1, REGISTERS)[:, : bands * ROWS].reshape(-1, bands, ROWS).astype(np.uint64)
+            rows = rows.reshape(-1, REGISTERS)[:, : bands * size].reshape(-1, bands, size).astype(np.uint64)
             keys = mix((mix(rows * odd + odd) * odd).sum(2, dtype=np.uint64) + base).ravel()
             digests = batch.column("digest").take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), digests], names=["key", "digest"])
@@ -237,10 +267,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
         for batch in batches:
             good = []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                hashes, offsets = shingle_sets([x, y], words)
-                size = int(offsets[-1])
-                both = size - len(np.unique(hashes))
-                good.append(100 * both >= percent * (size - both))
+                good.append(reaches([x, y], percent, words))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return (
@@ -293,7 +320,8 @@ def linked_in_blocks(still: DataFrame, classes: DataFrame, docs: DataFrame, perc
 
     def work(group: pa.Table) -> pa.Table:
         digests, roots = group.column("digest").to_pylist(), group.column("root").to_pylist()
-        hashes, offsets = shingle_sets(group.column("text").to_pylist(), words)
+        texts = group.column("text").to_pylist()
+        hashes, offsets = shingle_sets(texts, words)
         both = common_counts(hashes, offsets)
         sizes = np.diff(offsets)
         union = sizes[:, None] + sizes[None] - both
@@ -307,7 +335,7 @@ def linked_in_blocks(still: DataFrame, classes: DataFrame, docs: DataFrame, perc
         a, b = [], []
         for x, y in zip(*np.nonzero(np.triu(100 * both >= percent * union, 1))):
             p, q = top(roots[x]), top(roots[y])
-            if p != q:
+            if p != q and reaches([texts[x], texts[y]], percent, words):
                 label[max(p, q)] = min(p, q)
                 a.append(digests[x])
                 b.append(digests[y])
@@ -330,7 +358,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
         ),
         "classes",
     )
-    keys = band_keys(classes)
+    keys = band_keys(classes, band_rows(percent))
     shared = keys.groupBy("key").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1")
     members = stored(keys.join(shared.drop("n"), "key"), "band-members")
 

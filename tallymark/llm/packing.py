@@ -9,7 +9,8 @@ lowest ``probes``, else the rest is cut. The bin opens exactly as many sequences
 full ones, and for the remainder the powers of two that it is made of, so nothing is padded.
 
 Text is read once: ids of full sequences are hashed where they are made, only ids of rests are
-shuffled (two bytes each where the vocabulary allows it).
+shuffled (two bytes each where the vocabulary allows it, else four). Ids are those of the tokenizers library:
+literals of the file's added tokens are one id each, no template is put around the text.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed as rows of
 their own; a null identifier is kept; an empty table gives no pieces; further columns are ignored.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 
 from tallymark.llm.shared import chunks
 from tallymark.llm.spans import mix
+from tallymark.llm.tokenizers_cache import largest_id, tokenizer_ids
 
 CUT = "bin long, doc_id long, doc_tokens long, crcs binary, rest binary"
 PIECES = (
@@ -37,13 +39,16 @@ PIECES = (
 CHUNK = 400_000
 
 
+def id_type(tokenizer_json: str, end_id: int) -> type:
+    return np.uint16 if max(largest_id(tokenizer_json), end_id) < 1 << 16 else np.uint32
+
+
 def cut_documents(docs: DataFrame, tokenizer_json: str, bins: int, capacity: int = 1024, end_id: int = 0) -> DataFrame:
     """A row per document: bin, number of ids, hashes of its full sequences, ids of its rest."""
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kind = id_type(tokenizer_json, end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallymark.llm.tokenizers_cache import tokenizer_ids
-
         ids_of = tokenizer_ids(model.value)
         seen: Counter[int] = Counter()
         for batch, texts in chunks(batches, "text", CHUNK):
@@ -60,7 +65,7 @@ def cut_documents(docs: DataFrame, tokenizer_json: str, bins: int, capacity: int
                 key = zlib.crc32(rest.tobytes(), zlib.crc32(crcs.tobytes(), hash(doc) & 0xFFFFFFFF))
                 seen[key] += 1
                 salt = int(mix(np.array([key << 32 | seen[key] & 0xFFFFFFFF], np.uint64))[0])
-                rows.append((salt % bins, doc, len(own), crcs.tobytes(), rest.astype(np.uint16).tobytes()))
+                rows.append((salt % bins, doc, len(own), crcs.tobytes(), rest.astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                 names=["bin", "doc_id", "doc_tokens", "crcs", "rest"],
@@ -113,10 +118,11 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     bins = -(-docs.count() // rests) or 1
+    kind = id_type(tokenizer_json, end_id)
 
     def pack_bin(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_tokens", "rest", "doc_id"], kind="stable").reset_index(drop=True)
-        rest = [np.frombuffer(r, np.uint16).astype(np.uint32) for r in rows["rest"]]
+        rest = [np.frombuffer(r, kind).astype(np.uint32) for r in rows["rest"]]
         pieces, used = assign([len(r) for r in rest], capacity, linear, quadratic)
         first = int(rows["bin"].iloc[0]) << 32
         full = [np.frombuffer(c, np.uint32) for c in rows["crcs"]]

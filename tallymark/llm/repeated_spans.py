@@ -14,8 +14,9 @@
    pairs are formed.
 4. Repeated windows go back to their blocks, where overlapping ones become maximal spans.
 
-Words are hashed by two independent 64-bit hashes; a run is told apart by its anchor and its reach (128
-bits), a window likewise. No count is capped, and no text is cut.
+Words are hashed by two independent 64-bit hashes; a run is told apart by its anchor and its reach (122
+bits; six hold its number of windows), a window by its anchor and its words (128 bits). A run is three
+numbers, its place being block and word in one. No count is capped, and no text is cut.
 
 Defined results: null and empty texts have no words; a text shorter than ``length`` has no window; a text
 that repeats itself counts as any other; equal rows repeat each other; null or repeated identifiers are
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.shared import chunks, joined_by_count, stored
@@ -36,8 +37,9 @@ from tallymark.llm.spans import mix, span_hashes
 
 BLOCK = 1_000_000
 BLOCKS = "block long, doc_ids array<long>, sizes binary, payload binary"
-RUNS = "block long, start long, n int, anchor long, reach long"
-WINDOWS = "block long, start long, anchor long, words long, weight int"
+RUNS = "place long, anchor long, reach long"
+WINDOWS = "place long, anchor long, words long, weight int"
+PLACE, SEQ, MOST = 26, 18, 63
 RESULT = (
     "doc_id long, n_words long, n_removed long, text string, spans array<struct<start: long, end: long>>"
 )
@@ -59,7 +61,7 @@ def blocks(docs: DataFrame, chars: int = BLOCK) -> DataFrame:
             payload = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part << 32 | seq]),
+                    pa.array([part << SEQ | seq]),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([sizes], pa.binary()),
                     pa.array([payload], pa.binary()),
@@ -83,6 +85,24 @@ def blocks(docs: DataFrame, chars: int = BLOCK) -> DataFrame:
     return stored(own.mapInArrow(work, BLOCKS), "repeat-blocks")
 
 
+def block_of(place: str) -> Column:
+    return F.shiftright(place, PLACE)
+
+
+def start_of(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit((1 << PLACE) - 1))
+
+
+def windows_of(reach: str) -> Column:
+    return F.col(reach).bitwiseAND(F.lit(MOST)).cast("int")
+
+
+def places(block: int, starts: np.ndarray) -> pa.Array:
+    if len(starts) and starts[-1] >> PLACE or block >> 63 - PLACE:
+        raise ValueError(f"a block of {1 << PLACE} words or number {block} of a block: raise PLACE or SEQ")
+    return pa.array(starts + (block << PLACE))
+
+
 def unpacked(payload: bytes, sizes: bytes) -> list[bytes]:
     raw = pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True)
     ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
@@ -115,15 +135,15 @@ class Words:
         return x
 
 
-def runs(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, anchor hash and reach hash of every run of windows."""
+def runs(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, anchor hash, and reach hash with the number of windows of every run of windows."""
     total = len(words.hashes[0])
     starts = np.arange(max(0, total - length + 1))
     ends_at = words.texts[np.searchsorted(words.texts, starts, side="right")]
     valid = starts + length <= ends_at
     none = np.zeros(0, np.int64)
     if not valid.any():
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none.astype(np.uint64), none.astype(np.uint64)
     grams = words.spans(0, gram)
     width = length - gram + 1
     least, where = grams[: len(starts)].copy(), np.zeros(len(starts), np.int64)
@@ -142,7 +162,7 @@ def runs(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     whole = words.spans(1, length)
     reach = mix(mix(whole[begin] ^ n.astype(np.uint64)) * np.uint64(3) + whole[begin + n - 1])
     reach = mix(reach + (where[first] - begin).astype(np.uint64))
-    return begin, n, least[first], reach
+    return begin, least[first], (reach & ~np.uint64(MOST)) | n.astype(np.uint64)
 
 
 def seeds(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -151,23 +171,17 @@ def seeds(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "payload"))):
-                start, n, anchor, reach = runs(Words(unpacked(payload, sizes)), length, gram)
+                start, anchor, reach = runs(Words(unpacked(payload, sizes)), length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(start), block)),
-                        pa.array(start),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(reach.view(np.int64)),
-                    ],
-                    names=["block", "start", "n", "anchor", "reach"],
+                    [places(block, start), pa.array(anchor.view(np.int64)), pa.array(reach.view(np.int64))],
+                    names=["place", "anchor", "reach"],
                 )
 
     return texts.select("block", "sizes", "payload").mapInArrow(work, RUNS)
 
 
 def window_rows(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """Every window of the asked runs (block, start, n, anchor, weight)."""
+    """Every window of the asked runs (place, anchor, reach, weight)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,52 +195,48 @@ def window_rows(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 start = np.repeat(get("start"), n) + within
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(start), batch.column("block")[i].as_py())),
-                        pa.array(start),
+                        pa.array(start + (batch.column("block")[i].as_py() << PLACE)),
                         pa.array(np.repeat(get("anchor"), n)),
                         pa.array(whole[start].view(np.int64)),
                         pa.array(np.repeat(get("weight"), n)),
                     ],
-                    names=["block", "start", "anchor", "words", "weight"],
+                    names=["place", "anchor", "words", "weight"],
                 )
 
-    by_block = asked.groupBy("block").agg(F.collect_list(F.struct("start", "n", "anchor", "weight")).alias("asked"))
+    one = F.struct(start_of("place").alias("start"), windows_of("reach").alias("n"), "anchor", "weight")
+    by_block = asked.groupBy(block_of("place").alias("block")).agg(F.collect_list(one).alias("asked"))
     return texts.select("block", "sizes", "payload").join(by_block, "block").mapInArrow(work, WINDOWS)
 
 
 def repeated_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(block, start, n): runs of windows whose words also stand elsewhere."""
+    """(place, n): runs of windows whose words also stand elsewhere."""
     found = stored(seeds(texts, length, gram), "repeat-runs")
-    reaches = stored(
-        found.groupBy("anchor", "reach").agg(
-            F.count("*").alias("copies"),
-            F.min("block").alias("block"),
-            F.min_by("start", "block").alias("start"),
-            F.max("n").alias("n"),
-        ),
-        "repeat-reaches",
-    )
+    reaches = found.groupBy("anchor", "reach").agg(F.count("*").alias("copies"), F.min("place").alias("place"))
+    reaches = stored(reaches, "repeat-reaches")
     whole = reaches.where("copies > 1").select("anchor", "reach", "copies")
-    full = joined_by_count(found, whole, ["anchor", "reach"], "copies").select("block", "start", "n")
+    full = joined_by_count(found, whole, ["anchor", "reach"], "copies").select("place", windows_of("reach").alias("n"))
 
     several = reaches.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1")
     asked = joined_by_count(reaches, several, "anchor", "reaches").select(
-        "block", "start", "n", "anchor", F.when(F.col("copies") > 1, 2).otherwise(1).alias("weight")
+        "place", "anchor", "reach", F.when(F.col("copies") > 1, 2).otherwise(1).alias("weight")
     )
     windows = stored(window_rows(asked, texts, length), "repeat-windows")
     shared = windows.groupBy("anchor", "words").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows"))
     shared = shared.where("weight > 1").select("anchor", "words", "rows")
-    single = windows.where("weight = 1").select("block", "start", "anchor", "words")
+    single = windows.where("weight = 1").select("place", "anchor", "words")
     edges = joined_by_count(single, shared, ["anchor", "words"], "rows")
-    return full.union(edges.select("block", "start", F.lit(1).alias("n")))
+    return full.union(edges.select("place", F.lit(1).alias("n")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 12) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_removed, text (kept words, one space between them) and
     the repeated spans (word numbers, end excluded) that were removed."""
+    if not 0 <= length - gram < MOST:
+        raise ValueError(f"gram must be at most length and above length - {MOST}")
     texts = blocks(docs)
     spans = repeated_windows(texts, length, gram)
-    by_block = spans.groupBy("block").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    one = F.struct(start_of("place").alias("start"), "n")
+    by_block = spans.groupBy(block_of("place").alias("block")).agg(F.collect_list(one).alias("found"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(

@@ -2,9 +2,10 @@
 
 Two generative models over hashed word n-grams (words and runs of signs, singly and in pairs,
 ``buckets`` buckets): the raw model from every document, the target model from documents labelled
-good. A document's log weight is the mean log ratio of its n-grams times ``sharpness``; Gumbel noise
-drawn from a hash of the row is added, and the ``k`` largest sums stay, which samples without
-replacement in proportion to the weights. ``k`` is the number of documents above the level that
+good. A document's log weight is the mean log ratio of its n-grams times ``sharpness``, that is, the
+sum that a document of ``sharpness`` n-grams would have, whatever its length; Gumbel noise drawn from a hash
+of identifier and text is added (so the sample is the same for every layout of the table), and the ``k``
+largest sums stay, which samples without replacement in proportion to the weights. ``k`` is the number of documents above the level that
 separates good from bad labelled documents best, on the half of the labels that the target model
 hasn't seen. The level may lose ``lose`` of the good labels (with three standard errors), a share above the
 noise of labels, so that outliers and wrong labels don't set it. Held-out labels of sf0.1 (1,671 good, 291
@@ -15,7 +16,7 @@ them). Raw counts, scores and the draw cover all documents. The driver sees buck
 histograms only; the k-th largest sum is found exactly by narrowing histograms.
 
 Defined results: a text without words has log ratio 0 by definition and is scored like any other;
-repeated rows are drawn one by one; rows with a null identifier are unlabelled; without good labels
+rows equal in identifier and text share one draw; rows with a null identifier are unlabelled; without good labels
 everything stays; an empty table gives no rows; further columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import chunks, stored, without_rows
+from tallymark.llm.shared import chunks, free_name, stored
 from tallymark.llm.spans import mix, span_hashes, utf8
 
 CHUNK = 400_000
@@ -83,8 +84,9 @@ def count_models(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def mean_ratios(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(row, doc_id, log_ratio) of (row, doc_id, text): mean log ratio of the n-grams."""
+    """The columns of ``docs`` without the text, and log_ratio: mean log ratio of the text's n-grams."""
     shipped = docs.sparkSession.sparkContext.broadcast(ratio)
+    own = docs.drop("text").columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shipped.value
@@ -93,10 +95,10 @@ def mean_ratios(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             n = np.bincount(doc, minlength=len(texts))
             mean = np.bincount(doc, ratio[grams], minlength=len(texts)) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(mean)], names=["row", "doc_id", "log_ratio"]
+                [*(batch.column(c) for c in own), pa.array(mean)], names=[*own, "log_ratio"]
             )
 
-    return docs.mapInArrow(work, "row long, doc_id long, log_ratio double")
+    return docs.mapInArrow(work, docs.select(own).withColumn("log_ratio", F.lit(0.0)).schema)
 
 
 def separating_level(scores: DataFrame, lose: float) -> float | None:
@@ -148,7 +150,7 @@ def resample(
     lose: float = 0.02,
     seed: int = 7,
 ) -> DataFrame:
-    """Each row of ``docs``: row, doc_id, log_ratio, key (log weight and noise), kept."""
+    """Each row of ``docs``: row, doc_id, mark, log_ratio, key (log weight and noise), kept."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("label_id")
     ).agg(F.min("quality").alias("quality"))
@@ -156,7 +158,10 @@ def resample(
     draw = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     known = known.where(draw("label_id") < share).withColumn("fit", F.crc32(F.col("label_id").cast("string")) % 2 == 0)
     own = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"),
+        "text",
     )
     good = known.where("fit and quality = 1").select(F.col("label_id").alias("doc_id"), F.lit(True).alias("target"))
     fitted = own.join(F.broadcast(good), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
@@ -170,7 +175,7 @@ def resample(
     scores = stored(mean_ratios(own, ratio), "ratios")
     held = known.where(~F.col("fit")).select(F.col("label_id").alias("doc_id"), "quality")
     level = separating_level(scores.join(F.broadcast(held), "doc_id"), lose)
-    noise = -F.log(-F.log((draw("row", "doc_id") * (1 - 2e-12)) + 1e-12))
+    noise = -F.log(-F.log((draw("mark") * (1 - 2e-12)) + 1e-12))
     keyed = scores.withColumn("key", F.col("log_ratio") * sharpness + noise)
     total, k = scores.agg(F.count("*"), F.count_if(F.col("log_ratio") >= (level if level is not None else -1e9))).first()
     least = kth_largest(keyed, "key", k) if 0 < k < total else float("-inf")
@@ -178,5 +183,9 @@ def resample(
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns."""
-    return without_rows(docs, resample(docs, labels, **options).where(~F.col("kept")).select("row"))
+    """The rows of ``docs`` that stay, with all columns. Rows equal in identifier and text stay or go
+    together, so they are found again by these and not by their place in the table."""
+    gone = resample(docs, labels, **options).where(~F.col("kept")).select(F.struct("doc_id", "mark").alias("of")).distinct()
+    of = free_name(docs, "of")
+    mark = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"))
+    return docs.withColumn(of, mark).join(gone.withColumnRenamed("of", of), of, "left_anti").drop(of)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ROW = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,12 +87,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with about ``limit`` characters each (one row at least), with their
-    texts; null is the empty text. Bounds what a task holds, whatever the length of the rows."""
+    """Slices of Arrow batches with about ``limit`` characters each (one row at least; a row counts as
+    ``ROW`` more), with their texts; null is the empty text. Bounds what a task holds, whatever the length
+    and number of the rows."""
     for batch in batches:
         sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
         start = size = 0
-        for i, n in enumerate([*sizes, limit]):
+        for i, n in enumerate([*(n + ROW for n in sizes), limit]):
             if i > start and (size + n > limit or i == len(sizes)):
                 part = batch.slice(start, i - start)
                 yield part, [t or "" for t in part.column(text).to_pylist()]

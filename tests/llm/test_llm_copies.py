@@ -169,3 +169,32 @@ def test_fuzzy_lines_of_long_letter_runs(spark):
     want = dict(enumerate(lines_brute(rows)))
     assert sum(map(len, want.values())) == 8
     assert removed_lines(spark, rows) == want
+
+
+def test_long_words_that_a_polynomial_hash_takes_for_equal(spark):
+    rows = []
+    for n in (256, 1024, 4096):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        other = word.translate({97: 98, 98: 97})
+        rows += [(n, word), (n + 1, other), (n + 2, f"{word} one two three four five"), (n + 3, f"{other} one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in near_dedup.near_duplicates(docs).collect())
+    assert near_dedup.reaches([rows[0][1]] * 2, 85, 5) and not near_dedup.reaches([rows[0][1], rows[1][1]], 85, 5)
+
+
+def test_pairs_just_above_eighty_percent(spark):
+    """Texts of 105 distinct shingles each that share 94 of 116 (0.81), and of 94 against 92 of 118 (0.78)."""
+    rows = []
+    for i in range(12):
+        words = prose(1000 + i, 400).split()
+        words = list(dict.fromkeys(words))[:109]
+        assert len(words) == 109
+        near, far = [*words[:98], *(f"y{i}x{j}" for j in range(11))], [*words[:96], *(f"z{i}x{j}" for j in range(13))]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    texts = [t for _, t in rows]
+    a, b, c = (shingles(t) for t in texts[:3])
+    assert (len(a & b), len(a | b)) == (94, 116) and 100 * len(a & c) < 80 * len(a | c)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, root = near_brute(texts, 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent=80).collect()}
+    assert got == dict(enumerate(root)) and got[1] == 0

@@ -192,6 +192,55 @@ def test_neighbours(spark):
     assert ann.nearest(table.where("false")).count() == 0
 
 
+def test_recall_over_clustered_shards(spark):
+    """Every shard is visited: recall over eight shards of clustered vectors, one cluster with a third of the rows."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 4, (40, 24))
+    rows = centres[np.where(rng.random(4000) < 1 / 3, 0, rng.integers(0, 40, 4000))] + rng.normal(0, 1, (4000, 24))
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(docs, shard_rows=512).collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    found = total = 0
+    for q in range(0, 4000, 100):
+        far = np.sqrt(((rows - rows[q]) ** 2).sum(1))
+        far[q] = np.inf
+        want = set(np.argsort(far, kind="stable")[:10].tolist())
+        assert all(s == far[v] for s, v in got[q]) and sorted(got[q]) == got[q]
+        found += len(want & {v for _, v in got[q]})
+        total += 10
+    assert found / total >= 0.98
+
+
+def test_distances_are_those_of_the_doubles(spark):
+    rows = [(100 * i, [1.0 + i * 1e-12, 1.0]) for i in range(5)] + [(7, [1e300, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(docs).collect()}
+    assert len(got) == 25 and got[0, 100] == (1.0 + 1e-12) - 1.0 and got[0, 400] > got[0, 300] > 0
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    texts = [f"ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}e" for i in range(20_000)]
+    tracemalloc.start()
+    language.gram_counts([""] * 20_000)
+    text, feature, counts, letters = language.gram_counts(texts)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    some = language.gram_counts(texts[:3] + ["longer text " * 4000])
+    assert letters.all() and (counts[text < 3] == some[2][some[0] < 3]).all()
+    assert (feature[text < 3] == some[1][some[0] < 3]).all()
+
+
+def test_the_sample_is_the_same_for_every_layout(spark):
+    from tallymark.llm.shared import table
+
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    kept = lambda d: sorted(r.doc_id for r in resampling.accepted(d, labels).select("doc_id").collect())
+    assert kept(docs) == kept(docs.orderBy("text").repartition(7))
+
+
 def test_licenses(spark, messy, no_rows):
     texts = [
         (50, "Licensed under the Apache License, Version 2.0.\n" + prose(1, 30)),

@@ -34,7 +34,7 @@ def test_stages(spark):
             want = set(best.values())
         else:
             ids = sorted(before)
-            _, root = near_brute([before[i].text for i in ids])
+            _, root = near_brute([before[i].text for i in ids], 80)
             want = {ids[c] for c in set(root)}
         assert set(rows) == want, name
         docs, before = left, rows

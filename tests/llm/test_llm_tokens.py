@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tallymark.llm import bpe, bpe_words, packing, spans
 from tallymark.llm.shared import tokenizer_path
+from tallymark.llm.tokenizers_cache import tokenizer_ids
 
 RANK_FILE = open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb").read()
 MODEL = open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read()
@@ -23,6 +24,28 @@ def encoding():
     )
 
 
+def long_pairs():
+    """Different words that a polynomial modulo 2**64 takes for equal."""
+    out = []
+    for n in (256, 1024, 4096):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        out += [word, word.translate({97: 98, 98: 97})]
+    return out
+
+
+def test_long_words_are_told_apart(spark):
+    texts = long_pairs()
+    own, model = encoding(), Tokenizer.from_str(MODEL)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe_words.decode(bpe_words.encode(docs, RANK_FILE), RANK_FILE).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded).decode()) for r in rows} == {
+        i: (own.encode_ordinary(t), t) for i, t in enumerate(texts)
+    }
+    ids, counts = tokenizer_ids(MODEL)(texts)
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_pre_tokens_are_those_of_the_pattern():
     rng, pattern = random.Random(3), regex.compile(public_tokenizers.PATTERN)
     signs = " \n\t' 　aestrvmld19é½Δ漢!?-’\x1c\x85​"
@@ -76,10 +99,14 @@ def check_packing(rows, want, capacity):
 
 def test_packing(spark, messy, no_rows):
     model = Tokenizer.from_str(MODEL)
-    model.encode_special_tokens = True
-    want = [(r.doc_id, model.encode(r.text or "", add_special_tokens=False).ids + [0]) for r in messy.collect()]
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}b  {end}", f"{end}{end} {end}\n it's{end}'s", "<|endoftext|", *long_pairs()]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = messy.unionByName(more, allowMissingColumns=True)
+    want = [(r.doc_id, model.encode(r.text or "", add_special_tokens=False).ids + [0]) for r in docs.collect()]
+    assert (101, [64, 220, 50256, 275, 0]) in want
     for rests, capacity in ((4, 1024), (100, 64)):
-        check_packing(packing.pack(messy, MODEL, capacity=capacity, rests=rests).collect(), want, capacity)
+        check_packing(packing.pack(docs, MODEL, capacity=capacity, rests=rests).collect(), want, capacity)
     assert packing.pack(no_rows, MODEL).count() == 0
 
 
