@@ -28,8 +28,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (similarity 0.85 or more on shingles of five words)."""
-    return near_dedup.deduplicate(docs)
+    """One document of each component of near copies (similarity 0.80 or more on shingles of five words)."""
+    return near_dedup.deduplicate(docs, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
