@@ -23,6 +23,8 @@ from tallymark.functions import fixed as K
 from tallymark.functions.scalars import account_digits, mask_digits, norm_bank, strip_zeros
 from tallymark.functions.similarity import ratio
 
+#: Classes of characters and ones for each in a name's counts; growth of the bands of lengths; a close name.
+SLOTS, SLOT_BITS, BAND, CLOSE = 45, 7, 1.35, 0.85
 ROW_FIELDS = ("ordinal", "bank_name", "account_number", "routing_number")
 
 
@@ -351,57 +353,132 @@ def _name_tokens(norm: Column) -> Column:
     )
 
 
-def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = K.SIM_NAME) -> DataFrame:
-    """All (detected, registry) pairs of distinct normal names with similarity >= threshold.
+def _letter_counts(norm: Column, prefix: str) -> tuple[list[Column], list[Column]]:
+    """How often each of ``SLOTS`` classes of characters occurs, as runs of up to ``SLOT_BITS`` ones in a
+    few longs, and what runs over. The ones that two names have in common, and the smaller of their
+    overruns, are at least the characters they have in common."""
+    per_long = 63 // SLOT_BITS
+    code = lambda c: F.pmod(F.ascii(c), F.lit(SLOTS))
+    chars = F.filter(F.split(norm, ""), lambda c: c != "")
+    slots = F.transform(chars, code)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.size(F.filter(slots, lambda x: x == s)))
+    out = []
+    for first in range(0, SLOTS, per_long):
+        bits = F.lit(0).cast("long")
+        for k, slot in enumerate(range(first, min(first + per_long, SLOTS))):
+            ones = F.expr(f"shiftleft(1L, least({SLOT_BITS}, counts[{slot}])) - 1L")
+            bits = bits.bitwiseOR(F.shiftleft(ones, SLOT_BITS * k))
+        out.append(bits.alias(f"{prefix}_bits{first // per_long}"))
+    over = F.aggregate("counts", F.lit(0), lambda a, c: a + F.greatest(c - SLOT_BITS, F.lit(0)))
+    return [counts.alias("counts")], [*out, over.alias(f"{prefix}_over")]
+
+
+def _bucket(length: Column) -> Column:
+    """Lengths in bands that grow with them."""
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.log(F.lit(BAND)) + 1e-9).cast("int")
+
+
+def _bucket_low(bucket: Column) -> Column:
+    return F.ceil(F.pow(F.lit(BAND), bucket.cast("double")) - 1e-6)
+
+
+def _subsets(tokens: Column, size: Column) -> Column:
+    """All sets of ``size`` (1, 2 or 3) tokens in order, as texts."""
+    places = lambda low: F.sequence(low, F.size(tokens))
+    at = lambda i: F.element_at(tokens, i)
+    tail = lambda i: F.filter(places(i), lambda j: j > i)
+    n = F.size(tokens)
+    one = tokens
+    two = F.flatten(F.transform(places(F.lit(1)), lambda i: F.transform(tail(i), lambda j: F.concat_ws("|", at(i), at(j)))))
+    three = F.flatten(
+        F.transform(
+            places(F.lit(1)),
+            lambda i: F.flatten(
+                F.transform(tail(i), lambda j: F.transform(tail(j), lambda k: F.concat_ws("|", at(i), at(j), at(k))))
+            ),
+        )
+    )
+    none = F.array().cast("array<string>")
+    return F.when(n < size, none).when(size == 1, one).when(size == 2, two).otherwise(three)
 
-    ``left`` and ``right`` have one column ``norm``. The ratio 2M/(la+lb) cannot exceed the ratio
-    of common characters, so with overlap need = ceil(threshold/2 * (la+lb)) two names can only
-    qualify when they share one of their rarest la-need+1 numbered characters. Those few tokens
-    are the equality key of the join; length and common-character bounds then drop pairs before
-    the ratio itself is computed. No pair is lost and no cross join is made.
+
+def name_candidates(left: DataFrame, right: DataFrame, threshold: float, shared: int = 3) -> DataFrame:
+    """Pairs (a_norm, b_norm) of distinct names that can reach the similarity; no pair that does is lost.
+
+    The ratio 2M/(la+lb) needs M >= threshold/2 * (la+lb) common characters. With the characters of
+    both names in order of their rarity, a pair that has ``need`` in common shares at least ``l`` among the
+    first len-need+l of each. So every set of ``l`` (``shared``, fewer where need is smaller) of those is a
+    key, together with the bands of both lengths: needs follow from the bands, and names of unfitting
+    lengths don't meet. Such keys are rare, so no key gathers many names. What meets must have enough
+    characters in common, counted by class in a few longs, before a pair is formed.
     """
-    half = threshold / 2.0
-    eps = 1e-9
-    # Shortest possible partner of a name of length la is la * half / (1 - half).
-    def prefixed(df, tag):
-        toks = df.select("norm", F.length("norm").alias("len"), _name_tokens(F.col("norm")).alias("toks"))
-        return toks.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("norm", "len", "toks")])
-
-    a, b = prefixed(left, "a"), prefixed(right, "b")
-    # Rarity of each token among the registry names (fixed small alphabet, a few hundred rows).
-    freq = b.select(F.explode("b_toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
-
-    def prefix(df, tag):
-        need = F.ceil(F.col(f"{tag}_len") * (half / (1.0 - half)) - eps)
-        keep = F.col(f"{tag}_len") - need + 1
-        long = df.select(f"{tag}_norm", F.explode(f"{tag}_toks").alias("tok")).join(freq, "tok", "left")
-        ranked = long.groupBy(f"{tag}_norm").agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce(F.col("f"), F.lit(0)).alias("f"), F.col("tok")))
-            ).alias("r")
+    half, eps = threshold / 2.0, 1e-9
+    ratio_of_lengths = half / (1.0 - half)  # shortest partner of a name, as a share of its length
+
+    def prepared(df: DataFrame, tag: str) -> DataFrame:
+        counts, bits = _letter_counts(F.col("norm"), tag)
+        own = df.select("norm", F.length("norm").alias("len"), *counts)
+        return own.select(F.col("norm").alias(f"{tag}_norm"), F.col("len").alias(f"{tag}_len"), *bits)
+
+    def need(one: Column, two: Column) -> Column:
+        return F.ceil(half * (one + two) - eps).cast("int")
+
+    freq = right.select(F.explode(_name_tokens(F.col("norm"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
+
+    def keyed(df: DataFrame, tag: str) -> DataFrame:
+        own = df.select("norm", F.length("norm").alias("len"), F.explode(_name_tokens(F.col("norm"))).alias("tok"))
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "tok")))
+        ranked = own.join(freq, "tok", "left").groupBy("norm", "len").agg(F.transform(ordered, lambda x: x["tok"]).alias("r"))
+        least = F.ceil(F.col("len") * ratio_of_lengths - eps)
+        most = F.floor(F.col("len") / ratio_of_lengths + eps)
+        banded = ranked.withColumn("other", F.explode(F.sequence(_bucket(least), _bucket(most)))).withColumn("own", _bucket(F.col("len")))
+        lows = need(_bucket_low(F.col("own")), _bucket_low(F.col("other")))
+        size = F.greatest(F.lit(1), F.least(F.lit(shared), lows))
+        other_low = F.greatest(_bucket_low(F.col("other")), least)
+        many = F.col("len") - need(F.col("len"), other_low) + F.col("size")
+        front = banded.withColumn("size", size).withColumn(
+            "front", F.slice("r", F.lit(1), F.greatest(F.least(many, F.col("len")), F.lit(0)).cast("int"))
         )
-        return (
-            df.join(ranked, f"{tag}_norm")
-            .select(
-                f"{tag}_norm", f"{tag}_len", f"{tag}_toks", F.explode(F.expr(f"slice(r, 1, cast({tag}_len - ceil({tag}_len * {half / (1.0 - half)} - {eps}) + 1 as int))")).alias("x")
-            )
-            .select(f"{tag}_norm", f"{tag}_len", f"{tag}_toks", F.col("x.tok").alias("tok"))
-        )
-
+        bands = ("own", "other") if tag == "a" else ("other", "own")
+        return front.select(
+            F.col("norm").alias(f"{tag}_norm"), *bands, F.explode(_subsets(F.col("front"), F.col("size"))).alias("set")
+        ).select(f"{tag}_norm", F.xxhash64(*bands, "set").alias("key"))
+
+    a, b = prepared(left, "a"), prepared(right, "b")
+    longs = [c[2:] for c in a.columns if "_bits" in c]
+    common = F.least("a_over", "b_over")
+    for c in longs:
+        common = common + F.bit_count(F.col(f"a_{c}").bitwiseAND(F.col(f"b_{c}")))
     total = F.col("a_len") + F.col("b_len")
-    pairs = (
-        prefix(a, "a")
-        .join(prefix(b, "b"), "tok")
-        .where(2 * F.least("a_len", "b_len") >= threshold * total - eps)
-        .where(2 * F.size(F.array_intersect("a_toks", "b_toks")) >= threshold * total - eps)
-        .select("a_norm", "b_norm")
-        .distinct()
-    )
+    fits = (2 * F.least("a_len", "b_len") >= threshold * total - eps) & (2 * common >= threshold * total - eps)
+    one = keyed(left, "a").join(a, "a_norm")
+    two = keyed(right, "b").join(b, "b_norm")
+    return one.join(two, (one["key"] == two["key"]) & fits).select("a_norm", "b_norm").distinct()
+
+
+def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = K.SIM_NAME) -> DataFrame:
+    """All (detected, registry) pairs of distinct normal names with similarity >= threshold, scored.
+    ``left`` and ``right`` have one column ``norm``."""
+    pairs = name_candidates(left, right, threshold)
     same = left.join(right, "norm").select(F.col("norm").alias("a_norm"), F.col("norm").alias("b_norm"))
     scored = pairs.union(same).distinct().withColumn("similarity", ratio("a_norm", "b_norm"))
     return scored.where(F.col("similarity") >= threshold)
 
 
+def best_name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that hold every left name's highest similarity, from the threshold on. Names are first looked
+    up as they are, then among close names (``CLOSE``, where keys are few and rare); only what neither finds
+    is compared down to the threshold."""
+    same = left.join(right, "norm").select(F.col("norm").alias("a_norm"), F.col("norm").alias("b_norm"))
+    out = same.withColumn("similarity", F.lit(1.0))
+    rest = left.join(right, "norm", "left_anti")
+    for level in [CLOSE, threshold] if CLOSE > threshold else [threshold]:
+        found = similar_name_pairs(rest, right, level)
+        out = out.union(found)
+        rest = rest.join(found.select(F.col("a_norm").alias("norm")), "norm", "left_anti")
+    return out
+
+
 def match_name(
     docs: DataFrame, registry: DataFrame, bank: str = "bank_name", threshold: float = K.SIM_NAME
 ) -> DataFrame:
@@ -409,7 +486,7 @@ def match_name(
     detected = docs.select(F.col(bank).alias("_bank")).where(F.coalesce(F.col(bank), F.lit("")) != "").distinct()
     detected = detected.withColumn("a_norm", norm_bank("_bank"))
     reg = registry.withColumn("b_norm", norm_bank("bank_name")).groupBy("b_norm").agg(F.min(_row()).alias("hit"))
-    pairs = similar_name_pairs(
+    pairs = best_name_pairs(
         detected.select(F.col("a_norm").alias("norm")).distinct(), reg.select(F.col("b_norm").alias("norm")), threshold
     )
     best = (
@@ -438,7 +515,7 @@ def match_account_first(
     named = F.coalesce(F.col("_bank"), F.lit("")) != ""
     look = suffix_hits(look, registry, named).join(by_account, F.col("_acct") == F.col("_k1"), "left")
     open_ = F.col("_exact").isNull()
-    names = docs.select(F.col(bank).alias("_nb")).distinct()
+    names = look.where(open_ & F.col("first_hit").isNull()).select(F.col("_bank").alias("_nb")).distinct()
     by_name = match_name(names, registry, "_nb").where(F.col("matched_ordinal").isNotNull())
     by_name = by_name.select(
         "_nb", F.col("matched_routing").alias("_name_routing"), F.col("matched_ordinal").alias("_name_ordinal")

@@ -2,6 +2,8 @@ import difflib
 import itertools
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,45 @@ def test_name_pairs_lose_nothing(spark):
         assert got == want and want
 
 
+def invented_names(seed, n):
+    """Names of invented places and kinds, as a registry of thousands of banks has them."""
+    rnd = random.Random(seed)
+    parts = ["BAR", "MES", "LAK", "COL", "TUR", "VIN", "POR", "HEL", "GRA", "DON", "SIL", "KEN", "WOO", "FER", "ZAN", "QUI",
+             "OAK", "RIV", "ELM", "ASH", "TON", "VILLE", "FIELD", "BURG", "MONT", "LAND", "HAM", "PORT", "É", "9"]
+    kinds = ["BANK", "TRUST", "FCU", "STATE", "SAVINGS", "NATIONAL", "FIRST", "CITY", "COMMUNITY", "OF"]
+    out = set()
+    while len(out) < n:
+        words = ["".join(rnd.choices(parts, k=rnd.randint(1, 3))) for _ in range(rnd.randint(1, 2))]
+        words += rnd.sample(kinds, rnd.randint(0, 2))
+        rnd.shuffle(words)
+        out.add(" ".join(words))
+    return sorted(out)
+
+
+def test_candidates_of_thousands_of_names(spark):
+    """Equal to all pairs on 2,000 x 2,000 names, with under a tenth of the pairs formed."""
+    left, right = invented_names(1, 2000), invented_names(2, 1990) + ["", "A", "AB", "A" * 60, "AB" * 40, "X Y", "Z", "QQ", "BA", "É"]
+    signs = sorted({c for n in left + right for c in n})
+    counts = [np.array([[n.count(c) for c in signs] for n in names]) for names in (left, right)]
+    common = sum(np.minimum.outer(counts[0][:, k], counts[1][:, k]) for k in range(len(signs)))
+    total = np.add.outer(counts[0].sum(1), counts[1].sum(1))
+    want = set()
+    for i, j in zip(*np.nonzero(2 * common >= 0.7 * total)):
+        if total[i, j] and difflib.SequenceMatcher(None, left[i], right[j]).ratio() >= 0.7:
+            want.add((left[i], right[j]))
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "norm string")
+    formed = M.name_candidates(frame(left), frame(right), 0.7).collect()
+    assert len(formed) < len(left) * len(right) / 10
+    assert want <= {(r.a_norm, r.b_norm) for r in formed} | {(n, n) for n in left}
+    best = {}
+    for a, b in want:
+        best[a] = max(best.get(a, 0), difflib.SequenceMatcher(None, a, b).ratio())
+    got = {}
+    for r in M.best_name_pairs(frame(left), frame(right), 0.7).collect():
+        got[r.a_norm] = max(got.get(r.a_norm, 0), r.similarity)
+    assert got == best
+
+
 def test_hot_lookup_stays_one_lookup(spark, reg):
     d = spark.range(20000).select(
         F.col("id").cast("int").alias("doc_id"),
