@@ -23,8 +23,8 @@ from tallymark.functions import fixed as K
 from tallymark.functions.scalars import account_digits, mask_digits, norm_bank, strip_zeros
 from tallymark.functions.similarity import ratio
 
-#: Classes of characters and ones for each in a name's counts; growth of the bands of lengths; a close name.
-SLOTS, SLOT_BITS, BAND, CLOSE = 45, 7, 1.35, 0.85
+#: Classes of characters and ones for each in a name's counts; growth of the bands of lengths.
+SLOTS, SLOT_BITS, BAND = 45, 7, 1.35
 ROW_FIELDS = ("ordinal", "bank_name", "account_number", "routing_number")
 
 
@@ -71,28 +71,59 @@ def suffix_names(registry: DataFrame) -> DataFrame:
     return suffix_rows(registry).groupBy("suffix", norm_bank("bank_name").alias("_nr")).agg(F.min(_row()).alias("hit"))
 
 
-def best_names(open_lookups: DataFrame, registry: DataFrame) -> DataFrame:
+class RegistryIndex:
+    """A registry as the tables that lookups are joined with: by account, by account without leading
+    zeros, by ending, and the names behind an ending."""
+
+    def __init__(self, by_account: DataFrame, by_zero: DataFrame, endings: DataFrame, ending_names: DataFrame):
+        self.by_account, self.by_zero, self.endings, self.ending_names = by_account, by_zero, endings, ending_names
+
+    def stored(self, path: str) -> RegistryIndex:
+        """The index written once (per version of the registry) and read from there, by any number of batches."""
+        out = []
+        for name in ("by_account", "by_zero", "endings", "ending_names"):
+            df = getattr(self, name)
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            out.append(df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}"))
+        return RegistryIndex(*out)
+
+
+def registry_index(registry: DataFrame) -> RegistryIndex:
+    registry = registry.withColumn("account_number", F.trim("account_number"))
+    return RegistryIndex(
+        _first_by(registry, F.col("account_number"), "_k1", "_exact"),
+        _first_by(registry, strip_zeros("account_number"), "_k2", "_zero").where(F.col("_k2") != ""),
+        suffix_index(registry),
+        suffix_names(registry),
+    )
+
+
+def best_names(open_lookups: DataFrame, ending_names: DataFrame) -> DataFrame:
     """Most similar bank name behind each open lookup (_key, _nd); the first account settles ties.
     Each pair of names is compared once, however many lookups and endings ask for it."""
-    pairs = open_lookups.join(suffix_names(registry), F.col("_key") == F.col("suffix"))
+    pairs = open_lookups.join(ending_names, F.col("_key") == F.col("suffix"))
     names = pairs.select("_nd", "_nr").distinct().withColumn("_sim", ratio("_nd", "_nr"))
     scored = pairs.join(names.toDF("_n1", "_n2", "_sim"), (F.col("_nd") == F.col("_n1")) & (F.col("_nr") == F.col("_n2")))
     best = F.max(F.struct(F.col("_sim").alias("s"), (-F.col("hit.ordinal")).alias("o"), F.col("hit").alias("h")))
     return scored.groupBy("_key", "_nd").agg(best.alias("_b"))
 
 
-def suffix_hits(look: DataFrame, registry: DataFrame, compare: Column) -> DataFrame:
+def suffix_hits(look: DataFrame, registry: DataFrame | RegistryIndex, compare: Column) -> DataFrame:
     """Lookups with ``_key``: number of accounts with that ending, the first of them, and, where
     ``compare`` holds and there are several, the one with the most similar bank name.
 
     The ending itself is an N:1 join for every lookup; only lookups that several accounts answer and
     that bring a name go on to the names, as distinct (ending, name) questions."""
     cols = look.columns
-    first = look.join(suffix_index(registry), F.col("_key") == F.col("suffix"), "left").drop("suffix")
+    if isinstance(registry, RegistryIndex):
+        endings, ending_names = registry.endings, registry.ending_names
+    else:
+        endings, ending_names = suffix_index(registry), suffix_names(registry)
+    first = look.join(endings, F.col("_key") == F.col("suffix"), "left").drop("suffix")
     wanted = F.coalesce(compare, F.lit(False)) & (F.col("candidate_count") > 1)
     first = first.withColumn("_nd", F.when(F.coalesce(wanted, F.lit(False)), F.coalesce(norm_bank("_bank"), F.lit(""))))
     open_lookups = first.where(F.col("_nd").isNotNull()).select("_key", "_nd").distinct()
-    best = best_names(open_lookups, registry).toDF("_bk", "_bn", "_b")
+    best = best_names(open_lookups, ending_names).toDF("_bk", "_bn", "_b")
     both = first.join(best, (F.col("_key") == F.col("_bk")) & (F.col("_nd") == F.col("_bn")), "left")
     return both.select(
         *cols, "candidate_count", "first_hit", F.col("_b.s").alias("best_similarity"), F.col("_b.h").alias("best_hit")
@@ -151,9 +182,9 @@ def answer(docs: DataFrame, resolved: DataFrame, account: str = "account", bank:
 
 
 def resolve_lookups(
-    look: DataFrame, registry: DataFrame, threshold: float = K.SIM_DISAMBIGUATE
+    look: DataFrame, registry: DataFrame | RegistryIndex, threshold: float = K.SIM_DISAMBIGUATE
 ) -> DataFrame:
-    """Answers for distinct lookups.
+    """Answers for distinct lookups, from a registry or its ready index.
 
     ``XXXXXX1234`` and ``***34`` forms look for accounts with that ending: one hit stands, several
     are settled by the bank name when it is similar enough. Other forms take the first registry row
@@ -167,15 +198,13 @@ def resolve_lookups(
         "_key",
         F.when(is_partial, F.expr("right(_acct, 4)")).when(is_masked | (F.length(digits) >= 3), digits),
     )
-    registry = registry.withColumn("account_number", F.trim("account_number"))
-    by_account = _first_by(registry, F.col("account_number"), "_k1", "_exact")
-    by_zero = _first_by(registry, strip_zeros("account_number"), "_k2", "_zero").where(F.col("_k2") != "")
+    index = registry if isinstance(registry, RegistryIndex) else registry_index(registry)
     plain = F.col("_kind").isNull()
     named = F.coalesce(F.col("_bank"), F.lit("")) != ""
     look = (
-        suffix_hits(look, registry, ~plain & named)
-        .join(by_account, plain & (F.col("_acct") == F.col("_k1")), "left")
-        .join(by_zero, plain & (strip_zeros("_acct") == F.col("_k2")), "left")
+        suffix_hits(look, index, ~plain & named)
+        .join(index.by_account, plain & (F.col("_acct") == F.col("_k1")), "left")
+        .join(index.by_zero, plain & (strip_zeros("_acct") == F.col("_k2")), "left")
     )
     n = F.coalesce(F.col("candidate_count"), F.lit(0))
     ambiguous = ~plain & (n > 1)
@@ -467,16 +496,10 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = K.S
 
 def best_name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs that hold every left name's highest similarity, from the threshold on. Names are first looked
-    up as they are, then among close names (``CLOSE``, where keys are few and rare); only what neither finds
-    is compared down to the threshold."""
+    up as they are; only those that the right side lacks are compared."""
     same = left.join(right, "norm").select(F.col("norm").alias("a_norm"), F.col("norm").alias("b_norm"))
-    out = same.withColumn("similarity", F.lit(1.0))
     rest = left.join(right, "norm", "left_anti")
-    for level in [CLOSE, threshold] if CLOSE > threshold else [threshold]:
-        found = similar_name_pairs(rest, right, level)
-        out = out.union(found)
-        rest = rest.join(found.select(F.col("a_norm").alias("norm")), "norm", "left_anti")
-    return out
+    return same.withColumn("similarity", F.lit(1.0)).union(similar_name_pairs(rest, right, threshold))
 
 
 def match_name(

@@ -46,7 +46,7 @@ def stored_headers(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(headers.schema).parquet(path)
 
 
-def resolve(headers: DataFrame, registry: DataFrame, as_of_date: str) -> DataFrame:
+def resolve(headers: DataFrame, registry: DataFrame | M.RegistryIndex, as_of_date: str) -> DataFrame:
     """Header fields with the registry answer and the outcome code (null when all is well).
 
     Only the distinct lookups go through the registry; one join brings the answers back.
@@ -121,7 +121,7 @@ def _error_file(as_of_date: str, file_time: str):
     )
 
 
-def to_files(headers: DataFrame, registry: DataFrame, as_of_date: str, file_time: str = "0000") -> DataFrame:
+def to_files(headers: DataFrame, registry: DataFrame | M.RegistryIndex, as_of_date: str, file_time: str = "0000") -> DataFrame:
     """One output file per document of :func:`stored_headers`: records for a resolved one, an error
     stand-in otherwise."""
     resolved = resolve(headers, registry, as_of_date)

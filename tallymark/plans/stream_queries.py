@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.predicates import error_code_from_message
 from tallymark.operators import error_files as E
+from tallymark.operators import match as M
 from tallymark.operators import statement_flow as X
 from tallymark.plans import oracle_views as V
 from tallymark.plans import sqltext as Q
@@ -53,12 +54,12 @@ def statement_to_bai2(spark, sf):
 @query("stream_ingest", _FLOW)
 def stream_ingest(spark, sf):
     """The same work as a stream of several micro-batches: files of documents in, output files out, one
-    folder per micro-batch, which a replay overwrites."""
+    folder per micro-batch, which a replay overwrites. The registry's index is written once, before."""
     base = work_dir(spark, "ingest")
-    W.statements(spark, sf).select("doc_id", "text").repartition(6, "doc_id").write.parquet(f"{base}/in")
-    registry = W.registry(spark, sf)
-    docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    work = lambda b: X.to_files(X.stored_headers(b), registry, W.DAY)
+    W.statements(spark, sf).select("doc_id", "text").repartition(24, "doc_id").write.parquet(f"{base}/in")
+    index = M.registry_index(W.registry(spark, sf)).stored(f"{base}/registry")
+    docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+    work = lambda b: X.to_files(X.stored_headers(b), index, W.DAY)
     I.run_once(docs, work, f"{base}/out", f"{base}/state")
     return _records(spark.read.parquet(f"{base}/out"))
 
