@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from tallymark import schemas as S
 from tallymark.functions import fixed as K
+from tallymark.operators import bai2 as B
 from tallymark.operators import contract as C
 from tallymark.operators import error_files as E
 from tallymark.operators import transactions as T
+from tallymark.plans import bai2_queries  # noqa: F401  (registers the audit's check)
 from tallymark.plans import oracle_views as V
 from tallymark.plans import workload as W
-from tallymark.plans.catalogue import query
+from tallymark.plans.catalogue import CHECKS, query
 from tallymark.session import work_dir
 from tallymark.sources import readers as R
 from tallymark.sources import sinks as Z
@@ -287,22 +289,49 @@ def sink_csv(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
+def _bai2_output(spark, sf):
+    path = work_dir(spark, "bai2")
+    files = W.bai2_files(spark, sf).select("file_id", "text")
+    routed = E.route_errors(files.withColumn("name", F.concat("file_id", F.lit(".pdf"))), name_col="name")
+    audits = B.audit(B.fix(B.parse(files), W.DAY).where(F.col("bai2").isNotNull())).select("file_id", "audit_text")
+    Z.write_bai2(routed, path, audits)
+    return path
+
+
 @query(
     "sink_bai2",
     V.ctes("bai2") + "SELECT 'OK' AS status, file_id || '.bai' AS output_name, text FROM bai2_files",
 )
 def sink_bai2(spark, sf):
-    path = work_dir(spark, "bai2")
-    files = W.bai2_files(spark, sf).select(F.concat("file_id", F.lit(".pdf")).alias("name"), "text")
-    Z.write_bai2(E.route_errors(files, name_col="name"), path)
-    return spark.read.parquet(path).select("status", "output_name", "text")
+    """A file per document, listed and read back."""
+    return Z.read_bai2(spark, _bai2_output(spark, sf))
+
+
+@query("sink_bai2_audit", f"SELECT file_id, audit_text FROM ({CHECKS['agg_bai2_audit']})")
+def sink_bai2_audit(spark, sf):
+    """The audits that stand beside the files."""
+    return spark.read.schema("file_id string, audit_text string").json(f"{_bai2_output(spark, sf)}/_audit")
 
 
 @query("sink_archive", V.ctes("statements") + "SELECT doc_id, text FROM statements")
 def sink_archive(spark, sf):
-    path = work_dir(spark, "archive")
-    Z.archive_copy(W.statements(spark, sf).select("doc_id", "text"), path)
-    return spark.read.parquet(path)
+    """Statements as a file stream of several micro-batches; what comes back is read from where the finished
+    files were moved. An empty file at the end lets the last of them move."""
+    base = work_dir(spark, "archive")
+    rows = W.statements(spark, sf).select("doc_id", "text")
+    rows.repartition(8, "doc_id").write.parquet(f"{base}/in")
+    for turn in range(2):
+        if turn:
+            rows.where("false").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = (
+            spark.readStream.schema(rows.schema)
+            .option("maxFilesPerTrigger", 4)
+            .option("cleanSource", "archive")
+            .option("sourceArchiveDir", f"{base}/done")
+            .parquet(f"{base}/in")
+        )
+        Z.archive_once(stream, lambda b: b.select("doc_id", F.length("text").alias("n")), f"{base}/out", f"{base}/state")
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{base}/done")
 
 
 # --- listings -----------------------------------------------------------------------------------------

@@ -66,22 +66,37 @@ def stream_ingest(spark, sf):
 
 @query(
     "stream_missing_input",
-    "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0",
+    "SELECT c_custkey, c_name FROM customer WHERE (c_custkey % 40) % 5 <> 0",
 )
 def stream_missing_input(spark, sf):
-    """A file that is gone between its event and its reading is skipped; the others are read."""
+    """Files that vanish between two micro-batches of a running query, after they were listed, are skipped.
+
+    Customers are files of forty keys; the first wave of files is read by the first micro-batch, which then
+    removes every fifth key of the second wave. Those files are listed already and gone when their batch comes."""
     base = work_dir(spark, "missing")
-    n = W.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    n.repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{base}/in")
-    found = R.read_texts(spark, f"{base}/in", glob="*.txt")  # lists the files now
+    c = W.table(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("key"), "c_custkey", "c_name")
+    gone = F.col("key") % 5 == 0
+    wave = ~gone & (F.col("key") < 20)
+    for rows in (c.where(wave), c.where(~wave)):
+        rows.repartition("key").write.partitionBy("key").mode("append").option("maxRecordsPerFile", 2000).csv(f"{base}/in")
+    first = R.catalog(spark, f"{base}/in", glob="*.csv").where(F.regexp_extract("folder", r"key=(\d+)", 1).cast("int") < 20)
+    first = first.where(F.regexp_extract("folder", r"key=(\d+)", 1).cast("int") % 5 != 0).count()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for key in range(0, 25, 5):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{base}/in/n_nationkey={key}")
-        folder.getFileSystem(conf).delete(folder, True)
-    return found.select(
-        F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"),
-        F.rtrim("text", F.lit("\n")).alias("n_name"),
-    )
+
+    def work(batch, batch_id):
+        line = F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line")
+        cells = batch.select(line).select(F.split("line", ",", 2).alias("c"))
+        rows = cells.select(F.col("c")[0].cast("long").alias("c_custkey"), F.col("c")[1].alias("c_name"))
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        if batch_id == 0:
+            for key in range(0, 40, 5):
+                folder = jvm.org.apache.hadoop.fs.Path(f"{base}/in/key={key}")
+                folder.getFileSystem(conf).delete(folder, True)
+
+    stream = I.read_incoming(spark, f"{base}/in", glob="*.csv", max_files=max(1, first))
+    I.run_batches(stream, work, f"{base}/state")
+    out = spark.read.schema("c_custkey long, c_name string, batch long").parquet(f"{base}/out")
+    return out.select("c_custkey", "c_name")
 
 
 def _event_stream(spark, sf, derive, name):
@@ -92,16 +107,32 @@ def _event_stream(spark, sf, derive, name):
     return base, spark.readStream.schema(rows.schema).parquet(f"{base}/in")
 
 
+_STARTS = """starts AS (SELECT event_id, ts, 'incoming-bank-statements/' || split_part(url, '/', 6) AS path, etag, CASE WHEN event_id % 3 = 0 THEN 'finish' ELSE 'start' END AS kind
+    FROM incoming WHERE event_id % 5 <> 0)"""
+
+
 @query(
     "stream_dedupe",
-    V.ctes("incoming")
-    + "SELECT DISTINCT 'incoming-bank-statements/' || split_part(url, '/', 6) AS path, etag AS \"eTag\" FROM incoming WHERE event_id % 5 <> 0",
+    V.ctes("incoming", extra=_STARTS)
+    + """SELECT path, etag AS "eTag", event_id FROM (SELECT *, lag(kind) OVER (PARTITION BY path, etag ORDER BY ts, event_id) AS before FROM starts)
+      WHERE kind = 'start' AND coalesce(before, 'finish') = 'finish'""",
 )
 def stream_dedupe(spark, sf):
-    base, events = _event_stream(spark, sf, W.incoming, "dedupe")
-    fresh = I.dedupe_events(I.incoming_events(events), in_flight="40 days")
-    I.append_once(fresh, f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select("path", "eTag")
+    """Every third event of a file says that its processing ended; the others ask for it to begin. A key is held
+    while it is in flight, over several micro-batches, and a replay after the end passes again."""
+    base = work_dir(spark, "dedupe")
+    events = I.incoming_events(W.incoming(spark, sf)).select(
+        "path", "eTag", F.when(F.col("event_id") % 3 == 0, "finish").otherwise("start").alias("kind"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"),
+    )
+    cuts = events.select(F.percentile_approx(F.unix_timestamp("ts"), [0.33, 0.66]).alias("q")).first().q or [0, 0]
+    at = F.unix_timestamp("ts")
+    for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    I.use_rocksdb(spark)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    I.append_once(I.dedupe_in_flight(stream), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("path", "eTag", F.col("seq").alias("event_id"))
 
 
 _CALLS = "SELECT date_trunc('minute', ts) AS window_start, count(*) AS calls, count(*) >= 60 AS quota_exceeded FROM events GROUP BY 1"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.streaming.ingest import run_once
+
 ORIENTS = ("records", "values", "index", "split", "table")
 
 
@@ -57,20 +59,123 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_bai2(files: DataFrame, path: str) -> None:
-    """Rendered files: one row per file with ``status``, ``output_name`` and ``text``."""
-    files.select("status", "output_name", "text").write.mode("overwrite").partitionBy("status").parquet(path)
-
-
-def write_bai2_text(lines: DataFrame, path: str) -> None:
-    """Records as text, a folder per status and output name."""
-    lines.select("status", "output_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy(
-        "status", "output_name"
-    ).text(path)
-
-
-def archive_copy(df: DataFrame, path: str) -> None:
-    """Copy of processed inputs. A replay overwrites its own copy; removal of the source is left to the
-    stream's cleanSource option."""
-    df.write.mode("overwrite").parquet(path)
+def bai2_sink() -> type:
+    """Data source ``bai2``: a file per row of (status, output_name, text), in a folder per status.
 
+    A task writes each file under a name of its own and then renames it to the final one, so readers never see
+    half a file and a task that runs again, or a replay of the whole job, leaves one copy. The final name is
+    the row's, whatever task writes it. A failed job removes what its tasks left unrenamed; a finished one
+    leaves a manifest with the number of files by status.
+    """
+    # Defined here so that it travels to the workers by value.
+    import json as js
+    import uuid
+    from dataclasses import dataclass
+
+    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+    def place(path: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+    def local(path: str) -> str:
+        return "file://" + path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path
+
+    @dataclass
+    class Written(WriterCommitMessage):
+        files: dict
+
+    class Writer(DataSourceWriter):
+        def __init__(self, path: str, job: str):
+            self.path, self.job = local(path), job
+
+        def write(self, iterator):
+            store, base = place(self.path)
+            staging = f"{base}/_staging-{self.job}"
+            files: dict = {}
+            for row in iterator:
+                status, name, text = row["status"], row["output_name"], row["text"]
+                if not name or "/" in name or name.startswith((".", "_")):
+                    raise ValueError(f"not a file name: {name!r}")
+                if status not in files:
+                    files[status] = 0
+                    store.create_dir(f"{base}/{status}", recursive=True)
+                    store.create_dir(staging, recursive=True)
+                own = f"{staging}/{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as f:
+                    f.write((text or "").encode())
+                store.move(own, f"{base}/{status}/{name}")
+                files[status] += 1
+            return Written(files)
+
+        def _clean(self):
+            store, base = place(self.path)
+            from pyarrow import fs
+
+            staging = f"{base}/_staging-{self.job}"
+            if store.get_file_info(staging).type == fs.FileType.Directory:
+                store.delete_dir(staging)
+            return store, base
+
+        def commit(self, messages):
+            store, base = self._clean()
+            total: dict = {}
+            for m in messages:
+                for status, n in (m.files if m else {}).items():
+                    total[status] = total.get(status, 0) + n
+            store.create_dir(base, recursive=True)
+            with store.open_output_stream(f"{base}/_manifest.json") as f:
+                f.write(js.dumps(total, sort_keys=True).encode())
+
+        def abort(self, messages):
+            self._clean()
+
+    class Bai2Files(DataSource):
+        @classmethod
+        def name(cls):
+            return "bai2"
+
+        def schema(self):
+            return "status string, output_name string, text string"
+
+        def writer(self, schema, overwrite):
+            return Writer(self.options["path"], uuid.uuid4().hex)
+
+    return Bai2Files
+
+
+def write_bai2(files: DataFrame, path: str, audits: DataFrame | None = None) -> None:
+    """A ``.bai`` (or ``ERROR_*.bai``) file per row of (status, output_name, text) below ``path``, and the
+    audits of the repair as JSON records beside them. Files of the same name are replaced."""
+    files.sparkSession.dataSource.register(bai2_sink())
+    files.select("status", "output_name", "text").write.format("bai2").option("path", path).mode("append").save()
+    if audits is not None:
+        audits.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/_audit")
+
+
+def read_bai2(spark: SparkSession, path: str) -> DataFrame:
+    """The files of :func:`write_bai2`: status, output_name, text."""
+    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.bai").load(path)
+    return rows.select(
+        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("status"),
+        F.url_decode("_metadata.file_name").alias("output_name"),
+        F.col("value").alias("text"),
+    )
+
+
+def archive_once(stream: DataFrame, work, out: str, checkpoint: str) -> None:
+    """Process a file stream whose source has ``cleanSource`` set to archive, and let every finished file move.
+
+    The source moves the files of a micro-batch when the next one begins, so the stream is run again until
+    nothing is new; with the cleaner's own threads off, a move is done when its batch is. A replayed
+    batch rewrites its own folder, and a file that was moved is not found again.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.fileSource.cleaner.numThreads"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        run_once(stream, work, out, checkpoint)
+    finally:
+        spark.conf.set(key, before)

@@ -46,14 +46,10 @@ def read_incoming(
     )
 
 
-def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Process what is there and stop. A replayed batch rewrites its own folder, nothing else."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Give every micro-batch of what is there to ``work`` and stop."""
     query = (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -61,6 +57,15 @@ def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str
     query.awaitTermination()
 
 
+def run_once(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Process what is there and stop. A replayed batch rewrites its own folder, nothing else."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_batches(stream, write, checkpoint)
+
+
 def append_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     query = (
         stream.writeStream.format("parquet")
@@ -99,6 +104,63 @@ def dedupe_events(events: DataFrame, in_flight: str = "10 minutes", ts: str = "t
     return events.withWatermark(ts, in_flight).dropDuplicatesWithinWatermark(["path", "eTag"])
 
 
+def in_flight_processor(ttl_ms: int | None = None) -> type:
+    """Per key: a start passes unless the key is in flight; a finish frees the key."""
+    # Defined here so that it travels to the workers by value.
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class InFlight(StatefulProcessor):
+        def init(self, handle):
+            self.since = handle.getValueState("since", "since timestamp", ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows, timer_values):
+            out = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+            busy = self.since.exists()
+            started, passed = None, []
+            for row in out.itertuples():
+                if row.kind == "finish":
+                    busy, started = False, None
+                elif not busy:
+                    busy, started = True, row.ts.to_pydatetime()
+                    passed.append((key[0], key[1], row.ts, row.seq))
+            if not busy:
+                self.since.clear()
+            elif started is not None:
+                self.since.update((started,))
+            yield pd.DataFrame(passed, columns=["path", "eTag", "ts", "seq"])
+
+        def close(self):
+            pass
+
+    return InFlight
+
+
+def dedupe_in_flight(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Starts that may run, from a stream of (path, eTag, kind 'start' or 'finish', ts, seq).
+
+    A key is held from the start that passes until its finish, not for a set time: a replay before the finish
+    is dropped, one after it passes. State is one timestamp for each key in flight; a finish removes it,
+    and ``ttl_ms`` also frees keys whose finish never comes. Events of a key are taken in order of (ts, seq)
+    within a micro-batch. Needs the RocksDB state store (:func:`use_rocksdb`).
+    """
+    processor = in_flight_processor(ttl_ms)
+    return events.groupBy("path", "eTag").transformWithStateInPandas(
+        statefulProcessor=processor(),
+        outputStructType="path string, eTag string, ts timestamp, seq long",
+        outputMode="append",
+        timeMode="processingTime" if ttl_ms else "none",
+    )
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that arbitrary state needs; a setting of the session that streams take over."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def incoming_events(events: DataFrame) -> DataFrame:
     """Events for the incoming folder with their path."""
     return events.withColumn("path", incoming_path("subject", "url")).where(F.col("path").isNotNull())

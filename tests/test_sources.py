@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import predicates as P
@@ -81,11 +82,24 @@ def test_json_orients(spark, tmp_path):
     assert Z.json_header(df, "table")["schema"]["fields"][0] == {"name": "k", "type": "int"}
 
 
-def test_bai2_text_sink(spark, tmp_path):
-    df = spark.createDataFrame([("OK", "a.bai", "01,x/"), ("ERROR", "ERROR_b.bai", "03,ERROR,/")], "status string, output_name string, text string")
-    Z.write_bai2_text(df, str(tmp_path / "o"))
-    got = spark.read.text(str(tmp_path / "o")).collect()
-    assert {(r.status, r.output_name, r.value) for r in got} == {("OK", "a.bai", "01,x/"), ("ERROR", "ERROR_b.bai", "03,ERROR,/")}
+def test_bai2_files(spark, tmp_path):
+    """A file per document; names are replaced by a replay, and a failed job leaves nothing half done."""
+    rows = [("OK", f"a{i}.bai", f"01,{i}/\n99/\n") for i in range(20)] + [("ERROR", "ERROR_b c.bai", "03,ERROR,/"), ("OK", "é.bai", None)]
+    df = spark.createDataFrame(rows, "status string, output_name string, text string").repartition(3)
+    audits = spark.createDataFrame([("a1", "- renumbered")], "file_id string, audit_text string")
+    path = str(tmp_path / "o")
+    for _ in range(2):
+        Z.write_bai2(df, path, audits)
+        got = Z.read_bai2(spark, path).collect()
+        assert sorted((r.status, r.output_name, r.text) for r in got) == sorted((s, n, t or "") for s, n, t in rows)
+        assert sorted(p.name for p in (tmp_path / "o" / "OK").iterdir() if not p.name.startswith(".")) == sorted(n for s, n, _ in rows if s == "OK")
+        assert json.loads((tmp_path / "o" / "_manifest.json").read_text()) == {"ERROR": 1, "OK": 21}
+    assert not list((tmp_path / "o").glob("_staging*"))
+    assert [r.audit_text for r in spark.read.json(f"{path}/_audit").collect()] == ["- renumbered"]
+    changed = spark.createDataFrame([("OK", "a1.bai", "new"), ("OK", "../x.bai", "bad")], df.schema).coalesce(1)
+    with pytest.raises(Exception, match="not a file name"):
+        Z.write_bai2(changed, path)
+    assert not list((tmp_path / "o").glob("_staging*"))
 
 
 def test_contract(spark):

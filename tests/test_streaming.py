@@ -4,6 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallymark.operators import statement_flow as X
+from tallymark.sources import sinks as Z
 from tallymark.streaming import ingest as I
 
 GOOD = "Harbor Bank\nAccount Number: 0001234567\nStatement Period 06/01/25 through 06/30/25\nDEBITS\n06-02\nWd\n5.00\nCREDITS\n06-03\nIn\n7.00\n"
@@ -90,6 +91,64 @@ def test_dedupe_lets_later_replays_pass(spark, tmp_path):
     assert got == ["2025-01-01 00:00:00", "2025-01-01 02:00:00", "2025-01-01 03:00:00"]
 
 
+def test_a_key_is_held_until_its_processing_ends(spark, tmp_path):
+    """Starts before the finish are dropped, in the same and in later micro-batches; after it they pass. State is
+    bounded by the keys in flight."""
+    I.use_rocksdb(spark)
+    batches = [
+        [("a", "start", 1), ("a", "start", 2), ("b", "start", 3), ("c", "finish", 4), ("c", "start", 5), ("c", "finish", 6)],
+        [("a", "start", 10), ("b", "finish", 11), ("b", "start", 12), ("c", "start", 13), ("c", "start", 14)],
+        [("a", "finish", 20), ("a", "start", 21), ("b", "finish", 22), ("c", "finish", 23), ("a", "finish", 24)],
+        [("c", "start", 30), ("a", "start", 31), ("a", "start", 32)],
+    ]
+    schema = "path string, eTag string, kind string, ts timestamp, seq long"
+    kept = []
+    for batch in batches:
+        rows = spark.createDataFrame([(p, "1", k, n) for p, k, n in batch], "path string, eTag string, kind string, seq long")
+        rows.select("path", "eTag", "kind", F.timestamp_seconds("seq").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = (
+            I.dedupe_in_flight(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.path, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 1), ("a", 21), ("a", 31), ("b", 3), ("b", 12), ("c", 5), ("c", 13), ("c", 30)]
+    assert kept[-1] <= 2 and kept[2] == 0
+
+
+def test_archive_moves_every_file_once(spark, tmp_path):
+    src, done = tmp_path / "in", tmp_path / "done"
+    for i in range(5):
+        spark.createDataFrame([(f"d{i}", f"text {i}")], "doc_id string, text string").coalesce(1).write.mode("append").parquet(str(src))
+    names = lambda d: sorted(f for _, _, fs in os.walk(d) for f in fs if f.startswith("part"))
+    before = names(src)
+
+    def run():
+        stream = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 2).option(
+            "cleanSource", "archive").option("sourceArchiveDir", str(done)).parquet(str(src))
+        Z.archive_once(stream, lambda b: b, str(tmp_path / "out"), str(tmp_path / "state"))
+
+    run()
+    spark.createDataFrame([], "doc_id string, text string").coalesce(1).write.mode("append").parquet(str(src))
+    for _ in range(2):  # a second run finds nothing to do
+        run()
+        assert names(done) == before and not set(names(src)) & set(before)
+        got = sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [f"d{i}" for i in range(5)]
+
+
+def test_a_registry_index_answers_as_the_registry(spark, tmp_path):
+    from tallymark.operators import match as M
+
+    reg = registry(spark)
+    docs = spark.createDataFrame([("0001234567", "x"), ("XXXXXX4567", "y"), ("***9", None)], "account string, bank_name string")
+    index = M.registry_index(reg).stored(str(tmp_path / "index"))
+    key = lambda x: sorted(map(str, M.resolve_lookups(M.lookups(docs), x).collect()))
+    assert key(index) == key(reg)
+
+
 def test_call_report(spark):
     df = spark.range(70).select(F.to_timestamp(F.lit("2025-01-01 00:00:10")).alias("ts"))
     r = I.call_report(df).collect()
