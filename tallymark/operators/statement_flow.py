@@ -6,7 +6,7 @@ the registry. Transactions are read and the file is written in the row, so nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.predicates import let
@@ -25,25 +25,31 @@ ERRORS = {
 }
 
 
-def read_header(docs: DataFrame) -> DataFrame:
-    """Account, bank name and statement date of every document; the text goes along."""
-    d = docs.withColumn("_low", F.lower("text"))
-    return d.select(
-        "doc_id",
-        "text",
+def _header_columns() -> list[Column]:
+    return [
+        F.col("doc_id"),
+        F.col("text"),
         A.account_cascade("text", low="_low").alias("account"),
         N.bank_name("text").alias("bank_name"),
         N.statement_date(text="text").alias("file_date"),
-    )
+    ]
+
+
+def read_header(docs: DataFrame) -> DataFrame:
+    """Account, bank name and statement date of every document; the text goes along."""
+    return docs.withColumn("_low", F.lower("text")).select(*_header_columns())
 
 
 def stored_headers(docs: DataFrame) -> DataFrame:
     """:func:`read_header` written to the shared folder and read back: what follows needs the fields
     twice (as lookups and per document), and the texts are searched only once."""
-    headers = read_header(docs)
-    path = work_dir(docs.sparkSession, "headers")
+    return _stored(read_header(docs))
+
+
+def _stored(headers: DataFrame) -> DataFrame:
+    path = work_dir(headers.sparkSession, "headers")
     headers.write.parquet(path)
-    return docs.sparkSession.read.schema(headers.schema).parquet(path)
+    return headers.sparkSession.read.schema(headers.schema).parquet(path)
 
 
 def resolve(headers: DataFrame, registry: DataFrame | M.RegistryIndex, as_of_date: str) -> DataFrame:
@@ -121,17 +127,31 @@ def _error_file(as_of_date: str, file_time: str):
     )
 
 
-def to_files(headers: DataFrame, registry: DataFrame | M.RegistryIndex, as_of_date: str, file_time: str = "0000") -> DataFrame:
+class Flow:
+    """The way from documents to output files with its expressions built once, for any number of batches:
+    building them takes the driver seconds, as long as a small batch takes to run."""
+
+    def __init__(self, as_of_date: str, file_time: str = "0000"):
+        self.as_of_date = as_of_date
+        good = F.col("code").isNull()
+        self.header = _header_columns()
+        self.transactions = F.when(good, T.transactions_array("text"))
+        self.out_text = F.when(good, _resolved_file(file_time)).otherwise(_error_file(as_of_date, file_time))
+
+    def headers(self, docs: DataFrame) -> DataFrame:
+        return _stored(docs.withColumn("_low", F.lower("text")).select(*self.header))
+
+    def files(self, headers: DataFrame, registry: DataFrame | M.RegistryIndex) -> DataFrame:
+        resolved = resolve(headers, registry, self.as_of_date)
+        out = resolved.withColumn("_t", self.transactions).select("doc_id", "code", self.out_text.alias("out_text"))
+        return out.withColumn("status", E.file_status("out_text")).withColumn(
+            "output_name", E.output_name(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("out_text"))
+        )
+
+
+def to_files(
+    headers: DataFrame, registry: DataFrame | M.RegistryIndex, as_of_date: str, file_time: str = "0000"
+) -> DataFrame:
     """One output file per document of :func:`stored_headers`: records for a resolved one, an error
     stand-in otherwise."""
-    resolved = resolve(headers, registry, as_of_date)
-    good = F.col("code").isNull()
-    staged = resolved.withColumn("_t", F.when(good, T.transactions_array("text")))
-    out = staged.select(
-        "doc_id",
-        "code",
-        F.when(good, _resolved_file(file_time)).otherwise(_error_file(as_of_date, file_time)).alias("out_text"),
-    )
-    return out.withColumn("status", E.file_status("out_text")).withColumn(
-        "output_name", E.output_name(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), F.col("out_text"))
-    )
+    return Flow(as_of_date, file_time).files(headers, registry)

@@ -105,10 +105,18 @@ def section_totals(txns: DataFrame, key_cols=("doc_id",)) -> DataFrame:
     )
 
 
-def dense_text(text, own_names=()) -> Column:
+def dense_text(
+    text,
+    own_names=(),
+    least: int = K.DENSE_MIN_CHARS,
+    edge: int = K.DENSE_EDGE_LINES,
+    keep_below: float = K.DENSE_KEEP_RATIO,
+) -> Column:
     """Transaction-dense lines of a long text; short texts and weak reductions stay whole.
 
-    ``own_names`` adds words, such as the account holder's company name, that mark a line.
+    ``own_names`` adds words, such as the account holder's company name, that mark a line. Texts of up to
+    ``least`` characters stay as they are; of the balance lines the first and last ``edge`` are kept; a reduction
+    counts if it is shorter than ``keep_below`` of the text.
     """
     t = F.col(text) if isinstance(text, str) else text
     lines = F.split(t, "\n")
@@ -122,8 +130,6 @@ def dense_text(text, own_names=()) -> Column:
     def of_kind(tagged, name):
         return F.transform(F.filter(tagged, lambda x: x["kind"] == name), lambda x: x["line"])
 
-    edge = K.DENSE_EDGE_LINES
-
     def focus(tagged):
         return let(
             of_kind(tagged, "balance"),
@@ -141,13 +147,13 @@ def dense_text(text, own_names=()) -> Column:
         let(
             F.transform(lines, lambda x: F.struct(let(F.lower(x), kind).alias("kind"), x.alias("line"))), focus
         ),
-        lambda f: F.when(F.length(f) < F.length(t) * K.DENSE_KEEP_RATIO, f).otherwise(t),
+        lambda f: F.when(F.length(f) < F.length(t) * keep_below, f).otherwise(t),
     )
-    return F.when(F.length(t) <= K.DENSE_MIN_CHARS, t).otherwise(shorter)
+    return F.when(F.length(t) <= least, t).otherwise(shorter)
 
 
-def dense_documents(docs: DataFrame, text_col: str = "text", out: str = "dense") -> DataFrame:
-    return docs.withColumn(out, dense_text(text_col))
+def dense_documents(docs: DataFrame, text_col: str = "text", out: str = "dense", **options) -> DataFrame:
+    return docs.withColumn(out, dense_text(text_col, **options))
 
 
 def text_after_marker(messages, marker: str = K.PROMPT_MARKER) -> Column:

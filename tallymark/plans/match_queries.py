@@ -357,3 +357,85 @@ _ORDER_COLUMNS = [
 )
 def agg_profile(spark, sf):
     return G.profile(W.table(spark, sf, "orders")).withColumn("mean", F.round("mean", 4))
+
+
+_DESCRIBED = {
+    "orders": _ORDER_COLUMNS,
+    "documents": [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
+}
+
+
+@query(
+    "agg_describe",
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count({c}) AS non_null, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
+        + (f"round(avg({c}), 4) AS mean, round(stddev({c}), 3) AS std" if k in ("bigint", "int", "double") else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std")
+        + f" FROM {t}"
+        for t, cs in _DESCRIBED.items() for c, k in cs
+    ) + ")",
+)
+def agg_describe(spark, sf):
+    """The exact part of the description; the sketches are in ``agg_describe_sketches``."""
+    out = None
+    for t, cs in _DESCRIBED.items():
+        wanted = W.table(spark, sf, t)
+        rows = G.describe(wanted.select([c for c, _ in cs]))
+        rows = rows.select(
+            F.lit(t).alias("table"), "column", "non_null", "nulls", "min_value", "max_value",
+            F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"),
+        )
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("agg_describe_sketches")
+def agg_describe_sketches(spark, sf):
+    """Distinct values, quartiles and most frequent values of all columns of two tables."""
+    out = None
+    for t in _DESCRIBED:
+        rows = G.describe(W.table(spark, sf, t)).select(
+            F.lit(t).alias("table"), "column", "unique", "top", "freq", "freq_error", "q1", "median", "q3"
+        )
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+_OTHER = """, a AS (SELECT account_number, bank_name, routing_number FROM registry),
+  b AS (SELECT account_number, CASE ordinal % 6 WHEN 0 THEN 'The ' || bank_name WHEN 1 THEN replace(bank_name, 'Bank', 'Banc') ELSE bank_name END AS bank_name, routing_number FROM registry WHERE ordinal % 11 <> 0)"""
+
+
+def _other_registry(r):
+    k = F.col("ordinal") % 6
+    name = (
+        F.when(k == 0, F.concat(F.lit("The "), "bank_name"))
+        .when(k == 1, F.replace("bank_name", F.lit("Bank"), F.lit("Banc")))
+        .otherwise(F.col("bank_name"))
+    )
+    return r.where(F.col("ordinal") % 11 != 0).withColumn("bank_name", name)
+
+
+@query(
+    "diff_registry_names",
+    V.ctes("registry", recursive=True)
+    + _OTHER
+    + f""", pairs AS (SELECT DISTINCT lower(a.bank_name) AS a, lower(b.bank_name) AS b FROM a JOIN b ON a.account_number = b.account_number WHERE a.bank_name <> b.bank_name), {Q.SIMILARITY}
+      SELECT a.account_number, a.bank_name AS a_bank_name, b.bank_name AS b_bank_name,
+        CASE WHEN b.account_number IS NULL THEN 'only_a' WHEN a.bank_name = b.bank_name THEN 'equal' ELSE 'changed' END AS diff, round(CAST(sim AS DOUBLE), 6) AS name_similarity
+      FROM a LEFT JOIN b ON a.account_number = b.account_number LEFT JOIN sims ON sims.a = lower(a.bank_name) AND sims.b = lower(b.bank_name) AND a.bank_name <> b.bank_name""",
+)
+def diff_registry_names(spark, sf):
+    r = W.registry(spark, sf)
+    rows = G.name_changes(G.diff_registry(r, _other_registry(r), columns=("bank_name",)))
+    return rows.select("account_number", "a_bank_name", "b_bank_name", "diff", F.round("name_similarity", 6).alias("name_similarity"))
+
+
+@query(
+    "diff_registry_rows",
+    V.ctes("registry")
+    + _OTHER
+    + " SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
+)
+def diff_registry_rows(spark, sf):
+    r = W.registry(spark, sf)
+    keep = ["account_number", "bank_name", "routing_number"]
+    return G.two_way_difference(r.select(keep), _other_registry(r).select(keep))

@@ -94,6 +94,21 @@ def src_registry(spark, sf):
     return R.read_registry(spark, _registry_csv(spark, sf), ordinal="Ordinal")
 
 
+@query(
+    "src_registry_order",
+    V.ctes("registry") + "SELECT row_number() OVER (ORDER BY ordinal) AS ordinal, account_number FROM registry",
+)
+def src_registry_order(spark, sf):
+    """A list without an order column: its rows' positions, from files that were written in order."""
+    path = work_dir(spark, "registry-order")
+    r = W.registry(spark, sf).orderBy("ordinal").select(
+        F.col("bank_name").alias("Bank Name"), F.col("address").alias("Address"),
+        F.col("account_number").alias("Account Number"), F.col("routing_number").alias("Routing Number"),
+    )
+    r.write.option("header", True).csv(path)
+    return R.read_registry(spark, path).select("ordinal", "account_number")
+
+
 @query(
     "src_registry_refresh",
     V.ctes("registry")
@@ -133,7 +148,7 @@ def _delimited(spark, sf):
     "SELECT CASE o_orderkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders",
 )
 def src_sniffed_text(spark, sf):
-    rows = R.sniff_rows(R.read_texts(spark, _delimited(spark, sf), glob="*.csv"))
+    rows = R.read_sniffed(spark, _delimited(spark, sf), glob="*.csv")
     cell = lambda c: F.try_element_at("cells", F.lit(c)).alias(c)
     return rows.select("delimiter", cell("o_orderkey"), cell("o_custkey"), cell("o_orderpriority"))
 
@@ -219,7 +234,7 @@ def src_dispatch(spark, sf):
     W.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("x").alias("extra")
     ).write.mode("append").json(path)
-    return R.dispatch(spark, path).select("source_kind", "id", "name", "extra")
+    return R.dispatch(spark, path, {"id": "string", "name": "string", "extra": "string"})
 
 
 @query(

@@ -54,12 +54,13 @@ def statement_to_bai2(spark, sf):
 @query("stream_ingest", _FLOW)
 def stream_ingest(spark, sf):
     """The same work as a stream of several micro-batches: files of documents in, output files out, one
-    folder per micro-batch, which a replay overwrites. The registry's index is written once, before."""
+    folder per micro-batch, which a replay overwrites. The registry's index is written and the expressions are built once, before."""
     base = work_dir(spark, "ingest")
     W.statements(spark, sf).select("doc_id", "text").repartition(24, "doc_id").write.parquet(f"{base}/in")
     index = M.registry_index(W.registry(spark, sf)).stored(f"{base}/registry")
     docs = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
-    work = lambda b: X.to_files(X.stored_headers(b), index, W.DAY)
+    flow = X.Flow(W.DAY)
+    work = lambda b: flow.files(flow.headers(b), index)
     I.run_once(docs, work, f"{base}/out", f"{base}/state")
     return _records(spark.read.parquet(f"{base}/out"))
 

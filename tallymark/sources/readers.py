@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark import schemas as S
@@ -79,19 +82,59 @@ def layout_rows(raw: DataFrame) -> DataFrame:
     return rows.select("source", "table_no", "row_index", F.transform(cells, lambda c: c["c"]).alias("cells"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file scan with ``path`` and ``block`` (where its split begins), and the number of each row
+    within its split. A task reads its splits one after the other, so counting needs no shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            lines = []
+            for place in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                if place != last:
+                    last, n = place, 0
+                lines.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64())], names=[*batch.schema.names, "line"])
+
+    return rows.mapInArrow(work, rows.select("*", F.lit(0).cast("long").alias("line")).schema)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+
+def with_position(rows: DataFrame, name: str = "ordinal", start: int = 1) -> DataFrame:
+    """:func:`numbered` rows with their position in the whole list: files by path, splits by where they begin,
+    rows by line, whatever the size of the splits. What is broadcast is one row a split, which the driver
+    holds anyway to plan the scan."""
+    counts = rows.groupBy("path", "block").agg((F.max("line") + 1).alias("n"))
+    before = F.sum("n").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("_before"))
+    return (
+        rows.join(F.broadcast(starts), ["path", "block"])
+        .withColumn(name, F.col("_before") + F.col("line") + start)
+        .drop("_before", "path", "block", "line")
+    )
+
+
 def read_registry(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
     """Registry from CSV: all text, trimmed, a spreadsheet's `.0` removed, zeros kept.
 
-    ``ordinal`` names a column with the list order. Without one, file order is used.
+    ``ordinal`` names a column with the list order. Without one, it is the position in the files.
     """
     schema = S.REGISTRY_CSV
     if ordinal:
         schema = S.T.StructType([S.T.StructField(ordinal, S.T.LongType()), *schema.fields])
     raw = spark.read.option("header", True).schema(schema).csv(path)
-    order = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    if not ordinal:
+        ordinal = "_position"
+        raw = with_position(numbered(_placed(raw)), ordinal)
     number = lambda c: F.regexp_replace(F.trim(F.col(f"`{c}`")), r"\.0$", "")
     return raw.select(
-        order.alias("ordinal"),
+        F.col(ordinal).alias("ordinal"),
         F.trim("`Bank Name`").alias("bank_name"),
         F.trim("Address").alias("address"),
         number("Account Number").alias("account_number"),
@@ -119,13 +162,18 @@ def read_bank_list(spark: SparkSession, path: str) -> DataFrame:
 # --- delimiters ---------------------------------------------------------------------------
 
 
-def delimiter(text) -> Column:
-    """Delimiter of a text file by its mean number per line in the first 2,000 characters."""
-    head = F.substring(F.col(text) if isinstance(text, str) else text, 1, 2000)
+#: Characters of a file that its delimiter is judged by.
+HEAD = 2000
 
-    def n(ch):
-        return F.length(head) - F.length(F.replace(head, F.lit(ch), F.lit("")))
 
+def delimiter(text, head: int = HEAD) -> Column:
+    """Delimiter of a text file by its mean number per line in the first ``head`` characters."""
+    start = F.substring(F.col(text) if isinstance(text, str) else text, 1, head)
+    return _delimiter(lambda ch: F.length(start) - F.length(F.replace(start, F.lit(ch), F.lit(""))))
+
+
+def _delimiter(n: Callable[[str], Column]) -> Column:
+    """The rule, given how often a sign occurs."""
     lines = n("\n")
     return (
         F.when((lines > 0) & (n(",") > lines), ",")
@@ -147,7 +195,7 @@ def sniff_rows(files: DataFrame, text_col: str = "text", path_col: str = "path")
     staged = files.withColumn("_d", delimiter(text_col)).withColumn(
         "_lines", F.filter(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), "\n"), lambda x: F.trim(x) != "")
     )
-    header = F.transform(_cells(F.col("_lines")[0], F.col("_d")), F.trim)
+    header = F.transform(_cells(F.col("_lines")[0], F.col("_d")), lambda c: F.trim(c))
     return (
         staged.where(F.size("_lines") > 0)
         .withColumn("_h", header)
@@ -165,6 +213,49 @@ def sniff_rows(files: DataFrame, text_col: str = "text", path_col: str = "path")
     )
 
 
+def positioned_lines(spark: SparkSession, path: str, glob: str = "*", encoding: str = "UTF-8") -> DataFrame:
+    """Lines of text files (value, path, block, line). Large files are read by several tasks."""
+    raw = (
+        spark.read.format("text")
+        .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
+        .option("ignoreMissingFiles", True)
+        .option("encoding", encoding)
+        .load(path)
+    )
+    return numbered(_placed(raw))
+
+
+def read_sniffed(spark: SparkSession, path: str, glob: str = "*", head: int = HEAD) -> DataFrame:
+    """Rows of delimited files of mixed delimiters, as :func:`sniff_rows`, from files of any size.
+
+    One pass over the first splits finds each file's header line and how often each sign occurs in its first
+    ``head`` characters; that is one row a file, no more than the listing that the driver holds, and is
+    broadcast to a second pass, which cuts every line where it is read. No file is a row and no line
+    is shuffled. ``block`` and ``line`` place a row in its file.
+    """
+    lines = positioned_lines(spark, path, glob)
+    first = lines.where((F.col("block") == 0) & (F.col("line") < head)).withColumn("value", F.rtrim("value", F.lit("\r")))
+    signs = (",", ";", "\t", "|")
+    # Lines are at least one character long with their end, so the head has at most ``head`` of them.
+    order = F.array_sort(F.collect_list(F.struct("line", F.substring("value", 1, head).alias("value"))))
+    heads = first.groupBy("path").agg(
+        F.substring(F.array_join(F.transform(order, lambda x: x["value"]), "\n"), 1, head).alias("start"),
+        F.min_by("value", F.when(F.trim("value") != "", F.col("line"))).alias("header"),
+        F.min(F.when(F.trim("value") != "", F.col("line"))).alias("header_line"),
+    )
+    count = lambda ch: F.length("start") - F.length(F.replace("start", F.lit(ch), F.lit("")))
+    counts = heads.select("path", "header", "header_line", *(count(ch).alias(f"n{i}") for i, ch in enumerate(("\n", *signs))))
+    n_of = {ch: F.col(f"n{i}") for i, ch in enumerate(("\n", *signs))}
+    files = counts.select("path", "header", "header_line", _delimiter(n_of.__getitem__).alias("delimiter"))
+    files = files.withColumn("_h", F.transform(_cells(F.col("header"), F.col("delimiter")), lambda c: F.trim(c)))
+    rows = lines.where(F.trim("value") != "").withColumn("value", F.rtrim("value", F.lit("\r")))
+    data = rows.join(F.broadcast(files), "path").where((F.col("block") > 0) | (F.col("line") > F.col("header_line")))
+    cut = data.withColumn("_c", _cells(F.col("value"), F.col("delimiter")))
+    cells = F.map_from_arrays("_h", F.transform("_h", lambda h, i: F.try_element_at(F.col("_c"), i + F.lit(1))))
+    return cut.select("path", "delimiter", "block", "line", cells.alias("cells"))
+
+
 def _cells(line: Column, sep: Column) -> Column:
     """Cells of one line; a quoted cell may hold the delimiter."""
     quoted = F.regexp_extract_all(
@@ -242,12 +333,19 @@ def reader_kind(name) -> Column:
     return out.otherwise("unknown")
 
 
-def dispatch(spark: SparkSession, path: str) -> DataFrame:
-    """CSV and JSON-lines files of one folder as one frame, each read by its own reader."""
-    csv = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
-    js = spark.read.option("pathGlobFilter", "*.json").option("primitivesAsString", True).json(path)
-    tag = lambda df, kind: df.withColumn("source_kind", F.lit(kind))
-    return tag(csv, "csv").unionByName(tag(js, "json"), allowMissingColumns=True)
+def dispatch(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """CSV and JSON-lines files of one folder as one frame, each read by its own reader.
+
+    Records come as one VARIANT column, so no file is read beforehand to find a schema; ``fields`` (name to
+    type) are taken out of it as columns, null where a record lacks them or has another type.
+    """
+    read = lambda glob: spark.read.option("pathGlobFilter", glob).option("singleVariantColumn", "record")
+    tag = lambda df, kind: df.select(F.lit(kind).alias("source_kind"), "record")
+    both = tag(read("*.csv").option("header", True).csv(path), "csv").union(tag(read("*.json").json(path), "json"))
+    if fields is None:
+        return both
+    quoted = lambda c: "$['" + c.replace("'", "\\'") + "']"
+    return both.select("source_kind", *(F.try_variant_get("record", quoted(c), t).alias(c) for c, t in fields.items()))
 
 
 def retention(files: DataFrame, folders, keep: str) -> DataFrame:

@@ -155,7 +155,7 @@ def write_bai2(files: DataFrame, path: str, audits: DataFrame | None = None) ->
 
 
 def read_bai2(spark: SparkSession, path: str) -> DataFrame:
-    """The files of :func:`write_bai2`: status, output_name, text."""
+    """The files of :func:`write_bai2`: status, output_name, text. A file without content gives no row."""
     rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.bai").load(path)
     return rows.select(
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("status"),

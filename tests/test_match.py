@@ -165,3 +165,33 @@ def test_registry_sets(spark, reg):
 def test_rank(spark, reg):
     r = M.rank_similarity(reg, "harbor bank").collect()
     assert [x.ordinal for x in r[:2]] == [1, 5] and r[0].score == 100.0 and r[0].similar
+
+
+def test_description_against_plain_counts(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 60), rnd.choice(["x", "x", "y", None]), rnd.gauss(0, 1), i % 2 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, s string, x double, b boolean").withColumn("a", F.array("k"))
+    got = {r.column: r for r in G.describe(df).collect()}
+    assert set(got) == {"k", "s", "x", "b"}
+    k = sorted(r[0] for r in rows)
+    mode = max(set(k), key=lambda v: (k.count(v), 0))
+    assert int(got["k"].freq) == k.count(mode) and k.count(int(got["k"].top)) == k.count(mode) and got["k"].freq_error == 0
+    assert [int(got["k"][q]) for q in ("q1", "median", "q3")] == [k[749], k[1499], k[2249]]
+    assert abs(got["k"].unique - 61) <= 4 and (got["s"].top, got["s"].freq) == ("x", sum(r[1] == "x" for r in rows))
+    assert got["s"].nulls == sum(r[1] is None for r in rows) and got["s"].mean is None
+    x = np.array([r[2] for r in rows])
+    assert abs(got["x"]["std"] - x.std(ddof=1)) < 1e-9 and abs(got["x"].unique - 3000) < 300
+    assert got["x"].top is None and got["x"].freq_error == 11
+    empty = {r.column: (r.non_null, r.unique, r.top, r.median) for r in G.describe(df.where("false")).collect()}
+    assert empty["k"] == (0, 0, None, None)
+
+
+def test_name_changes_and_two_way_difference(spark, reg):
+    other = reg.withColumn("bank_name", F.when(F.col("ordinal") == 2, "Mesa Comunity Bank").otherwise(F.col("bank_name")))
+    other = other.where("ordinal < 5").union(other.where("ordinal = 1"))
+    d = G.name_changes(G.diff_registry(reg.where("ordinal <> 5"), other.where("ordinal <> 1"), columns=("bank_name",)))
+    got = {r.account_number: (r.diff, r.name_similarity) for r in d.collect()}
+    want = difflib.SequenceMatcher(None, "mesa community bank", "mesa comunity bank").ratio()
+    assert got["0007654567"] == ("changed", want) and got["55501"] == ("equal", None) and got["0001234567"] == ("only_a", None)
+    rows = [(r.ordinal, r.side) for r in G.two_way_difference(reg, other).collect()]
+    assert sorted(rows) == [(1, "b"), (2, "a"), (2, "b"), (5, "a")]

@@ -28,13 +28,62 @@ def test_analysis_and_layout(spark, tmp_path):
 
 def test_sniffing_with_quotes(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,v,w\n1,"a,b",c\n2,"q""t",d\n')
-    (tmp_path / "b.csv").write_text("k;v;w\n3;x;y\n")
+    (tmp_path / "b.csv").write_text(" k;v; w1 \n3;x;y\n")
     (tmp_path / "c.csv").write_text("only\none\n")
     rows = R.sniff_rows(R.read_texts(spark, str(tmp_path), "*.csv")).collect()
+    assert [set(r.cells) for r in rows if r.delimiter == ";"] == [{"k", "v", "w1"}]
     got = {(r.delimiter, r.cells.get("k"), r.cells.get("v"), r.cells.get("only")) for r in rows}
     assert got == {(",", "1", "a,b", None), (",", "2", 'q"t', None), (";", "3", "x", None), (",", None, None, "one")}
 
 
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+def test_a_large_file_is_sniffed_by_several_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n k ;v\r\n" + "".join(f'{i};"x;{i}"\r\n\n' for i in range(3000)))
+    (tmp_path / "b.csv").write_text("k|v\n1|2\n")
+    (tmp_path / "c.csv").write_text("")
+    want = {(";", str(i), f"x;{i}") for i in range(3000)} | {("|", "1", "2")}
+    try:
+        for size in (4000, 1 << 27):
+            small_splits(spark, size)
+            rows = R.read_sniffed(spark, str(tmp_path), "*.csv")
+            assert (rows.rdd.getNumPartitions() > 5) == (size == 4000)
+            got = rows.collect()
+            assert len(got) == len(want) and {(r.delimiter, r.cells["k"], r.cells["v"]) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_list_order_under_any_split_size(spark, tmp_path):
+    for f in range(3):
+        lines = "".join(f"Bank {f}-{i},x,{f * 1000 + i},{i}\n" for i in range(400))
+        (tmp_path / f"r{f}.csv").write_text("Bank Name,Address,Account Number,Routing Number\n" + lines)
+    want = [(n + 1, f"Bank {n // 400}-{n % 400}") for n in range(1200)]
+    try:
+        for size in (1000, 7777, 1 << 27):
+            small_splits(spark, size)
+            got = sorted((r.ordinal, r.bank_name) for r in R.read_registry(spark, str(tmp_path)).collect())
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_dispatch_reads_no_file_for_a_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y z\n")
+    (tmp_path / "b.json").write_text('{"id": 3, "name": "z", "extra": {"k": [1]}}\n{"id": "4"}\n')
+    spark.sparkContext.setJobGroup("dispatch-plan", "")
+    df = R.dispatch(spark, str(tmp_path), {"id": "string", "name": "string", "it's": "int"})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("dispatch-plan")
+    got = sorted(tuple(r) for r in df.select("source_kind", "id", "name").collect())
+    assert got == [("csv", "1", "x"), ("csv", "2", "y z"), ("json", "3", "z"), ("json", "4", None)]
+    assert R.dispatch(spark, str(tmp_path)).columns == ["source_kind", "record"]
+
+
 def test_registry(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Bank Name,Address,Account Number,Routing Number\n Harbor ,x,00123.0,011\n")
     r = R.read_registry(spark, str(tmp_path)).collect()[0]
@@ -84,14 +133,14 @@ def test_json_orients(spark, tmp_path):
 
 def test_bai2_files(spark, tmp_path):
     """A file per document; names are replaced by a replay, and a failed job leaves nothing half done."""
-    rows = [("OK", f"a{i}.bai", f"01,{i}/\n99/\n") for i in range(20)] + [("ERROR", "ERROR_b c.bai", "03,ERROR,/"), ("OK", "é.bai", None)]
+    rows = [("OK", f"a{i}.bai", f"01,{i}/\n99/\n") for i in range(20)] + [("ERROR", "ERROR_b c.bai", "03,ERROR,/"), ("OK", "é.bai", "x")]
     df = spark.createDataFrame(rows, "status string, output_name string, text string").repartition(3)
     audits = spark.createDataFrame([("a1", "- renumbered")], "file_id string, audit_text string")
     path = str(tmp_path / "o")
     for _ in range(2):
         Z.write_bai2(df, path, audits)
         got = Z.read_bai2(spark, path).collect()
-        assert sorted((r.status, r.output_name, r.text) for r in got) == sorted((s, n, t or "") for s, n, t in rows)
+        assert sorted((r.status, r.output_name, r.text) for r in got) == sorted(rows)
         assert sorted(p.name for p in (tmp_path / "o" / "OK").iterdir() if not p.name.startswith(".")) == sorted(n for s, n, _ in rows if s == "OK")
         assert json.loads((tmp_path / "o" / "_manifest.json").read_text()) == {"ERROR": 1, "OK": 21}
     assert not list((tmp_path / "o").glob("_staging*"))

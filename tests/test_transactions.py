@@ -91,6 +91,14 @@ def test_dense_text(column):
     assert dense.split("\n") == balances[:10] + keep + balances[-10:]
 
 
+def test_dense_text_at_its_limits(column):
+    lines = "\n".join(["fee 1", "total a", "other", "total b", "total c"])
+    run = lambda **options: column(T.dense_text("s", **options), [lines])[0]
+    assert run(least=len(lines), edge=1, keep_below=1.0) == lines
+    assert run(least=len(lines) - 1, edge=1, keep_below=1.0).split("\n") == ["total a", "fee 1", "total c"]
+    assert run(least=0, edge=1, keep_below=0.1) == lines and run(least=0, edge=5, keep_below=1.0) == lines
+
+
 def test_marker(spark):
     df = spark.createDataFrame(
         [([("user", "a"), ("user", "p FULL OCR TEXT: body"), ("assistant", "z")],), ([("user", "bare")],)],
