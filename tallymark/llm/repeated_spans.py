@@ -4,9 +4,10 @@
    words the one with the smallest hash is the window's anchor (the last one of equal hashes), so equal
    windows have equal anchors at the same place. Neighbouring windows with one anchor are a run; a
    run's reach is all words of its windows.
-2. Join. Runs meet by anchor as counts of (anchor, reach), added up before the shuffle: a passage that a
-   third of the documents share is one row a task. Runs with an equal reach extend each other over all
-   their windows and are repeated as a whole.
+2. Join. Runs whose anchor stands nowhere else are done with; anchors are counted before the shuffle, and
+   those of very many runs are broadcast. The others meet as counts of (anchor, reach), added up before the
+   shuffle: a passage that a third of the documents share is one row a task. Runs with an equal reach
+   extend each other over all their windows and are repeated as a whole.
 3. Extension. Where an anchor has several reaches, the runs differ somewhere on the left or on the
    right. One run of each reach extends word by word both ways: each of its windows (anchor, words) is
    counted, and a window that two reaches share, or that stands in a repeated reach, is a repeat.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.shared import chunks, joined_by_count, stored
+from tallymark.llm.shared import chunks, discard, joined_by_count, stored, written
 from tallymark.llm.spans import mix, span_hashes
 
 BLOCK = 1_000_000
@@ -210,11 +211,15 @@ def window_rows(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(place, n): runs of windows whose words also stand elsewhere."""
-    found = stored(seeds(texts, length, gram), "repeat-runs")
-    reaches = found.groupBy("anchor", "reach").agg(F.count("*").alias("copies"), F.min("place").alias("place"))
+    spark = texts.sparkSession
+    found, path = written(seeds(texts, length, gram), "repeat-runs")
+    anchors = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeat-anchors")
+    met = stored(joined_by_count(found, anchors, "anchor", "n").drop("n"), "repeat-met")
+    discard(spark, path)
+    reaches = met.groupBy("anchor", "reach").agg(F.count("*").alias("copies"), F.min("place").alias("place"))
     reaches = stored(reaches, "repeat-reaches")
     whole = reaches.where("copies > 1").select("anchor", "reach", "copies")
-    full = joined_by_count(found, whole, ["anchor", "reach"], "copies").select("place", windows_of("reach").alias("n"))
+    full = joined_by_count(met, whole, ["anchor", "reach"], "copies").select("place", windows_of("reach").alias("n"))
 
     several = reaches.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1")
     asked = joined_by_count(reaches, several, "anchor", "reaches").select(
