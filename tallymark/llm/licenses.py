@@ -4,8 +4,11 @@ Every rolling ``k``-gram of every text's words is hashed and joined with the pos
 k-grams in the license statements. Statements are a parameter of at most ``MAX_POSITIONS`` positions,
 checked, so that side is broadcast and only hits are shuffled. A hit's words are compared with the
 statement's, so a hash never decides. Hits vote for their diagonal (place in the text minus place in
-the statement); diagonals of a text and statement at most ``gap`` apart are merged, which allows for
-words left out or put in; a merged span counts when its hits cover ``least`` of the statement's words.
+the statement); diagonals of a text and statement at most ``gap`` apart (``slack`` of the statement's words,
+where that is more) are merged, which allows for words left out or put in. Merged diagonals whose hits
+could cover ``least`` of the statement's words are verified: the longest chains of hits that rise in
+text and statement alike, from hit to hit within that gap, must cover as much and hold the statement's
+key phrase, if it has one.
 
 Texts are cut into segments of ``SEGMENT`` words (overlapping by k - 1) so that no row grows with the
 text; positions count from the text's start.
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,23 +145,56 @@ def segments(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def template_positions(spark, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """(template, label, n_template, place, hash, words) of every k-gram of the statements."""
+def template_positions(spark, templates: list[tuple], k: int) -> DataFrame:
+    """(template, label, n_template, place, hash, words, telling) of every k-gram of the statements;
+    ``telling``: it holds the statement's key phrase, or there is none."""
     rows = []
-    for number, (label, text) in enumerate(templates):
+    for number, (label, text, *key) in enumerate(templates):
+        phrase = f" {key[0]} " if key and key[0] else " "
         units, starts, ends, words, _ = words_of([text])
         names = [units[a:b].tobytes().decode() for a, b in zip(starts, ends)]
         for place, h in enumerate(gram_hashes(words, k).tolist()):
-            rows.append((number, label, len(names), place, h, " ".join(names[place : place + k])))
+            said = " ".join(names[place : place + k])
+            rows.append((number, label, len(names), place, h, said, phrase in f" {said} "))
     if len(rows) > MAX_POSITIONS:
         raise ValueError(f"{len(rows)} template positions; at most {MAX_POSITIONS} can be broadcast")
     return spark.createDataFrame(
-        rows, "template int, label string, n_template int, place int, hash long, words string"
+        rows, "template int, label string, n_template int, place int, hash long, words string, telling boolean"
     )
 
 
+def in_order(pos: np.ndarray, place: np.ndarray, k: int, n: int, gap: int) -> list[tuple[int, np.ndarray]]:
+    """(words covered, indexes of hits) of chains of hits, best first (of equal ones that of more hits), none
+    within another's words: both numbers of a chain rise, and from one hit to the next the diagonal moves
+    by ``gap`` at most."""
+    word = 1 << 32
+    order = np.lexsort((place, pos))
+    pos, place = pos[order], place[order]
+    out = []
+    while len(pos):
+        best, before = np.full(len(pos), k * word + 1, np.int64), np.full(len(pos), -1, np.int64)
+        near = np.searchsorted(pos, pos - n - gap)
+        for i in range(len(pos)):
+            j = np.arange(near[i], i)
+            step, move = place[i] - place[j], pos[i] - pos[j]
+            total = np.where((step > 0) & (move > 0) & (abs(move - step) <= gap), best[j] + np.minimum(k, step) * word + 1, 0)
+            if len(j) and total.max() > best[i]:
+                best[i], before[i] = total.max(), j[total.argmax()]
+        i = end = int(best.argmax())
+        chain = []
+        while i >= 0:
+            chain.append(i)
+            i = before[i]
+        out.append((int(best[end] // word), order[chain[::-1]]))
+        if len(chain) == 1:
+            break
+        rest = (pos < pos[chain[-1]]) | (pos > pos[end])
+        pos, place, order = pos[rest], place[rest], order[rest]
+    return out
+
+
 def license_spans(
-    docs: DataFrame, templates: list[tuple[str, str]], k: int = 3, gap: int = 2, least: float = 0.8
+    docs: DataFrame, templates: list[tuple], k: int = 3, gap: int = 2, least: float = 0.8, slack: float = 0.15
 ) -> DataFrame:
     """Spans of (key, doc_id, text): key, doc_id, template, label, first and last word, coverage."""
     positions = template_positions(docs.sparkSession, templates, k)
@@ -166,41 +203,54 @@ def license_spans(
     )
     hits = grams.join(F.broadcast(positions), F.col("gram.hash") == F.col("hash"))
     said = F.substring(F.col("body"), F.col("gram.at") + 1, F.col("gram.size")).cast("string")
+    own = ["key", "doc_id", "template", "label", "n_template"]
     hits = hits.where(F.regexp_replace(said, BREAK, " ") == F.col("words")).select(
-        "key", "doc_id", "template", "label", "n_template", "place", (F.col("first") + F.col("n")).alias("pos")
+        *own, "place", "telling", (F.col("first") + F.col("n")).alias("pos")
+    )
+    diagonals = hits.groupBy(*own, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
+        F.collect_set(F.struct("place", "telling")).alias("places")
     )
-    diagonals = hits.groupBy(
-        "key", "doc_id", "template", "label", "n_template", (F.col("pos") - F.col("place")).alias("diagonal")
-    ).agg(F.collect_set("place").alias("places"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     along = Window.partitionBy("key", "doc_id", "template").orderBy("diagonal")
-    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > gap).cast("int"), F.lit(1))
+    width = F.greatest(F.lit(gap), F.floor(F.col("n_template") * slack).cast("int"))
+    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > width).cast("int"), F.lit(1))
     merged = (
         diagonals.withColumn("fresh", fresh)
         .withColumn("group", F.sum("fresh").over(along))
-        .groupBy("key", "doc_id", "template", "label", "n_template", "group")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-            F.min("lo").alias("first_word"),
-            (F.max("hi") + k - 1).alias("last_word"),
-        )
+        .groupBy(*own, "group")
+        .agg(F.collect_list(F.struct("diagonal", "places")).alias("votes"))
     )
+    places = F.array_distinct(F.flatten(F.col("votes.places")))
     covered = F.size(
-        F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.lit(k - 1)))))
+        F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p["place"], p["place"] + F.lit(k - 1)))))
     )
-    return (
-        merged.withColumn("coverage", covered / F.col("n_template"))
-        .where(F.col("coverage") >= least)
-        .select("key", "doc_id", "template", "label", "first_word", "last_word", "coverage")
+    possible = merged.where((covered >= least * F.col("n_template")) & F.exists(places, lambda p: p["telling"]))
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, doc, template, label, n, votes in frame.itertuples(index=False):
+                flat = [(v["diagonal"] + p["place"], p["place"], p["telling"]) for v in votes for p in v["places"]]
+                pos, place, telling = (np.array(x) for x in zip(*flat))
+                for words, chain in in_order(pos, place, k, n, max(gap, int(n * slack))):
+                    if words >= least * n and telling[chain].any():
+                        rows.append((key, doc, template, label, pos[chain[0]], pos[chain[-1]] + k - 1, words / n))
+            out = pd.DataFrame(rows, columns=[*own[:4], "first_word", "last_word", "coverage"], dtype=object)
+            yield out.astype({"key": "int64", "doc_id": "Int64", "coverage": "float64"})
+
+    return possible.select(*own, "votes").mapInPandas(
+        verify,
+        "key long, doc_id long, template int, label string, first_word long, last_word long, coverage double",
     )
 
 
 def scan(
     docs: DataFrame,
     phrases: dict[str, str],
-    templates: list[tuple[str, str]],
+    templates: list[tuple],
     k: int = 3,
     gap: int = 2,
     least: float = 0.8,
+    slack: float = 0.15,
 ) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -209,7 +259,7 @@ def scan(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
     )
-    spans = license_spans(own, templates, k, gap, least)
+    spans = license_spans(own, templates, k, gap, least, slack)
     found = spans.groupBy("key", F.col("doc_id").alias("found_id")).agg(
         F.collect_set("label").alias("found"), F.max("coverage").alias("score")
     )

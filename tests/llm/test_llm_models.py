@@ -265,3 +265,55 @@ def test_licenses(spark, messy, no_rows):
     assert licenses.scan(no_rows, BASE_PHRASES, TEMPLATES).count() == 0
     with pytest.raises(ValueError):
         licenses.template_positions(spark, [("x", prose(1, 100))] * 3000, 3)
+
+
+def best_in_order(words, statement, k=3, least_gap=2, slack=0.15):
+    """Most words of a statement that a rising chain of k-grams covers, and the chains' places (plain search)."""
+    n, gap = len(statement), max(least_gap, int(len(statement) * slack))
+    hits = [
+        (i, j)
+        for i in range(len(words) - k + 1)
+        for j in range(n - k + 1)
+        if words[i : i + k] == statement[j : j + k]
+    ]
+    best = {}
+    for i, j in hits:
+        options = [(k, [j])]
+        for (a, b), (got, path) in best.items():
+            if a < i and b < j and abs((i - a) - (j - b)) <= gap:
+                options.append((got + min(k, j - b), [*path, j]))
+        best[i, j] = max(options, key=lambda o: (o[0], len(o[1])))
+    return max(best.values(), key=lambda o: (o[0], len(o[1])), default=(0, []))
+
+
+def test_notices_against_a_plain_search(spark):
+    notices = {
+        "Released under the terms of the MIT License.": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "Licensed under CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License.": "gpl,lgpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by,cc-by-nc-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "Distributed under the GNU Affero General Public License": "agpl,gpl",
+        "License MIT the under released, the license under MIT terms": "",
+    }
+    long = [t for _, t, *_ in TEMPLATES if len(t) > 900][0].split(" ")
+    texts = [*notices, " ".join(long[:60] + ["some", "words", "here"] + long[60:]), " ".join(long[100:] + long[:100])]
+    texts += [prose(i, 40) + " " + t + " " + prose(90 + i, 40) for i, t in enumerate(list(notices))] + ["all rights reserved " * 500]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BASE_PHRASES, TEMPLATES).collect()}
+    for i, want in enumerate(notices.values()):
+        assert got[i].labels == want, (texts[i], got[i])
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    for i, text in enumerate(texts[:-1]):
+        labels, score = {lab for p, lab in BASE_PHRASES.items() if f" {p} " in f" {' '.join(cut(text))} "}, 0.0
+        for label, statement, key in TEMPLATES:
+            said = cut(statement)
+            words, path = best_in_order(cut(text), said)
+            told = not key or any(f" {key} " in f" {' '.join(said[j : j + 3])} " for j in path)
+            if words >= 0.8 * len(said) and told:
+                labels.add(label)
+                score = max(score, words / len(said))
+        assert (got[i].labels, got[i].score) == (",".join(sorted(labels)), pytest.approx(score)), text
+    assert got[len(texts) - 1].labels == "reserved"
