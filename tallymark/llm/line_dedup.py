@@ -13,7 +13,8 @@
    README has measured misses) are dropped; for the others the Jaccard similarity is computed exactly on
    the full shingle sets (every position); pairs of at least ``least`` are links, and links become
    components by distributed union-find. Bands whose lines are still in different components then
-   compare all their pairs across components, in the same way.
+   compare their pairs across components in the same way; where more than ``SMALL`` lines share a band,
+   only pairs that share one of their rarest shingles, which loses none of the similarity asked for.
 5. In each component the first occurrence stays; all others are removed.
 
 Only DataFrame expressions are used; nothing but numbers per round reaches the driver.
@@ -33,6 +34,7 @@ from tallymark.llm.native_grams import pieces
 from tallymark.llm.shared import free_name, lower_ascii, stored
 
 K, BANDS, ROWS, AGREE = 12, 8, 4, 15
+SMALL = 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -55,11 +57,6 @@ def _marks(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("mark"), F.xxhash64(F.lit(1), line).alias("mark2")]
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _shingles(line: Column, of) -> Column:
     """``of`` each shingle of a line, in order; a shorter line is one shingle."""
     return F.flatten(
@@ -77,11 +74,21 @@ def _bin(x: Column) -> Column:
     return F.shiftright(x, 58)
 
 
-def minima(line: Column) -> Column:
-    """The smallest hash of each of 32 bins among all of a line's hashes, as bin (upper bits) and value,
-    by bin; repeats change nothing; empty bins take the next one's."""
-    keyed = F.sort_array(_shingles(line, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1)))
-    least = _bound(keyed, lambda s: F.filter(s, lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get(s, i - 1)))))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value``, computed once and in generated code, however often it is used later."""
+    return df.withColumn(name, F.explode(F.array(F.struct(value.alias("v"))))).withColumn(name, F.col(f"{name}.v"))
+
+
+def hashes(line: Column) -> Column:
+    """The hashes (not negative) of a line's shingles, in order."""
+    return _shingles(line, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1))
+
+
+def minima(df: DataFrame) -> DataFrame:
+    """``df`` with ``m``: the smallest hash of each of 32 bins among all hashes of ``line``, as bin (upper
+    bits) and value, by bin; repeats change nothing; empty bins take the next one's."""
+    keyed = _once(_once(df, "h", hashes(F.col("line"))), "s", F.sort_array("h"))
+    least = F.filter("s", lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get("s", i - 1))))
 
     def filled(m):
         gap = lambda a, b: (_bin(a) - b).cast("int")
@@ -89,22 +96,19 @@ def minima(line: Column) -> Column:
         wrapped = F.array_repeat(F.get(m, F.lit(0)), F.lit(31) - _bin(F.get(m, F.size(m) - 1)).cast("int"))
         return F.when(F.size(m) == 32, m).otherwise(F.concat(F.flatten(ahead), wrapped))
 
-    return _bound(least, filled)
+    return _once(_once(keyed, "l", least), "m", filled(F.col("l"))).drop("h", "s", "l")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(occurrence, n, line, bands) of each different line, written once."""
+    """(occurrence, n, line, bands, low) of each different line, written once."""
     distinct = lines.where("line != ''").groupBy("line").agg(
         F.min("occurrence").alias("occurrence"), F.count("*").alias("n")
     )
-    bands = lambda m: F.array(
-        *[F.xxhash64(F.lit(b), *[F.get(m, F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
-    )
-    low = lambda m: F.transform(m, lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint"))
-    both = F.array(F.struct(minima(F.col("line")).alias("m")))
-    out = distinct.select("occurrence", "n", "line", F.explode(both).alias("both"))
-    out = out.select("occurrence", "n", "line", bands(F.col("both.m")).alias("bands"), low(F.col("both.m")).alias("low"))
-    return stored(out, "line-signatures", "zstd")
+    at = lambda i: F.get("m", F.lit(i))
+    bands = F.array(*[F.xxhash64(F.lit(b), *[at(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    low = F.transform("m", lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint"))
+    out = minima(distinct.select("occurrence", "n", "line"))
+    return stored(out.select("occurrence", "n", "line", bands.alias("bands"), low.alias("low")), "line-signatures", "zstd")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -120,13 +124,47 @@ def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity ``least``."""
+    """The pairs (a, b) whose shingle sets reach the similarity ``least``. The sets are intersected by
+    their shingles' hashes, and those that reach it are compared shingle by shingle."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("occurrence")).distinct()
     sets = lines.join(needed, "occurrence").select("occurrence", "line")
     both = pairs.join(sets.toDF("a", "line_a"), "a").join(sets.toDF("b", "line_b"), "b")
-    both = both.select("a", "b", F.array_distinct(_shingles(F.col("line_a"), lambda x: x)).alias("x"), F.array_distinct(_shingles(F.col("line_b"), lambda x: x)).alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def reaching(df, of):
+        df = _once(df, "x", F.array_distinct(of(F.col("line_a"))))
+        df = _once(df, "y", F.array_distinct(of(F.col("line_b"))))
+        df = _once(df, "shared", F.size(F.array_intersect("x", "y")))
+        enough = F.col("shared") >= least * (F.size("x") + F.size("y") - F.col("shared"))
+        return df.where(enough).select("a", "b", "line_a", "line_b")
+
+    return reaching(reaching(both, hashes), lambda line: _shingles(line, lambda x: x)).select("a", "b")
+
+
+def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of (key, occurrence, root) that share a key, lie in different components and may reach
+    ``least``. Keys of at most ``SMALL`` lines give all their pairs. In larger ones, two lines are a pair only
+    if they share one of their rarest shingles: sets x and y of similarity t share one of the first
+    |x| - ceil(t |x|) + 1 shingles of x, and likewise of y, in any order of all shingles, here from the rarest
+    in the key to the commonest. So a family of lines with one beginning does not give all its pairs."""
+    sizes = still.groupBy("key").agg(F.count("*").alias("members"))
+    many = sizes.where(F.col("members") > SMALL).select("key")
+    few = still.join(many, "key", "left_anti")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        x = rows.select(*on, F.col("occurrence").alias("a"), F.col("root").alias("root_a"))
+        y = rows.select(*on, F.col("occurrence").alias("b"), F.col("root").alias("root_b"))
+        return x.join(y, on).where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    large = stored(still.join(many, "key", "left_semi"), "line-large")
+    lines = known.join(large.select("occurrence").distinct(), "occurrence", "left_semi").select("occurrence", "line")
+    sets = _once(lines, "x", F.array_distinct(hashes(F.col("line"))))
+    sets = sets.select("occurrence", F.size("x").alias("size"), F.explode("x").alias("shingle"))
+    grams = large.join(sets, "occurrence")
+    counts = grams.groupBy("key", "shingle").agg(F.count("*").alias("held"))
+    rarest = Window.partitionBy("key", "occurrence").orderBy("held", "shingle")
+    first = grams.join(counts, ["key", "shingle"]).withColumn("at", F.row_number().over(rarest))
+    first = first.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    return pairs(few, ["key"]).union(pairs(first, ["key", "shingle"])).distinct()
 
 
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
@@ -148,11 +186,8 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     )
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "line-open")
-    still = still.join(known.select("occurrence", "low"), "occurrence").select("key", "occurrence", "root", "low")
-    x, y = still.toDF("key", "a", "root_a", "low_a"), still.toDF("key", "b", "root_b", "low_b")
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & agreeing("low_a", "low_b"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(across.join(first, ["a", "b"], "left_anti"), "line-pairs")
+    fresh = across(still, known, least).join(first, ["a", "b"], "left_anti")
+    second = stored(likely(fresh, known), "line-pairs")
     if not second.isEmpty():
         more = stored(verified(second, known, least), "line-links")
         if not more.isEmpty():

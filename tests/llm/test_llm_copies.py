@@ -146,6 +146,18 @@ def test_fuzzy_lines_of_one_family(spark):
     assert {r.doc_id: list(r.removed) for r in got} == dict(enumerate(lines_brute(rows)))
 
 
+def test_pairs_of_a_large_bucket(spark):
+    """3,000 lines with one beginning, all in one bucket: no similar pair is lost, few others are formed."""
+    start = "transfer received from the account with number "
+    lines = [start + "".join(random.Random(i // 3).choices("0123456789", k=40)) + "xyz"[i % 3] * (1 + i % 2) for i in range(3000)]
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "occurrence long, line string")
+    got = {tuple(r) for r in line_dedup.across(known.selectExpr("7L key", "occurrence", "occurrence root"), known, 0.8).collect()}
+    near = {(i + a, i + b) for i in range(0, 3000, 3) for a, b in ((0, 1), (0, 2), (1, 2))}
+    assert near <= got and len(got) < 0.02 * 3000 * 2999 / 2
+    links = {tuple(r) for r in line_dedup.verified(spark.createDataFrame(sorted(got), "a long, b long"), known, 0.8).collect()}
+    assert links == near
+
+
 def removed_lines(spark, rows):
     got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     return {r.doc_id: list(r.removed) for r in got}
