@@ -205,12 +205,13 @@ def volume_class(n) -> Column:
     return out.otherwise("low")
 
 
-def content_class(content) -> Column:
+def content_class(content, sniff_bytes: int | None = K.SNIFF_BYTES, kind_bytes: int | None = K.KIND_BYTES) -> Column:
     """Kind of a downloaded file (binary column). JSON is judged by both ends of the whole value, the
-    delimiter of CSV by its first ``K.SNIFF_BYTES`` bytes."""
+    delimiter of CSV by its first ``sniff_bytes`` bytes, text or binary by its first ``kind_bytes`` (None: by all)."""
     b = _col(content)
-    head = F.substring(b, 1, 1000)
-    text = F.decode(F.substring(b, 1, K.SNIFF_BYTES), "ISO-8859-1")
+    first = lambda n: b if n is None else F.substring(b, 1, n)
+    head = first(kind_bytes)
+    text = F.decode(first(sniff_bytes), "ISO-8859-1")
     whole = strip(F.decode(b, "ISO-8859-1"))
     hex8 = F.hex(F.substring(b, 1, 8))
     per_line = lambda ch: (

@@ -134,7 +134,7 @@ def labeled_account(text, low=None) -> Column:
 
 
 def _leading_number(line: Column, least: int) -> Column:
-    hyphen = F.regexp_extract(line, r"^[^0-9]*([0-9]+-[0-9]+-[0-9]+|[0-9]+-[0-9]+)", 1)
+    hyphen = F.regexp_extract(line, K.LINE_HYPHEN_NUMBER, 1)
     plain = F.regexp_extract(line, rf"^[^0-9]*([0-9]{{{least},}})", 1)
     return F.when(hyphen != "", hyphen).when(plain != "", plain)
 
@@ -144,22 +144,24 @@ def _stars(digits: Column) -> Column:
 
 
 def _below_number(line: Column) -> Column:
-    hyphen = F.regexp_extract(line, r"^[^0-9]*([0-9]+-[0-9]+-[0-9]+|[0-9]+-[0-9]+)", 1)
+    hyphen = F.regexp_extract(line, K.LINE_HYPHEN_NUMBER, 1)
     run = F.regexp_extract(line, r"^[^0-9]*([0-9]+)", 1)
     return F.when(hyphen != "", hyphen).when(F.length(run) >= 4, run)
 
 
-def account_from_lines(text) -> Column:
-    """Header first (`ACCOUNT` alone, number below), then masks, endings and labels line by line."""
+def account_from_lines(text, header_lines: int | None = K.HEADER_LINES) -> Column:
+    """Header first (`ACCOUNT` alone, number below), then masks, endings and labels line by line.
+
+    A lone label counts within the first ``header_lines`` lines (None: in all of them); the other forms are looked
+    for in every line."""
     t = _col(text)
-    lone = r"(?i)^account$"
-    masked_run = r"(?i)[X*]{3,}(\d{2,})"
+    lone, masked_run = K.LINE_LONE_LABEL, K.LINE_MASKED_RUN
 
     def from_tail(tail):
         digits = F.regexp_replace(tail, r"[^\d]", "")
         return (
-            F.when(tail.rlike(r"[xX*]"), F.nullif(F.regexp_extract(tail, r"(?i)[X*]+(\d+)", 1), F.lit("")))
-            .when(tail.rlike(r"^[0-9]+-[0-9]+(?:-[0-9]+)?$"), tail)
+            F.when(tail.rlike(r"[xX*]"), F.nullif(F.regexp_extract(tail, K.LINE_MASKED_TAIL, 1), F.lit("")))
+            .when(tail.rlike(K.LINE_HYPHEN_ONLY), tail)
             .when(F.length(digits) >= 4, digits)
         )
 
@@ -173,15 +175,15 @@ def account_from_lines(text) -> Column:
     def anywhere(lines):
         def on_line(line, i):
             below = F.try_element_at(lines, i + F.lit(2))
-            tail = F.regexp_extract(line, r"(?i)(?U:\baccount\s*)[:\-\s#]*([0-9X*\-]+)", 1)
+            tail = F.regexp_extract(line, K.LINE_LABEL_TAIL, 1)
             next_line = F.when(
                 below != "", F.coalesce(_stars(F.regexp_extract(below, masked_run, 1)), _below_number(below))
             )
             return F.coalesce(
                 _stars(F.regexp_extract(line, masked_run, 1)),
-                _stars(F.regexp_extract(line, r"(?i)(?U:\b)ending\s+(?:with\s*:?\s*\*+)?(\d{2,})", 1)),
+                _stars(F.regexp_extract(line, K.LINE_ENDING, 1)),
                 F.when(
-                    line.rlike(r"(?i)(?U)\baccount\b") & ~line.rlike(lone),
+                    line.rlike(K.LINE_LABEL) & ~line.rlike(lone),
                     F.coalesce(let(tail, from_tail), next_line),
                 ),
             )
@@ -189,9 +191,10 @@ def account_from_lines(text) -> Column:
         return first_over(lines, on_line)
 
     def search(lines):
-        return F.coalesce(let(F.slice(lines, 1, 30), in_header), anywhere(lines))
+        head = lines if header_lines is None else F.slice(lines, 1, header_lines)
+        return F.coalesce(let(head, in_header), anywhere(lines))
 
-    any_hint = F.lower(t).rlike(r"account|ending|[x*]{3,}\d{2}")
+    any_hint = F.lower(t).rlike(K.LINE_HINT)
     return F.when(any_hint, let(F.transform(F.split(t, "\n"), strip), search))
 
 
@@ -354,7 +357,7 @@ def account_frequency(docs: DataFrame, text_col: str = "text", key_cols=("doc_id
 
 def number_candidates(text) -> Column:
     """All digit runs of six and more that stand alone."""
-    return F.filter(_all(_col(text), r"\b(\d{4,})\b", "U"), lambda m: F.length(m) >= 6)
+    return F.filter(_all(_col(text), K.CANDIDATE_NUMBER, "U"), lambda m: F.length(m) >= 6)
 
 
 def _with(tags: list[Column], name: str):
@@ -363,7 +366,7 @@ def _with(tags: list[Column], name: str):
 
 def _line_hits(line: Column, place: Column) -> Column:
     """All hits of one lower-cased line."""
-    labelled = line.rlike("account|acct|ending")
+    labelled = line.rlike(K.SCAN_LINE_LABEL)
     found = []
     for kind, patterns in (("labelled", K.SCAN_PATTERNS), ("partial", K.SCAN_PARTIAL_PATTERNS)):
         for i, p in enumerate(patterns):
@@ -380,7 +383,7 @@ def _line_hits(line: Column, place: Column) -> Column:
 def account_scan_array(text_col: str = "text") -> Column:
     """Hits (kind, pattern_no, line_no, number) on labelled lines and partial forms."""
     marked = F.transform(F.split(F.lower(text_col), "\n"), lambda x, i: F.struct(i.alias("p"), x.alias("l")))
-    near = F.filter(marked, lambda e: e["l"].rlike(r"account|acct|ending|last\s+four|xxxx|\*{4}"))
+    near = F.filter(marked, lambda e: e["l"].rlike(K.SCAN_LINE_HINT))
     return F.flatten(F.transform(near, lambda e: _line_hits(e["l"], e["p"] + 1)))
 
 

@@ -10,8 +10,6 @@ from tallymark.functions.predicates import any_contains, is_valid_bank_name, let
 from tallymark.functions.scalars import filename_date, loose_date, slash_date, yymmdd
 
 LINE_STOPS = K.BANK_STOP_WORDS + K.BANK_LINE_STOP_WORDS
-# A name has at most ten words and each step looks at most three words ahead.
-NAME_WINDOW = 16
 
 
 def _col(c) -> Column:
@@ -68,8 +66,8 @@ def _extension(word: Column, n1: Column, n2: Column, n3: Column) -> Column:
     )
 
 
-def _name_from_tokens(tokens: Column) -> Column:
-    """Fold over the first words of a line.
+def _name_from_tokens(tokens: Column, most: int) -> Column:
+    """Fold over the first words of a line; a name has at most ``most``.
 
     A name is a run of words from the start, so the state is only (words taken, done).
     """
@@ -84,7 +82,7 @@ def _name_from_tokens(tokens: Column) -> Column:
         after_place = (extra > 0) & (F.lower(n1) == "of")
         return (
             F.when(acc["done"] | (i <= acc["n"]), acc)
-            .when((acc["n"] >= 10) | _stop(w), F.struct(acc["n"].alias("n"), F.lit(True).alias("done")))
+            .when((acc["n"] >= most) | _stop(w), F.struct(acc["n"].alias("n"), F.lit(True).alias("done")))
             .otherwise(F.struct((i + extra).alias("n"), (ends | after_place).alias("done")))
         )
 
@@ -93,21 +91,26 @@ def _name_from_tokens(tokens: Column) -> Column:
         F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["n"]),
     )
     name = F.array_join(F.slice(tokens, 1, taken), " ")
-    ok = taken.between(1, 10) & F.length(name).between(3, 100) & name.rlike(r"\p{L}") & ~_stop(name)
+    ok = taken.between(1, most) & F.length(name).between(3, 100) & name.rlike(r"\p{L}") & ~_stop(name)
     return F.when(ok, name)
 
 
-def bank_name_from_line(line) -> Column:
-    """Bank name at the start of one line."""
+def bank_name_from_line(line, window: int | None = K.BANK_LINE_WINDOW, most: int = K.BANK_NAME_WORDS) -> Column:
+    """Bank name of at most ``most`` words at the start of one line.
+
+    Its first ``window`` words are read (None: all). A name starts at the first word and a step looks at most three
+    words ahead, so a window of ``most`` + 4 and more loses nothing."""
     kept = F.filter(
         _bare(_words(_col(line))),
         lambda w: ~w.rlike(r"^\p{Nd}+$") & ~one_of(w, K.BANK_SYMBOL_TOKENS),
     )
-    return let(F.slice(kept, 1, NAME_WINDOW), _name_from_tokens)
+    head = kept if window is None else F.slice(kept, 1, window)
+    return let(head, lambda tokens: _name_from_tokens(tokens, most))
 
 
-def bank_name_from_words(text) -> Column:
-    """Fallback over the first ten words: up to a stop word or through the first ending."""
+def bank_name_from_words(text, words: int = K.BANK_OPENING_WORDS, run: int = K.BANK_OPENING_RUN) -> Column:
+    """Fallback over the first ``words`` words of a text: a run of at most ``run`` of them, up to a stop word or
+    through the first ending. A leading number doesn't count."""
 
     def first_at(words, names):
         return F.array_position(F.transform(words, lambda w: one_of(F.lower(w), names)), True)
@@ -124,22 +127,22 @@ def bank_name_from_words(text) -> Column:
             ),
         )
 
-    def from_words(words):
+    def from_words(opening):
         numbered = F.coalesce(
-            F.btrim(F.try_element_at(words, F.lit(1)), F.lit(K.BANK_TOKEN_STRIP)).rlike(r"^\p{Nd}+$"), F.lit(False)
-        ) & (F.size(words) > 1)
-        return let(F.slice(_bare(words), F.when(numbered, 2).otherwise(1), 8), named)
+            F.btrim(F.try_element_at(opening, F.lit(1)), F.lit(K.BANK_TOKEN_STRIP)).rlike(r"^\p{Nd}+$"), F.lit(False)
+        ) & (F.size(opening) > 1)
+        return let(F.slice(_bare(opening), F.when(numbered, 2).otherwise(1), run), named)
 
-    # The first ten words end within a text's first ten runs of non-blanks.
-    opening = F.regexp_extract(_col(text), r"(?s)^[\s\xa0]*((?:[^\s\xa0]+[\s\xa0]*){0,10})", 1)
-    return let(F.slice(_words(opening), 1, 10), from_words)
+    # The first words end within as many of the text's first runs of non-blanks.
+    opening = F.regexp_extract(_col(text), rf"(?s)^[\s\xa0]*((?:[^\s\xa0]+[\s\xa0]*){{0,{words}}})", 1)
+    return let(F.slice(_words(opening), 1, words), from_words)
 
 
-def bank_name(text) -> Column:
-    """First of the first five lines that yields a name, else the opening words."""
+def bank_name(text, lines: int = K.BANK_HEAD_LINES) -> Column:
+    """First of the first ``lines`` lines that yields a name, else the opening words."""
     t = _col(text)
     head = F.filter(
-        F.transform(F.split(F.substring_index(t, "\n", 5), "\n"), strip),
+        F.transform(F.split(F.substring_index(t, "\n", lines), "\n"), strip),
         lambda x: (F.length(x) >= 3) & ~any_contains(F.lower(x), K.BANK_HEADER_SKIP_WORDS),
     )
     # The fold leaves the lines behind the first name alone.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions import fixed as K
 from tallymark.functions.predicates import volume_class
 from tallymark.functions.scalars import money_text
 
@@ -108,36 +109,30 @@ def balance_comments() -> Column:
 
     def balance(label, value, is_known):
         return F.when(
-            is_known, F.concat(F.lit(f"#{label}: "), money(value), F.lit(" (from statement)"))
-        ).otherwise(F.lit(f"#{label}: NOT_FOUND - Missing from bank statement"))
+            is_known, F.concat(F.lit(f"#{label}: "), money(value), F.lit(K.COMMENT_KNOWN))
+        ).otherwise(F.lit(f"#{label}{K.COMMENT_MISSING}"))
 
     status = F.col("reconciliation_status")
     lines = F.array(
-        F.concat(F.lit("#RECONCILIATION_STATUS: "), status),
-        balance("OPENING_BALANCE", F.col("opening_balance"), F.col("opening_balance_known")),
-        balance("CLOSING_BALANCE", F.col("closing_balance"), F.col("closing_balance_known")),
+        F.concat(F.lit(K.COMMENT_STATUS), status),
+        balance(K.COMMENT_OPENING, F.col("opening_balance"), F.col("opening_balance_known")),
+        balance(K.COMMENT_CLOSING, F.col("closing_balance"), F.col("closing_balance_known")),
         F.concat(
-            F.lit("#TOTAL_DEPOSITS: "),
+            F.lit(K.COMMENT_DEPOSITS),
             money(F.col("total_deposits")),
             F.lit(" ("),
             F.col("deposit_count").cast("string"),
-            F.lit(" transactions)"),
+            F.lit(K.COMMENT_COUNT),
         ),
-        F.concat(F.lit("#TOTAL_WITHDRAWALS: "), money(F.col("total_withdrawals"))),
-        F.when(known, F.concat(F.lit("#EXPECTED_CLOSING: "), money(F.col("expected_closing")))),
-        F.when(status == "FAILED", F.concat(F.lit("#BALANCE_DIFFERENCE: "), money(signed))),
-        F.when(status == "FAILED", F.lit("#RECONCILIATION_FAILED: Balance difference exceeds tolerance")),
+        F.concat(F.lit(K.COMMENT_WITHDRAWALS), money(F.col("total_withdrawals"))),
+        F.when(known, F.concat(F.lit(K.COMMENT_EXPECTED), money(F.col("expected_closing")))),
+        F.when(status == "FAILED", F.concat(F.lit(K.COMMENT_DIFFERENCE), money(signed))),
+        F.when(status == "FAILED", F.lit(K.COMMENT_FAILED)),
         F.when(
             F.size("warnings") > 0,
-            F.concat(F.lit("#WARNINGS:\n#  - "), F.array_join("warnings", "\n#  - ")),
-        ),
-        F.when(
-            status == "COMPLETE",
-            F.lit("#RECOMMENDATION: Reconciliation successful - BAI2 data is accurate"),
-        ).when(
-            status == "FAILED",
-            F.lit("#RECOMMENDATION: Reconciliation failed - review statement and re-process"),
+            F.concat(F.lit(K.COMMENT_WARNINGS + K.COMMENT_WARNING), F.array_join("warnings", K.COMMENT_WARNING)),
         ),
+        *[F.when(status == of, F.lit(advice)) for of, advice in K.COMMENT_ADVICE.items()],
     )
     return F.array_join(F.array_compact(lines), "\n")
 

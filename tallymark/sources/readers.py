@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark import schemas as S
+from tallymark.functions import fixed as K
 from tallymark.functions.predicates import strip
 
 
@@ -163,12 +164,13 @@ def read_bank_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Characters of a file that its delimiter is judged by.
-HEAD = 2000
+HEAD = K.SNIFF_BYTES
 
 
-def delimiter(text, head: int = HEAD) -> Column:
-    """Delimiter of a text file by its mean number per line in the first ``head`` characters."""
-    start = F.substring(F.col(text) if isinstance(text, str) else text, 1, head)
+def delimiter(text, head: int | None = HEAD) -> Column:
+    """Delimiter of a text file by its mean number per line in the first ``head`` characters (None: in all)."""
+    t = F.col(text) if isinstance(text, str) else text
+    start = t if head is None else F.substring(t, 1, head)
     return _delimiter(lambda ch: F.length(start) - F.length(F.replace(start, F.lit(ch), F.lit(""))))
 
 

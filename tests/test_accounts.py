@@ -55,6 +55,14 @@ def test_line_shapes(column):
     assert column(A.account_from_lines("s"), list(cases)) == list(cases.values())
 
 
+def test_header_lines_are_a_parameter(column):
+    at = lambda n: "\n" * (n - 2) + "ACCOUNT\nno 12-345"  # noqa: E731  label in line n - 1, number in line n
+    texts = [at(30), at(31), at(400)]
+    assert column(A.account_from_lines("s"), texts) == ["12-345", None, None]
+    assert column(A.account_from_lines("s", header_lines=31), texts) == ["12-345", "12-345", None]
+    assert column(A.account_from_lines("s", header_lines=None), texts) == ["12-345"] * 3
+
+
 def test_regex_cascade(column):
     cases = {
         "account: ***12345 ok": "***12345",

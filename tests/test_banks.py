@@ -34,6 +34,20 @@ def test_words_and_choice(column):
     assert column(B.bank_name("s"), [text]) == ["Harbor Bank"]
 
 
+def test_windows_are_parameters(column):
+    long = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda"
+    assert column(B.bank_name_from_line("s", most=11), [long]) == [long]
+    wide, whole = B.bank_name_from_line("s"), B.bank_name_from_line("s", window=None)
+    lines = [long, "1 First United Bank & Trust", "Harbor Bank " + "x " * 50]
+    assert column(wide, lines) == column(whole, lines)
+    late = "Page 1\nDate 2\nPage 3\nPage 4\nPage 5\nHarbor Bank"
+    assert column(B.bank_name("s"), [late]) == [None]
+    assert column(B.bank_name("s", lines=6), [late]) == ["Harbor Bank"]
+    words = "One Two Three Four Five Six Seven Eight Nine Ten Eleven Bank"
+    assert column(B.bank_name_from_words("s"), [words]) == ["One Two Three Four Five Six Seven Eight"]
+    assert column(B.bank_name_from_words("s", words=12, run=12), [words]) == [words]
+
+
 def test_patterns_prefer_header_and_length(texts):
     body = "\n" * 11 + "The Very Long Name Of Another Trust Company"
     r = B.bank_name_by_patterns(texts("x\nharbor bank\n" + body)).collect()[0]

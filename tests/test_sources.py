@@ -121,6 +121,11 @@ def test_content_class(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, b binary")
     got = [r[0] for r in df.orderBy("i").select(P.content_class("b")).collect()]
     assert got == ["html", "xlsx", "xls", "json", "csv_comma", "csv_semicolon", "csv_tab", "text", "unknown", "json", "csv_comma"]
+    late = [b"a" * 1500 + b"\xe9", b"x" * 2100 + b"\n" + b"a,b,c\n" * 2000]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(late)], "i int, b binary").orderBy("i")
+    assert [r[0] for r in df.select(P.content_class("b")).collect()] == ["text", "text"]
+    whole = P.content_class("b", sniff_bytes=None, kind_bytes=None)
+    assert [r[0] for r in df.select(whole).collect()] == ["unknown", "csv_comma"]
 
 
 def test_json_orients(spark, tmp_path):
