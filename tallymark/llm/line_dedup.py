@@ -3,9 +3,9 @@
 1. Lines (split at line feeds, trimmed, A-Z lower-cased; blank ones stay out) are counted exactly first.
    A line that occurs in a third of all documents is one row from here on; its number is that of
    its first occurrence in reading order.
-2. The shingles of ``K`` characters at every position, those that step 4 compares, are hashed in the line's
-   row and sorted. The smallest hash of each of 32 bins is its signature, whatever the number of shingles and
-   of their repeats; an empty bin takes the next one's, so short lines have full signatures. No shuffle.
+2. The shingles of ``K`` characters at every position, those that step 4 compares, are hashed. The smallest hash
+   of each of 32 bins is a line's signature, whatever the number of shingles and of their repeats; an empty
+   bin takes the next one's, so short lines have full signatures. No shuffle.
 3. Bands of ``ROWS`` bins: with 8 bands of 4, a pair of similarity 0.85 shares a band with chance
    0.997 (0.985 at 0.8). Lines that share a band are paired with their neighbour in the band only, one pair each.
 4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (for lines of many shingles five standard
@@ -17,7 +17,12 @@
    only pairs that share one of their rarest shingles, which loses none of the similarity asked for.
 5. In each component the first occurrence stays; all others are removed.
 
-Only DataFrame expressions are used; nothing but numbers per round reaches the driver.
+Lines, counts, bands, joins, components and the removal are DataFrame expressions. What handles every character
+of a line (its signature, the comparison of two shingle sets) runs on Arrow batches: with built-in
+expressions, interpreted once per shingle, it took several times the CPU the operator may use (README).
+Nothing but numbers per round reaches the driver.
+
+A task holds the lines of an Arrow batch and the shingle sets of ``HELD`` characters of them, of one line at least.
 
 Defined results: null and empty texts have one blank line, which stays; blank lines always stay; rows
 that repeat an identifier are documents of their own; null identifiers are kept; an empty table gives
@@ -26,15 +31,22 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
-from tallymark.llm.native_grams import pieces
-from tallymark.llm.shared import free_name, lower_ascii, stored
+from tallymark.llm.shared import chunks, fixed_binary, fixed_rows, free_name, lower_ascii, stored
+from tallymark.llm.spans import mix
 
-K, BANDS, ROWS, AGREE = 12, 8, 4, 15
+K, BINS, BANDS, ROWS, AGREE = 12, 32, 8, 4, 15
 SMALL = 32
+#: Characters of a slice that is hashed at once, and of the lines whose shingle sets a task holds.
+SLICE, HELD = 1 << 20, 1 << 20
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,46 +69,46 @@ def _marks(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("mark"), F.xxhash64(F.lit(1), line).alias("mark2")]
 
 
-def _shingles(line: Column, of) -> Column:
-    """``of`` each shingle of a line, in order; a shorter line is one shingle."""
-    return F.flatten(
-        F.transform(
-            pieces(line, K, 64),
-            lambda part: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(part) - (K - 1))),
-                lambda i: of(F.substring(part, i, F.lit(K))),
-            ),
-        )
-    )
-
-
-def _bin(x: Column) -> Column:
-    return F.shiftright(x, 58)
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with ``value``, computed once and in generated code, however often it is used later."""
-    return df.withColumn(name, F.explode(F.array(F.struct(value.alias("v"))))).withColumn(name, F.col(f"{name}.v"))
-
-
-def hashes(line: Column) -> Column:
-    """The hashes (not negative) of a line's shingles, in order."""
-    return _shingles(line, lambda x: F.shiftrightunsigned(F.xxhash64(x), 1))
-
-
-def minima(df: DataFrame) -> DataFrame:
-    """``df`` with ``m``: the smallest hash of each of 32 bins among all hashes of ``line``, as bin (upper
-    bits) and value, by bin; repeats change nothing; empty bins take the next one's."""
-    keyed = _once(_once(df, "h", hashes(F.col("line"))), "s", F.sort_array("h"))
-    least = F.filter("s", lambda x, i: ~_bin(x).eqNullSafe(_bin(F.get("s", i - 1))))
-
-    def filled(m):
-        gap = lambda a, b: (_bin(a) - b).cast("int")
-        ahead = F.transform(m, lambda x, j: F.array_repeat(x, gap(x, F.coalesce(_bin(F.get(m, j - 1)), F.lit(-1)))))
-        wrapped = F.array_repeat(F.get(m, F.lit(0)), F.lit(31) - _bin(F.get(m, F.size(m) - 1)).cast("int"))
-        return F.when(F.size(m) == 32, m).otherwise(F.concat(F.flatten(ahead), wrapped))
-
-    return _once(_once(keyed, "l", least), "m", filled(F.col("l"))).drop("h", "s", "l")
+def shingles(line: str) -> set[str]:
+    """The shingles of a line; a shorter line is one shingle."""
+    return {line[i : i + K] for i in range(max(1, len(line) - K + 1))}
+
+
+def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle of each line, in order, and the number of shingles of each line."""
+    padded = [line if len(line) >= K else line.ljust(K, "\0") for line in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    one = codes * np.uint64(FACTOR) + np.uint64(1)
+    power = lambda n: np.uint64(pow(FACTOR, n, 1 << 64))
+    two = one[:-1] * power(1) + one[1:]
+    four = two[:-2] * power(2) + two[2:]
+    eight = four[:-4] * power(4) + four[4:]
+    twelve = mix(eight[:-4] * power(4) + four[8:])
+    counts = sizes - (K - 1)
+    skipped = np.repeat(np.arange(len(lines)) * (K - 1), counts)
+    return twelve[np.arange(len(skipped)) + skipped], counts
+
+
+def minima(lines: list[str]) -> np.ndarray:
+    """The smallest hash of each of ``BINS`` bins among all shingles of each line, a row per line; repeats
+    change nothing; empty bins take the next one's."""
+    found, counts = hashes(lines)
+    empty = np.uint64(2**64 - 1)
+    m = np.full(len(lines) * BINS, empty)
+    np.minimum.at(m, np.repeat(np.arange(len(lines)) * BINS, counts) + (found >> np.uint64(59)).astype(np.int64), found)
+    m = m.reshape(-1, BINS)
+    for b in [*range(BINS - 1, -1, -1)] * 2:
+        m[:, b] = np.where(m[:, b] == empty, m[:, (b + 1) % BINS], m[:, b])
+    return m
+
+
+def band_keys(m: np.ndarray) -> np.ndarray:
+    """The key of each band of each line, a row per line."""
+    odd = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    base = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
+    rows = m.reshape(-1, BANDS, ROWS)
+    return mix((mix(rows * odd + odd) * odd).sum(2, dtype=np.uint64) + base).view(np.int64)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -104,40 +116,81 @@ def signatures(lines: DataFrame) -> DataFrame:
     distinct = lines.where("line != ''").groupBy("line").agg(
         F.min("occurrence").alias("occurrence"), F.count("*").alias("n")
     )
-    at = lambda i: F.get("m", F.lit(i))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[at(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
-    low = F.transform("m", lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint"))
-    out = minima(distinct.select("occurrence", "n", "line"))
-    return stored(out.select("occurrence", "n", "line", bands.alias("bands"), low.alias("low")), "line-signatures", "zstd")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "line", SLICE):
+            m = minima(texts)
+            ends = pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32))
+            bands = pa.ListArray.from_arrays(ends, pa.array(band_keys(m).ravel()))
+            low = fixed_binary((m & np.uint64(255)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bands, low], names=[*batch.schema.names, "bands", "low"])
 
-def agreeing(a: str, b: str) -> Column:
-    """Whether two signatures (their low bits) agree often enough to be worth a comparison."""
-    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)
-    return F.size(same) >= AGREE
+    out = distinct.select("occurrence", "n", "line").mapInArrow(
+        work, "occurrence long, n long, line string, bands array<long>, low binary"
+    )
+    return stored(out, "line-signatures", "zstd")
 
 
 def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree."""
+    """The pairs (a, b) whose signatures (their low bytes) agree often enough to be worth a comparison."""
     one, two = known.select("occurrence", "low").toDF("a", "low_a"), known.select("occurrence", "low").toDF("b", "low_b")
-    return pairs.join(one, "a").join(two, "b").where(agreeing("low_a", "low_b")).select("a", "b")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low_a, low_b = (fixed_rows(batch.column(c), np.uint8) for c in ("low_a", "low_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((low_a == low_b).sum(1) >= AGREE))
 
-def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity ``least``. The sets are intersected by
-    their shingles' hashes, and those that reach it are compared shingle by shingle."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("occurrence")).distinct()
-    sets = lines.join(needed, "occurrence").select("occurrence", "line")
-    both = pairs.join(sets.toDF("a", "line_a"), "a").join(sets.toDF("b", "line_b"), "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "low_a", "low_b").mapInArrow(work, "a long, b long")
 
-    def reaching(df, of):
-        df = _once(df, "x", F.array_distinct(of(F.col("line_a"))))
-        df = _once(df, "y", F.array_distinct(of(F.col("line_b"))))
-        df = _once(df, "shared", F.size(F.array_intersect("x", "y")))
-        enough = F.col("shared") >= least * (F.size("x") + F.size("y") - F.col("shared"))
-        return df.where(enough).select("a", "b", "line_a", "line_b")
 
-    return reaching(reaching(both, hashes), lambda line: _shingles(line, lambda x: x)).select("a", "b")
+def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity ``least``, shingle by shingle. The set of a line
+    that several pairs of a batch have is built once."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("occurrence")).distinct()
+    texts = lines.join(needed, "occurrence").select("occurrence", "line")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
+                both = []
+                for line in (a, b):
+                    if line not in held:
+                        size += len(line)
+                        if size > HELD:
+                            held, size = {}, len(line)
+                        held[line] = shingles(line)
+                    both.append(held[line])
+                x, y = sorted(both, key=len)
+                shared = len(x & y) if len(x) >= least * len(y) else 0
+                good.append(shared >= least * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(work, "a long, b long")
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(occurrence, size, shingle): the hash of each different shingle of each line."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "line", SLICE):
+            found, counts = hashes(texts)
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            sets = [np.unique(found[i:j]).view(np.int64) for i, j in zip(ends, ends[1:])]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column("occurrence").to_numpy(zero_copy_only=False), sizes)),
+                    pa.array(np.repeat(sizes, sizes)),
+                    pa.array(np.concatenate(sets)),
+                ],
+                names=["occurrence", "size", "shingle"],
+            )
+
+    return lines.select("occurrence", "line").mapInArrow(work, "occurrence long, size int, shingle long")
 
 
 def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -157,8 +210,7 @@ def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
     large = stored(still.join(many, "key", "left_semi"), "line-large")
     lines = known.join(large.select("occurrence").distinct(), "occurrence", "left_semi").select("occurrence", "line")
-    sets = _once(lines, "x", F.array_distinct(hashes(F.col("line"))))
-    sets = sets.select("occurrence", F.size("x").alias("size"), F.explode("x").alias("shingle"))
+    sets = shingle_sets(lines)
     grams = large.join(sets, "occurrence")
     counts = grams.groupBy("key", "shingle").agg(F.count("*").alias("held"))
     rarest = Window.partitionBy("key", "occurrence").orderBy("held", "shingle")
