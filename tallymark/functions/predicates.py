@@ -105,30 +105,29 @@ def is_yymmdd(c) -> Column:
     ).otherwise(F.lit(False))
 
 
-def is_valid_bank_name(c) -> Column:
+def is_valid_bank_name(c, low=None) -> Column:
+    """Usable bank name. With ``low``, its lower case, ``c`` is taken as trimmed and both as columns that are ready:
+    nothing is bound then, so the test is compiled."""
 
     def proper_name(s):
-        words = F.filter(F.split(s, r"[\s\xa0]+"), lambda w: w != "")
-        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-        return F.when((F.size(words) >= 2) & (capital >= F.size(words) * 0.7), F.lit(True)).otherwise(
-            (F.size(words) == 1) & (F.length(s) >= 4) & s.rlike(r"^\p{Lu}")
+        words, capital = F.regexp_count(s, F.lit(r"[^\s\xa0]+")), F.regexp_count(s, F.lit(r"(?<![^\s\xa0])\p{Lu}"))
+        # One pass settles the usual case: one word of four letters or more, or only words with a capital.
+        return F.when(s.rlike(r"^\p{Lu}(?:[^\s\xa0]{3,}+|[^\s\xa0]*+(?:[\s\xa0]++\p{Lu}[^\s\xa0]*+)++)$"), F.lit(True)).otherwise(
+            (words >= 2) & (capital >= words * 0.7)
         )
 
     def check(s):
+        return let(F.lower(s), lambda low: checked(s, low))
+
+    def checked(s, low):
         return (
             F.when(F.coalesce(F.length(s), F.lit(0)) < 2, F.lit(False))
-            .when((F.length(s) > 100) | ~s.rlike(r"\p{L}"), F.lit(False))
-            .otherwise(
-                let(
-                    F.lower(s),
-                    lambda low: F.when(
-                        any_contains(low, K.BANK_NAME_KEYWORDS), ~any_contains(low, K.BANK_NAME_BAD_WORDS)
-                    ).otherwise(proper_name(s)),
-                )
-            )
+            .when((F.length(s) > K.BANK_NAME_CHARS) | ~s.rlike(r"\p{L}"), F.lit(False))
+            .when(any_contains(low, K.BANK_NAME_KEYWORDS), ~any_contains(low, K.BANK_NAME_BAD_WORDS))
+            .otherwise(proper_name(s))
         )
 
-    return let(strip(c), check)
+    return let(strip(c), check) if low is None else checked(_col(c), _col(low))
 
 
 def incoming_path(subject, url) -> Column:

@@ -69,7 +69,8 @@ def _extension(word: Column, n1: Column, n2: Column, n3: Column) -> Column:
 def _name_from_tokens(tokens: Column, most: int) -> Column:
     """Fold over the first words of a line; a name has at most ``most``.
 
-    A name is a run of words from the start, so the state is only (words taken, done).
+    A name is a run of words from the start, so the state is only (words taken, done). Without an ending among
+    them nothing but a stop word or the length closes the run, and no fold is needed.
     """
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("done"))
 
@@ -86,13 +87,17 @@ def _name_from_tokens(tokens: Column, most: int) -> Column:
             .otherwise(F.struct((i + extra).alias("n"), (ends | after_place).alias("done")))
         )
 
-    taken = F.when(
-        F.size(tokens) > 0,
-        F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["n"]),
-    )
-    name = F.array_join(F.slice(tokens, 1, taken), " ")
-    ok = taken.between(1, most) & F.length(name).between(3, 100) & name.rlike(r"\p{L}") & ~_stop(name)
-    return F.when(ok, name)
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["n"])
+    first = F.slice(tokens, 1, most)
+    stop_at = F.array_position(F.transform(first, _stop), True).cast("int")
+    plain = F.when(stop_at > 0, stop_at - 1).otherwise(F.size(first))
+    taken = F.when(F.size(tokens) > 0, F.when(F.exists(first, _strong), folded).otherwise(plain))
+
+    def named(n, name):
+        ok = n.between(1, most) & F.length(name).between(3, 100) & name.rlike(r"\p{L}") & ~_stop(name)
+        return F.when(ok, name)
+
+    return let(taken, lambda n: let(F.array_join(F.slice(tokens, 1, n), " "), lambda name: named(n, name)))
 
 
 def bank_name_from_line(line, window: int | None = K.BANK_LINE_WINDOW, most: int = K.BANK_NAME_WORDS) -> Column:
@@ -100,12 +105,26 @@ def bank_name_from_line(line, window: int | None = K.BANK_LINE_WINDOW, most: int
 
     Its first ``window`` words are read (None: all). A name starts at the first word and a step looks at most three
     words ahead, so a window of ``most`` + 4 and more loses nothing."""
-    kept = F.filter(
-        _bare(_words(_col(line))),
-        lambda w: ~w.rlike(r"^\p{Nd}+$") & ~one_of(w, K.BANK_SYMBOL_TOKENS),
-    )
-    head = kept if window is None else F.slice(kept, 1, window)
-    return let(head, lambda tokens: _name_from_tokens(tokens, most))
+    def kept(words):
+        return F.filter(_bare(words), lambda w: ~w.rlike(r"^\p{Nd}+$") & ~one_of(w, K.BANK_SYMBOL_TOKENS))
+
+    def named(tokens):
+        return let(tokens, lambda t: _name_from_tokens(t, most))
+
+    line = _col(line)
+    if window is None:
+        return named(kept(_words(line)))
+    # The window mostly lies within so many words; the last piece holds the rest of a longer line.
+    cut = 2 * window + 1
+    whole = F.slice(kept(_words(line)), 1, window)
+
+    def opening(pieces):
+        return let(
+            F.slice(kept(F.filter(F.slice(pieces, 1, cut - 1), lambda w: w != "")), 1, window),
+            lambda head: F.when((F.size(head) == window) | (F.size(pieces) < cut), head).otherwise(whole),
+        )
+
+    return named(let(F.split(line, r"[\s\xa0]+", cut), opening))
 
 
 def bank_name_from_words(text, words: int = K.BANK_OPENING_WORDS, run: int = K.BANK_OPENING_RUN) -> Column:
@@ -156,11 +175,31 @@ def bank_name(text, lines: int = K.BANK_HEAD_LINES) -> Column:
 
 
 def clean_bank_name(c) -> Column:
-    s = strip(F.regexp_replace(_col(c), r"[\s\xa0]+", " "))
-    s = let(F.regexp_replace(s, r"[.,;:!?]+$", ""), _title)
-    s = F.regexp_replace(s, r"\bAnd\b", "&")
+    return let(_squeezed(_col(c)), lambda s: let(_title(s), _spelled))
+
+
+def _squeezed(c: Column) -> Column:
+    return F.regexp_replace(strip(F.regexp_replace(c, r"[\s\xa0]+", " ")), r"[.,;:!?]+$", "")
+
+
+def _spelled(t: Column) -> Column:
+    """Spelling of a squeezed name in title case. Only "And" gets shorter, to a third."""
+    s = F.regexp_replace(t, r"\bAnd\b", "&")
     s = F.regexp_replace(s, r"\bFcu\b", "FCU")
-    return F.regexp_replace(s, r"\bUsa\b", "USA")
+    s = F.regexp_replace(s, r"\bUsa\b", "USA")
+    return F.when(any_contains(t, ["And", "Fcu", "Usa"]), s).otherwise(t)
+
+
+def _ascii_title(s: Column) -> Column:
+    """:func:`_title` of a text without letters beyond A-Z, which the patterns give, without a lambda: a mark and a
+    blank open a word behind each other character for as long as the built-in takes."""
+    marked = F.regexp_replace(s, r"(?<=[^\sA-Za-z])(?=[A-Za-z])", "\x01 ")
+    by_part = F.replace(F.initcap(marked), F.lit("\x01 "), F.lit(""))
+    return F.when(s.rlike(r"[^\sA-Za-z][A-Za-z]"), by_part).otherwise(F.initcap(s))
+
+
+# Longer squeezed names can't be spelled in as few characters as a valid name has.
+_LONGEST = 3 * K.BANK_NAME_CHARS + 10
 
 
 def _title(s: Column) -> Column:
@@ -184,63 +223,95 @@ _NAME_CHARS = r"[A-Za-z0-9\s&\.,\-']+"
 _RUN_PATTERNS = {0, 3, 4}
 
 
+# Words of which a match of a pattern (by position) holds one, in small letters: texts and runs without them are
+# not searched.
+_NEEDED = {
+    0: ["bank", "trust", "credit union", "fcu", "savings", "financial", "association", "corp", "company", "inc"],
+    1: ["bank"],
+    2: ["bank"],
+    3: [
+        "national", "state", "federal", "community", "regional", "local", "first", "second", "third", "citizens",
+        "farmers", "merchants", "commercial", "industrial",
+    ],
+    4: ["n.a.", "na", "llc", "ltd", "limited"],
+}
+
+
 def _pattern_matches(text: Column, i: int) -> Column:
     pattern = K.BANK_NAME_PATTERNS[i]
     if i not in _RUN_PATTERNS:
-        return F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
+        hits = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
+        if i not in _NEEDED:
+            return hits
+        return F.when(any_contains(F.lower(text), _NEEDED[i]), hits).otherwise(F.array().cast("array<string>"))
     runs = F.regexp_extract_all(text, F.lit(_NAME_CHARS), F.lit(0))
-    hits = F.transform(runs, lambda r: F.regexp_extract(r, "(?i)^[^A-Za-z]*+" + pattern, 1))
+    hits = F.transform(
+        F.filter(runs, lambda r: let(F.lower(r), lambda low: any_contains(low, _NEEDED[i]))),
+        lambda r: F.regexp_extract(r, "(?i)^[^A-Za-z]*+" + pattern, 1),
+    )
     return F.filter(hits, lambda x: x != "")
 
 
-def _name_candidates(text: Column, later: bool) -> Column:
-    """Valid names as an array of (later, neg_len, pos, name); the smallest one is the best."""
-    found = F.flatten(F.array(*[_pattern_matches(text, i) for i in range(len(K.BANK_NAME_PATTERNS))]))
-    return _ranked(found, later)
+def _found(text: Column) -> Column:
+    return F.flatten(F.array(*[_pattern_matches(text, i) for i in range(len(K.BANK_NAME_PATTERNS))]))
 
 
-def _ranked(found: Column, later: bool) -> Column:
-    ranked = F.transform(
-        found,
-        lambda n, i: let(
-            clean_bank_name(n),
-            lambda name: F.when(
-                is_valid_bank_name(name),
-                F.struct(
-                    F.lit(later).alias("later"),
-                    (-F.length(name)).alias("neg_len"),
-                    i.alias("pos"),
-                    name.alias("name"),
-                ),
-            ),
-        ),
-    )
-    return F.filter(ranked, lambda x: x.isNotNull())
+def _header_found(text: Column) -> Column:
+    header = F.filter(F.split(F.substring_index(text, "\n", 10), "\n"), lambda x: strip(x) != "")
+    return F.flatten(F.transform(header, _found))
 
 
-def _header_candidates(text: Column) -> Column:
-    header = F.filter(F.split(F.substring_index(text, "\n", 10), "\n"), lambda x: strip(x) != "")
-    per_line = F.transform(
-        header,
-        lambda line: F.flatten(F.array(*[_pattern_matches(line, i) for i in range(len(K.BANK_NAME_PATTERNS))])),
-    )
-    return _ranked(F.flatten(per_line), False)
+def _best(found: Column, later: bool) -> Column:
+    """The longest valid name, the earliest among equals, as a struct (later, neg_len, pos, name).
+
+    Cleaning never makes a name longer, so the matches are taken by falling length and left alone once they are
+    shorter than the best name."""
+    none = F.lit(None).cast("struct<later:boolean,neg_len:int,pos:int,name:string>")
+    by_length = F.array_sort(F.transform(found, lambda n, i: F.struct((-F.length(n)).alias("l"), i.alias("pos"), n.alias("n"))))
+
+    def named(x):
+        def valid(name):
+            best = F.struct(F.lit(later).alias("later"), (-F.length(name)).alias("neg_len"), x["pos"].alias("pos"), name.alias("name"))
+            return F.when(is_valid_bank_name(name), best)
+
+        return let(
+            _squeezed(x["n"]),
+            lambda s: F.when(F.length(s) <= _LONGEST, let(_ascii_title(s), lambda t: let(_spelled(t), valid))),
+        )
+
+    def step(best, x):
+        return F.when(best.isNotNull() & (best["neg_len"] < x["l"]), best).otherwise(F.least(best, named(x)))
+
+    return F.aggregate(by_length, none, step)
 
 
 def bank_name_candidates(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
-    """Valid names found by the generic patterns, in the header lines and in the whole text."""
+    """Valid names found by the generic patterns, in the header lines and in the whole text.
+
+    The matches of a text are rows before they are cleaned and tested: plain columns are compiled, the bodies of
+    lambdas are interpreted. Each step is a generator's output, so the next one doesn't repeat it."""
+
+    def numbered(found, is_header):
+        return F.transform(found, lambda n, i: F.struct(F.lit(is_header).alias("is_header"), i.alias("pos"), n.alias("_n")))
+
+    def step(rows, keep=(), **values):
+        made = F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()])))
+        return rows.select(*key_cols, "is_header", "pos", *keep, made)
+
     t = F.col(text_col)
-    found = F.concat(_header_candidates(t), _name_candidates(t, True))
-    return docs.select(*key_cols, F.explode(found).alias("_x")).select(
-        *key_cols, (~F.col("_x.later")).alias("is_header"), "_x.pos", "_x.name"
-    )
+    found = F.concat(numbered(_header_found(t), True), numbered(_found(t), False))
+    rows = docs.select(*key_cols, F.inline(found))
+    rows = step(rows, _s=_squeezed(F.col("_n"))).where(F.length("_s") <= _LONGEST)
+    rows = step(step(rows, _t=_ascii_title(F.col("_s"))), name=_spelled(F.col("_t")))
+    rows = step(step(rows, keep=["name"], _s=strip("name")), keep=["name", "_s"], _low=F.lower("_s"))
+    return rows.where(is_valid_bank_name("_s", "_low")).select(*key_cols, "is_header", "pos", "name")
 
 
 def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Header names before others, the longest first, the earliest among equals."""
     t = F.col(text_col)
     # The whole text is searched only for documents whose header gave nothing.
-    best = F.coalesce(F.array_min(_header_candidates(t)), F.array_min(_name_candidates(t, True)))
+    best = F.coalesce(_best(_header_found(t), False), _best(_found(t), True))
     # As a generator's output: a filter on a plain column would be pushed down and search twice.
     found = F.filter(F.array(best), lambda b: b.isNotNull())
     return docs.select(*key_cols, F.inline(found)).select(

@@ -70,6 +70,37 @@ def test_run_patterns_equal_the_free_search(spark):
         assert got == [re.findall(K.BANK_NAME_PATTERNS[i], s, re.IGNORECASE) for s in samples]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_are_cleaned_as_rows(texts):
+    """Cleaning and testing run on plain columns, not once per match inside a lambda, and give what they gave."""
+    docs = texts("O'brien-smith Bank And Trust Company.\nUsa Fcu  x1y", "harbor FCU and co., N.A. " * 9, "Bank of the\tHills", None)
+    got = B.bank_name_candidates(docs)
+    assert "initcap(lambda" not in _plan(got) and "initcap(named" not in _plan(got)
+    rows = got.collect()
+    assert {"O'Brien-Smith Bank & Trust Company", "USA FCU X1Y", "X1Y", "Brien"} & {r.name for r in rows if r.doc_id == 0}
+    assert {r.name for r in rows if r.doc_id == 2} >= {"Bank Of The Hills"}
+    assert all(len(r.name) <= 100 and r.doc_id < 3 for r in rows)
+    best = {r.doc_id: r.bank_name for r in B.bank_name_by_patterns(docs).collect()}
+    for k, name in best.items():
+        mine = [r for r in rows if r.doc_id == k and r.is_header == any(q.is_header for q in rows if q.doc_id == k)]
+        assert name == min(mine, key=lambda r: (-len(r.name), r.pos)).name
+
+
+def test_long_lines_without_an_ending_need_no_fold(spark):
+    """The window is cut from the first words, wherever numbers and symbols stand between them."""
+    lines = ["x " * 12, "1 # 2 $ " * 20 + "Harbor Bank", "  Alpha Beta page " + "y " * 99, "A b c d e f g h i j Bank", "Bank", "", "%" * 9]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string")
+    made = df.select("i", B.bank_name_from_line("s").alias("n"))
+    assert "exists(" in _plan(made)
+    wide = B.bank_name_from_line("s", window=None)
+    got = {r.i: (r.n, r.w) for r in df.select("i", B.bank_name_from_line("s").alias("n"), wide.alias("w")).collect()}
+    assert all(a == b for a, b in got.values())
+    assert [got[i][0] for i in (0, 1, 2, 3, 4, 5)] == ["x x x x x x x x x x", "Harbor Bank", "Alpha Beta", "A b c d e f g h i j", "Bank", None]
+
+
 def test_norm(column):
     names = ["First National Bank, N.A.", "Mesa Bank & Trust Company", "STOCKYARDS bank", "Lake Federal Credit Union", None]
     assert column(S.norm_bank("s"), names) == ["FIRST BANK", "MESA BANK", "STOCK YARDS BANK", "LAKE FCU", ""]
