@@ -306,7 +306,10 @@ def sink_csv(spark, sf):
 
 def _bai2_output(spark, sf):
     path = work_dir(spark, "bai2")
-    files = W.bai2_files(spark, sf).select("file_id", "text")
+    # Written once: routing and audits both need the texts.
+    stored = work_dir(spark, "bai2-texts")
+    W.bai2_files(spark, sf).select("file_id", "text").write.parquet(stored)
+    files = spark.read.schema("file_id string, text string").parquet(stored)
     routed = E.route_errors(files.withColumn("name", F.concat("file_id", F.lit(".pdf"))), name_col="name")
     audits = B.audit(B.fix(B.parse(files), W.DAY).where(F.col("bai2").isNotNull())).select("file_id", "audit_text")
     Z.write_bai2(routed, path, audits)

@@ -65,7 +65,8 @@ def bai2_sink() -> type:
     A task writes each file under a name of its own and then renames it to the final one, so readers never see
     half a file and a task that runs again, or a replay of the whole job, leaves one copy. The final name is
     the row's, whatever task writes it. A failed job removes what its tasks left unrenamed; a finished one
-    leaves a manifest with the number of files by status.
+    leaves a manifest with the number of files by status, and in ``_files`` a list of names from each task, so
+    that readers need not have the whole folder listed in one place.
     """
     # Defined here so that it travels to the workers by value.
     import json as js
@@ -85,6 +86,7 @@ def bai2_sink() -> type:
     @dataclass
     class Written(WriterCommitMessage):
         files: dict
+        listed: str | None = None
 
     class Writer(DataSourceWriter):
         def __init__(self, path: str, job: str):
@@ -92,8 +94,10 @@ def bai2_sink() -> type:
 
         def write(self, iterator):
             store, base = place(self.path)
-            staging = f"{base}/_staging-{self.job}"
+            # A folder of the task's own: tasks don't wait for each other to make files.
+            staging = f"{base}/_staging-{self.job}/{uuid.uuid4().hex}"
             files: dict = {}
+            names: list = []
             for row in iterator:
                 status, name, text = row["status"], row["output_name"], row["text"]
                 if not name or "/" in name or name.startswith((".", "_")):
@@ -107,7 +111,12 @@ def bai2_sink() -> type:
                     f.write((text or "").encode())
                 store.move(own, f"{base}/{status}/{name}")
                 files[status] += 1
-            return Written(files)
+                names.append(js.dumps({"status": status, "output_name": name}))
+            part = f"{self.job}-{uuid.uuid4().hex}.json"
+            if names:
+                with store.open_output_stream(f"{staging}/{part}") as f:
+                    f.write("\n".join(names).encode())
+            return Written(files, f"{staging}/{part}" if names else None)
 
         def _clean(self):
             store, base = place(self.path)
@@ -119,7 +128,12 @@ def bai2_sink() -> type:
             return store, base
 
         def commit(self, messages):
-            store, base = self._clean()
+            store, base = place(self.path)
+            store.create_dir(f"{base}/_files", recursive=True)
+            for m in messages:
+                if m and m.listed:
+                    store.move(m.listed, f"{base}/_files/{m.listed.rsplit('/', 1)[1]}")
+            self._clean()
             total: dict = {}
             for m in messages:
                 for status, n in (m.files if m else {}).items():
@@ -154,14 +168,49 @@ def write_bai2(files: DataFrame, path: str, audits: DataFrame | None = None) ->
         audits.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/_audit")
 
 
+def _texts_of_files(path: str):
+    """Worker of :func:`read_bai2`: the texts of the files named in batches of (status, output_name)."""
+    # Defined here so that it travels to the workers by value.
+    import pyarrow as pa
+
+    def place(path: str):
+        from pyarrow import fs
+
+        if path.startswith("file:/") and "://" not in path:
+            path = "file://" + path.removeprefix("file:")
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    def read(batches):
+        store, base = place(path)
+
+        def text(status, name):
+            try:
+                with store.open_input_stream(f"{base}/{status}/{name}") as f:
+                    return f.read().decode("utf-8", "replace")
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            # So many texts are in memory at once.
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                texts = [text(s.as_py(), n.as_py()) or None for s, n in zip(some["status"], some["output_name"])]
+                out = pa.table([some["status"], some["output_name"], pa.array(texts, pa.string())], ["status", "output_name", "text"])
+                yield from out.filter(out["text"].is_valid()).to_batches()
+
+    return read
+
+
 def read_bai2(spark: SparkSession, path: str) -> DataFrame:
-    """The files of :func:`write_bai2`: status, output_name, text. A file without content gives no row."""
-    rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.bai").load(path)
-    return rows.select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("status"),
-        F.url_decode("_metadata.file_name").alias("output_name"),
-        F.col("value").alias("text"),
-    )
+    """The files of :func:`write_bai2`: status, output_name, text. A file without content gives no row.
+
+    The names come from the lists of the finished jobs, as rows, each name once; tasks read the files. Spark's own
+    file source would have the driver list them all and deal out a task for every few dozen."""
+    names = spark.read.schema("status string, output_name string").json(f"{path}/_files")
+    # A fixed number of parts: by the bytes of the names alone a few tasks would read all files.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = names.repartition(parts, "status", "output_name").dropDuplicates()
+    return names.mapInArrow(_texts_of_files(path), "status string, output_name string, text string")
 
 
 def archive_once(stream: DataFrame, work, out: str, checkpoint: str) -> None:

@@ -156,6 +156,25 @@ def test_bai2_files(spark, tmp_path):
     assert not list((tmp_path / "o").glob("_staging*"))
 
 
+def test_bai2_files_are_read_by_few_tasks(spark, tmp_path):
+    """Names come from the lists of finished jobs: the number of tasks doesn't grow with the files, a file of a
+    job that failed is no output, one that is gone or empty gives no row."""
+    rows = [("OK", f"a{i}.bai", f"01,{i}/\n") for i in range(300)] + [("ERROR", "e f.bai", "03,ERROR,/"), ("OK", "none.bai", None)]
+    df = spark.createDataFrame(rows, "status string, output_name string, text string")
+    path = str(tmp_path / "o")
+    Z.write_bai2(df.where("false"), path)
+    assert Z.read_bai2(spark, path).collect() == []
+    Z.write_bai2(df.repartition(3), path)
+    Z.write_bai2(df.limit(5), path)
+    bad = spark.createDataFrame([("OK", "b1.bai", "new"), ("OK", "../x.bai", "bad")], df.schema).coalesce(1)
+    with pytest.raises(Exception, match="not a file name"):
+        Z.write_bai2(bad, path)
+    (tmp_path / "o" / "OK" / "a7.bai").unlink()
+    got = Z.read_bai2(spark, path)
+    assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[2] and r[1] != "a7.bai")
+
+
 def test_contract(spark):
     whole = '```json\n{"account_number": "1", "transactions": [{"date": "2025-01-02", "amount": -5.25, "description": "a [b] \\" c"}]}\n```'
     cut = '{"account_number": "1", "transactions": [{"date": "d", "amount": 1.5, "description": "x"}], "summary": {"to'
