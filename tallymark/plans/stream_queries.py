@@ -112,6 +112,10 @@ _STARTS = """starts AS (SELECT event_id, ts, 'incoming-bank-statements/' || spli
     FROM incoming WHERE event_id % 5 <> 0)"""
 
 
+# Files that each third of the events is written to, and read from by a micro-batch.
+_WAVE_FILES = 24
+
+
 @query(
     "stream_dedupe",
     V.ctes("incoming", extra=_STARTS)
@@ -129,9 +133,10 @@ def stream_dedupe(spark, sf):
     cuts = events.select(F.percentile_approx(F.unix_timestamp("ts"), [0.33, 0.66]).alias("q")).first().q or [0, 0]
     at = F.unix_timestamp("ts")
     for part in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
-        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        # A key's events of one wave are in one file, and waves come in order, wherever a micro-batch ends.
+        events.where(part).repartition(_WAVE_FILES, "path", "eTag").write.mode("append").parquet(f"{base}/in")
     I.use_rocksdb(spark)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _WAVE_FILES).parquet(f"{base}/in")
     I.append_once(I.dedupe_in_flight(stream), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("path", "eTag", F.col("seq").alias("event_id"))
 

@@ -115,20 +115,29 @@ def in_flight_processor(ttl_ms: int | None = None) -> type:
             self.since = handle.getValueState("since", "since timestamp", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows, timer_values):
-            out = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-            busy = self.since.exists()
-            started, passed = None, []
-            for row in out.itertuples():
-                if row.kind == "finish":
-                    busy, started = False, None
+            rows = list(rows)
+            out = rows[0] if len(rows) == 1 else pd.concat(rows)
+            if len(out) > 1:
+                out = out.sort_values(["ts", "seq"], kind="stable")
+            kinds = out["kind"].tolist()
+            # A call to the state store costs more than the rows: none to learn what a finish makes irrelevant,
+            # none to free a key that isn't held.
+            held = True if kinds[0] == "finish" else self.since.exists()
+            busy, last, passed = held, None, []
+            for i, kind in enumerate(kinds):
+                if kind == "finish":
+                    busy, last = False, None
                 elif not busy:
-                    busy, started = True, row.ts.to_pydatetime()
-                    passed.append((key[0], key[1], row.ts, row.seq))
+                    busy, last = True, i
+                    passed.append(i)
             if not busy:
-                self.since.clear()
-            elif started is not None:
-                self.since.update((started,))
-            yield pd.DataFrame(passed, columns=["path", "eTag", "ts", "seq"])
+                if held:
+                    self.since.clear()
+            elif last is not None:
+                self.since.update((out["ts"].iloc[last].to_pydatetime(),))
+            if passed:
+                some = out.iloc[passed]
+                yield pd.DataFrame({"path": key[0], "eTag": key[1], "ts": some["ts"].to_numpy(), "seq": some["seq"].to_numpy()})
 
         def close(self):
             pass

@@ -118,6 +118,45 @@ def test_a_key_is_held_until_its_processing_ends(spark, tmp_path):
     assert kept[-1] <= 2 and kept[2] == 0
 
 
+def test_a_key_asks_the_state_store_only_what_it_needs():
+    import datetime
+
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    state = State()
+    worker = I.in_flight_processor()()
+    worker.since = state
+
+    def give(*kinds):
+        calls.clear()
+        rows = [(k, datetime.datetime(2025, 1, 1, 0, 0, i), i) for i, k in enumerate(kinds)]
+        frames = worker.handleInputRows(("p", "1"), iter([pd.DataFrame(rows, columns=["kind", "ts", "seq"])]), None)
+        return [n for f in frames for n in f["seq"]], list(calls)
+
+    assert give("start", "start") == ([0], ["exists", "update"])
+    assert give("start") == ([], ["exists"])
+    assert give("finish", "start") == ([1], ["update"])
+    assert give("start", "finish") == ([], ["exists", "clear"])
+    assert give("start", "finish") == ([0], ["exists"]) and state.held is None
+
+
 def test_archive_moves_every_file_once(spark, tmp_path):
     src, done = tmp_path / "in", tmp_path / "done"
     for i in range(5):
