@@ -131,6 +131,14 @@ def signatures(lines: DataFrame) -> DataFrame:
     return stored(out, "line-signatures", "zstd")
 
 
+def banded(known: DataFrame, members: DataFrame) -> DataFrame:
+    """(occurrence, line, low) of the lines that share a band with another one, written once: all further
+    steps look up these only, so the texts of all lines are shuffled by occurrence a single time."""
+    some = members.select("occurrence").distinct()
+    out = known.select("occurrence", "line", "low").join(some, "occurrence", "left_semi")
+    return stored(out, "line-banded", "zstd")
+
+
 def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures (their low bytes) agree often enough to be worth a comparison."""
     one, two = known.select("occurrence", "low").toDF("a", "low_a"), known.select("occurrence", "low").toDF("b", "low_b")
@@ -228,20 +236,21 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
     linked = keys.select("key", "occurrence", F.lag("occurrence").over(bucket).alias("before"))
     chain = stored(linked.where("before is not null"), "line-candidates")
     pairs = chain.select(F.col("before").alias("a"), F.col("occurrence").alias("b")).distinct()
-    first = stored(likely(pairs, known), "line-pairs")
-    links = stored(verified(first, known, least), "line-links")
+    members = chain.select("key", "occurrence").union(chain.select("key", "before")).distinct()
+    near = banded(known, members)
+    first = stored(likely(pairs, near), "line-pairs")
+    links = stored(verified(first, near, least), "line-links")
     roots = components(links)
 
-    members = chain.select("key", "occurrence").union(chain.select("key", "before")).distinct()
     labelled = members.join(roots.toDF("occurrence", "root"), "occurrence", "left").select(
         "key", "occurrence", F.coalesce("root", "occurrence").alias("root")
     )
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "line-open")
-    fresh = across(still, known, least).join(first, ["a", "b"], "left_anti")
-    second = stored(likely(fresh, known), "line-pairs")
+    fresh = across(still, near, least).join(first, ["a", "b"], "left_anti")
+    second = stored(likely(fresh, near), "line-pairs")
     if not second.isEmpty():
-        more = stored(verified(second, known, least), "line-links")
+        more = stored(verified(second, near, least), "line-links")
         if not more.isEmpty():
             roots = components(links.union(more))
     out = known.select("occurrence", "n", *_marks(F.col("line"))).join(

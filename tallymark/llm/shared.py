@@ -34,11 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Shuffle files of a query go when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
-    """``df`` written once to the shared folder and read back, and its folder."""
+    """``df`` written once to the shared folder and read back, and its folder. No other query reads the
+    shuffle files of the write, so they are deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,14 +2,18 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import exact_dedup, line_dedup, near_dedup
 from tallymark.llm.graph import components
+from tallymark.llm.shared import CLEANUP, stored, written
 
 from .conftest import LOWER, changed, joined, prose, shingles
 
@@ -210,3 +214,36 @@ def test_pairs_just_above_eighty_percent(spark):
     _, root = near_brute(texts, 80)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent=80).collect()}
     assert got == dict(enumerate(root)) and got[1] == 0
+
+
+def test_only_lines_that_share_a_band_are_looked_up(spark, monkeypatch):
+    """The texts of lines without a neighbour in any band go to no comparison."""
+    kept = {}
+
+    def keep(df, name, *args):
+        kept.setdefault(name, stored(df, name, *args))
+        return kept[name]
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    base = prose(3, 60)
+    rows = [(0, base), (1, changed(base, 1, 1)), *((i, prose(100 + i, 40)) for i in range(2, 40))]
+    got = removed_lines(spark, rows)
+    assert [i for i, gone in sorted(got.items()) if gone] == [1]
+    assert kept["line-signatures"].count() == 40
+    assert 2 <= kept["line-banded"].count() < 10
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    """What a write shuffled is deleted with its end, whether or not the driver collects garbage."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    rows = spark.range(20000).groupBy((F.col("id") % 7000).alias("k")).agg(F.count("*").alias("n"))
+    found, _ = written(rows, "few")
+    for _ in range(40):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(CLEANUP) == setting
+    assert found.count() == 7000
