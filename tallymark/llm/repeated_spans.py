@@ -37,6 +37,8 @@ from tallymark.llm.shared import chunks, discard, joined_by_count, stored, writt
 from tallymark.llm.spans import mix, span_hashes
 
 BLOCK = 1_000_000
+#: Bytes of a block that are hashed at once (a word at least): bounds a worker's tables of powers.
+SLICE = (1 << 16) - 1
 BLOCKS = "block long, doc_ids array<long>, sizes binary, payload binary"
 RUNS = "place long, anchor long, reach long"
 WINDOWS = "place long, anchor long, words long, weight int"
@@ -123,7 +125,14 @@ class Words:
         starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.texts = np.searchsorted(starts, at)
-        self.hashes = [span_hashes(units, starts, ends, lane) for lane in (0, 1)]
+        cuts = [0]
+        while cuts[-1] < len(starts):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, starts[cuts[-1]] + SLICE, side="right"))))
+        self.hashes = [np.zeros(len(starts), np.uint64) for _ in (0, 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            at, some = starts[a], units[starts[a] : ends[b - 1]]
+            for lane, out in enumerate(self.hashes):
+                out[a:b] = span_hashes(some, starts[a:b] - at, ends[a:b] - at, lane)
 
     def spans(self, lane: int, size: int) -> np.ndarray:
         """Hashes of every ``size`` words in a row, by doubling: not linear in the words."""
@@ -171,7 +180,8 @@ def seeds(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "payload"))):
+            for i in range(batch.num_rows):
+                block, sizes, payload = (batch.column(c)[i].as_py() for c in ("block", "sizes", "payload"))
                 start, anchor, reach = runs(Words(unpacked(payload, sizes)), length, gram)
                 yield pa.RecordBatch.from_arrays(
                     [places(block, start), pa.array(anchor.view(np.int64)), pa.array(reach.view(np.int64))],

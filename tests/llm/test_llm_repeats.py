@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tallymark.llm import repeated_spans
+from tallymark.llm import repeated_spans, spans
 from tallymark.llm.shared import table
 
 from .conftest import prose
@@ -91,3 +91,19 @@ def test_long_words_that_a_polynomial_hash_takes_for_equal(spark):
         words = prose(n, 40).split()
         rows += [(n, " ".join(words[:20] + [one] + words[20:])), (n + 1, " ".join(words[:20] + [two] + words[20:]))]
     check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_words_are_hashed_in_slices(monkeypatch):
+    """A large block gets the hashes of its texts and takes no table of powers of its own size."""
+    asked = []
+    powers = spans._powers
+    monkeypatch.setattr(spans, "_powers", lambda bits, base: asked.append(bits) or powers(bits, base))
+    texts = [prose(i, 3000).encode() for i in range(40)] + [b"", b"  ", b"x" * 70000 + b" y"]
+    sliced = repeated_spans.Words(texts)
+    assert sum(map(len, texts)) > 10 * repeated_spans.SLICE
+    assert max(asked[:4]) <= 16 and sum(bits > 16 for bits in asked) <= 4  # only the long word
+    monkeypatch.setattr(repeated_spans, "SLICE", 1 << 40)
+    whole = repeated_spans.Words(texts)
+    assert whole.texts.tolist() == sliced.texts.tolist()
+    for lane in (0, 1):
+        assert whole.hashes[lane].tolist() == sliced.hashes[lane].tolist()
