@@ -38,23 +38,30 @@ def norm_bank(c) -> Column:
     return strip(F.regexp_replace(s, r"\s+", " "))
 
 
+def line_feeds(c) -> Column:
+    """Every kind of line break as a line feed. One search settles texts that have no other kind."""
+    s = _col(c)
+    return F.when(s.rlike(K.ODD_LINE_BREAK), F.regexp_replace(s, K.LINE_BREAK, "\n")).otherwise(s)
+
+
 def sanitize(c) -> Column:
-    """Description safe for a BAI2 record."""
+    """Description safe for a BAI2 record. One search settles texts that need no more than their ends trimmed."""
     s = F.replace(F.coalesce(_col(c), F.lit("")), F.lit("/"), F.lit("-"))
-    s = F.regexp_replace(s, r"[^\x20-\x7E]", " ")
-    return F.btrim(F.regexp_replace(s, " +", " "))
+    spaced = F.regexp_replace(F.regexp_replace(s, r"[^\x20-\x7E]", " "), "  +", " ")
+    return F.btrim(F.when(s.rlike(r"[^\x20-\x7E]|  "), spaced).otherwise(s))
 
 
 def sanitize_reasons(c) -> Column:
     s = F.coalesce(_col(c), F.lit(""))
     slash, control, non_ascii = K.SANITIZE_REASONS
-    return F.array_compact(
+    reasons = F.array_compact(
         F.array(
             F.when(F.contains(s, F.lit("/")), slash),
             F.when(s.rlike(r"[\x00-\x1F\x7F]"), control),
             F.when(s.rlike(r"[^\x00-\x7F]"), non_ascii),
         )
     )
+    return F.when(s.rlike(r"[^\x20-\x2E\x30-\x7E]"), reasons).otherwise(F.array().cast("array<string>"))
 
 
 def sanitize_changed(c) -> Column:
@@ -63,16 +70,22 @@ def sanitize_changed(c) -> Column:
 
 
 def int_cents(c, legacy: bool = False) -> Column:
-    """Amount text to integer cents (text). Legacy keeps the digits and nothing else."""
+    """Amount text to integer cents (text). Legacy keeps the digits and nothing else. Texts that hold a number
+    and nothing else are not cleaned first."""
     s = F.coalesce(_col(c), F.lit(""))
     digits = F.regexp_replace(s, r"\D", "")
     if legacy:
         return digits
     clean = F.regexp_replace(s, r"[^0-9.\-]", "")
-    scaled = clean.try_cast("decimal(30,4)") * 100
+
+    def scaled(number):
+        return F.round(number.try_cast("decimal(30,4)") * 100).cast("decimal(30,0)").cast("string")
+
     return (
-        F.when(clean.rlike(r"^-?\d+$"), clean)
-        .when(clean.rlike(r"^-?\d*\.\d+$"), F.round(scaled).cast("decimal(30,0)").cast("string"))
+        F.when(s.rlike(r"^-?\d+\z"), s)
+        .when(s.rlike(r"^-?\d*\.\d+\z"), scaled(s))
+        .when(clean.rlike(r"^-?\d+$"), clean)
+        .when(clean.rlike(r"^-?\d*\.\d+$"), scaled(clean))
         .otherwise(digits)
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import fixed as K
 from tallymark.functions.predicates import is_yymmdd, let
-from tallymark.functions.scalars import int_cents, sanitize, sanitize_reasons
+from tallymark.functions.scalars import int_cents, line_feeds, sanitize, sanitize_reasons
 from tallymark.operators.lines import counted, record_fields
 
 
@@ -22,26 +22,53 @@ def _field(fields: Column, i: int, default: str = "") -> Column:
     return F.coalesce(F.try_element_at(fields, F.lit(i + 1)), F.lit(default))
 
 
-def _record(code: str) -> str:
-    """Start of a record line, in a multi-line pattern."""
-    return rf"^(?={code}(?:,|/?$))"
+#: Records that a parse looks at; other lines are left out.
+RECORDS = ("01", "02", "03", "16", "49", "98", "99")
 
 
-def _first_fields(text: Column, code: str, last: bool = False) -> Column:
-    """Fields of the first (or last) record of a kind in a piece of text, null when absent."""
-    pattern = rf"(?dm)^({code}(?:,.*|/?))$"
-    if last:
-        line = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
-    else:
-        line = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return let(line, lambda x: F.when(x.isNotNull(), record_fields(x)))
+def _records(text: Column) -> Column:
+    """Record lines of a file in order: a code alone, with a closing slash, or with fields. The text is cut at a
+    plain line feed, once; what follows compares codes instead of searching the text with patterns again."""
+
+    def is_record(line):
+        tail = F.substring(line, 3, 2)
+        return F.substring(line, 1, 2).isin(*RECORDS) & (F.startswith(tail, F.lit(",")) | tail.isin("", "/"))
+
+    return F.filter(F.split(text, "\n"), is_record)
+
+
+def _is(line: Column, code: str) -> Column:
+    return F.startswith(line, F.lit(code))
+
+
+def _places(records: Column, code: str) -> Column:
+    """Places of a kind of record, from 0."""
+    return F.array_compact(F.transform(records, lambda x, i: F.when(_is(x, code), i)))
+
+
+def _before(records: Column, code: str) -> Column:
+    """The records before the first of a kind, all of them without one."""
+    return F.slice(records, F.lit(1), F.coalesce(F.get(_places(records, code), F.lit(0)), F.size(records)))
+
+
+def _pieces(records: Column, places: Column) -> Column:
+    """The records from each place up to the next one, the last piece up to the end."""
+    return F.transform(
+        places,
+        lambda at, k: F.slice(records, at + 1, F.coalesce(F.get(places, k + 1), F.size(records)) - at),
+    )
+
+
+def _fields_of(records: Column, code: str, last: bool = False) -> Column:
+    """Fields of the first (or last) record of a kind, null when absent."""
+    line = F.try_element_at(F.filter(records, lambda x: _is(x, code)), F.lit(-1 if last else 1))
+    return record_fields(line)
 
 
 def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFrame:
     """Add the nested form of each file; null for a file without an 01 header."""
-    text = F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n")
 
-    def entry_of(f):
+    def entry(f):
         return F.struct(
             _field(f, 1).alias("type_code"),
             _field(f, 2).alias("amount"),
@@ -50,46 +77,37 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             F.array_join(F.slice(f, F.lit(7), F.size(f)), ",").alias("description_rest"),
         )
 
-    def entry(line):
-        return let(record_fields(line), entry_of)
-
-    def account(piece):
-        return let(
-            record_fields(F.substring_index(piece, "\n", 1)),
-            lambda head: let(_first_fields(piece, "49"), lambda trailer: account_of(piece, head, trailer)),
+    def account_parts(a):
+        """Fields of the head, of the entries before the first 49, and of that 49."""
+        return F.struct(
+            record_fields(F.get(a, F.lit(0))).alias("head"),
+            F.transform(F.filter(_before(a, "49"), lambda x: _is(x, "16")), record_fields).alias("entries"),
+            _fields_of(a, "49").alias("trailer"),
         )
 
-    def account_of(piece, head, trailer):
-        until_49 = F.split(piece, "(?dm)" + _record("49"), 2)[0]
-        entries = F.filter(F.split(until_49, "\n"), lambda x: x.rlike(r"(?d)^16(?:,|/?$)"))
+    def account(a):
+        head, trailer = a["head"], a["trailer"]
         return F.struct(
             _field(head, 1).alias("account_number"),
             _field(head, 2).alias("currency"),
             _field(head, 3).alias("type_code"),
             _field(head, 6).alias("continuation"),
-            F.transform(entries, entry).alias("entries"),
+            F.transform(a["entries"], entry).alias("entries"),
             F.when(trailer.isNotNull() & (F.size(trailer) > 1), _field(trailer, 1)).alias("trailer_balance"),
             F.when(trailer.isNotNull() & (F.size(trailer) > 2), _field(trailer, 2)).alias("trailer_count"),
         )
 
-    def account_pieces(halves):
-        rest = F.try_element_at(halves, F.lit(2))
-
-        # 98 closes the group, yet its last account stays open for entries behind it.
-        def with_rest(cuts):
-            return F.transform(
-                F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))),
-                lambda p, i: F.when((i == F.size(cuts) - 2) & rest.isNotNull(), F.concat(p, rest)).otherwise(p),
-            )
-
-        return let(F.split(F.get(halves, F.lit(0)), "(?dm)" + _record("03")), with_rest)
-
-    def group(piece):
-        return let(record_fields(F.substring_index(piece, "\n", 1)), lambda head: group_of(piece, head))
+    def group_parts(g):
+        """Fields of the head, the accounts, and the fields of the 98. 98 closes the group, yet its last account
+        stays open for entries behind it."""
+        return F.struct(
+            record_fields(F.get(g, F.lit(0))).alias("head"),
+            F.transform(let(_places(_before(g, "98"), "03"), lambda at: _pieces(g, at)), account_parts).alias("accounts"),
+            _fields_of(g, "98").alias("trailer"),
+        )
 
-    def group_of(piece, head):
-        pieces = let(F.split(piece, "(?dm)" + _record("98"), 2), account_pieces)
-        trailer = _first_fields(piece, "98")
+    def group(g):
+        head = g["head"]
         return F.struct(
             _field(head, 1).alias("receiver_id"),
             _field(head, 2).alias("originator_id"),
@@ -97,11 +115,10 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             _field(head, 4).alias("group_date"),
             _field(head, 6).alias("currency"),
             F.coalesce(F.try_element_at(head, F.lit(8)), F.lit("")).alias("record_length"),
-            F.transform(pieces, account).alias("accounts"),
-            trailer.alias("trailer"),
+            F.transform(g["accounts"], account).alias("accounts"),
+            g["trailer"].alias("trailer"),
         )
 
-    pieces = F.split(F.col("_t"), "(?dm)" + _record("02"))
     header = F.col("_h")
     nested = F.struct(
         F.struct(
@@ -112,14 +129,13 @@ def parse(files: DataFrame, text_col: str = "text", out: str = "bai2") -> DataFr
             _field(header, 5).alias("file_sequence"),
             _field(header, 8).alias("record_length"),
         ).alias("header"),
-        F.transform(
-            F.filter(F.col("_p"), lambda p: p.rlike(r"(?d)^02(?:,|/?(?:\n|$))")), group
-        ).alias("groups"),
-        _first_fields(F.col("_t"), "99", last=True).alias("trailer"),
+        F.transform(F.transform("_p", group_parts), group).alias("groups"),
+        _fields_of(F.col("_r"), "99", last=True).alias("trailer"),
     )
-    staged = files.withColumn("_t", text)
-    staged = staged.withColumn("_h", _first_fields(F.col("_t"), "01", last=True)).withColumn("_p", pieces)
-    return staged.withColumn(out, F.when(F.col("_h").isNotNull(), nested)).drop("_t", "_h", "_p")
+    staged = files.withColumn("_r", _records(line_feeds(text_col)))
+    staged = staged.withColumns({"_h": _fields_of(F.col("_r"), "01", last=True), "_02": _places(F.col("_r"), "02")})
+    staged = staged.withColumn("_p", _pieces(F.col("_r"), F.col("_02")))
+    return staged.withColumn(out, F.when(F.col("_h").isNotNull(), nested)).drop("_r", "_h", "_02", "_p")
 
 
 def rejects(parsed: DataFrame, col: str = "bai2") -> DataFrame:
@@ -471,18 +487,24 @@ def audit(fixed: DataFrame, key_cols=("file_id",), col: str = "bai2") -> DataFra
 
 def record_types(files: DataFrame, key_cols=("file_id",), text_col: str = "text") -> DataFrame:
     """Records by type code, counted in the row."""
-    lines = F.split(F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n"), "\n")
+    lines = F.split(line_feeds(text_col), "\n")
     codes = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.substring_index(x, ",", 1))
     return files.select(*key_cols, F.inline(counted(codes, "rec")))
 
 
 def violations(parsed: DataFrame, key_cols=("file_id",), text_col: str = "text", col: str = "bai2",
                convention: str = "inclusive") -> DataFrame:
-    """One row per broken rule of a file; a clean file yields none."""
-    b = F.col(col)
-    lines = F.filter(F.split(F.regexp_replace(F.col(text_col), K.LINE_BREAK, "\n"), "\n"), lambda x: F.trim(x) != "")
-    accounts = F.flatten(F.transform(b["groups"], lambda g: g["accounts"]))
-    entries = F.flatten(F.transform(accounts, lambda a: a["entries"]))
+    """One row per broken rule of a file; a clean file yields none. Lines, accounts and entries are columns of their
+    own before the rules look at them: each rule would build its own otherwise."""
+    b = F.col("_b")
+    lines, accounts, entries = F.col("_l"), F.col("_a"), F.col("_e")
+    staged = parsed.select(
+        *key_cols,
+        F.filter(F.split(line_feeds(text_col), "\n"), lambda x: F.trim(x) != "").alias("_l"),
+        F.col(col).alias("_b"),
+    )
+    staged = staged.withColumn("_a", F.flatten(F.transform(b["groups"], lambda g: g["accounts"])))
+    staged = staged.withColumn("_e", F.flatten(F.transform(accounts, lambda a: a["entries"])))
 
     def num(s):
         return s.try_cast("decimal(38,0)")
@@ -531,7 +553,7 @@ def violations(parsed: DataFrame, key_cols=("file_id",), text_col: str = "text",
         *[F.struct(F.lit(n).alias("rule"), F.coalesce(v, F.lit(0)).cast("bigint").alias("n")) for n, v in rules]
     )
     return (
-        parsed.select(*key_cols, F.explode(F.filter(checks, lambda x: x["n"] > 0)).alias("_x"))
+        staged.select(*key_cols, F.explode(F.filter(checks, lambda x: x["n"] > 0)).alias("_x"))
         .select(*key_cols, "_x.rule", "_x.n")
     )
 

@@ -173,5 +173,6 @@ def numbered(rows: DataFrame, key_cols, order_cols, out: str = "ref_num") -> Dat
 
 
 def record_fields(line: Column) -> Column:
-    """Fields of one record; the closing slash is not part of the last one."""
-    return F.split(F.regexp_replace(line, "/$", ""), ",", -1)
+    """Fields of one record, a line without its line break; the closing slash is not part of the last one."""
+    closed = F.endswith(line, F.lit("/"))
+    return F.split(F.when(closed, F.left(line, F.length(line) - 1)).otherwise(line), ",", -1)

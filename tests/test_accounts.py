@@ -109,6 +109,11 @@ def test_scalars(column):
         "replace slash with dash;remove control chars;non-ascii -> space"
     ]
     assert column(S.mask_digits("s"), ["XX12", "12a"]) == ["12", "12a"]
+    assert column(S.int_cents("s"), ["12\n", "-.5", "5.", "$-7.005", ".", "-"]) == ["12", "-50", "5", "-701", "", ""]
+    assert column(S.sanitize("s"), ["a b", " a", "a  b", "\x00", None]) == ["a b", "a", "a b", "", ""]
+    assert column(F.size(S.sanitize_reasons("s")), ["a b", "\x7f", "", None]) == [0, 1, 0, 0]
+    assert column(P.is_yymmdd("s"), ["000229", "010229", "251131", "251130", "250630\n", None]) == [True, False, False, True, False, False]
+    assert "try_to_timestamp" not in str(P.is_yymmdd("s")).lower()
     assert column(P.is_yymmdd("s"), ["250229", "240229", "25063", "751231"]) == [False, True, False, True]
 
 

@@ -71,6 +71,25 @@ def test_fix_and_rebuild(files):
     ]
 
 
+def test_records_are_told_by_their_codes_alone(spark):
+    """One cut at line feeds; no pattern is searched again in the pieces of a file."""
+    text = "99,7\r\n01,A\x8502//\n02\n16,0,before an account/\n03/\n16,1,2\n49x\n 16,x\n49/\n16,3\n98,9/\n16,4\n03,5\n02/,6\n02,7/\n98/\n03,8/"
+    parsed = B.parse(spark.createDataFrame([("a", text), ("b", None), ("c", "01")], "file_id string, text string"))
+    got = {r.file_id: r.bai2 for r in parsed.collect()}
+    assert got["b"] is None and got["c"].groups == [] and got["c"].trailer is None
+    first, second = got["a"].groups
+    assert [(a.account_number, [e.amount for e in a.entries], a.trailer_balance) for a in first.accounts] == [("", ["2"], None)]
+    assert first.trailer == ["98", "9"] and second.receiver_id == "7" and second.accounts == []
+    assert second.trailer == ["98"] and got["a"].trailer == ["99", "7"] and got["a"].header.originator_id == "A"
+    assert "(?dm)" not in parsed._jdf.queryExecution().analyzed().toString()
+
+
+def test_rules_share_the_entries_of_a_file(files):
+    """Lines, accounts and entries are built once for all rules."""
+    plan = B.violations(B.parse(files))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("flatten(") == 2
+
+
 def test_legacy_keeps_digits_and_first_piece(files):
     lines = fixed_text(files, legacy=True)["m"].split("\n")
     assert lines[3:6] == ["16,301,1250,Z,00001,,Deposit/", "16,451,300,Z,00002,,A-B/", "49,105,4/"]
