@@ -76,15 +76,18 @@ def _name_from_tokens(tokens: Column, most: int) -> Column:
 
     def step(acc, i):
         w, n1, n2, n3 = [F.try_element_at(tokens, i + F.lit(k)) for k in range(4)]
-        ext = _extension(w, n1, n2, n3)
-        extra = F.greatest(ext, F.lit(0))
-        # -2: an ending that closes the name only once six words are in it
-        ends = (ext == -1) | ((ext == -2) & (i >= 6))
-        after_place = (extra > 0) & (F.lower(n1) == "of")
+
+        def extended(ext):
+            extra = F.greatest(ext, F.lit(0))
+            # -2: an ending that closes the name only once six words are in it
+            ends = (ext == -1) | ((ext == -2) & (i >= 6))
+            after_place = (extra > 0) & (F.lower(n1) == "of")
+            return F.struct((i + extra).alias("n"), (ends | after_place).alias("done"))
+
         return (
             F.when(acc["done"] | (i <= acc["n"]), acc)
             .when((acc["n"] >= most) | _stop(w), F.struct(acc["n"].alias("n"), F.lit(True).alias("done")))
-            .otherwise(F.struct((i + extra).alias("n"), (ends | after_place).alias("done")))
+            .otherwise(let(_extension(w, n1, n2, n3), extended))
         )
 
     folded = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda acc: acc["n"])

@@ -21,7 +21,9 @@ def clean_lines(c) -> Column:
     ws = K.WHITESPACE.replace("\n", "")
     one = F.regexp_replace(c, K.LINE_BREAK, "\n")
     one = F.regexp_replace(one, "[" + ws + "]*\n[" + ws + "\n]*", "\n")
-    return strip(one)
+    # One search settles texts that have nothing around their line feeds.
+    odd = rf"[{ws}\n{K.ODD_LINE_BREAK}](?:(?<={K.ODD_LINE_BREAK})|(?<=\n)(?=[{ws}\n])|(?<=[{ws}])(?=\n))"
+    return strip(F.when(c.rlike(odd), one).otherwise(c))
 
 
 def _names(names) -> str:
@@ -34,11 +36,11 @@ def transactions_array(text, reset_sections: bool = True) -> Column:
     heads = K.SECTION_TERMINATORS if reset_sections else K.SECTION_NAMES
     cut_section = rf"(?dim)^(?=(?:{_names(heads)})$)"
     cut_entry = rf"(?dim)^(?=(?:{K.TXN_DATE_LINE}|{_names(K.SECTION_TERMINATORS)})$)"
-    amount_line = rf"(?dm)^{K.TXN_AMOUNT_LINE}$"
+    through_amount = rf"(?dms)\A.*?^{K.TXN_AMOUNT_LINE}$"
 
     def txn(section, entry_no, day, printed, description):
         kind = (
-            F.when(any_contains(F.upper(description), K.FEE_MARKERS), "fee")
+            F.when(let(F.upper(description), lambda d: any_contains(d, K.FEE_MARKERS)), "fee")
             .when(section["name"] == "debits", "debit")
             .otherwise("credit")
         )
@@ -53,22 +55,24 @@ def transactions_array(text, reset_sections: bool = True) -> Column:
             description.alias("description"),
         )
 
-    def between(entry):
-        """Lines between the date and the first amount."""
-        inner = F.substring(F.get(F.split(entry, amount_line, 2), F.lit(0)), 6, 2**31 - 1)
+    def between(found, printed):
+        """Lines between the date and the first amount, of what both enclose."""
+        inner = F.substring(found, F.lit(6), F.length(found) - F.length(printed) - 5)
         return F.replace(F.btrim(inner, F.lit("\n")), F.lit("\n"), F.lit(" | "))
 
     def entries(section):
         def parse(entry, no):
+            def read(found):
+                return let(
+                    F.substring_index(found, "\n", -1),
+                    lambda printed: let(
+                        between(found, printed), lambda d: txn(section, no, F.substring(entry, 1, 5), printed, d)
+                    ),
+                )
+
             return F.when(
                 entry.rlike(rf"(?d)^{K.TXN_DATE_LINE}\n"),
-                let(
-                    F.regexp_extract(entry, amount_line, 0),
-                    lambda printed: F.when(
-                        printed != "",
-                        let(between(entry), lambda d: txn(section, no, F.substring(entry, 1, 5), printed, d)),
-                    ),
-                ),
+                let(F.regexp_extract(entry, through_amount, 0), lambda found: F.when(found != "", read(found))),
             )
 
         return F.filter(F.transform(F.split(section["body"], cut_entry), parse), lambda x: x.isNotNull())

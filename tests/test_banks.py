@@ -101,6 +101,10 @@ def test_long_lines_without_an_ending_need_no_fold(spark):
     assert [got[i][0] for i in (0, 1, 2, 3, 4, 5)] == ["x x x x x x x x x x", "Harbor Bank", "Alpha Beta", "A b c d e f g h i j", "Bank", None]
 
 
+def test_a_step_of_the_fold_works_out_its_extension_once():
+    assert str(B.bank_name_from_line("s", window=None)).count(",".join(B.K.BANK_CONNECTORS)) == 1
+
+
 def test_norm(column):
     names = ["First National Bank, N.A.", "Mesa Bank & Trust Company", "STOCKYARDS bank", "Lake Federal Credit Union", None]
     assert column(S.norm_bank("s"), names) == ["FIRST BANK", "MESA BANK", "STOCK YARDS BANK", "LAKE FCU", ""]

@@ -56,6 +56,21 @@ def test_amount_forms_that_do_not_count(texts):
     assert [r.amount for r in T.extract_transactions(texts(text)).collect()] == ["9.99"]
 
 
+def test_an_entry_is_searched_once_for_its_amount(texts):
+    assert str(T.transactions_array("text")).replace("\\\\", "\\").count(T.K.TXN_AMOUNT_LINE) == 1
+    text = "DEBITS\n06-02\n390.00x\nx390.00\n\u20ac\U0001f600 a\n390.00\n390.00\n06-03\n06-04\n5.00\nCredits\n06-05\n1.00"
+    assert rows(T.extract_transactions(texts(text))) == [
+        ("credits", 1, "06-05", "credit", 100, ""),
+        ("debits", 1, "06-02", "debit", 39000, "390.00x | x390.00 | \u20ac\U0001f600 a"),
+        ("debits", 3, "06-04", "debit", 500, ""),
+    ]
+
+
+def test_clean_lines(column):
+    raw = ["a\nb", " a \n\n b ", "a\r\nb\rc\x85d", "a\u00a0\nb", "a\n", None, "a b\u2028c", "\n\n"]
+    assert column(T.clean_lines("s"), raw) == ["a\nb", "a\nb", "a\nb\nc\nd", "a\nb", "a", None, "a b\nc", ""]
+
+
 def test_totals(texts):
     r = T.section_totals(T.extract_transactions(texts(STATEMENT))).collect()[0]
     assert (r.total_debits_cents, r.total_credits_cents, r.count_debits, r.count_credits) == (44204, 120010, 2, 1)
