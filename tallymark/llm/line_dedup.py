@@ -3,26 +3,24 @@
 1. Lines (split at line feeds, trimmed, A-Z lower-cased; blank ones stay out) are counted exactly first.
    A line that occurs in a third of all documents is one row from here on; its number is that of
    its first occurrence in reading order.
-2. The shingles of ``K`` characters at every position, those that step 4 compares, are hashed. The smallest hash
-   of each of 32 bins is a line's signature, whatever the number of shingles and of their repeats; an empty
-   bin takes the next one's, so short lines have full signatures. No shuffle.
+2. The shingles of ``K`` bytes at every position (of plain ASCII these are the shingles that step 4 compares) are
+   hashed, each into one of 32 bins. The smallest hashes of the bins are a line's signature; repeats change nothing,
+   and an empty bin is a value too. A line of more than ``KEPT`` shingles has about ``KEPT`` hashes looked at, the
+   smallest of all, so its bins' minima are those of all shingles; where most of these turn out to be repeats of a
+   few (fewer than ``FEW`` bins filled), the line is done again with all hashes.
 3. Bands of ``ROWS`` bins: with 8 bands of 4, a pair of similarity 0.85 shares a band with chance
    0.997 (0.985 at 0.8). Lines that share a band are paired with their neighbour in the band only, one pair each.
-4. Pairs whose signatures agree in fewer than ``AGREE`` of 32 bins (for lines of many shingles five standard
-   errors below what similarity 0.8 gives; less for lines of a few shingles, whose bins repeat each other: the
-   README has measured misses) are dropped; for the others the Jaccard similarity is computed exactly on
-   the full shingle sets (every position); pairs of at least ``least`` are links, and links become
-   components by distributed union-find. Bands whose lines are still in different components then
-   compare their pairs across components in the same way; where more than ``SMALL`` lines share a band,
-   only pairs that share one of their rarest shingles, which loses none of the similarity asked for.
+4. For each pair the Jaccard similarity is computed exactly on the full sets of shingles of ``K`` characters (every
+   position); pairs of at least ``least`` are links, and links become components by distributed union-find. Bands
+   whose lines are still in different components then compare their pairs across components in the same way, but
+   only those pairs that share one of their rarest shingles, which loses none of the similarity asked for.
 5. In each component the first occurrence stays; all others are removed.
 
-Lines, counts, bands, joins, components and the removal are DataFrame expressions. What handles every character
-of a line (its signature, the comparison of two shingle sets) runs on Arrow batches: with built-in
-expressions, interpreted once per shingle, it took several times the CPU the operator may use (README).
-Nothing but numbers per round reaches the driver.
+All steps are DataFrame expressions; nothing but numbers per round reaches the driver. Shingles are hashed by one
+expression per position of a piece of ``PIECE`` bytes, which Spark compiles; a higher-order function over all positions
+is interpreted once per shingle and took ten times the CPU.
 
-A task holds the lines of an Arrow batch and the shingle sets of ``HELD`` characters of them, of one line at least.
+A task holds the pieces of one line and, at a comparison, the shingles of two.
 
 Defined results: null and empty texts have one blank line, which stays; blank lines always stay; rows
 that repeat an identifier are documents of their own; null identifiers are kept; an empty table gives
@@ -31,22 +29,17 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
-from tallymark.llm.shared import chunks, fixed_binary, fixed_rows, free_name, lower_ascii, stored
-from tallymark.llm.spans import mix
+from tallymark.llm.shared import free_name, lower_ascii, stored
 
-K, BINS, BANDS, ROWS, AGREE = 12, 32, 8, 4, 15
-SMALL = 32
-#: Characters of a slice that is hashed at once, and of the lines whose shingle sets a task holds.
-SLICE, HELD = 1 << 20, 1 << 20
-FACTOR = 0x9E3779B97F4A7C15
+K, BINS, BANDS, ROWS = 12, 32, 8, 4
+KEPT, FEW = 64, 16
+#: Bytes of a piece whose shingles are hashed by one row; the largest hash that is looked at.
+PIECE = 32
+TOP, MARK = 2**31 - 1, -1
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -69,194 +62,151 @@ def _marks(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("mark"), F.xxhash64(F.lit(1), line).alias("mark2")]
 
 
-def shingles(line: str) -> set[str]:
-    """The shingles of a line; a shorter line is one shingle."""
-    return {line[i : i + K] for i in range(max(1, len(line) - K + 1))}
-
-
-def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each shingle of each line, in order, and the number of shingles of each line."""
-    padded = [line if len(line) >= K else line.ljust(K, "\0") for line in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    one = codes * np.uint64(FACTOR) + np.uint64(1)
-    power = lambda n: np.uint64(pow(FACTOR, n, 1 << 64))
-    two = one[:-1] * power(1) + one[1:]
-    four = two[:-2] * power(2) + two[2:]
-    eight = four[:-4] * power(4) + four[4:]
-    twelve = mix(eight[:-4] * power(4) + four[8:])
-    counts = sizes - (K - 1)
-    skipped = np.repeat(np.arange(len(lines)) * (K - 1), counts)
-    return twelve[np.arange(len(skipped)) + skipped], counts
-
-
-def minima(lines: list[str]) -> np.ndarray:
-    """The smallest hash of each of ``BINS`` bins among all shingles of each line, a row per line; repeats
-    change nothing; empty bins take the next one's."""
-    found, counts = hashes(lines)
-    empty = np.uint64(2**64 - 1)
-    m = np.full(len(lines) * BINS, empty)
-    np.minimum.at(m, np.repeat(np.arange(len(lines)) * BINS, counts) + (found >> np.uint64(59)).astype(np.int64), found)
-    m = m.reshape(-1, BINS)
-    for b in [*range(BINS - 1, -1, -1)] * 2:
-        m[:, b] = np.where(m[:, b] == empty, m[:, (b + 1) % BINS], m[:, b])
-    return m
-
-
-def band_keys(m: np.ndarray) -> np.ndarray:
-    """The key of each band of each line, a row per line."""
-    odd = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    base = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
-    rows = m.reshape(-1, BANDS, ROWS)
-    return mix((mix(rows * odd + odd) * odd).sum(2, dtype=np.uint64) + base).view(np.int64)
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """(occurrence, n, line, bands, low) of each different line, written once."""
-    distinct = lines.where("line != ''").groupBy("line").agg(
-        F.min("occurrence").alias("occurrence"), F.count("*").alias("n")
+def cut(data: Column, size: int) -> Column:
+    """Array of pieces of ``size`` bytes that overlap by K - 1, so that each shingle lies in one. The outer function
+    holds the bytes once: read from the row, they would be copied for each piece."""
+
+    def pieces(held: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.octet_length(held) - (K - 1)) / F.lit(size)).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.substring(held, c * size + 1, F.lit(size + K - 1)))
+
+    return F.flatten(F.transform(F.array(data), pieces))
+
+
+def minima(lines: DataFrame, kept: int | None = KEPT) -> DataFrame:
+    """(occurrence, whole, m0, m1, ...): the smallest hash of each bin among the shingles of each line, null if there
+    is none; ``kept`` bounds how many hashes of a line are expected to be looked at, ``whole``: all were. A mark in
+    no bin keeps the lines none of whose hashes are small enough."""
+    size = F.octet_length("line") - (K - 1)
+    limit = F.lit(TOP)
+    if kept is not None:
+        limit = F.when(size > kept, (F.lit(float(TOP)) * kept / size).cast("int")).otherwise(limit)
+    rows = lines.select("occurrence", limit.alias("limit"), F.posexplode(cut(F.col("line").cast("binary"), PIECE)).alias("no", "piece"))
+    rows = rows.withColumn("last", F.greatest(F.lit(1), F.octet_length("piece") - (K - 1)))
+    at = [F.least(F.lit(i), F.col("last")) for i in range(1, PIECE + 1)]
+    each = [F.xxhash64(F.substring(F.col("piece"), i, F.lit(K))) for i in at]
+    mark = F.when(F.col("no") == 0, F.lit(MARK).cast("long")).otherwise(each[0])
+    rows = rows.select("occurrence", "limit", F.explode(F.array(*each, mark)).alias("h"))
+    value, bin_ = F.shiftrightunsigned("h", 33), F.col("h").bitwiseAND(BINS - 1).cast("int")
+    rows = rows.where((value <= F.col("limit")) | (F.col("h") == MARK)).select(
+        "occurrence", "limit", value.cast("int").alias("value"), F.when(F.col("h") != MARK, bin_).alias("bin")
     )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "line", SLICE):
-            m = minima(texts)
-            ends = pa.array(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32))
-            bands = pa.ListArray.from_arrays(ends, pa.array(band_keys(m).ravel()))
-            low = fixed_binary((m & np.uint64(255)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([*batch.columns, bands, low], names=[*batch.schema.names, "bands", "low"])
-
-    out = distinct.select("occurrence", "n", "line").mapInArrow(
-        work, "occurrence long, n long, line string, bands array<long>, low binary"
+    return rows.groupBy("occurrence").agg(
+        (F.max("limit") == TOP).alias("whole"),
+        *[F.min(F.when(F.col("bin") == b, F.col("value"))).alias(f"m{b}") for b in range(BINS)],
     )
-    return stored(out, "line-signatures", "zstd")
 
 
-def banded(known: DataFrame, members: DataFrame) -> DataFrame:
-    """(occurrence, line, low) of the lines that share a band with another one, written once: all further
-    steps look up these only, so the texts of all lines are shuffled by occurrence a single time."""
-    some = members.select("occurrence").distinct()
-    out = known.select("occurrence", "line", "low").join(some, "occurrence", "left_semi")
-    return stored(out, "line-banded", "zstd")
+def banded(minimal: DataFrame) -> DataFrame:
+    """(occurrence, bands, poor): the keys of the bands that have a value; ``poor``: too few hashes were looked at."""
+    bins = [F.col(f"m{b}") for b in range(BINS)]
+    keys = []
+    for k in range(BANDS):
+        rows = bins[k * ROWS : (k + 1) * ROWS]
+        values = [F.coalesce(m, F.lit(-1)) for m in rows]
+        keys.append(F.when(F.coalesce(*rows).isNotNull(), F.xxhash64(F.lit(k), *values)))
+    filled = sum((m.isNotNull().cast("int") for m in bins), F.lit(0))
+    poor = ~F.col("whole") & (filled < FEW)
+    return minimal.select("occurrence", F.array_compact(F.array(*keys)).alias("bands"), poor.alias("poor"))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(line, occurrence, n, mark, mark2) of each different line that isn't blank, written once."""
+    out = lines.where("line != ''").groupBy("line").agg(F.min("occurrence").alias("occurrence"), F.count("*").alias("n"))
+    return stored(out.select("line", "occurrence", "n", *_marks(F.col("line"))), "line-texts", "zstd")
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """(key, occurrence, before): each line that shares a band with an earlier one, and the last such one."""
+    signed = stored(banded(minima(known)), "line-signatures")
+    keys = signed.where("not poor").select(F.explode("bands").alias("key"), "occurrence")
+    poor = signed.where("poor").select("occurrence")
+    if not poor.isEmpty():
+        again = banded(minima(known.join(poor, "occurrence", "left_semi"), None))
+        keys = keys.union(again.select(F.explode("bands").alias("key"), "occurrence"))
+    bucket = Window.partitionBy("key").orderBy("occurrence")
+    linked = keys.select("key", "occurrence", F.lag("occurrence").over(bucket).alias("before"))
+    return stored(linked.where("before is not null"), "line-candidates")
 
 
-def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures (their low bytes) agree often enough to be worth a comparison."""
-    one, two = known.select("occurrence", "low").toDF("a", "low_a"), known.select("occurrence", "low").toDF("b", "low_b")
+def shingles(line: Column) -> Column:
+    """The hash of each shingle of a line, in order; a shorter line is one shingle. The outer function holds the
+    characters, four bytes each, once."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                low_a, low_b = (fixed_rows(batch.column(c), np.uint8) for c in ("low_a", "low_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((low_a == low_b).sum(1) >= AGREE))
+    def of(held: Column) -> Column:
+        last = F.greatest(F.lit(0), (F.octet_length(held) / 4).cast("int") - K)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(held, i * 4 + 1, F.lit(4 * K))))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "low_a", "low_b").mapInArrow(work, "a long, b long")
+    return F.flatten(F.transform(F.array(F.encode(line, "utf-32")), of))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity ``least``, shingle by shingle. The set of a line
-    that several pairs of a batch have is built once."""
+    """The pairs (a, b) whose shingle sets reach the similarity ``least``, shingle by shingle (by 64-bit hashes)."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("occurrence")).distinct()
     texts = lines.join(needed, "occurrence").select("occurrence", "line")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
-                both = []
-                for line in (a, b):
-                    if line not in held:
-                        size += len(line)
-                        if size > HELD:
-                            held, size = {}, len(line)
-                        held[line] = shingles(line)
-                    both.append(held[line])
-                x, y = sorted(both, key=len)
-                shared = len(x & y) if len(x) >= least * len(y) else 0
-                good.append(shared >= least * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    return both.select("a", "b", "line_a", "line_b").mapInArrow(work, "a long, b long")
-
-
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(occurrence, size, shingle): the hash of each different shingle of each line."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "line", SLICE):
-            found, counts = hashes(texts)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            sets = [np.unique(found[i:j]).view(np.int64) for i, j in zip(ends, ends[1:])]
-            sizes = np.array([len(x) for x in sets], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column("occurrence").to_numpy(zero_copy_only=False), sizes)),
-                    pa.array(np.repeat(sizes, sizes)),
-                    pa.array(np.concatenate(sets)),
-                ],
-                names=["occurrence", "size", "shingle"],
-            )
-
-    return lines.select("occurrence", "line").mapInArrow(work, "occurrence long, size int, shingle long")
+    sets = F.struct(shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+    both = both.select("a", "b", F.explode(F.array(sets)).alias("sets"))  # a row each, so they are computed once
+    shared, all_ = F.size(F.array_intersect("sets.x", "sets.y")), F.size(F.array_union("sets.x", "sets.y"))
+    return both.where(shared >= all_ * least).select("a", "b")
 
 
 def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of (key, occurrence, root) that share a key, lie in different components and may reach
-    ``least``. Keys of at most ``SMALL`` lines give all their pairs. In larger ones, two lines are a pair only
-    if they share one of their rarest shingles: sets x and y of similarity t share one of the first
-    |x| - ceil(t |x|) + 1 shingles of x, and likewise of y, in any order of all shingles, here from the rarest
-    in the key to the commonest. So a family of lines with one beginning does not give all its pairs."""
-    sizes = still.groupBy("key").agg(F.count("*").alias("members"))
-    many = sizes.where(F.col("members") > SMALL).select("key")
-    few = still.join(many, "key", "left_anti")
-
-    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-        x = rows.select(*on, F.col("occurrence").alias("a"), F.col("root").alias("root_a"))
-        y = rows.select(*on, F.col("occurrence").alias("b"), F.col("root").alias("root_b"))
-        return x.join(y, on).where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    large = stored(still.join(many, "key", "left_semi"), "line-large")
-    lines = known.join(large.select("occurrence").distinct(), "occurrence", "left_semi").select("occurrence", "line")
-    sets = shingle_sets(lines)
-    grams = large.join(sets, "occurrence")
-    counts = grams.groupBy("key", "shingle").agg(F.count("*").alias("held"))
-    rarest = Window.partitionBy("key", "occurrence").orderBy("held", "shingle")
-    first = grams.join(counts, ["key", "shingle"]).withColumn("at", F.row_number().over(rarest))
-    first = first.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    return pairs(few, ["key"]).union(pairs(first, ["key", "shingle"])).distinct()
+    """Pairs (a, b) of lines in (key, occurrence, root) that lie in different components and may reach ``least``:
+    two lines are a pair only if they share one of their rarest shingles. Sets x and y of similarity t share one of
+    the first |x| - ceil(t |x|) + 1 shingles of x, and likewise of y, in any order of all shingles: here those that
+    only one component has, then the others from the rarest among all lines of ``still`` to the commonest; and no
+    more shingles come before the first shared one, in x and y together, than both may have for themselves. So a
+    family of lines with one beginning or one passage does not give all its pairs."""
+    lines = still.select("occurrence", "root").distinct().join(known.select("occurrence", "line"), "occurrence")
+    sets = F.transform(
+        F.array(F.array_distinct(shingles(F.col("line")))), lambda s: F.struct(F.size(s).alias("size"), s.alias("set"))
+    )
+    grams = lines.select("occurrence", "root", F.explode(sets).alias("one"))
+    grams = grams.select("occurrence", "root", F.col("one.size").alias("size"), F.explode("one.set").alias("shingle"))
+    alike, own = Window.partitionBy("shingle"), Window.partitionBy("occurrence")
+    grams = grams.select("*", *[f("root").over(alike).alias(n) for f, n in ((F.count, "held"), (F.min, "lo"), (F.max, "hi"))])
+    more = grams.where("lo < hi")  # the others of a line come first in its order
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "shingle"))
+    first = more.withColumn("at", place.cast("int")).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    rows = stored(first.select("shingle", "occurrence", "root", "lo", "size", "at"), "line-rarest")
+    # most lines of a shingle are likely in the component of its smallest root: these are not paired with each other
+    x = rows.where("root > lo").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("occurrence", "root", "size", "at")])
+    y = rows.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("occurrence", "root", "size", "at")])
+    sizes = F.col("size_x") + F.col("size_y")
+    alone = sizes - 2 * F.ceil(sizes * (least / (1 + least)) - 1e-9)
+    both = x.join(y, "shingle").where("root_x > root_y").where(F.col("at_x") + F.col("at_y") - 2 <= alone)
+    both = both.where(F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * least - 1e-9)
+    a, b = F.least("occurrence_x", "occurrence_y"), F.greatest("occurrence_x", "occurrence_y")
+    return both.select(a.alias("a"), b.alias("b")).distinct()
+
+
+def rooted(rows: DataFrame, roots: DataFrame, of: str, into: str) -> DataFrame:
+    """``rows`` with the root of the line in column ``of``; a line without another one is its own."""
+    return rows.join(roots.toDF(of, into), of, "left").withColumn(into, F.coalesce(into, of))
 
 
 def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
-    """(mark, mark2, n, root) of each different line that occurs more than once or isn't its component's
+    """(mark, mark2, root) of each different line that occurs more than once or isn't its component's
     first; ``root`` is the occurrence that stays."""
-    known = signatures(lines)
-    keys = known.select(F.explode("bands").alias("key"), "occurrence")
-    bucket = Window.partitionBy("key").orderBy("occurrence")
-    linked = keys.select("key", "occurrence", F.lag("occurrence").over(bucket).alias("before"))
-    chain = stored(linked.where("before is not null"), "line-candidates")
+    known = distinct_lines(lines)
+    chain = candidates(known)
     pairs = chain.select(F.col("before").alias("a"), F.col("occurrence").alias("b")).distinct()
     members = chain.select("key", "occurrence").union(chain.select("key", "before")).distinct()
-    near = banded(known, members)
-    first = stored(likely(pairs, near), "line-pairs")
-    links = stored(verified(first, near, least), "line-links")
-    roots = components(links)
+    # all further steps look up these lines only, so the texts of all lines are shuffled by occurrence a single time
+    some = members.select("occurrence").distinct()
+    near = stored(known.select("occurrence", "line").join(some, "occurrence", "left_semi"), "line-banded", "zstd")
+    roots = components(stored(verified(pairs, near, least), "line-links"))
 
-    labelled = members.join(roots.toDF("occurrence", "root"), "occurrence", "left").select(
-        "key", "occurrence", F.coalesce("root", "occurrence").alias("root")
-    )
+    labelled = rooted(members, roots, "occurrence", "root").select("key", "occurrence", "root")
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "line-open")
-    fresh = across(still, near, least).join(first, ["a", "b"], "left_anti")
-    second = stored(likely(fresh, near), "line-pairs")
-    if not second.isEmpty():
-        more = stored(verified(second, near, least), "line-links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
-    out = known.select("occurrence", "n", *_marks(F.col("line"))).join(
-        roots.toDF("occurrence", "root"), "occurrence", "left"
-    )
-    out = out.withColumn("root", F.coalesce("root", "occurrence"))
+    fresh = stored(across(still, near, least).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    more = stored(verified(fresh, near, least), "line-links")
+    if not more.isEmpty():
+        joined = components(rooted(rooted(more, roots, "a", "root_a"), roots, "b", "root_b").select("root_a", "root_b"))
+        roots = rooted(roots.toDF("node", "old"), joined, "old", "root").select("node", "root").union(joined)
+    out = rooted(known.select("occurrence", "n", "mark", "mark2"), roots, "occurrence", "root")
     return out.where("n > 1 or root != occurrence").select("mark", "mark2", "root")
 
 

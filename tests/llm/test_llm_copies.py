@@ -162,6 +162,39 @@ def test_pairs_of_a_large_bucket(spark):
     assert links == near
 
 
+def test_lines_of_one_passage_do_not_give_all_pairs(spark):
+    """30 lines of one bucket that share a passage, at 0.5 to 0.8 of each other, and a copy of the first: one pair."""
+    passage = prose(7, 60)
+    lines = [f"{prose(300 + i, 12)} {passage} {prose(400 + i, 12)}" for i in range(30)]
+    lines.append(lines[0] + " x")
+    known = spark.createDataFrame(list(enumerate(lines)), "occurrence long, line string")
+    still = known.selectExpr("7L key", "occurrence", "occurrence root")
+    assert {tuple(r) for r in line_dedup.across(still, known, 0.8).collect()} == {(0, 30)}
+
+
+def test_fuzzy_lines_run_no_python(spark, messy, monkeypatch):
+    plans = []
+
+    def keep(df, *rest):
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df, *rest)
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    plans.append(line_dedup.deduplicate_lines(messy)._jdf.queryExecution().toString())
+    assert len(plans) > 5 and not any(x in p for p in plans for x in ("InArrow", "InPandas", "EvalPython"))
+
+
+def test_lines_of_few_different_shingles(spark):
+    """Lines of many shingles, most of which repeat: no hash of some is small enough to be looked at."""
+    rows = []
+    for i in range(6):
+        unit = prose(500 + i, 3) + " "
+        rows += [(3 * i + j, unit * n) for j, n in enumerate((20, 90, 900))]
+    want = dict(enumerate(lines_brute(rows)))
+    assert sum(map(len, want.values())) == 12
+    assert removed_lines(spark, rows) == want
+
+
 def removed_lines(spark, rows):
     got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     return {r.doc_id: list(r.removed) for r in got}
