@@ -29,6 +29,8 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from tallymark.llm.shared import free_name, lower_ascii, stored
 
 K, BINS, BANDS, ROWS = 12, 32, 8, 4
 KEPT, FEW = 64, 16
+#: Parts in which components that share bands are compared, one after the other: bounds the shuffle files on disk at once.
+PARTS = 6
 #: Bytes of a piece whose shingles are hashed by one row; the largest hash that is looked at.
 PIECE = 32
 TOP, MARK = 2**31 - 1, -1
@@ -181,6 +185,16 @@ def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return both.select(a.alias("a"), b.alias("b")).distinct()
 
 
+def parted(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``across``, part by part. Lines whose components share no key, not even by way of others, have no
+    band in common and may be in different parts; ``lo`` is the smallest root of a key."""
+    groups = components(still.select("root", "lo"))
+    still = stored(rooted(still, groups, "root", "group").select("key", "occurrence", "root", "group"), "line-groups")
+    part = F.pmod(F.xxhash64("group"), F.lit(PARTS))
+    pairs = [stored(across(still.where(part == i), known, least), "line-pairs") for i in range(PARTS)]
+    return reduce(DataFrame.union, pairs)
+
+
 def rooted(rows: DataFrame, roots: DataFrame, of: str, into: str) -> DataFrame:
     """``rows`` with the root of the line in column ``of``; a line without another one is its own."""
     return rows.join(roots.toDF(of, into), of, "left").withColumn(into, F.coalesce(into, of))
@@ -200,8 +214,8 @@ def line_components(lines: DataFrame, least: float = 0.8) -> DataFrame:
 
     labelled = rooted(members, roots, "occurrence", "root").select("key", "occurrence", "root")
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    still = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "line-open")
-    fresh = stored(across(still, near, least).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    still = stored(labelled.join(open_keys.select("key", "lo"), "key"), "line-open")
+    fresh = parted(still, near, least).join(pairs, ["a", "b"], "left_anti")
     more = stored(verified(fresh, near, least), "line-links")
     if not more.isEmpty():
         joined = components(rooted(rooted(more, roots, "a", "root_a"), roots, "b", "root_b").select("root_a", "root_b"))
