@@ -161,7 +161,7 @@ def across(still: DataFrame, known: DataFrame, least: float) -> DataFrame:
     the first |x| - ceil(t |x|) + 1 shingles of x, and likewise of y, in any order of all shingles: here those that
     only one component has, then the others from the rarest among all lines of ``still`` to the commonest; and no
     more shingles come before the first shared one, in x and y together, than both may have for themselves. So a
-    family of lines with one beginning or one passage does not give all its pairs."""
+    family of lines with one beginning or one passage does not give all its pairs; one of near copies that do not link may."""
     lines = still.select("occurrence", "root").distinct().join(known.select("occurrence", "line"), "occurrence")
     sets = F.transform(
         F.array(F.array_distinct(shingles(F.col("line")))), lambda s: F.struct(F.size(s).alias("size"), s.alias("set"))
