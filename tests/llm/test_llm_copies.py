@@ -200,6 +200,64 @@ def removed_lines(spark, rows):
     return {r.doc_id: list(r.removed) for r in got}
 
 
+def family_lines():
+    """Rows of lines of one beginning, some near copies of each other, some only alike, and a few lines on their own."""
+    base = prose(9, 60)
+    texts = ["\n".join([changed(base, i, 2 + i % 9), prose(50 + i, 12)]) for i in range(24)]
+    return list(enumerate(texts))
+
+
+def test_small_groups_are_compared_without_their_rarest_shingles(spark, monkeypatch):
+    """Lines of a key with few pairs are compared as they are; no join on all their shingles is made."""
+
+    def never(*args):
+        raise AssertionError("joined on shingles")
+
+    monkeypatch.setattr(line_dedup, "across", never)
+    rows = family_lines()
+    assert removed_lines(spark, rows) == dict(enumerate(lines_brute(rows)))
+
+
+def test_large_groups_meet_by_their_rarest_shingles(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST", 0)
+    monkeypatch.setattr(line_dedup, "PARTS", 2)
+    rows = family_lines()
+    assert removed_lines(spark, rows) == dict(enumerate(lines_brute(rows)))
+
+
+def test_sifted_pairs_lose_none_that_is_similar(spark):
+    """Of lines with edits, repeats and letters beyond ASCII only pairs far below the threshold are left out."""
+    lines = []
+    for i in range(8):
+        base = prose(700 + i, 40)
+        plain = base.translate({233: "e", 252: "u"})
+        phrase = f"{plain[:50]} "
+        lines += [base, changed(base, i, 1), changed(base, i, 3), plain, changed(plain, i, 1), changed(plain, i, 2)]
+        lines += [phrase * 3, phrase * 40, f"{phrase * 9}{plain}", plain[:11], ""]
+    lines.append("é" + prose(700, 40).translate({233: "e", 252: "u"}))
+    known = spark.createDataFrame(list(enumerate(lines)), "occurrence long, line string")
+    pairs = list(combinations(range(len(lines)), 2))
+    every = spark.createDataFrame(pairs, "a long, b long")
+    got = {tuple(r) for r in line_dedup.sifted(every, line_dedup.bitmaps(known), 0.8).collect()}
+    sets = [{t[i : i + 12] for i in range(max(1, len(t) - 11))} for t in lines]
+    near = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) > 30 and near <= got
+    one_kind = {(a, b) for a, b in pairs if lines[a].isascii() == lines[b].isascii()}
+    assert len(got & one_kind) < 0.2 * len(one_kind)
+    assert {tuple(r) for r in line_dedup.verified(spark.createDataFrame(sorted(got), "a long, b long"), known, 0.8).collect()} == near
+
+
+def test_lines_of_two_are_not_looked_up_again(spark):
+    """Keys that two lines share are pairs already; only the lines of other keys are listed."""
+    bases = [prose(800 + i, 60) for i in range(6)]
+    lines = [t for b in bases[:4] for t in (b, b + " x")] + [bases[4], bases[4] + " y", bases[4] + " z", bases[5]]
+    known = spark.createDataFrame(list(enumerate(lines)), "occurrence long, line string")
+    two, members = line_dedup.candidates(known)
+    pairs = {tuple(r) for r in two.distinct().collect()}
+    assert {(0, 1), (2, 3), (4, 5), (6, 7)} <= pairs
+    assert {(r.occurrence, r["first"]) for r in members.collect()} == {(8, 8), (9, 8), (10, 8)}
+
+
 def test_fuzzy_lines_of_repeated_phrases(spark):
     rows = []
     for i in range(4):
