@@ -103,24 +103,29 @@ def is_yymmdd(c) -> Column:
     return F.coalesce(_col(c), F.lit("")).rlike(K.YYMMDD)
 
 
-def is_valid_bank_name(c, low=None) -> Column:
+def is_valid_bank_name(c, low=None, plain=None) -> Column:
     """Usable bank name. With ``low``, its lower case, ``c`` is taken as trimmed and both as columns that are ready:
-    nothing is bound then, so the test is compiled."""
+    nothing is bound then, so the test is compiled. ``plain`` tells of which names it is known that they are words of
+    the letters A-Z in title case with a blank between them."""
 
     def proper_name(s):
         words, capital = F.regexp_count(s, F.lit(r"[^\s\xa0]+")), F.regexp_count(s, F.lit(r"(?<![^\s\xa0])\p{Lu}"))
         # One pass settles the usual case: one word of four letters or more, or only words with a capital.
-        return F.when(s.rlike(r"^\p{Lu}(?:[^\s\xa0]{3,}+|[^\s\xa0]*+(?:[\s\xa0]++\p{Lu}[^\s\xa0]*+)++)$"), F.lit(True)).otherwise(
+        known = F if plain is None else F.when(_col(plain), F.contains(s, F.lit(" ")) | (F.length(s) >= 4))
+        return known.when(s.rlike(r"^\p{Lu}(?:[^\s\xa0]{3,}+|[^\s\xa0]*+(?:[\s\xa0]++\p{Lu}[^\s\xa0]*+)++)$"), F.lit(True)).otherwise(
             (words >= 2) & (capital >= words * 0.7)
         )
 
+    def lettered(s):
+        return s.rlike(r"\p{L}") if plain is None else _col(plain) | s.rlike(r"\p{L}")
+
     def check(s):
         return let(F.lower(s), lambda low: checked(s, low))
 
     def checked(s, low):
         return (
             F.when(F.coalesce(F.length(s), F.lit(0)) < 2, F.lit(False))
-            .when((F.length(s) > K.BANK_NAME_CHARS) | ~s.rlike(r"\p{L}"), F.lit(False))
+            .when((F.length(s) > K.BANK_NAME_CHARS) | ~lettered(s), F.lit(False))
             .when(any_contains(low, K.BANK_NAME_KEYWORDS), ~any_contains(low, K.BANK_NAME_BAD_WORDS))
             .otherwise(proper_name(s))
         )

@@ -201,6 +201,16 @@ def _ascii_title(s: Column) -> Column:
     return F.when(s.rlike(r"[^\sA-Za-z][A-Za-z]"), by_part).otherwise(F.initcap(s))
 
 
+def _text_title(text: Column) -> Column:
+    """A text whose matches by the patterns, which are blind to case, are those of ``text`` in title case: capital after
+    all but A-Z, small letters elsewhere. Other letters, of which no match holds any, give way to a mark."""
+    plain = F.regexp_replace(text, r"[^\x00\x02-\x7f]+", "\x02")
+    marked = F.regexp_replace(plain, r"(?<=[^A-Za-z ])(?=[A-Za-z])", "\x01 ")
+    return F.replace(F.initcap(marked), F.lit("\x01 "), F.lit(""))
+
+
+# A squeezed name in title case of words of letters: all but a few.
+_PLAIN_NAME = r"^[A-Z][a-z]*+(?: [A-Z][a-z]*+)*+$"
 # Longer squeezed names can't be spelled in as few characters as a valid name has.
 _LONGEST = 3 * K.BANK_NAME_CHARS + 10
 
@@ -240,14 +250,19 @@ _NEEDED = {
 }
 
 
-def _pattern_matches(text: Column, i: int) -> Column:
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_NAME_CHARS), F.lit(0))
+
+
+def _pattern_matches(text: Column, i: int, runs: Column | None = None) -> Column:
+    """Matches of one pattern; ``runs``: the text's runs of name characters, if they are at hand."""
     pattern = K.BANK_NAME_PATTERNS[i]
     if i not in _RUN_PATTERNS:
         hits = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
         if i not in _NEEDED:
             return hits
         return F.when(any_contains(F.lower(text), _NEEDED[i]), hits).otherwise(F.array().cast("array<string>"))
-    runs = F.regexp_extract_all(text, F.lit(_NAME_CHARS), F.lit(0))
+    runs = _runs(text) if runs is None else runs
     hits = F.transform(
         F.filter(runs, lambda r: let(F.lower(r), lambda low: any_contains(low, _NEEDED[i]))),
         lambda r: F.regexp_extract(r, "(?i)^[^A-Za-z]*+" + pattern, 1),
@@ -256,7 +271,9 @@ def _pattern_matches(text: Column, i: int) -> Column:
 
 
 def _found(text: Column) -> Column:
-    return F.flatten(F.array(*[_pattern_matches(text, i) for i in range(len(K.BANK_NAME_PATTERNS))]))
+    return let(
+        _runs(text), lambda runs: F.flatten(F.array(*[_pattern_matches(text, i, runs) for i in range(len(K.BANK_NAME_PATTERNS))]))
+    )
 
 
 def _header_found(text: Column) -> Column:
@@ -291,8 +308,10 @@ def _best(found: Column, later: bool) -> Column:
 def bank_name_candidates(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:
     """Valid names found by the generic patterns, in the header lines and in the whole text.
 
-    The matches of a text are rows before they are cleaned and tested: plain columns are compiled, the bodies of
-    lambdas are interpreted. Each step is a generator's output, so the next one doesn't repeat it."""
+    Texts are put in title case before they are searched, once instead of once per match. The matches of a text are
+    rows before they are cleaned and tested: plain columns are compiled, the bodies of lambdas are interpreted. Each
+    step is a generator's output, so the next one doesn't repeat it. One look at a match tells if it is plain words in
+    title case, which most are: nothing is left to clean then, and each of its words has a capital."""
 
     def numbered(found, is_header):
         return F.transform(found, lambda n, i: F.struct(F.lit(is_header).alias("is_header"), i.alias("pos"), n.alias("_n")))
@@ -301,13 +320,20 @@ def bank_name_candidates(docs: DataFrame, text_col: str = "text", key_cols=("doc
         made = F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()])))
         return rows.select(*key_cols, "is_header", "pos", *keep, made)
 
-    t = F.col(text_col)
+    docs = docs.select(*key_cols, F.explode(F.array(_text_title(F.col(text_col)))).alias("_text"))
+    t = F.col("_text")
     found = F.concat(numbered(_header_found(t), True), numbered(_found(t), False))
     rows = docs.select(*key_cols, F.inline(found))
-    rows = step(rows, _s=_squeezed(F.col("_n"))).where(F.length("_s") <= _LONGEST)
-    rows = step(step(rows, _t=_ascii_title(F.col("_s"))), name=_spelled(F.col("_t")))
-    rows = step(step(rows, keep=["name"], _s=strip("name")), keep=["name", "_s"], _low=F.lower("_s"))
-    return rows.where(is_valid_bank_name("_s", "_low")).select(*key_cols, "is_header", "pos", "name")
+    # a match may begin within a word
+    first = F.concat(F.upper(F.substring("_n", 1, 1)), F.substring(F.col("_n"), F.lit(2), F.length("_n")))
+    rows = step(rows, _t=F.when(F.col("_n").rlike(r"^[a-z]"), first).otherwise(F.col("_n")))
+    rows = step(rows, keep=["_t"], _plain=F.col("_t").rlike(_PLAIN_NAME))
+    rows = step(rows, keep=["_plain"], _s=F.when(F.col("_plain"), F.col("_t")).otherwise(_squeezed(F.col("_t"))))
+    rows = step(rows.where(F.length("_s") <= _LONGEST), keep=["_plain", "_s"], name=_spelled(F.col("_s")))
+    bare = F.when(F.col("_plain"), F.col("name")).otherwise(strip("name"))
+    rows = step(rows, keep=["name"], _plain=F.col("_plain") & (F.col("name") == F.col("_s")), _s=bare)
+    rows = step(rows, keep=["name", "_plain", "_s"], _low=F.lower("_s"))
+    return rows.where(is_valid_bank_name("_s", "_low", "_plain")).select(*key_cols, "is_header", "pos", "name")
 
 
 def bank_name_by_patterns(docs: DataFrame, text_col: str = "text", key_cols=("doc_id",)) -> DataFrame:

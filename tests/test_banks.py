@@ -89,6 +89,21 @@ def test_candidates_are_cleaned_as_rows(texts):
         assert name == min(mine, key=lambda r: (-len(r.name), r.pos)).name
 
 
+def test_candidates_of_texts_in_title_case(texts, spark):
+    """The text is put in title case once; names are those of matches that are cleaned one by one."""
+    docs = texts(
+        "Eurobank of x1y hills\n\xa0\n\tBANKING bank of the AND and .", "éabcde ÉCOLE ßtrust \u017favings \u0131ncorp \u212a na, İstanbul bank",
+        "USA fcu x1y\x01 a\x02b and, N.A.\tthe  usa And first National  trust ;", None, "", "12abcde 3fg 𐐀 Corp, a b c d e f",
+    )
+    got = B.bank_name_candidates(docs)
+    assert _plan(got).count("initcap(") == 1
+    t = F.col("text")
+    every = F.concat(*[F.transform(f, lambda n, i: F.struct(F.lit(h).alias("h"), i.alias("i"), n.alias("n"))) for h, f in ((True, B._header_found(t)), (False, B._found(t)))])
+    each = docs.select("doc_id", F.inline(every)).select("doc_id", "h", "i", B.clean_bank_name("n").alias("name"))
+    want = sorted(tuple(r) for r in each.where(B.is_valid_bank_name("name")).collect())
+    assert len(want) > 40 and sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_long_lines_without_an_ending_need_no_fold(spark):
     """The window is cut from the first words, wherever numbers and symbols stand between them."""
     lines = ["x " * 12, "1 # 2 $ " * 20 + "Harbor Bank", "  Alpha Beta page " + "y " * 99, "A b c d e f g h i j Bank", "Bank", "", "%" * 9]
